@@ -42,22 +42,18 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
-    """df joined to a table with one row per key.
+def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df joined to a table with at most one row per key; null keys match null keys.
 
-    The small side is counted first (it should be a saved table).  Up to ``limit`` rows it is broadcast.  Beyond that both
-    sides are shuffled on the keys and a salt, so that a key that holds a third of df is dealt to ``salts`` tasks.
-    Null keys match null keys.
+    The small side is counted first (it should be a saved table).  Up to ``limit`` rows it is broadcast.  Beyond that it
+    is an ordinary shuffled join, whose skewed partitions adaptive execution splits on df's side.
     """
     names = [f"__k{i}" for i in range(len(keys))]
     right = small.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), *(c for c in small.columns if c not in keys))
-    on = [df[k].eqNullSafe(right[n]) for k, n in zip(keys, names)]
+    on = _all([df[k].eqNullSafe(right[n]) for k, n in zip(keys, names)])
     if small.limit(limit + 1).count() <= limit:
-        return df.join(F.broadcast(right), _all(on), how).drop(*names)
-    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = df.withColumn("__row_salt", F.pmod(F.xxhash64(*(c for c, t in df.dtypes if not t.startswith(("map", "variant")))), F.lit(salts)).cast("int"))
-    on = [left[k].eqNullSafe(right[n]) for k, n in zip(keys, names)]
-    return left.join(right, _all([*on, left["__row_salt"] == right["__salt"]]), how).drop(*names, "__salt", "__row_salt")
+        right = F.broadcast(right)
+    return df.join(right, on, how).drop(*names)
 
 
 def _all(conds: list[Column]) -> Column:

@@ -1,10 +1,14 @@
 """Queries of this folder, and the SQL that some of them are checked against."""
 
-from . import packing, token_counts
+from . import chat, mixing, packing, simhash, token_counts, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
+    "op4_simhash_near_dedup": simhash.op4,
+    "op6_chat_windows": chat.op6,
     "op7_token_counts": token_counts.op7,
+    "op9_mixing": mixing.op9,
+    "op10_exact_topk": topk.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
