@@ -1,12 +1,16 @@
 """Queries of this folder, and the SQL that some of them are checked against."""
 
-from . import chat, mixing, packing, simhash, token_counts, topk
+from . import chat, html_text, language, mixing, packing, pii, quality, simhash, token_counts, topk
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
+    "op2_quality_rules": quality.op2,
+    "op3_language_id": language.op3,
     "op4_simhash_near_dedup": simhash.op4,
+    "op5_pii": pii.op5,
     "op6_chat_windows": chat.op6,
     "op7_token_counts": token_counts.op7,
+    "op8_html_text": html_text.op8,
     "op9_mixing": mixing.op9,
     "op10_exact_topk": topk.op10,
 }
