@@ -38,21 +38,26 @@ def fused_scores(predictions: DataFrame, method: str = "weighted", weights: Data
     return s.withColumn("share", F.col("score") / F.when(total == 0, 1.0).otherwise(total))
 
 
+def _singles(predictions: DataFrame) -> DataFrame:
+    """Per row_id and level that has a list: the most confident engine, first in the roster on ties, and all engines."""
+    p = predictions.filter(usable() & (F.size("top_k") > 0))
+    best = F.min(F.struct((-F.col("confidence")).alias("low"), "ord", "engine", "city", "confidence")).alias("b")
+    used = F.transform(F.array_sort(F.collect_list(F.struct("ord", "engine"))), lambda x: x["engine"]).alias("engines")
+    t = p.groupBy("row_id", "level").agg(best, used)
+    return t.select("row_id", "level", F.col("b.engine").alias("best_engine"), F.col("b.city").alias("best_city"), F.col("b.confidence").alias("best_confidence"), "engines")
+
+
 def best_single(predictions: DataFrame) -> DataFrame:
-    """(row_id, level, best_engine, best_city, best_confidence): the most confident engine, first in the roster on ties."""
-    by = Window.partitionBy("row_id", "level").orderBy(F.desc("confidence"), "ord")
-    p = predictions.filter(usable() & (F.size("top_k") > 0)).withColumn("r", F.row_number().over(by)).filter("r = 1")
-    return p.select("row_id", "level", F.col("engine").alias("best_engine"), F.col("city").alias("best_city"), F.col("confidence").alias("best_confidence"))
+    """(row_id, level, best_engine, best_city, best_confidence)."""
+    return _singles(predictions).drop("engines")
 
 
 def fuse(predictions: DataFrame, method: str = "weighted", weights: DataFrame | None = None, k: int = 5) -> DataFrame:
     """One row per row_id and level that has a list: consensus_city, consensus_confidence, top_k, engines, best single, delta, differs."""
-    by = Window.partitionBy("row_id", "level").orderBy(F.desc("share"), "first_ord", "first_pos")
-    top = fused_scores(predictions, method, weights).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= max(1, k))
-    lists = top.groupBy("row_id", "level").agg(F.array_sort(F.collect_list(F.struct("rank", "place", F.col("share").alias("score")))).alias("r"))
+    order = F.struct((-F.col("share")).alias("low"), "first_ord", "first_pos", "place", F.col("share").alias("score"))
+    lists = fused_scores(predictions, method, weights).groupBy("row_id", "level").agg(F.slice(F.array_sort(F.collect_list(order)), 1, max(1, k)).alias("r"))
     lists = lists.select("row_id", "level", F.col("r")[0]["place"].alias("consensus_city"), F.col("r")[0]["score"].alias("consensus_confidence"), F.transform("r", lambda x: F.struct(x["place"].alias("place"), x["score"].alias("score"))).alias("top_k"))
-    used = predictions.filter(usable() & (F.size("top_k") > 0)).groupBy("row_id", "level").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "engine"))), lambda x: x["engine"]).alias("engines"))
-    out = lists.join(used, ["row_id", "level"]).join(best_single(predictions), ["row_id", "level"])
+    out = lists.join(_singles(predictions), ["row_id", "level"])
     return out.withColumn("method", F.lit(method)).withColumn("delta", F.col("consensus_confidence") - F.col("best_confidence")).withColumn("differs", F.col("consensus_city") != F.col("best_city"))
 
 
@@ -81,12 +86,12 @@ def verification_flag(predictions: DataFrame, coordinates: DataFrame, radius_km:
     """
     rows = predictions.groupBy("row_id").agg(F.bool_or(usable()).alias("any_usable"))
     overall = vote(predictions, ["row_id"]).select("row_id", "consensus", "confidence", (F.col("votes") / F.col("answered")).alias("agreement"))
-    levels = vote(predictions, ["row_id", "level"])
-    out = rows.join(overall, "row_id", "left")
+    of = lambda level, c, name: F.max(F.when(F.col("level") == level, F.col(c))).alias(f"{level}_{name}")
+    levels = vote(predictions, ["row_id", "level"]).groupBy("row_id").agg(*(of(v, c, n) for v in ("post", "user") for c, n in (("consensus", "city"), ("votes", "votes"), ("answered", "answered"))))
+    out = rows.join(overall, "row_id", "left").join(levels, "row_id", "left")
     for level in ("post", "user"):
-        one = levels.filter(F.col("level") == level).select("row_id", F.col("consensus").alias(f"{level}_city"), F.col("votes").alias(f"{level}_votes"), F.col("answered").alias(f"{level}_answered"))
         at = coordinates.select(F.col("name").alias(f"{level}_city"), F.col("lat").alias(f"{level}_lat"), F.col("lon").alias(f"{level}_lon"))
-        out = out.join(one, "row_id", "left").join(F.broadcast(at), f"{level}_city", "left")
+        out = out.join(F.broadcast(at), f"{level}_city", "left")
     apart = F.col("post_city") != F.col("user_city")
     km = F.when(apart, haversine_km("post_lat", "post_lon", "user_lat", "user_lon"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
