@@ -236,23 +236,24 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of personal data replaced by its kind in brackets, and n_chars, if there, counted anew."""
-    names = docs.columns
-    found = found_in(docs)
+    found = found_in(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text")))
     codes = fit(saved(found.select("candidates")))
     labels = F.array(*(F.lit(f"[{k}]") for k in KINDS))
     by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["order"].alias("order"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     piece = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     run = F.aggregate(
         by_place,
         start,
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], piece(a["at"], s["start"]), F.get(labels, s["order"])).alias("out"))).otherwise(
+        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(piece(a["at"], s["start"]), F.get(labels, s["order"]))).alias("out"))).otherwise(
             F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
         ),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.char_length(F.col("text")))),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.char_length(F.col("text")))),
     )
-    out = spans_of(found, codes).withColumn("text", F.when(F.size("spans") > 0, run).otherwise(F.col("text")))
-    return (out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out).select(names)
+    out = spans_of(found, codes).withColumn("clean", F.when(F.size("spans") > 0, run).otherwise(F.col("text")))
+    kinds = dict(docs.dtypes)
+    new = {"text": F.col("clean"), "n_chars": F.char_length("clean").cast(kinds.get("n_chars", "long"))}
+    return out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

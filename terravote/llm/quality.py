@@ -110,11 +110,11 @@ def robust_distance(rows: DataFrame, keys: list[str]) -> DataFrame:
     their mean and covariance, which never raises the determinant; quantiles are found by counting cells.  Per step there
     are two passes over the vectors, both aggregated before any shuffle, so a key with a third of all rows is no burden.
     """
-    value = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col(x).alias("x")) for i, x in enumerate(X)))).alias("c")).select(*keys, "c.k", "c.x")
-    middle = saved(_quantile(value, [*keys, "k"], F.floor(F.col("x") * 256), 0.5, "cell"))
-    off = join_small(value, middle, [*keys, "k"]).withColumn("off", F.abs(F.col("x") - (F.col("cell") + 0.5) / 256))
-    spread = saved(_quantile(off, [*keys, "k"], F.floor(F.col("off") * 256), 0.5, "wide"))
-    start = join_small(middle, spread, [*keys, "k"]).groupBy(*keys).agg(*(F.max(F.when(F.col("k") == i, (F.col("cell") + 0.5) / 256)).alias(f"m{i}") for i in range(len(X))), *(F.max(F.when(F.col("k") == i, 1.4826 * (F.col("wide") + 0.5) / 256)).alias(f"s{i}") for i in range(len(X))))
+    value = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(i).alias("__which"), F.col(x).alias("__x")) for i, x in enumerate(X)))).alias("__c")).select(*keys, "__c.__which", "__c.__x")
+    middle = saved(_quantile(value, [*keys, "__which"], F.floor(F.col("__x") * 256), 0.5, "__at"))
+    off = join_small(value, middle, [*keys, "__which"]).withColumn("__off", F.abs(F.col("__x") - (F.col("__at") + 0.5) / 256))
+    spread = saved(_quantile(off, [*keys, "__which"], F.floor(F.col("__off") * 256), 0.5, "__wide"))
+    start = join_small(middle, spread, [*keys, "__which"]).groupBy(*keys).agg(*(F.max(F.when(F.col("__which") == i, (F.col("__at") + 0.5) / 256)).alias(f"m{i}") for i in range(len(X))), *(F.max(F.when(F.col("__which") == i, 1.4826 * (F.col("__wide") + 0.5) / 256)).alias(f"s{i}") for i in range(len(X))))
     floor2 = [f * f for f in FLOORS.values()]
     estimates = _with_scatter(start, lambda i, j: F.greatest(F.col(f"s{i}") * F.col(f"s{i}"), F.lit(floor2[i])) if i == j else F.lit(0.0), keys)
     cell = F.floor(64 * F.log1p("d2"))
