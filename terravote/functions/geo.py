@@ -19,7 +19,8 @@ def _c(x) -> Column:
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     p, q = F.radians(_c(lat1)), F.radians(_c(lat2))
     up, side = F.sin((q - p) / 2), F.sin((F.radians(_c(lon2)) - F.radians(_c(lon1))) / 2)
-    return 2 * RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(up * up + F.cos(p) * F.cos(q) * side * side)))
+    root = F.sqrt(up * up + F.cos(p) * F.cos(q) * side * side)
+    return 2 * RADIUS_KM * F.asin(F.when(root > 1, 1.0).otherwise(root))  # least() would turn an unknown distance into 1
 
 
 def wrap_longitude(lon, reference) -> Column:

@@ -105,7 +105,7 @@ def verification_flag(predictions: DataFrame, coordinates: DataFrame, radius_km:
     return (
         out.withColumn("km", km)
         .withColumn("flag", F.coalesce(apart & (F.col("km").isNull() | (F.col("km") > radius_km)), F.lit(False)))
-        .withColumn("score", F.when(apart, F.coalesce(F.least(F.lit(1.0), F.col("km") / DISAGREEMENT_KM), F.lit(0.5))).otherwise(0.0))
+        .withColumn("score", F.when(apart & F.col("km").isNull(), 0.5).when(apart, F.least(F.lit(1.0), F.col("km") / DISAGREEMENT_KM)).otherwise(0.0))
         .withColumn("note", note)
         .select("row_id", "consensus", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("agreement", F.lit(0.0)).alias("agreement"), "post_city", "user_city", *(zero(f"{v}_{w}").alias(f"{v}_{w}") for v in ("post", "user") for w in ("votes", "answered")), "km", "score", "flag", "note")
     )

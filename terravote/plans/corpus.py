@@ -133,7 +133,8 @@ def values(name: str, columns: str, rows) -> str:
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(_q, r)) + ')' for r in rows)})"
 
 
-KM = "2*6371.0088*asin(least(1, sqrt(power(sin((radians({c})-radians({a}))/2),2)+cos(radians({a}))*cos(radians({c}))*power(sin((radians({d})-radians({b}))/2),2))))"
+H = "(power(sin((radians({c})-radians({a}))/2),2)+cos(radians({a}))*cos(radians({c}))*power(sin((radians({d})-radians({b}))/2),2))"
+KM = f"2*6371.0088*asin(sqrt(CASE WHEN {H}>1 THEN 1 ELSE {H} END))"
 
 
 def km_sql(a: str, b: str, c: str, d: str) -> str:
