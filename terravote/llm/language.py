@@ -22,9 +22,10 @@ CELLS, LEAST_ROWS, MOST_LANGUAGES = 1 << 16, 5, 200
 DEPENDENT, MOST_SEEN = 3.0, 100.0
 #: Rows that the coarser prior weighs in each step of smoothing, and the weight of a declaration or suffix never seen.
 SMOOTH, UNSEEN = 20.0, 1.0
-#: A row is rejected below this posterior, or if its text fits its language worse than by so much per trigram.
+#: A row is rejected below this posterior (no language has the greater part), or if its text fits its language worse than
+#: by so much per trigram.
 #: The latter is a little below what a uniform distribution over the cells gives.
-SURE, FIT = 0.7, -math.log(CELLS) - 1
+SURE, FIT = 0.5, -math.log(CELLS) - 1
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^<>]*>|&#?\w+;", re.S | re.I)
 
 
