@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from terravote.operators import places, state
@@ -90,11 +88,7 @@ def stream_scoring(spark, sf_dir):
     names = [p[0] for p in PLACES]
     mention = F.get(F.array(*map(F.lit, names)), F.pmod(F.col("doc_id") * 7, F.lit(75)).cast("int"))
     posts = parent.select(F.col("doc_id").cast("string").alias("row_id"), F.concat_ws(" ", "text", mention).alias("text"))
-    name = f"scored_{uuid.uuid4().hex}"
-    out = stateful.score_posts(posts, names).select("row_id", "city", "abstain", F.size("top_k").alias("n"))
-    q = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return stateful.drained(stateful.score_posts(posts, names).select("row_id", "city", "abstain", F.size("top_k").alias("n")))
 
 
 STREAM_SQL = sql(r""", posts AS (SELECT doc_id::VARCHAR AS row_id, concat_ws(' ', text, p.name) AS text FROM documents d LEFT JOIN places p ON p.ord=(d.doc_id*7)%75),

@@ -7,6 +7,7 @@ of the same rows agree.  The RocksDB state store is needed: spark.sql.streaming.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from terravote.operators.state import Catalogue, Ledger, Quota
 from terravote.operators.toponyms import gazetteer_in_row
+from terravote.sources.shared import shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -114,6 +116,15 @@ def catalogue_changes(log: DataFrame, ttl_s: float = 3600.0, cap: int = 20, buil
     return _run(log.select("catalogue_id", "seq", "op", "name", "ts"), ["catalogue_id"], _Lifecycle(ttl_s, cap, builtin), f"catalogue_id {dict(log.dtypes)['catalogue_id']}, seq long, name string, status string, size int, evicted array<string>, at double")
 
 
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stream gives until its source is read up, written batch by batch to the shared folder and read back."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/log").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def score_posts(posts: DataFrame, places: list[str], k: int = 5) -> DataFrame:
     """Live gazetteer scoring of a stream of posts (row_id, text): within the row, so no state is held."""
     return gazetteer_in_row(posts, places, k)
