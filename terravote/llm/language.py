@@ -111,16 +111,21 @@ def _score(rows: DataFrame, languages: list[str], model) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _smoothed(scored: DataFrame, keys: list[str], coarser: DataFrame | None, name: str, languages: list[str]) -> DataFrame:
-    """keys -> name array<double>: shares of the languages that texts alone suggest, smoothed by the coarser table."""
+def _smoothed(scored: DataFrame, keys: list[str], coarser: DataFrame | list[float], name: str, languages: list[str]) -> DataFrame:
+    """keys -> name array<double>: shares of the languages that texts alone suggest, smoothed by the coarser prior.
+
+    The coarser prior is a table by some of the keys, or one array for all.
+    """
     n = [F.count_if(F.col("guess") == k).cast("double").alias(f"n{k}") for k in range(len(languages))]
     t = scored.groupBy(*keys).agg(F.count("guess").cast("double").alias("rows"), *n)
-    if coarser is None:
-        return t.select(*keys, F.array(*((F.col(f"n{k}") + 1) / (F.col("rows") + len(languages)) for k in range(len(languages)))).alias(name))
-    up = [c for c in coarser.columns if c in keys]
-    prior = [c for c in coarser.columns if c not in keys][0]
-    t = join_small(t, coarser, up) if up else t.crossJoin(F.broadcast(coarser))  # one row
-    return t.select(*keys, F.array(*((F.col(f"n{k}") + SMOOTH * F.get(prior, F.lit(k))) / (F.col("rows") + SMOOTH) for k in range(len(languages)))).alias(name))
+    if isinstance(coarser, list):
+        prior = [F.lit(p) for p in coarser]
+    else:
+        up = [c for c in coarser.columns if c in keys]
+        t = join_small(t, coarser, up)
+        array = next(c for c in coarser.columns if c not in keys)
+        prior = [F.get(array, F.lit(k)) for k in range(len(languages))]
+    return t.select(*keys, F.array(*((F.col(f"n{k}") + SMOOTH * p) / (F.col("rows") + SMOOTH) for k, p in enumerate(prior))).alias(name))
 
 
 def identify(rows: DataFrame) -> DataFrame:
@@ -139,7 +144,8 @@ def identify(rows: DataFrame) -> DataFrame:
         return rows.select(*keys, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("kept"))
     scored = _score(rows, languages, model).withColumn("guess", F.when(F.col("fit").isNotNull(), F.array_position("scores", F.array_max("scores")) - 1))
     scored = saved(scored)
-    overall = saved(_smoothed(scored, [], None, "p0", languages))
+    guesses = scored.agg(F.count("guess"), *(F.count_if(F.col("guess") == k) for k in range(len(languages)))).first()
+    overall = [(n + 1) / (guesses[0] + len(languages)) for n in guesses[1:]]
     by_suffix = saved(_smoothed(scored, ["suffix"], overall, "p1", languages))
     by_domain = saved(_smoothed(scored, ["suffix", "domain"], by_suffix, "p2", languages))
     by_host = saved(_smoothed(scored, ["suffix", "domain", "host"], by_domain, "p3", languages))
