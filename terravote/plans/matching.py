@@ -84,14 +84,14 @@ def reply_predictions(spark, sf_dir):
 
 def prompt_rows(spark, sf_dir):
     t = C.inputs(spark, sf_dir).withColumn("text", scoring.level_text(F.lit("post"))).filter(F.col("text").isNotNull())
-    return scoring.prompts(t, builtin_places(spark).filter("ord < 12"), 3).select("row_id", F.char_length("prompt").alias("n_chars"), F.sha2("prompt", 256).alias("digest"))
+    return scoring.prompts(t, builtin_places(spark), 3).select("row_id", F.char_length("prompt").alias("n_chars"), F.sha2("prompt", 256).alias("digest"))
 
 
 PROMPT_SQL = """SELECT row_id, length(p)::INT AS n_chars, sha256(p) AS digest FROM (SELECT i.row_id, 'Choose up to 3 places from this list: ' || n.names || '. Answer as JSON {"top_k": [[place, confidence], ...]}.' || chr(10) || 'Text: ' || i.text AS p
-FROM (SELECT row_id, coalesce(post, split_part(line, chr(10), 1)) AS text, post, conv_id FROM inputs) i, (SELECT string_agg(name, ', ' ORDER BY ord) AS names FROM places WHERE ord<12) n WHERE i.post IS NOT NULL)
+FROM (SELECT row_id, coalesce(post, split_part(line, chr(10), 1)) AS text, post, conv_id FROM inputs) i, (SELECT string_agg(name, ', ' ORDER BY ord) AS names FROM places) n WHERE i.post IS NOT NULL)
 UNION ALL
 SELECT row_id, length(p)::INT, sha256(p) FROM (SELECT i.row_id, 'Choose up to 3 places from this list: ' || n.names || '. Answer as JSON {"top_k": [[place, confidence], ...]}.' || chr(10) || 'Text: ' || i.text AS p
-FROM (SELECT 'row-'||conv_id AS row_id, arg_min(text, turn) AS text FROM turns WHERE conv_id%11=0 AND conv_id%7<>0 GROUP BY conv_id) i, (SELECT string_agg(name, ', ' ORDER BY ord) AS names FROM places WHERE ord<12) n)"""
+FROM (SELECT 'row-'||conv_id AS row_id, arg_min(text, turn) AS text FROM turns WHERE conv_id%11=0 AND conv_id%7<>0 GROUP BY conv_id) i, (SELECT string_agg(name, ', ' ORDER BY ord) AS names FROM places) n)"""
 
 
 def place_descriptions(spark, sf_dir):
