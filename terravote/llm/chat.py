@@ -62,10 +62,14 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     t = t.withColumn("lead", _length(F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY)))).withColumn("masked", _length(escape(F.col("text"))))
     t = saved(t.select("conv_id", "pos", "window", "before", "tokens", "role", "body", "target", "lead", "masked"))
     spans = t.groupBy("conv_id", "window").agg(F.min("pos").alias("from"), F.min("before").alias("start"))
-    # A turn is history of every window that starts within LOOK_BACK turns and history tokens after it.
-    near = t.select("conv_id", "pos", "before", "body", "role", F.explode(F.sequence(F.lit(1), F.lit(LOOK_BACK))).alias("back")).withColumn("next", F.col("pos") + F.col("back"))
-    h = near.join(spans.select(F.col("conv_id").alias("c"), F.col("from").alias("f"), "window", "start"), near["conv_id"].eqNullSafe(F.col("c")) & (F.col("next") == F.col("f")))
-    h = h.filter((F.col("start") - F.col("before") <= history) & ~((F.col("pos") == 0) & (F.col("role") == "system")))
+    # A turn is history of every window that starts within LOOK_BACK turns and history tokens after it.  Which ones is
+    # found on positions alone; texts are fetched for those that are repeated.
+    head = (F.col("pos") == 0) & (F.col("role") == "system")
+    near = t.filter(~head).select("conv_id", "pos", "before", F.explode(F.sequence(F.lit(1), F.lit(LOOK_BACK))).alias("back"))
+    starts = spans.select(F.col("conv_id").alias("c"), F.col("from").alias("f"), "window", "start")
+    near = near.join(starts, near["conv_id"].eqNullSafe(F.col("c")) & (near["pos"] + near["back"] == F.col("f")))
+    near = near.filter(F.col("start") - F.col("before") <= history).select(F.col("conv_id").alias("c"), F.col("pos").alias("p"), F.col("window").alias("into"))
+    h = t.drop("window").join(near, t["conv_id"].eqNullSafe(F.col("c")) & (t["pos"] == F.col("p"))).withColumnRenamed("into", "window")
     piece = lambda kind: F.struct(F.lit(kind).alias("kind"), "pos", "body", "target", "lead", "masked")
     none = {"target": F.lit(False), "lead": F.lit(0), "masked": F.lit(0)}
     parts = t.select("conv_id", "window", piece(2).alias("p")).unionByName(h.withColumns(none).select("conv_id", "window", piece(1).alias("p")))
