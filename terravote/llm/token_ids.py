@@ -40,7 +40,7 @@ class IdEncoder:
     """Ids as native 32-bit values in bytes.
 
     With ``ranks``, tiktoken merges what holds no special string: it has the same vocabulary and pattern (tests compare
-    them on every code point) and is about three times as fast.  Texts with a special string, and all texts if no ranks
+    them code point by code point) and is about three times as fast.  Texts with a special string, and all texts if no ranks
     are given, go to the tokenizers library.
     """
 
