@@ -301,6 +301,17 @@ def test_base_spans_match_the_plain_patterns(spark, docs):
     assert pii.personal_data(docs).count() == docs.count()
 
 
+def test_addresses_with_zero_octets_are_found(spark):
+    texts = ["at 10.0.0.1, 127.0.0.1 and 192.168.0.1", "0.0.0.0 00.000.0.0 255.0.255.0", "10.0.0.256 0256.0.0.1 " + "0" * 3000 + ".0.0." + "0" * 3000]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(t).collect()}
+    for i, x in enumerate(texts):
+        base = base_spans(x)
+        assert got[i].n_ip == len(base) and got[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+    assert [got[i].n_ip for i in range(3)] == [3, 3, 1]
+    assert {r.doc_id: r.text for r in pii.redacted(t).collect()}[0] == "at [ip], [ip] and [ip]"
+
+
 def test_redaction_replaces_spans_and_keeps_columns(spark, docs, empty):
     t = spark.createDataFrame([(i, f"mail jo{i}@x{i}.org now, or +1 (212) 555-{1000 + i}.", 7, "mine") for i in range(20)] + [(90, None, None, "b"), (91, "clean words only", 16, "c")], "doc_id long, text string, n_chars long, base string")
     got = {r.doc_id: r for r in pii.redacted(t).collect()}
