@@ -29,9 +29,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 # The generators' patterns.
-MAIL = r"(?:\G|(?<![^\s]))[^\s@]{1,64}+(?:@|\(at\)|\[at\])[^\s@]{1,255}+"
+MAIL = r"(?:\G|(?<![^\s]))(?:[^\s@(\[]|(?!\(at\)|\[at\])[(\[]){1,64}+(?:@|\(at\)|\[at\])[^\s@]{1,255}+"
 NUMBER = r"\+?+[0-9](?:[\x20().-]{0,2}+[0-9]){6,40}+"
 SECRET = r"(?:\G|(?<![A-Za-z0-9_+/=-]))[A-Za-z0-9_+/=-]{20,512}+"
+#: What confirms an address whose @ is written (at) or [at].
+SPELT = r"^[^A-Za-z0-9]*[A-Za-z0-9._%+-]+(?:\(at\)|\[at\])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,10}[^A-Za-z0-9]*$"
 #: Characters before a candidate that its context features look at.
 CONTEXT = 24
 
@@ -160,7 +162,7 @@ def found_in(docs: DataFrame) -> DataFrame:
                 sure = (f["word"] == 1) & (f["assigned"] == 1) & (f["digits"] > 0)
                 label = F.when(sure, 1).when(f["digits"] == 0, 0)
             elif kind == "mail":
-                label = F.when(_overlaps(x, F.col("base.email")), 1).when((f["dot"] == 0) | (f["local"] == 0), 0)
+                label = F.when(_overlaps(x, F.col("base.email")) | x["value"].rlike(SPELT), 1).when((f["dot"] == 0) | (f["local"] == 0), 0)
             else:
                 label = F.when(_overlaps(x, F.col("number_base")), 1).when(f["digits"].isin(0, 5) | ((f["digits"] == 4) & (f["luhn"] == 0)), 0)
             return F.struct(F.lit(kind).alias("kind"), x["at"].alias("start"), _end(x).alias("end"), _code(kind, f).alias("code"), label.alias("label"))

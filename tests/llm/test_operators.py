@@ -312,6 +312,15 @@ def test_addresses_with_zero_octets_are_found(spark):
     assert {r.doc_id: r.text for r in pii.redacted(t).collect()}[0] == "at [ip], [ip] and [ip]"
 
 
+def test_obfuscated_addresses_are_found(spark):
+    odd = ["write jo(at)host.org now", "(jo.b[at]mail.host.org)", "f(at) x[at] (at)host.org a(at)b", "x" * 70 + "(at)host.org"]
+    rows = [(i, f"mail jo{i}@x{i}.org now, or a{i}@b") for i in range(20)] + [(100 + i, x) for i, x in enumerate(odd)]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[100 + i] for i in range(4)] == ["mail:6:20", "mail:0:23", "", ""]
+    alone = spark.createDataFrame([(1, "write jo(at)host.org now")], "doc_id long, text string")
+    assert pii.redacted(alone).first().text == "write [mail] now"
+
+
 def test_redaction_replaces_spans_and_keeps_columns(spark, docs, empty):
     t = spark.createDataFrame([(i, f"mail jo{i}@x{i}.org now, or +1 (212) 555-{1000 + i}.", 7, "mine") for i in range(20)] + [(90, None, None, "b"), (91, "clean words only", 16, "c")], "doc_id long, text string, n_chars long, base string")
     got = {r.doc_id: r for r in pii.redacted(t).collect()}
