@@ -22,9 +22,12 @@ CELLS, LEAST_ROWS, MOST_LANGUAGES = 1 << 16, 5, 200
 DEPENDENT, MOST_SEEN = 3.0, 100.0
 #: Rows that the coarser prior weighs in each step of smoothing, and the weight of a declaration or suffix never seen.
 SMOOTH, UNSEEN = 20.0, 1.0
-#: A row is rejected below this posterior (no language has the greater part), or if its text fits its language worse than
-#: by so much per trigram.
-#: The latter is a little below what a uniform distribution over the cells gives.
+#: Share of every language's model that is uniform over the cells.  The fit is measured without any other smoothing, so a
+#: cell that a language lacks scores the same in it however much text declares the language.
+UNIFORM = 0.02
+#: A row is rejected below this posterior (no language has the greater part), or if its text fits the chosen language
+#: worse per trigram than by this: a little below the background, which is uniform over the cells (a text of cells that a
+#: language lacks is log UNIFORM below it).
 SURE, FIT = 0.5, -math.log(CELLS) - 1
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^<>]*>|&#?\w+;", re.S | re.I)
 
@@ -68,7 +71,7 @@ def counts(rows: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> tuple[list[str], object]:
-    """Languages and their log-probabilities of cells (languages x 65,536).
+    """Languages and their log-probabilities of cells (2 x languages x 65,536): smoothed as evidence, and to measure fit.
 
     At most 200 languages, by number of rows that declare them, so what comes to the driver and is broadcast is bounded.
     """
@@ -76,17 +79,18 @@ def fit(rows: DataFrame) -> tuple[list[str], object]:
 
     declared = rows.filter(F.col("declared").isNotNull()).groupBy("declared").agg(F.count("*").alias("rows")).filter(F.col("rows") >= LEAST_ROWS)
     languages = sorted(r["declared"] for r in declared.orderBy(F.desc("rows"), "declared").limit(MOST_LANGUAGES).collect())
-    model = np.full((len(languages), CELLS), 0.5)
+    model = np.zeros((len(languages), CELLS))
     if languages:
         kept = rows.filter(F.col("declared").isin(languages))
         t = counts(kept).toArrow()
         at = np.array([languages.index(x) for x in t["declared"].to_pylist()], np.int64)
         model[at, t["cell"].to_numpy()] += t["n"].to_numpy()
-    return languages, np.log(model / model.sum(axis=1, keepdims=True)).astype(np.float32)
+    n = model.sum(axis=1, keepdims=True)
+    return languages, np.stack([np.log((1 - UNIFORM) * shares + UNIFORM / CELLS).astype(np.float32) for shares in ((model + 0.5) / (n + 0.5 * CELLS), model / np.maximum(n, 1))])
 
 
 def _score(rows: DataFrame, languages: list[str], model) -> DataFrame:
-    """rows without their text, with text array<double>: tempered log-likelihoods; and fit: the best one per trigram."""
+    """rows without their text, with scores array<double>: tempered log-likelihoods; and fits: each language's fit per trigram."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
@@ -95,19 +99,19 @@ def _score(rows: DataFrame, languages: list[str], model) -> DataFrame:
 
         logs = sent.value
         for b in batches:
-            scores, seen = [], []
+            scores, fits = [], []
             for text, markup in zip(b.column("text"), b.column("markup").to_pylist()):
                 at = np.bincount(cells_of(_text(text, markup)), minlength=CELLS)
                 used = np.flatnonzero(at)
                 n = int(at.sum())
-                mean = logs[:, used] @ at[used] / n if n else np.zeros(len(languages))
-                scores.append((mean * min(n / DEPENDENT, MOST_SEEN)).tolist())
-                seen.append(float(mean.max()) if n else None)
+                mean = logs[:, :, used] @ at[used] / n if n else np.zeros((2, len(languages)))
+                scores.append((mean[0] * min(n / DEPENDENT, MOST_SEEN)).tolist())
+                fits.append(mean[1].tolist() if n else None)
             names = [c for c in b.schema.names if c not in ("text", "markup")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(scores, pa.list_(pa.float64())), pa.array(seen, pa.float64())], [*names, "scores", "fit"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(scores, pa.list_(pa.float64())), pa.array(fits, pa.list_(pa.float64()))], [*names, "scores", "fits"])
 
     kept = [c for c in rows.columns if c not in ("text", "markup")]
-    schema = ", ".join([*(f"`{c}` {dict(rows.dtypes)[c]}" for c in kept), "scores array<double>", "fit double"])
+    schema = ", ".join([*(f"`{c}` {dict(rows.dtypes)[c]}" for c in kept), "scores array<double>", "fits array<double>"])
     return rows.mapInArrow(run, schema)
 
 
@@ -142,7 +146,7 @@ def identify(rows: DataFrame) -> DataFrame:
     languages, model = fit(rows)
     if not languages:
         return rows.select(*keys, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("kept"))
-    scored = _score(rows, languages, model).withColumn("guess", F.when(F.col("fit").isNotNull(), F.array_position("scores", F.array_max("scores")) - 1))
+    scored = _score(rows, languages, model).withColumn("guess", F.when(F.col("fits").isNotNull(), F.array_position("scores", F.array_max("scores")) - 1))
     scored = saved(scored)
     guesses = scored.agg(F.count("guess"), *(F.count_if(F.col("guess") == k) for k in range(len(languages)))).first()
     overall = [(n + 1) / (guesses[0] + len(languages)) for n in guesses[1:]]
@@ -158,8 +162,8 @@ def identify(rows: DataFrame) -> DataFrame:
     out = out.withColumn("total", total).withColumn("top", F.array_max("total"))
     out = out.withColumn("posterior", 1 / F.aggregate(F.transform("total", lambda t: F.exp(t - F.col("top"))), F.lit(0.0), lambda a, x: a + x))
     names = F.array(*map(F.lit, languages))
-    found = F.col("fit").isNotNull()
-    return out.select(*keys, F.when(found, F.get(names, (F.array_position("total", F.col("top")) - 1).cast("int"))).alias("language"), F.when(found, F.col("posterior")).otherwise(0.0).alias("posterior"), (found & (F.col("posterior") >= SURE) & (F.col("fit") >= FIT)).alias("kept"))
+    found, chosen = F.col("fits").isNotNull(), (F.array_position("total", F.col("top")) - 1).cast("int")
+    return out.select(*keys, F.when(found, F.get(names, chosen)).alias("language"), F.when(found, F.col("posterior")).otherwise(0.0).alias("posterior"), (found & (F.col("posterior") >= SURE) & (F.get("fits", chosen) >= FIT)).alias("kept"))
 
 
 def _evidence(scored: DataFrame, column: str, languages: list[str]) -> DataFrame:

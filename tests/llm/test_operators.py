@@ -155,6 +155,19 @@ def test_language_on_held_out_texts(spark):
     assert {3000, 3001}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_a_tiny_language_does_not_let_junk_pass(spark):
+    r = np.random.default_rng(0)
+    junk = [" ".join("".join(map(chr, r.integers(0x430, 0x450, 6))) for _ in range(40)) for _ in range(20)] + [" ".join("".join(r.choice(list("qxzjkvwpg"), 6)) for _ in range(40)) for _ in range(20)]
+    base = [(i, speech(i)[1], speech(i)[0], f"h{i % 4}") for i in range(300)]
+    tiny = [(500 + i, "saluton mondo kiel vi fartas hodiau mi fartas bone", "eo", "h1") for i in range(5)]
+    rows = [*base, *tiny, (900, "kiel fartas mondo hodiau", None, "h1"), *((1000 + i, x, None, f"h{i % 4}") for i, x in enumerate(junk))]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in language.identify(language.documents_evidence(t)).collect()}
+    assert not any(got[1000 + i].kept for i in range(40))
+    assert got[900].kept and got[900].language == "eo"
+    assert all(got[i].kept and got[i].language == speech(i)[0] for i in range(300))
+
+
 def test_language_evidence_tips_the_scale(spark):
     base = [(i, speech(i)[1], speech(i)[0], f"host-{speech(i)[0]}") for i in range(150)]
     t = spark.createDataFrame([*base, (900, "so la", None, "host-fr"), (901, "so la", None, "host-de")], "doc_id long, text string, lang string, source string")
