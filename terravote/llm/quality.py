@@ -16,7 +16,8 @@ from .common import WORD, join_small, saved, table
 SPAN = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: Share of a group that the estimates rest on, concentration steps, and rows from which a group has estimates of its own.
-CORE, STEPS, LEAST_ROWS = 0.75, 5, 50
+#: The share is a half, so that outliers stay out of the core until they are nearly half of a group, copies or not.
+CORE, STEPS, LEAST_ROWS = 0.5, 5, 50
 #: Least standard deviation of each component: less is no evidence of anything (most documents have no repeats at all).
 FLOORS = {"word_length": 0.08, "symbols": 0.06, "same_lines": 0.15, "repeats": 0.2, "capitals": 0.1}
 #: Quantiles of the chi-squared distribution with five degrees of freedom: 0.5 and 0.9999.

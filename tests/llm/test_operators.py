@@ -124,6 +124,17 @@ def test_mcd_finds_the_clean_core(spark):
     assert np.mean([d[i] <= quality.CHI2_CUT for i in range(100, 600)]) > 0.97
 
 
+def test_quality_rejects_a_third_of_copies(spark):
+    from tests.llm.conftest import prose
+
+    odd = " ".join(w + "###" for w in prose(1, 100).split())
+    rows = [(i, prose(i, 100), "en", "s") for i in range(200)] + [(1000 + i, odd, "en", "s") for i in range(100)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert not any(got[1000 + i].kept for i in range(100))
+    assert sum(got[i].kept for i in range(200)) >= 197
+
+
 def test_quality_of_nothing(empty):
     none_of(quality.quality(empty), ["doc_id", "kept"])
 
