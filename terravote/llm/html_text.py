@@ -19,6 +19,8 @@ VOID = set("br hr img input meta link area base col embed source track wbr".spli
 NOISE = set("ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert modal popup overlay paywall nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets related recommended share sharing social newsletter subscribe subscription signup login comment comments reply replies respond discussion disqus footer masthead topbar toolbar pagination pager search complementary contentinfo skip toc tags".split())
 LAYOUT = set("content main article layout wrapper container page".split())
 TEXT_WORDS = set("content article post entry story body text main".split())
+# Names of a container that holds one whole article, unless one of the others says that it holds the page's layout.
+UNIT, AROUND = set("article post entry story".split()), set("layout wrapper container page".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -32,10 +34,12 @@ PATHS, SHARE = 8, 0.5
 
 
 class Page:
-    """One walk over a page: containers (path, parent, boilerplate or not, bonus) and text blocks in page order."""
+    """One walk over a page: containers (path, parent, boilerplate or not, bonus, the highest article and the highest main
+    around it or itself) and text blocks in page order."""
 
     def __init__(self, source: str):
         self.paths, self.parent, self.noise, self.bonus = ["", ], [-1], [False], [1.0]
+        self.article, self.main = [0], [0]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters inside links
         stack, text, linked, in_link, hush = [(0, "")], [], 0, False, False
         at = 0
@@ -74,21 +78,25 @@ class Page:
                         stack.pop()
                     stack.pop()
             else:
-                noisy, name, bonus = self._noisy(tag, m["attrs"])
+                noisy, name, bonus, unit = self._noisy(tag, m["attrs"])
                 up = stack[-1][0]
                 head = tag == "header" and not any(t in ("article", "main") for _, t in stack)
                 self.paths.append(f"{self.paths[up]}/{name}")
                 self.parent.append(up)
                 self.noise.append(self.noise[up] or noisy or head or tag in NEVER)
                 self.bonus.append(bonus)
+                here = len(self.paths) - 1
+                self.article.append(self.article[up] or (here if unit else 0))
+                self.main.append(self.main[up] or (here if tag == "main" else 0))
                 stack.append((len(self.paths) - 1, tag))
         if at < len(source):
             text.append(html.unescape(source[at:]))
         close()
 
     @staticmethod
-    def _noisy(tag: str, attrs: str) -> tuple[bool, str, float]:
-        """Whether the attributes mark boilerplate; the tag with its classes, figures generalised; the score's factor."""
+    def _noisy(tag: str, attrs: str) -> tuple[bool, str, float, bool]:
+        """Whether the attributes mark boilerplate; the tag with its classes, figures generalised; the score's factor;
+        whether it holds an article as a whole."""
         classes, words = [], set()
         for m in ATTR.finditer(attrs or ""):
             value = (m[2] or m[3] or m[4] or "").lower()
@@ -97,7 +105,8 @@ class Page:
                 classes = sorted(re.sub(r"\d+", "#", c) for c in value.split())
         noisy = tag not in ("html", "body", "main") and bool(words & NOISE) and not words & LAYOUT
         bonus = 2.0 if tag in ("article", "main") or words & TEXT_WORDS else 1.0
-        return noisy, ".".join([tag, *classes]), bonus
+        unit = tag == "article" or (tag not in ("html", "body", "main") and bool(words & UNIT) and not words & AROUND)
+        return noisy, ".".join([tag, *classes]), bonus, unit
 
     def scores(self) -> dict[str, float]:
         """Each path's score: unlinked text directly in it, and half of what its inner containers score."""
@@ -114,11 +123,18 @@ class Page:
         return out
 
     def text(self, path: str) -> str:
-        """The blocks of all containers of a path, boilerplate inside them left out."""
-        inside = [False] * len(self.paths)
-        for c in range(1, len(inside)):
-            inside[c] = inside[self.parent[c]] or self.paths[c] == path
-        return " ".join(t for c, t, _ in self.blocks if inside[c] and not self.noise[c])
+        """The blocks of all containers of a path and of the articles around them, boilerplate inside them left out; of the
+        rest of <main>, the blocks that are not mostly links."""
+        whole, wide = [False] * len(self.paths), [False] * len(self.paths)
+        for c in range(1, len(whole)):
+            if self.paths[c] == path:
+                whole[c] = True
+                if not self.noise[c]:
+                    whole[self.article[c]] = wide[self.main[c]] = True
+        whole[0] = wide[0] = False
+        for c in range(1, len(whole)):
+            whole[c], wide[c] = whole[c] or whole[self.parent[c]], wide[c] or wide[self.parent[c]]
+        return " ".join(t for c, t, linked in self.blocks if not self.noise[c] and (whole[c] or (wide[c] and len(t) > 2 * linked)))
 
 
 def main_text(source: str | None, voted: list[str] | None) -> str:
@@ -166,7 +182,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Every page's containers are scored and vote for their generalised tag-class paths (figures in class names become #);
     the votes are summed per host and path; each page is then read again by its host's paths, the most voted first, and
-    by its own best container if it has none of them.  Navigation, page headers, footers, asides, forms, scripts, styles
+    by its own best container if it has none of them.  From there the text is taken of the whole article (or, without
+    links, <main>) around, so headings and parts in containers of other names are not lost.  Navigation, page headers, footers, asides, forms, scripts, styles
     and what class, id or role name as adverts, notices, menus or comments is left out at any depth.
 
     Null or empty html: empty text.  Null or odd url: hosts null and empty vote as hosts of their own.  Repeated rows: a

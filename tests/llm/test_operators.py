@@ -460,6 +460,21 @@ def test_hosts_vote_for_their_path(spark):
     assert got[0].startswith("body text") and "other" not in got[0]
 
 
+LAYOUTS = [
+    ('<article><header><h1>Head {n}</h1></header><div class="entry-content"><p>{b}</p></div></article>', "Head {n} {b}"),
+    ('<main><h1>Head {n}</h1><div class="lead"><p>Lead of the text {n}</p></div><div class="body"><p>{b}</p></div><ul><li><a href="/">Other page</a></li></ul></main>', "Head {n} Lead of the text {n} {b}"),
+    ('<div class="post"><h2><a href="/">Head {n}</a></h2><div class="entry"><p>{b}</p></div><div class="share">Share</div></div><div class="x">Other words</div>', "Head {n} {b}"),
+    ('<div class="wrapper story"><p>Not this</p><div class="text"><p>{b}</p></div></div>', "{b}"),
+]
+
+
+@pytest.mark.parametrize("layout, want", LAYOUTS)
+def test_articles_of_several_containers_are_whole(spark, layout, want):
+    fill = lambda x, i: x.replace("{n}", str(i)).replace("{b}", f"body text {i} " * 20 + "end")
+    t = spark.createDataFrame([(i, "http://a.example.com/", f"<body><nav>Menu</nav>{fill(layout, i)}<footer>foot</footer></body>") for i in range(4)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(t).collect()} == {i: fill(want, i) for i in range(4)}
+
+
 # 9. mixing
 
 
