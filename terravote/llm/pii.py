@@ -2,8 +2,8 @@
 
 Generators with high recall propose spans, which may overlap.  Each candidate's format and context features are small
 integers and make up one code, so a table of codes with their counts, of bounded size, stands for all candidates of all
-documents.  Boosted trees are fitted to that table, weighted by the counts, with labels from strict validators; a
-threshold calibrated on it selects the codes to redact.  Applying the model is a look-up of a candidate's code.
+documents.  Boosted trees are fitted to that table, weighted by the counts: candidates that strict validators confirm
+against all others.  A threshold calibrated on documents that were not fitted selects the codes to redact.  Applying the model is a look-up of a candidate's code.
 """
 
 from __future__ import annotations
@@ -43,9 +43,11 @@ FEATURES = {
     "number": {"digits": 6, "luhn": 2, "plus": 2, "paren": 2, "marks": 4, "dots": 2, "word": 2, "wordy_end": 2},
     "secret": {"size": 4, "hex": 2, "digits": 3, "mixed": 2, "quote": 2, "word": 2, "assigned": 2},
 }
-#: Boosting: trees, depth, seed.  A code is redacted if, in the order of scores, labelled candidates down to it are
-#: right this often.
+#: Boosting: trees, depth, seed.  A code is redacted if its own candidates are confirmed this often, or if, in the order of
+#: scores, all candidates of the documents held out are down to it.
 TREES, DEPTH, SEED, PRECISION = 10, 3, 7, 0.95
+#: One document in so many is held out.
+HELD = 3
 
 SPAN = "struct<start:bigint,end:bigint>"
 
@@ -164,7 +166,8 @@ def found_in(docs: DataFrame) -> DataFrame:
             elif kind == "mail":
                 label = F.when(_overlaps(x, F.col("base.email")) | x["value"].rlike(SPELT), 1).when((f["dot"] == 0) | (f["local"] == 0), 0)
             else:
-                label = F.when(_overlaps(x, F.col("number_base")), 1).when(f["digits"].isin(0, 5) | ((f["digits"] == 4) & (f["luhn"] == 0)), 0)
+                named = (f["word"] == 1) & f["digits"].isin(2, 3)
+                label = F.when(_overlaps(x, F.col("number_base")) | named, 1).when(f["digits"].isin(0, 5) | ((f["digits"] == 4) & (f["luhn"] == 0)), 0)
             return F.struct(F.lit(kind).alias("kind"), x["at"].alias("start"), _end(x).alias("end"), _code(kind, f).alias("code"), label.alias("label"))
 
         parts.append(F.transform(found, one))
@@ -181,25 +184,36 @@ def _decode(code: Column, kind: str) -> dict[str, Column]:
 
 def fit(found: DataFrame) -> list[tuple[str, int]]:
     """(kind, code) pairs to redact, from all candidates of ``found``: at most some hundreds."""
-    each = found.select(F.explode("candidates").alias("c")).select("c.kind", "c.code", "c.label")
-    codes = saved(each.groupBy("kind", "code").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("right"), F.count_if(F.col("label") == 0).alias("wrong")))
+    each = found.select((F.pmod(F.xxhash64("candidates"), F.lit(HELD)) == 0).alias("held"), F.explode("candidates").alias("c")).select("held", "c.kind", "c.code", (F.coalesce("c.label", F.lit(0)) == 1).alias("right"))
+    n = lambda test: F.count_if(test)
+    held, right = F.col("held"), F.col("right")
+    codes = saved(each.groupBy("kind", "code").agg(n(~held & right).alias("right"), n(~held & ~right).alias("other"), n(held & right).alias("held_right"), n(held & ~right).alias("held_other")))
+    both = codes.groupBy("kind").agg(((F.sum("right") > 0) & (F.sum("held_right") > 0)).alias("both"))
+    both = {r["kind"]: r["both"] for r in both.collect()}
     chosen: list[tuple[str, int]] = []
     for kind, features in FEATURES.items():
         own = codes.filter(F.col("kind") == kind).select("*", *(c.cast("double").alias(f"f_{name}") for name, c in _decode(F.col("code"), kind).items()))
         own = VectorAssembler(inputCols=[f"f_{name}" for name in features], outputCol="features").transform(own)
-        labelled = own.select("features", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("right").cast("double").alias("weight")), F.struct(F.lit(0.0).alias("label"), F.col("wrong").cast("double").alias("weight")))).alias("x")).select("features", "x.label", "x.weight").filter("weight > 0").coalesce(1)
+        if not both.get(kind):  # too few to hold any out: all rows are fitted and counted
+            every = {c: F.col(c) + F.col(f"held_{c}") for c in ("right", "other")}
+            own = own.withColumns({**every, **{f"held_{c}": x for c, x in every.items()}})
+            alone = F.col("right") / (F.col("right") + F.col("other"))
+        else:
+            alone = (F.col("right") + F.col("held_right")) / (F.col("right") + F.col("held_right") + F.col("other") + F.col("held_other"))
+        labelled = own.select("features", F.explode(F.array(*(F.struct(F.lit(y).alias("label"), F.col(c).cast("double").alias("weight")) for y, c in ((1.0, "right"), (0.0, "other"))))).alias("x")).select("features", "x.label", "x.weight").filter("weight > 0").coalesce(1)
         sums = {r["label"]: r["w"] for r in labelled.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
         if not sums.get(1.0):
             continue
         if sums.get(0.0):
             trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, weightCol="weight", checkpointInterval=-1).fit(labelled)
             scored = trees.transform(own).withColumn("p", vector_to_array("probability")[1])
-        else:  # nothing speaks against any candidate: only codes that a validator has confirmed count as likely
+        else:  # all that was fitted is confirmed: no other code counts as likely
             scored = own.withColumn("p", F.when(F.col("right") > 0, 1.0).otherwise(0.0))
         upto = Window.orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        right, wrong = F.sum("right").over(upto), F.sum("wrong").over(upto)
-        scored = scored.withColumn("precision", right / (right + wrong))
-        chosen += [(kind, r["code"]) for r in scored.filter((F.col("p") >= 0.5) & (F.col("precision") >= PRECISION)).select("code").collect()]
+        right, other = F.sum("held_right").over(upto), F.sum("held_other").over(upto)
+        scored = scored.withColumn("precision", F.try_divide(right, right + other))
+        likely = (F.col("p") >= 0.5) & (F.coalesce("precision", F.lit(0.0)) >= PRECISION)
+        chosen += [(kind, r["code"]) for r in scored.filter(likely | (alone >= PRECISION)).select("code").collect()]
     return sorted(chosen)
 
 

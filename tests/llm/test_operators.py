@@ -345,6 +345,19 @@ def test_obfuscated_addresses_are_found(spark):
     assert pii.redacted(alone).first().text == "write [mail] now"
 
 
+def test_long_codes_without_context_stay(spark):
+    code = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    clean = [f"see /news/2024/05/{10 + i % 20}/a-long-title-{i} and commit {code(i)} in it" for i in range(60)]
+    clean += [f"order 2024-05-{10 + i % 20}-0000{i}-final-report was sent" for i in range(60)]
+    held = [f'x{i} token = "{code(1000 + i)}" and wwwwwwwwwwwwwwwwwwwwwwwww' for i in range(30)]
+    named = [f"x{i} phone: 212-555-{1000 + i} please" for i in range(30)]
+    t = spark.createDataFrame(list(enumerate(clean + held + named)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redacted(t).collect()}
+    assert [got[i] for i in range(120)] == clean
+    assert all(got[120 + i] == f'x{i} token = "[secret]" and wwwwwwwwwwwwwwwwwwwwwwwww' for i in range(30))
+    assert all(got[150 + i] == f"x{i} phone: [number] please" for i in range(30))
+
+
 def test_redaction_replaces_spans_and_keeps_columns(spark, docs, empty):
     t = spark.createDataFrame([(i, f"mail jo{i}@x{i}.org now, or +1 (212) 555-{1000 + i}.", 7, "mine") for i in range(20)] + [(90, None, None, "b"), (91, "clean words only", 16, "c")], "doc_id long, text string, n_chars long, base string")
     got = {r.doc_id: r for r in pii.redacted(t).collect()}
