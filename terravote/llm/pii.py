@@ -3,7 +3,12 @@
 Generators with high recall propose spans, which may overlap.  Each candidate's format and context features are small
 integers and make up one code, so a table of codes with their counts, of bounded size, stands for all candidates of all
 documents.  Boosted trees are fitted to that table, weighted by the counts: candidates that strict validators confirm
-against all others.  A threshold calibrated on documents that were not fitted selects the codes to redact.  Applying the model is a look-up of a candidate's code.
+against all others.  A threshold calibrated on documents that were not fitted selects the codes to redact.  Applying the
+model is a look-up of a candidate's code.
+
+There are no labelled spans, so validators label: base spans, addresses spelt out, and a naming word before a number or
+secret.  What they look at is no feature, so the trees learn how confirmed candidates are written and set; they select
+those like them that no validator confirms.  Confirmed candidates are redacted in any case.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .arrays import matches, overlapped, replaced
 from .common import saved, table
 
 KINDS = ["email", "ip", "card", "phone", "mail", "number", "secret"]
@@ -28,20 +34,26 @@ CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
-# The generators' patterns.
-MAIL = r"(?:\G|(?<![^\s]))(?:[^\s@(\[]|(?!\(at\)|\[at\])[(\[]){1,64}+(?:@|\(at\)|\[at\])[^\s@]{1,255}+"
-NUMBER = r"\+?+[0-9](?:[\x20().-]{0,2}+[0-9]){6,40}+"
-SECRET = r"(?:\G|(?<![A-Za-z0-9_+/=-]))[A-Za-z0-9_+/=-]{20,512}+"
+# The generators' patterns.  Runs are taken whole, whatever their length; how long they are is a feature.
+AT = r"(?:@|\(at\)|\[at\])"
+MAIL = rf"(?:\G|(?<![^\s]))(?:[^\s@(\[]|(?!\(at\)|\[at\])[(\[])++{AT}[^\s@]++"
+NUMBER = r"[+(]?+[0-9](?:[\x20().-]{0,2}+[0-9]){6,}+"
+SECRET = r"(?:\G|(?<![A-Za-z0-9_+/-]))[A-Za-z0-9_+/-]{20,}+={0,2}+"
 #: What confirms an address whose @ is written (at) or [at].
-SPELT = r"^[^A-Za-z0-9]*[A-Za-z0-9._%+-]+(?:\(at\)|\[at\])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,10}[^A-Za-z0-9]*$"
-#: Characters before a candidate that its context features look at.
+SPELT = r"^[^A-Za-z0-9._%+-]*+[A-Za-z0-9._%+-]++(?:\(at\)|\[at\])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++[^A-Za-z0-9]*+$"
+#: Words that name a number or a secret, and how a secret is given to its name.
+NUMBER_NAME = r"(?:phone|tel|mobile|call|fax|card|visa|account|iban|ip|address|ssn)\b[^a-z]*$"
+SECRET_NAME = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|key|auth|bearer|credential)"
+GIVEN = r"[=:]\s*[\"'`]?$"
+#: Characters before a candidate that the naming words are looked for in.
 CONTEXT = 24
 
-#: Features and their numbers of values; a code is their mixed-radix number, and a kind has at most 1,536 codes.
+#: Features and their numbers of values; a code is their mixed-radix number, and a kind has at most 1,152 codes.  None
+#: of them is the outcome of what labels the kind: not the base patterns' checks, and not the naming words.
 FEATURES = {
-    "mail": {"plain_at": 2, "dot": 2, "suffix": 2, "local": 2, "size": 3},
-    "number": {"digits": 6, "luhn": 2, "plus": 2, "paren": 2, "marks": 4, "dots": 2, "word": 2, "wordy_end": 2},
-    "secret": {"size": 4, "hex": 2, "digits": 3, "mixed": 2, "quote": 2, "word": 2, "assigned": 2},
+    "mail": {"at": 3, "dots": 3, "tail": 2, "local": 2, "size": 3, "lead": 2},
+    "number": {"digits": 6, "paren": 2, "marks": 3, "dotted": 2, "before": 4, "after": 4},
+    "secret": {"size": 4, "hex": 2, "digits": 3, "mixed": 2, "before": 4, "after": 4},
 }
 #: Boosting: trees, depth, seed.  A code is redacted if its own candidates are confirmed this often, or if, in the order of
 #: scores, all candidates of the documents held out are down to it.
@@ -49,21 +61,6 @@ TREES, DEPTH, SEED, PRECISION = 10, 3, 7, 0.95
 #: One document in so many is held out.
 HELD = 3
 
-SPAN = "struct<start:bigint,end:bigint>"
-
-
-def _found(text: Column, pattern: str, may: Column) -> Column:
-    """array<struct<at, value>> of a pattern's leftmost matches; texts without ``may`` are not searched."""
-    values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    lengths = F.zip_with(F.slice(between, F.lit(1), F.size(values)), values, lambda b, v: F.struct(F.char_length(b).cast("bigint").alias("skip"), v.alias("value")))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<at:bigint,value:string>>").alias("out"))
-    run = F.aggregate(
-        lengths,
-        start,
-        lambda a, x: F.struct((a["at"] + x["skip"] + F.char_length(x["value"])).alias("at"), F.array_append(a["out"], F.struct((a["at"] + x["skip"]).alias("at"), x["value"].alias("value"))).alias("out")),
-    )
-    return F.when(may, run["out"]).otherwise(F.array().cast("array<struct<at:bigint,value:string>>"))
-
 
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
@@ -79,12 +76,8 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _end(x: Column) -> Column:
-    return x["at"] + F.char_length(x["value"])
-
-
 def _spans(found: Column) -> Column:
-    return F.transform(found, lambda x: F.struct(x["at"].alias("start"), _end(x).alias("end")))
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
 
 def _flag(test: Column) -> Column:
@@ -95,29 +88,33 @@ def _bin(value: Column, edges: list[int]) -> Column:
     return reduce(lambda c, e: c + (value >= e).cast("int"), edges, F.lit(0))
 
 
-def _feature(kind: str, x: Column, text: Column) -> dict[str, Column]:
+def _edge(c: Column, joined: str) -> Column:
+    """Class of the character next to a candidate: none or space 0, quote 1, one of ``joined`` 2, any other 3."""
+    return F.when((c == "") | c.rlike(r"^\s$"), 0).when(c.rlike("^[\"'`]$"), 1).when(c.rlike(f"^[{joined}]$"), 2).otherwise(3)
+
+
+def _feature(kind: str, x: Column) -> dict[str, Column]:
     v = x["value"]
-    first = F.greatest(x["at"] - CONTEXT, F.lit(0))
-    before = F.lower(F.substring(text, (first + 1).cast("int"), (x["at"] - first).cast("int")))
+    before, after = F.right(x["before"], F.lit(1)), F.left(x["after"], F.lit(1))
     if kind == "mail":
+        parts = F.split(v, AT, 2)
+        local, host = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
         return {
-            "plain_at": _flag(F.contains(v, F.lit("@"))),
-            "dot": _flag(v.rlike(r"(?:@|\(at\)|\[at\]).+[.][A-Za-z0-9]")),
-            "suffix": _flag(v.rlike(r"[.][A-Za-z]{2,10}[^A-Za-z0-9]*$")),
-            "local": _flag(v.rlike(r"^[^A-Za-z0-9]*[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9]")),
+            "at": F.when(F.contains(v, F.lit("@")), 0).when(F.contains(v, F.lit("(at)")), 1).otherwise(2),
+            "dots": _bin(F.char_length(F.regexp_replace(host, "[^.]", "")), [1, 2]),
+            "tail": _flag(host.rlike(r"[.][A-Za-z]{2,}+[^A-Za-z0-9]*+$")),
+            "local": _flag(local.rlike("[A-Za-z0-9_%+-]$") & host.rlike("^[A-Za-z0-9]")),
             "size": _bin(F.char_length(v), [8, 60]),
+            "lead": _flag(v.rlike("^[^A-Za-z0-9]")),
         }
     if kind == "number":
-        marks = F.char_length(F.regexp_replace(v, "[0-9+]", ""))
         return {
             "digits": _bin(F.char_length(_digits(v)), [8, 10, 13, 16, 20]),
-            "luhn": _flag(F.call_function("luhn_check", _digits(v))),
-            "plus": _flag(F.startswith(v, F.lit("+"))),
-            "paren": _flag(F.contains(v, F.lit("("))),
-            "marks": _bin(marks, [1, 3, 5]),
-            "dots": _flag(v.rlike(r"^[0-9]{1,3}(?:[.][0-9]{1,3}){3}$")),
-            "word": _flag(before.rlike(r"(?:phone|tel|mobile|call|fax|card|visa|account|iban|ip|address|ssn)\b[^a-z]*$")),
-            "wordy_end": _flag(before.rlike(r"[\p{L}\p{N}_]$")),
+            "paren": _flag(F.contains(v, F.lit(")"))),
+            "marks": _bin(F.char_length(F.regexp_replace(v, "[0-9+(]", "")), [1, 2]),
+            "dotted": _flag(v.rlike(r"^[0-9]{1,3}(?:[.][0-9]{1,3}){3}$")),
+            "before": _edge(before, r"\p{L}\p{N}_"),
+            "after": _edge(after, r"\p{L}\p{N}_"),
         }
     letters = F.regexp_replace(v, "[^A-Za-z]", "")
     return {
@@ -125,9 +122,8 @@ def _feature(kind: str, x: Column, text: Column) -> dict[str, Column]:
         "hex": _flag(v.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "digits": _bin(F.char_length(_digits(v)) * 10 / F.char_length(v), [1, 3]),
         "mixed": _flag((letters != F.lower(letters)) & (letters != F.upper(letters))),
-        "quote": _flag(before.rlike(r"[\"'`]$")),
-        "word": _flag(before.rlike(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|key|auth|bearer|credential)")),
-        "assigned": _flag(before.rlike(r"(?:=|:)\s*[\"'`]?$")),
+        "before": _edge(before, "=:"),
+        "after": _edge(after, ",;)"),
     }
 
 
@@ -138,40 +134,33 @@ def _code(kind: str, features: dict[str, Column]) -> Column:
     return out.cast("int")
 
 
-def _overlaps(x: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < _end(x)) & (s["end"] > x["at"]))
+def _named(kind: str, x: Column) -> Column:
+    """What besides the base spans confirms a candidate: an address spelt out, or a naming word before a number or secret."""
+    if kind == "mail":
+        return x["value"].rlike(SPELT)
+    before = F.lower(F.right(x["before"], F.lit(CONTEXT)))
+    if kind == "number":
+        return before.rlike(NUMBER_NAME) & F.char_length(_digits(x["value"])).between(10, 15)
+    return before.rlike(SECRET_NAME) & before.rlike(GIVEN)
 
 
 def found_in(docs: DataFrame) -> DataFrame:
-    """docs with base (struct of a span array per base kind) and candidates (array of kind, start, end, code, label).
+    """docs (with a column text) with base (struct of a span array per base kind), candidates (array of kind, start, end,
+    code, label, free) and held, whether the document is held out from fitting.
 
-    label: 1 if a strict validator agrees, 0 if the format rules the kind out, null if neither is known.
+    free: no base span overlaps the candidate.  label: a validator confirms it, be it a base span or what ``_named`` says.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    has = lambda s: F.contains(text, F.lit(s))
-    digits = text.rlike(r"[0-9][\x20().-]{0,2}[0-9]")
-    searched = {"email": (EMAIL, has("@")), "ip": (IP, digits & has(".")), "card": (CARD, digits), "phone": (PHONE, has("+"))}
-    base = {k: _spans(F.filter(_found(text, p, may), lambda x: _valid(k, x["value"]))) for k, (p, may) in searched.items()}
-    out = docs.withColumn("base", F.struct(*(c.alias(k) for k, c in base.items())))
-    out = out.withColumn("number_base", F.concat("base.ip", "base.card", "base.phone"))
-    drawn = {"mail": _found(text, MAIL, has("@") | has("(at)") | has("[at]")), "number": _found(text, NUMBER, text.rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}")), "secret": _found(text, SECRET, text.rlike(r"[A-Za-z0-9_+/=-]{20}"))}
-    parts = []
-    for kind, found in drawn.items():
-
-        def one(x):
-            f = _feature(kind, x, text)
-            if kind == "secret":
-                sure = (f["word"] == 1) & (f["assigned"] == 1) & (f["digits"] > 0)
-                label = F.when(sure, 1).when(f["digits"] == 0, 0)
-            elif kind == "mail":
-                label = F.when(_overlaps(x, F.col("base.email")) | x["value"].rlike(SPELT), 1).when((f["dot"] == 0) | (f["local"] == 0), 0)
-            else:
-                named = (f["word"] == 1) & f["digits"].isin(2, 3)
-                label = F.when(_overlaps(x, F.col("number_base")) | named, 1).when(f["digits"].isin(0, 5) | ((f["digits"] == 4) & (f["luhn"] == 0)), 0)
-            return F.struct(F.lit(kind).alias("kind"), x["at"].alias("start"), _end(x).alias("end"), _code(kind, f).alias("code"), label.alias("label"))
-
-        parts.append(F.transform(found, one))
-    return out.withColumn("candidates", F.concat(*parts)).drop("number_base")
+    text, digits = "coalesce(text, '')", r"text rlike r'[0-9][\x20().-]{0,2}[0-9]'"
+    base = {"email": (EMAIL, "contains(text, '@')"), "ip": (IP, f"contains(text, '.') and {digits}"), "card": (CARD, digits), "phone": (PHONE, "contains(text, '+')")}
+    drawn = {"mail": (MAIL, "contains(text, '@') or contains(text, '(at)') or contains(text, '[at]')"), "number": (NUMBER, r"text rlike r'[0-9](?:[\x20().-]{0,2}[0-9]){6}'"), "secret": (SECRET, "text rlike r'[A-Za-z0-9_+/-]{20}'")}
+    seen = {k: F.expr(matches(text, pattern, f"text is not null and ({may})", CONTEXT if k in drawn else 0)) for k, (pattern, may) in {**base, **drawn}.items()}
+    own = lambda kind: F.transform(seen[kind], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _code(kind, _feature(kind, x)).alias("code"), _named(kind, x).alias("named")))
+    out = docs.select("*", (F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0).alias("held"), F.struct(*(_spans(F.filter(seen[k], lambda x: _valid(k, x["value"]))).alias(k) for k in base)).alias("base"), *(own(k).alias(f"__{k}") for k in drawn))
+    out = out.withColumn("__all", F.expr("concat(base.email, base.ip, base.card, base.phone)"))
+    out = out.select("*", *(F.expr(overlapped(f"__{k}", "__all")).alias(f"__taken_{k}") for k in drawn))
+    label = {"mail": "x.named or taken", "number": "x.named or taken", "secret": "x.named"}
+    parts = [f"zip_with(__{k}, __taken_{k}, (x, taken) -> struct('{k}' as kind, x.start as start, x.end as end, x.code as code, {label[k]} as label, not taken as free))" for k in drawn]
+    return out.withColumn("candidates", F.expr(f"concat({', '.join(parts)})")).drop("__all", *(f"__{k}" for k in drawn), *(f"__taken_{k}" for k in drawn))
 
 
 def _decode(code: Column, kind: str) -> dict[str, Column]:
@@ -184,7 +173,7 @@ def _decode(code: Column, kind: str) -> dict[str, Column]:
 
 def fit(found: DataFrame) -> list[tuple[str, int]]:
     """(kind, code) pairs to redact, from all candidates of ``found``: at most some hundreds."""
-    each = found.select((F.pmod(F.xxhash64("candidates"), F.lit(HELD)) == 0).alias("held"), F.explode("candidates").alias("c")).select("held", "c.kind", "c.code", (F.coalesce("c.label", F.lit(0)) == 1).alias("right"))
+    each = found.select("held", F.explode("candidates").alias("c")).select("held", "c.kind", "c.code", F.col("c.label").alias("right"))
     n = lambda test: F.count_if(test)
     held, right = F.col("held"), F.col("right")
     codes = saved(each.groupBy("kind", "code").agg(n(~held & right).alias("right"), n(~held & ~right).alias("other"), n(held & right).alias("held_right"), n(held & ~right).alias("held_other")))
@@ -218,16 +207,15 @@ def fit(found: DataFrame) -> list[tuple[str, int]]:
 
 
 def spans_of(found: DataFrame, codes: list[tuple[str, int]]) -> DataFrame:
-    """found with spans, array of (order, start, end): the base spans and the selected candidates that overlap none."""
+    """found with spans, array of (order, start, end): the base spans, and of the candidates that overlap none of these the
+    confirmed and the selected ones."""
     base = F.concat(*(F.transform(F.col(f"base.{k}"), lambda s: F.struct(F.lit(i).alias("order"), s["start"].alias("start"), s["end"].alias("end"))) for i, k in enumerate(KINDS[:4])))
-    every = F.concat("base.email", "base.ip", "base.card", "base.phone")
     picked = F.array().cast("array<struct<order:int,start:bigint,end:bigint>>")
     for kind in FEATURES:
-        own = [c for k, c in codes if k == kind]
-        if own:
-            hit = F.filter("candidates", lambda x: (x["kind"] == kind) & x["code"].isin(own) & ~F.exists(every, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])))
-            picked = F.concat(picked, F.transform(hit, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("order"), x["start"].alias("start"), x["end"].alias("end"))))
-    return found.withColumn("base_spans", F.array_sort(base)).withColumn("spans", F.array_sort(F.concat(base, picked)))
+        own = [c for k, c in codes if k == kind] or [-1]
+        hit = F.filter("candidates", lambda x: (x["kind"] == kind) & (x["label"] | x["code"].isin(own)) & x["free"])
+        picked = F.concat(picked, F.transform(hit, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("order"), x["start"].alias("start"), x["end"].alias("end"))))
+    return found.withColumn("base_spans", F.sort_array(base)).withColumn("spans", F.sort_array(F.concat(base, picked)))
 
 
 def _written(spans: str) -> Column:
@@ -236,7 +224,7 @@ def _written(spans: str) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of docs.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of docs, by one search of the texts.
 
     spans lists the base spans (strict patterns and validators) and those that the boosted trees add, as
     kind:start:end in code points, by kind and then start.  The model is learnt from all candidates of docs.
@@ -251,24 +239,19 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with every span of personal data replaced by its kind in brackets, and n_chars, if there, counted anew."""
-    found = found_in(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text")))
-    codes = fit(saved(found.select("candidates")))
-    labels = F.array(*(F.lit(f"[{k}]") for k in KINDS))
-    by_place = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["order"].alias("order"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    piece = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    run = F.aggregate(
-        by_place,
-        start,
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(piece(a["at"], s["start"]), F.get(labels, s["order"]))).alias("out"))).otherwise(
-            F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
-        ),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.char_length(F.col("text")))),
-    )
-    out = spans_of(found, codes).withColumn("clean", F.when(F.size("spans") > 0, run).otherwise(F.col("text")))
+    """docs with every span of personal data replaced by its kind in brackets, and n_chars, if there, counted anew.
+
+    The texts are searched once: rows are saved with what was found in them, the model is learnt from the candidates
+    there, and the saved rows are rewritten.  Spans that overlap are replaced together, by the kind of the first.
+
+    Null text stays null, empty text empty.  Null doc_id and repeated rows: a row each, treated alike.  Very long texts are
+    rewritten whole.  Empty table: no rows.  All other columns stay as they are, whatever their names.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    found = saved(found_in(rows.withColumn("text", F.col("row.text").cast("string"))).drop("text"))
+    out = spans_of(found, fit(found)).withColumn("clean", F.expr(replaced("string(row.text)", "spans", [f"[{k}]" for k in KINDS])))
     kinds = dict(docs.dtypes)
-    new = {"text": F.col("clean"), "n_chars": F.char_length("clean").cast(kinds.get("n_chars", "long"))}
+    new = {"text": F.col("clean").cast(kinds["text"]), "n_chars": F.char_length("clean").cast(kinds.get("n_chars", "long"))}
     return out.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
