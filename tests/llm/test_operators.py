@@ -236,8 +236,8 @@ def test_near_duplicates_match_brute_force(docs):
     assert got == brute_components([(d, simple_print(t)) for d, t in plain(docs)])
 
 
-@pytest.mark.parametrize("long", [512, 4])
-def test_links_join_everything_within_three_bits(spark, long):
+@pytest.mark.parametrize("long, wide", [(256, 4096), (4, 4096), (2, 3)])
+def test_links_join_everything_within_three_bits(spark, long, wide):
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 2**63, 12, dtype=np.uint64)
     values = set()
@@ -252,30 +252,73 @@ def test_links_join_everything_within_three_bits(spark, long):
     t = spark.createDataFrame([(v,) for v in signed], "fp long")
     from terravote.llm.components import components
 
-    got = {r.node: r.root for r in components(simhash.links(t, long)).collect()}
+    got = {r.node: r.root for r in components(simhash.links(t, long, wide)).collect()}
     want = brute_components([(v, x) for v, x in zip(signed, values)])
     assert Counter((v, f"{x:016x}", got.get(v, v)) for v, x in zip(signed, values)) == want
 
 
-def test_a_long_list_is_joined_by_neighbour_look_ups():
+def test_tallies_count_shared_bytes():
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 3, (400, 8), dtype=np.uint8).view(np.uint64).ravel())
+    octets = fps.view(np.uint8).reshape(-1, 8)
+    key = octets[:, 0].astype(np.int64) * 9 + octets[:, 1] * 3 + octets[:, 2]
+    order = np.argsort(key, kind="stable")
+    fps, key = np.ascontiguousarray(fps[order]), key[order]
+    number = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
+    i, j = simhash._tallied((number, np.zeros(len(fps), np.int64)), fps, simhash.TRIPLES)
+    octets = fps.view(np.uint8).reshape(-1, 8)
+    want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if number[a] == number[b] and (octets[a] == octets[b]).sum() >= 5}
+    assert set(zip(i.tolist(), j.tolist())) == want and want
+
+
+def test_a_long_cell_is_joined_by_neighbour_look_ups():
     rng = np.random.default_rng(5)
-    fps = np.unique(rng.integers(0, 1 << 24, 6000, dtype=np.uint64))
-    a = simhash._join_list(fps, (1 << 24) - 1)
-    b = simhash._join_list(fps, None) if len(fps) <= 4096 else None
+    fps = np.unique(rng.integers(0, 1 << 18, 6000, dtype=np.uint64))
     forest = simhash._Forest(len(fps))
     for i in range(len(fps)):
         hit = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3)
         forest.union(np.full(len(hit), i), hit + i + 1)
-    assert b is None and (a == forest.parent).all()
+    assert (simhash._join_cell(fps, (1 << 18) - 1) == forest.parent).all()
+
+
+def test_long_cells_are_spread_over_tasks(spark):
+    rng = np.random.default_rng(7)
+    values = np.unique(rng.integers(0, 1 << 24, 3000, dtype=np.uint64)).view(np.int64).tolist()
+    t = spark.createDataFrame([(v,) for v in values], "fp long")
+    from terravote.llm.components import components
+
+    got = {r.node: r.root for r in components(simhash.links(t, 16, 64)).collect()}
+    want = brute_components([(v, v) for v in values])
+    assert Counter((v, f"{v:016x}", got.get(v, v)) for v in values) == want
+
+
+def test_rows_that_repeat_a_doc_id_stay_or_go_by_their_texts(spark):
+    from tests.llm.conftest import prose
+
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(3, a, "p"), (5, a, "q"), (5, b, "r"), (7, c, "s"), (7, a, "t"), (3, a, "p"), (3, a, "u"), (None, b, "v"), (None, None, "w"), (None, "", "x"), (9, " ", "y"), (None, prose(4, 60), "z")]
+    want = None
+    for n in (1, 5):
+        t = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string").withColumn("__id", F.lit(1)).withColumn("__key", F.lit(2)).repartition(n)
+        kept = simhash.keep_one_each(t)
+        assert kept.columns == t.columns
+        got = sorted(map(str, kept.collect()))
+        assert want is None or got == want
+        want = got
+    texts = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert texts == Counter({(3, a): 1, (5, b): 1, (7, c): 1, (9, " "): 1, (None, prose(4, 60)): 1})
 
 
 def test_one_document_of_each_group_stays(docs, empty):
     kept = simhash.keep_one_each(docs)
     assert kept.columns == docs.columns
-    got = Counter(r.doc_id for r in kept.collect())
-    want = {r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert {k for k in got if k is not None} == want - {None}
-    assert all(n == 1 for k, n in got.items() if k is not None)
+    rows = docs.collect()
+    groups = brute_components([(k, simple_print(r.text or "")) for k, r in enumerate(rows)])
+    root = {k: c for (k, _, c) in groups}
+    want = Counter()
+    for c in set(root.values()):
+        want[min((rows[k].doc_id is None, rows[k].doc_id or 0) for k in root if root[k] == c)] += 1
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == want
     none_of(simhash.keep_one_each(empty), empty.columns)
     none_of(simhash.near_duplicates(empty), ["doc_id", "component_id"])
 
@@ -687,17 +730,28 @@ def brute_search(rows, k=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("blocks", [(1024, 8192), (3, 40)])
+@pytest.mark.parametrize("blocks", [(1024, 8192), (3, 40), (3, 400)])
 def test_search_is_exact(spark, blocks):
     rng = np.random.default_rng(2)
     rows = [(int(i), rng.normal(0, 1, 8).tolist()) for i in range(300)]
     rows += [(1000 + i, rows[0][1]) for i in range(80)]
     rows += [(500, None), (501, [1.0, None] + [0.0] * 6), (502, [float("nan")] * 8), (503, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (0, rows[0][1])]
     t = spark.createDataFrame([(*r, "clash", 1) for r in rows], "vec_id long, embedding array<float>, query_id string, rank int")
-    got = topk.top_k(t, query_rows=blocks[0], rows=blocks[1]).collect()
+    entries = []
+    got = topk.top_k(t, query_rows=blocks[0], rows=blocks[1], collected=entries).collect()
+    assert sum(e.count() for e in entries) < 0.5 * 2 * 8 * 380  # of the scores of two lists, few are collected
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_search(rows)
 
 
+def test_search_of_large_numbers_and_ties(spark):
+    rows = [(i, [float(1e6 + i % 3), -1e6, float(i % 2), 3.0, 0.25]) for i in range(60)] + [(100 + i, [0.0] * 5) for i in range(20)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = [(q, r + 1, i, -s) for q in whole if q % 50 == 0 for r, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5])]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(t, rows=16, parts=3).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_search_with_few_or_no_rows(spark):
     t = spark.createDataFrame([(0, [1.0, 2.0]), (7, [3.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in topk.top_k(t).collect()] == [(0, 1, 7)]
