@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import join_small, saved, table
 
@@ -22,33 +23,48 @@ TEXT_WORDS = set("content article post entry story body text main".split())
 # Names of a container that holds one whole article, unless one of the others says that it holds the page's layout.
 UNIT, AROUND = set("article post entry story".split()), set("layout wrapper container page".split())
 
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+# Elements that a block closes if they are still open (a paragraph: by any block), and where that search ends.
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}, "thead": {"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}, "tfoot": {"tr", "td", "th", "tbody", "thead", "tfoot", "caption"}}
+CLOSES |= dict.fromkeys(HEADINGS, HEADINGS)
+SCOPE = set("table ul ol dl select".split())
+
+# A quote has a meaning only after the sign that gives an attribute its value; unquoted values end at white space, < or >.
+_ATTRS = r"(?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>\"'][^\s<>]*+)?+)*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|iframe|template)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"|<(?P<raw>script|style|textarea|title|noscript|iframe|template)\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>{_ATTRS})>",
     re.S | re.I,
 )
-ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTR = re.compile(r"(?:^|(?<=[\s/\"']))([^\s=<>/\"']+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))")
 #: Votes of a host that its pages choose from, and the share of a page's best score from which a container gets a vote.
+#: A page that has none of these paths is read by its own best container.
 PATHS, SHARE = 8, 0.5
 
 
 class Page:
-    """One walk over a page: containers (path, parent, boilerplate or not, bonus, the highest article and the highest main
-    around it or itself) and text blocks in page order."""
+    """One walk over a page: containers (number of the path, parent, boilerplate or not, bonus, the highest article and the
+    highest main around it or itself) and text blocks in page order.
+
+    A path is a hash of its parent's and its own name, so a container's memory does not grow with its depth.
+    """
 
     def __init__(self, source: str):
-        self.paths, self.parent, self.noise, self.bonus = ["", ], [-1], [False], [1.0]
+        self.paths, self.parent, self.noise, self.bonus = [0], [-1], [False], [1.0]
         self.article, self.main = [0], [0]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters inside links
-        stack, text, linked, in_link, hush = [(0, "")], [], 0, False, False
-        at = 0
+        # Open blocks: tag, the container it is or stands in, boilerplate or not.  How many of each tag are open spares
+        # the search for one that is not.
+        self.stack, self.open = [("", 0, False)], {}
+        text, linked, in_link, at = [], 0, False, 0
 
         def close():
             nonlocal text, linked
+            _, container, hush = self.stack[-1]
             words = " ".join("".join(text).split())
             if words and not hush:
-                self.blocks.append((stack[-1][0], words, linked))
+                self.blocks.append((container, words, linked))
             text, linked = [], 0
 
         for m in TOKEN.finditer(source):
@@ -67,31 +83,62 @@ class Page:
                 text.append(" ")
                 continue
             close()
-            hush = False
-            if tag in VOID:
+            if m["end"]:
+                if self.open.get(tag):
+                    while self._pop() != tag:
+                        pass
                 continue
-            if tag not in CONTAINERS and tag not in NEVER:
-                hush = not m["end"] and self._noisy(tag, m["attrs"])[0]
-            elif m["end"]:
-                if any(t == tag for _, t in stack):
-                    while stack[-1][1] != tag:
-                        stack.pop()
-                    stack.pop()
-            else:
-                noisy, name, bonus, unit = self._noisy(tag, m["attrs"])
-                up = stack[-1][0]
-                head = tag == "header" and not any(t in ("article", "main") for _, t in stack)
-                self.paths.append(f"{self.paths[up]}/{name}")
-                self.parent.append(up)
-                self.noise.append(self.noise[up] or noisy or head or tag in NEVER)
-                self.bonus.append(bonus)
-                here = len(self.paths) - 1
-                self.article.append(self.article[up] or (here if unit else 0))
-                self.main.append(self.main[up] or (here if tag == "main" else 0))
-                stack.append((len(self.paths) - 1, tag))
+            if self.stack[-1][0] == "p":
+                self._pop()
+            self._imply(CLOSES.get(tag, ()))
+            if tag not in VOID:
+                self._push(tag, m["attrs"])
         if at < len(source):
             text.append(html.unescape(source[at:]))
         close()
+        del self.stack, self.open
+
+    def _pop(self) -> str:
+        tag = self.stack.pop()[0]
+        self.open[tag] -= 1
+        return tag
+
+    def _imply(self, ends) -> None:
+        """Closes what a new block ends without saying so, up to the table or list that holds both."""
+        if not any(self.open.get(t) for t in ends):
+            return
+        for k in range(len(self.stack) - 1, 0, -1):
+            tag = self.stack[k][0]
+            if tag in SCOPE:
+                return
+            if tag in ends and not any(t in ends for t, _, _ in self._below(k)):
+                while len(self.stack) > k:
+                    self._pop()
+                return
+
+    def _below(self, k: int):
+        """The open blocks under the k-th, down to a table or list."""
+        for j in range(k - 1, 0, -1):
+            if self.stack[j][0] in SCOPE:
+                return
+            yield self.stack[j]
+
+    def _push(self, tag: str, attrs: str) -> None:
+        noisy, name, bonus, unit = self._noisy(tag, attrs)
+        _, up, hush = self.stack[-1]
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag not in CONTAINERS and tag not in NEVER:
+            self.stack.append((tag, up, hush or noisy))
+            return
+        head = tag == "header" and not self.open.get("article") and not self.open.get("main")
+        self.paths.append(xxh64_intdigest(name, self.paths[up]))
+        self.parent.append(up)
+        self.noise.append(hush or noisy or head or tag in NEVER)
+        self.bonus.append(bonus)
+        here = len(self.paths) - 1
+        self.article.append(self.article[up] or (here if unit else 0))
+        self.main.append(self.main[up] or (here if tag == "main" else 0))
+        self.stack.append((tag, here, self.noise[here]))
 
     @staticmethod
     def _noisy(tag: str, attrs: str) -> tuple[bool, str, float, bool]:
@@ -99,16 +146,18 @@ class Page:
         whether it holds an article as a whole."""
         classes, words = [], set()
         for m in ATTR.finditer(attrs or ""):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            words.update(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()) if w)
-            if m[1].lower() == "class":
-                classes = sorted(re.sub(r"\d+", "#", c) for c in value.split())
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name not in ("class", "id", "role"):
+                continue
+            words.update(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w)
+            if name == "class":
+                classes = sorted(re.sub(r"\d+", "#", c) for c in value.lower().split())
         noisy = tag not in ("html", "body", "main") and bool(words & NOISE) and not words & LAYOUT
         bonus = 2.0 if tag in ("article", "main") or words & TEXT_WORDS else 1.0
         unit = tag == "article" or (tag not in ("html", "body", "main") and bool(words & UNIT) and not words & AROUND)
         return noisy, ".".join([tag, *classes]), bonus, unit
 
-    def scores(self) -> dict[str, float]:
+    def scores(self) -> dict[int, float]:
         """Each path's score: unlinked text directly in it, and half of what its inner containers score."""
         score = [0.0] * len(self.paths)
         for c, text, linked in self.blocks:
@@ -116,13 +165,13 @@ class Page:
                 score[c] += max(0, len(text) - 2 * linked)
         for c in range(len(score) - 1, 0, -1):
             score[self.parent[c]] += 0.5 * score[c]
-        out: dict[str, float] = {}
+        out: dict[int, float] = {}
         for c in range(1, len(score)):
             if not self.noise[c] and score[c] > 0:
                 out[self.paths[c]] = out.get(self.paths[c], 0) + score[c] * self.bonus[c]
         return out
 
-    def text(self, path: str) -> str:
+    def text(self, path: int) -> str:
         """The blocks of all containers of a path and of the articles around them, boilerplate inside them left out; of the
         rest of <main>, the blocks that are not mostly links."""
         whole, wide = [False] * len(self.paths), [False] * len(self.paths)
@@ -137,13 +186,14 @@ class Page:
         return " ".join(t for c, t, linked in self.blocks if not self.noise[c] and (whole[c] or (wide[c] and len(t) > 2 * linked)))
 
 
-def main_text(source: str | None, voted: list[str] | None) -> str:
+def main_text(source: str | None, voted: list[int] | None) -> str:
     """Text of the voted path that the page has and that holds text, in the order of the votes; else of its own best."""
     if not source:
         return ""
     page = Page(source)
     scores = page.scores()
     for path in voted or []:
+        path %= 1 << 64
         if path in scores and (found := page.text(path)):
             return found
     return page.text(max(scores, key=lambda p: (scores[p], p))) if scores else " ".join(t for c, t, _ in page.blocks if not page.noise[c])
@@ -154,7 +204,7 @@ def _host():
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, paths): up to 8 paths of each host, by the sum of the shares that its pages give them."""
+    """(host, paths): the numbers of up to 8 paths of each host, by the sum of the shares that its pages give them."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -167,11 +217,11 @@ def votes(pages: DataFrame) -> DataFrame:
                 for path, s in found.items():
                     if s >= SHARE * best:
                         hosts.append(host)
-                        paths.append(path)
+                        paths.append(path - (path >> 63 << 64))
                         shares.append(round(1000 * s / best))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(shares, pa.int64())], ["host", "path", "share"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(shares, pa.int64())], ["host", "path", "share"])
 
-    each = pages.select("host", "html").mapInArrow(run, "host string, path string, share long")
+    each = pages.select("host", "html").mapInArrow(run, "host string, path long, share long")
     ranked = each.groupBy("host", "path").agg(F.sum("share").alias("votes"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).filter(F.col("rank") <= PATHS)
     return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
@@ -187,7 +237,8 @@ def extract(pages: DataFrame) -> DataFrame:
     and what class, id or role name as adverts, notices, menus or comments is left out at any depth.
 
     Null or empty html: empty text.  Null or odd url: hosts null and empty vote as hosts of their own.  Repeated rows: a
-    row each.  Very long pages are read whole; cut-off markup is read as far as it goes.  Empty table: no rows.
+    row each.  Very long pages are read whole, in memory that grows with their length alone; cut-off markup is read as far
+    as it goes.  Ties: paths of equal votes by number.  Empty table: no rows.  Other columns are ignored, whatever their names.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", _host())
     known = saved(votes(pages))

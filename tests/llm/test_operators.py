@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from html import unescape as html_unescape
 
 import numpy as np
 import public_tokenizers as P
@@ -652,6 +653,80 @@ def test_articles_of_several_containers_are_whole(spark, layout, want):
     assert {r.page_id: r.text for r in html_text.extract(t).collect()} == {i: fill(want, i) for i in range(4)}
 
 
+PROBES = [
+    ("<p title=it's>hello <b class=x'>world</b> it's</p>", "hello world it's"),
+    ("<p data-x='a>b' title=\"it's\">one</p><p =x \"y>two</p>", "one two"),
+    ("<ul><li>one</li><li class=share><p>SHARE ME</p><div>AND ME</div></li><li>two<li>three</ul>", "one two three"),
+    ("<div class='ad'><div><p>Buy<p>more</div></div><p>text<h2>Head<p>end", "text Head end"),
+    ("<table><tr><td>a<td>b<tr><td class=advert><p>no<td>c</table><p>d", "a b c d"),
+    ("<a href=/x/>in</a> <i>a</i>b &#233;&amp;&lt;p&gt;", "in ab é&<p>"),
+]
+
+
+@pytest.mark.parametrize("markup, want", PROBES)
+def test_markup_is_read_as_browsers_do(markup, want):
+    source = f"<body><nav>Menu</nav><article><p>{'body text ' * 9}start</p>{markup}</article><footer>foot</footer></body>"
+    assert html_text.main_text(source, None) == f"{'body text ' * 9}start {want}"
+
+
+def random_page(r: np.random.Generator) -> tuple[str, str]:
+    """A page of nested blocks, and its article's text as it was put in."""
+    said: list[str] = []
+    pick = lambda *x: x[r.integers(len(x))]
+
+    def words(n=None):
+        return " ".join(pick("alpha", "beta", "gamma", "it's", "&lt;x&gt;", "d&eacute;j&agrave;", "<b>bold</b>", "<i title=o'clock>it</i>", "one<br>two") for _ in range(n or r.integers(3, 12)))
+
+    def plain(t):
+        return html_unescape(re.sub(r"<br>", " ", re.sub(r"</?[bi]\b[^>]*>", "", t)))
+
+    def attrs(cls=None):
+        return pick("", " title=it's", " data-a='x>y'", ' data-b="<p>"', " id=k7", " hidden=''") + (pick(" class={}", " class='{}'", ' class="{} c1"').format(cls) if cls else "")
+
+    def leaf(own):
+        t = words()
+        if own:
+            said.append(plain(t))
+        tag = pick("p", "p", "h2", "li", "blockquote", "pre")
+        end = "" if tag == "p" and r.random() < 0.4 else f"</{tag}>"
+        return f"<ul><li{attrs()}>{t}</ul>" if tag == "li" else f"<{tag}{attrs()}>{t}{end}"
+
+    def noise(depth):
+        inner = "".join(leaf(False) if depth > 2 or r.random() < 0.6 else node(depth + 1, False) for _ in range(r.integers(1, 4)))
+        tag, cls = pick(("aside", None), ("nav", None), ("form", None), ("div", "ad"), ("div", "share"), ("section", "comments"), ("div", "cookie-notice"), ("ul", "menu"), ("footer", None))
+        return f"<{tag}{attrs(cls)}>{inner}</{tag}>"
+
+    def node(depth, own):
+        inner = "".join((leaf(own) if depth > 3 or r.random() < 0.5 else node(depth + 1, own)) if r.random() < 0.8 else noise(depth + 1) for _ in range(r.integers(1, 5)))
+        tag = pick("div", "section", "figure", "td")
+        return f"<table{attrs()}><tr><td>{inner}</table>" if tag == "td" else f"<{tag}{attrs('part')}>{inner}</{tag}>"
+
+    around = lambda: "".join(noise(1) for _ in range(r.integers(0, 4)))
+    before, article = around(), "".join(leaf(True) if r.random() < 0.5 else node(1, True) for _ in range(r.integers(4, 12)))
+    return f"<html><head><title>t</title></head><body>{before}<article{attrs()}>{article}</article>{around()}</body></html>", " ".join(" ".join(said).split())
+
+
+def test_random_pages_give_back_what_was_put_in(spark):
+    r = np.random.default_rng(12)
+    pages = [random_page(r) for _ in range(300)]
+    t = spark.createDataFrame([(i, f"http://h{i % 3}.example.com/{i}", p) for i, (p, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html_text.extract(t).collect()}
+    for i, (p, want) in enumerate(pages):
+        assert got[i] == want, p
+
+
+def test_memory_grows_with_the_page_alone():
+    import tracemalloc
+
+    for source in ("<table>" + "<tr><td>cell" * 50_000, "<div><section>x" * 50_000, "<ul><li>" * 50_000 + "x" + "</ul>" * 50_000, "<a b='" * 100_000, "<p a= = =" * 100_000):
+        tracemalloc.start()
+        began = time.monotonic()
+        html_text.main_text(source, None)
+        _, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert peak < 200e6 and time.monotonic() - began < 30
+
+
 # 9. mixing
 
 
