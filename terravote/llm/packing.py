@@ -80,18 +80,22 @@ def pieces(docs: DataFrame, *, tokenizer: str, ranks: str | None, pattern: str |
 
 
 def _round(items: DataFrame, groups: int, size: int, number: int) -> DataFrame:
-    """Items dealt to groups by a hash of the row and packed within each; adds sequence_id, offset and free."""
+    """Items dealt to groups by a hash of their row number and packed within each; adds sequence_id, offset and free.
+
+    Rows are numbered, so repeated rows are dealt like any others.  Sequences are numbered by group, round and, in the
+    lower half, place in the group, which no group that fits a task can exceed.
+    """
 
     def run(key, pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32", "row"], ascending=[False, True, True, True, True], kind="stable")
         bins, places, free = pack(pdf["length"].tolist(), size)
-        pdf["sequence_id"] = [((key[0] * ROUNDS + number) * GROUP * 64 + b) * 2 for b in bins]
+        pdf["sequence_id"] = [((key[0] * ROUNDS + number) << 32) + 2 * b for b in bins]
         pdf["offset"] = places
         pdf["free"] = [free[b] for b in bins]
-        return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "free"]]
+        return pdf[["row", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "free"]]
 
-    dealt = items.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64(F.lit(number), "doc_id", "piece", "length", "ids_crc32"), F.lit(groups)).alias("g"))
-    return dealt.groupBy("g").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, free long")
+    dealt = items.select("row", "doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64(F.lit(number), "row"), F.lit(groups)).alias("g"))
+    return dealt.groupBy("g").applyInPandas(run, "row long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, free long")
 
 
 def best_fit_packing(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, pattern: str | None = None, size: int = 1024, end_id: int = 2) -> DataFrame:
@@ -105,12 +109,14 @@ def best_fit_packing(docs: DataFrame, *, tokenizer: str, ranks: str | None = Non
     No row is lost and no task sees more than a group, whatever a source or document is.
 
     Null or empty text: one piece that holds end_id alone.  Null doc_id: kept as null.  Repeated rows: each is a document
-    of its own, with pieces of its own.  Very long texts are cut as any other.  Empty table: no rows.  Other columns of
-    docs are ignored.
+    of its own, with pieces of its own, dealt to groups like any others.  Ties in length go by doc_id, piece, digest and
+    row.  Very long texts are cut as any other.  Empty table: no rows.  Other columns of docs are ignored, whatever their
+    names.
     """
-    cuts = saved(pieces(docs, tokenizer=tokenizer, ranks=ranks, pattern=pattern, size=size, end_id=end_id))
+    cuts = pieces(docs, tokenizer=tokenizer, ranks=ranks, pattern=pattern, size=size, end_id=end_id)
+    cuts = saved(cuts.withColumn("row", F.monotonically_increasing_id()))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    out = cuts.filter(F.col("length") == size).select("*", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).select(names)
+    out = cuts.filter(F.col("length") == size).select("*", (F.col("row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).select(names)
     items = cuts.filter(F.col("length") < size)
     for number in range(ROUNDS):
         groups = max(1, -(-items.count() // GROUP))
