@@ -45,12 +45,11 @@ class Merged(dict):
 class Counter:
     """Counts of texts: pre-tokens in the proven set count one each, and only the rest is merged."""
 
-    def __init__(self, path: str, ranks: str | None, pattern: str):
+    def __init__(self, path: str, ranks: str | None, pattern: str, whole: frozenset[str]):
         import regex
 
-        self.tok, self.find = hugging(path), regex.compile(pattern).findall
+        self.tok, self.find, self.whole = hugging(path), regex.compile(pattern).findall, whole
         self.special = any_of(specials(self.tok)).search
-        self.whole = whole_tokens(self.tok, pattern)
         self.merged = Merged(ranked(ranks, pattern) if ranks else lambda s: self.tok.encode(s, add_special_tokens=False).ids)
 
     def count(self, text: str) -> int:
@@ -64,11 +63,11 @@ class Counter:
 _counters: dict = {}
 
 
-def _counter(path: str, ranks: str | None, pattern: str) -> Counter:
-    """One for each Python worker; a full memo starts anew with the next task."""
+def _counter(path: str, ranks: str | None, pattern: str, whole) -> Counter:
+    """One for each Python worker; a full memo starts anew with the next task.  ``whole``: the broadcast proven set."""
     key = (path, ranks, pattern)
     if key not in _counters:
-        _counters[key] = Counter(*key)
+        _counters[key] = Counter(*key, whole.value)
     if len(_counters[key].merged) >= KEPT:
         _counters[key].merged.clear()
     return _counters[key]
@@ -77,18 +76,22 @@ def _counter(path: str, ranks: str | None, pattern: str) -> Counter:
 def token_counts(docs: DataFrame, *, tokenizer: str, pattern: str, ranks: str | None = None, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs, in one narrow pass.
 
+    The proof is made once, before any text is read, and its set (no larger than the vocabulary) is sent to the workers.
     Pre-tokens that the vocabulary is proven to hold as whole tokens are counted directly; the others are merged, by
     tiktoken's copy of the vocabulary if ``ranks`` is given.  Texts with a special string go whole to the tokenizers
     library, so that such strings count as it counts them by default.
 
     Null or empty text: 0 bytes, 0 tokens, over_limit false.  Null doc_id and repeated rows: a row each.  Very long
-    texts are counted whole.  Empty table: no rows.  Other columns are ignored.
+    texts are counted whole.  Empty table: no rows.  Other columns are ignored,
+    whatever their names.
     """
 
+    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(hugging(tokenizer), pattern))
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        counter = _counter(tokenizer, ranks, pattern)
+        counter = _counter(tokenizer, ranks, pattern, whole)
         for batch in batches:
             n = [counter.count(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
