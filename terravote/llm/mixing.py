@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .common import WORD, join_small, prefix_sums, saved, table
 
 SEED = 20_240_613
-#: Documents of a block, on average, and words of an output shard.
-BLOCK, SHARD_WORDS = 64, 4_000_000
+#: Documents of a block, on average, words of an output shard, and blocks among whose documents the last partial pass
+#: is filled up.
+BLOCK, SHARD_WORDS, EDGE = 64, 4_000_000, 4
 #: A source's target stops at so many times its size.
 MOST = 3
 #: Weights of the sources in code point order, repeated.
@@ -20,9 +21,24 @@ def _size() -> Column:
     return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _draw() -> Column:
-    """A document's place in the local permutation: rows that agree in all of this are taken alike."""
-    return F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), "source", "size")
+def numbered(sized: DataFrame) -> DataFrame:
+    """sized (doc_id, source, size, text_hash and others), saved, with draw, a document's place in the permutation.
+
+    The draw is a hash of seed, source, doc_id, size, text and, among rows that agree in all of these, their number: so
+    repeated rows have draws of their own, and which of them has which is of no matter.  Rows are numbered within ranges
+    of their order of writing, whatever their number.
+    """
+    key = ["doc_id", "source", "size", "text_hash"]
+    sized = saved(sized.withColumn("number", F.monotonically_increasing_id()))
+    again = saved(sized.groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1"))
+    draw = lambda nth: F.xxhash64(F.lit(SEED), *key, nth)
+    if not again.limit(1).count():
+        return sized.withColumn("draw", draw(F.lit(0).cast("long"))).drop("number")
+    known = join_small(sized, again, key)
+    once = known.filter(F.col("rows").isNull()).withColumn("nth", F.lit(0).cast("long"))
+    many = known.filter(F.col("rows").isNotNull()).withColumn("one", F.lit(1).cast("long"))
+    many = prefix_sums(many, key, F.shiftright("number", 33) * (1 << 20) + F.expr("number % 8589934592 div 65536"), [F.col("number")], {"nth": "one"}).drop("one")
+    return saved(once.unionByName(many).withColumn("draw", draw(F.col("nth"))).drop("number", "rows", "nth"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -83,25 +99,32 @@ class Mix:
         placed = self._place(sized)
         blocks = placed.groupBy("source", "block", "epochs", "rest").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).withColumn("order", F.xxhash64(F.lit(seed), "source", "block"))
         blocks = saved(prefix_sums(blocks.withColumn("one", F.lit(1).cast("long")), ["source"], F.shiftright("order", 54), ["order", "block"], {"before": "words", "rank": "one"}))
-        # In the last, partial pass whole blocks are taken while they fit; of the block at the edge, documents in local
-        # order, each if it still fits.  A block has about BLOCK different draws, so its array is small.
-        blocks = blocks.withColumn("edge", (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
-        edges = placed.join(F.broadcast(blocks.filter("edge").select(F.col("source").alias("s"), F.col("block").alias("b"), "before")), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-        edges = edges.groupBy("source", "block", "draw", "rest", "before").agg(F.sum("size").cast("double").alias("words"))
-        edges = edges.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("draw", "words"))).alias("docs"), F.first(F.col("rest") - F.col("before")).alias("left"))
+        # In the last, partial pass whole blocks are taken while they fit.  Of the documents of the block at the edge and
+        # of those after it, each is taken in order if it still fits, and at last the smallest one left, if that brings
+        # the sum nearer.
+        here = F.col("before") + F.col("words") > F.col("rest")
+        edge = blocks.filter((F.col("before") <= F.col("rest")) & here).groupBy("source").agg(F.min("rank").alias("edge_rank"), F.min("before").alias("edge_before"))
+        blocks = join_small(blocks, saved(edge), ["source"]).withColumn("edge", F.coalesce((F.col("rest") > 0) & F.col("rank").between(F.col("edge_rank"), F.col("edge_rank") + EDGE - 1), F.lit(False)))
+        edges = join_small(placed.select("source", "block", "draw", "size"), saved(blocks.filter("edge").select("source", "block", "rank", "rest", "edge_before")), ["source", "block"]).filter(F.col("rank").isNotNull())
+        edges = edges.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("rank", "draw", F.col("size").cast("double").alias("words")))).alias("docs"), F.first(F.col("rest") - F.col("edge_before")).alias("left"))
         start = F.struct(F.col("left"), F.array().cast("array<bigint>").alias("picked"))
         fit = lambda a, x: F.when(x["words"] <= a["left"], F.struct((a["left"] - x["words"]).alias("left"), F.array_append(a["picked"], x["draw"]).alias("picked"))).otherwise(a)
-        picks = saved(edges.select("source", "block", F.aggregate("docs", start, fit)["picked"].alias("picked")))
-        blocks = join_small(blocks, picks, ["source", "block"]).withColumn("full", F.col("before") + F.col("words") <= F.col("rest"))
+        edges = edges.withColumn("run", F.aggregate("docs", start, fit))
+        rest = F.array_min(F.transform(F.filter("docs", lambda x: ~F.array_contains("run.picked", x["draw"])), lambda x: F.struct(x["words"].alias("words"), x["draw"].alias("draw"))))
+        edges = edges.withColumn("least", rest)
+        more = F.coalesce(F.col("least.words") < 2 * F.col("run.left"), F.lit(False))
+        edges = edges.select("source", F.when(more, F.array_append("run.picked", F.col("least.draw"))).otherwise(F.col("run.picked")).alias("picked"))
+        blocks = join_small(blocks, saved(edges), ["source"]).withColumn("full", (F.col("before") + F.col("words") <= F.col("rest")) & ~F.col("edge"))
+        blocks = blocks.withColumn("picked", F.when(F.col("edge"), F.col("picked")))
         blocks = blocks.withColumn("draws", F.col("epochs") + (F.col("full") | F.col("edge")).cast("int"))
         total = self.sources.agg(F.sum("target")).first()[0] or 0.0
         self.shards = max(1, -(-int(total) // shard_words))
         self.blocks = saved(self._deal(blocks.filter("draws > 0")).select("source", "block", "full", "picked", "shards"))
 
     def _place(self, sized: DataFrame) -> DataFrame:
-        """Adds the source's figures, and each document's draw and block."""
+        """Adds the source's figures, and each document's block."""
         out = join_small(sized, self.sources.select("source", "source_size", "target", "blocks", "epochs", "rest"), ["source"])
-        return out.withColumn("draw", _draw()).withColumn("block", F.pmod(F.shiftright("draw", 7), F.col("blocks")))
+        return out.withColumn("block", F.pmod(F.shiftright("draw", 7), F.col("blocks")))
 
     def _deal(self, blocks: DataFrame) -> DataFrame:
         """Adds the array of shards that take the block, one for each draw.
@@ -135,25 +158,29 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, shards for every row of docs.
 
     size counts the text's words; target is the source's; taken is size times the number of draws, which differ by at
-    most one within a source; shards names the output shard of each draw.  A source's taken words fall short
-    of its target by less than the smallest document left of one block.  Reruns agree: all draws are hashes of seed, source, doc_id and size.
+    most one within a source; shards names the output shard of each draw.  A source's taken words miss its
+    target by half a document at most, namely of the smallest one left of four blocks.  Reruns agree: all draws are hashes.
 
-    Null text: size 0.  Null source: a source of its own, the last.  Null doc_id: a row like any other.  Repeated rows are
-    drawn alike.  Sources of size 0 have target 0 and nothing is taken.  Empty table: no rows.  Other columns are ignored.
+    Null text: size 0.  Null source: a source of its own, the last.  Null doc_id: a row like any other.  Repeated rows have
+    draws of their own.  Very long texts are counted whole.  Sources of size 0 have target 0 and nothing is taken.  Empty
+    table: no rows.  Other columns are ignored, whatever their names.
     """
-    sized = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size")))
+    sized = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")))
     return Mix(sized).apply(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: each row once per draw, brought to its shard and shuffled there; same columns."""
+    """docs as the mix takes them: each row once per draw, brought to its shard and shuffled there; same columns.
+
+    Which rows are taken how often is as in ``mix_sources``, nulls, empty and very long texts, ties and repeated rows
+    included; rows that agree in doc_id, source and text but not elsewhere are told apart by their order.  Empty table: no
+    rows.  All columns stay as they are, whatever their names.
+    """
     names = docs.columns
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), row)
-    plan = Mix(saved(sized.drop("row")))
-    out = plan.apply(sized).select("row", "doc_id", F.explode("shards").alias("shard")).withColumn("order", F.xxhash64(F.lit(SEED), "shard", "doc_id", "row.text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(max(n, plan.shards), "shard").sortWithinPartitions("shard", "order").select("row.*")
+    sized = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), row))
+    out = Mix(sized.drop("row")).apply(sized).select("row", "draw", F.posexplode("shards").alias("nth", "shard")).withColumn("order", F.xxhash64(F.lit(SEED), "shard", "draw", "nth"))
+    return out.repartition("shard").sortWithinPartitions("shard", "order").select("row.*")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

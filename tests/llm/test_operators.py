@@ -86,6 +86,19 @@ def test_packing_rule_is_the_smallest_sum_of_squares():
     assert free == [gaps[b] for b in range(len(free))]
 
 
+def test_packing_deals_repeated_rows_over_groups(spark):
+    t = spark.range(12_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same few words again and again").alias("text"))
+    got = packing.best_fit_packing(t, **BPE).select("sequence_id", "offset", "length").collect()
+    places = defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == 12_000 and len({s >> 32 for s in places}) > 1
+    for parts in places.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 1024
+    assert len(places) <= 1.03 * sum(r.length for r in got) / 1024 + 1
+
+
 def test_packing_of_nothing(empty):
     none_of(packing.best_fit_packing(empty, **BPE), ["doc_id", "sequence_id", "offset"])
 
@@ -604,7 +617,7 @@ def test_token_counts_match_the_library(docs, tok, empty):
 
 def test_both_encoders_agree_on_every_code_point(tok):
     fast = token_ids.ranked(BPE["ranks"], P.PATTERN)
-    for start in range(0, 0x30000, 0x4000):
+    for start in range(0, 0x110000, 0x4000):
         texts = [f"a{chr(c)}1{chr(c)} {chr(c)}b {chr(c)}\n" for c in range(start, start + 0x4000) if not 0xD800 <= c < 0xE000]
         for t, e in zip(texts, tok.encode_batch_fast(texts, add_special_tokens=False)):
             assert fast(t) == e.ids
@@ -768,6 +781,30 @@ def test_mixing_takes_an_even_corpus_closely(spark):
     assert all(r[2] <= 1 for r in m)
 
 
+def test_every_source_ends_within_one_document_of_its_target(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, "w " * int(r.integers(1, 900)), f"s{i % 7}") for i in range(700)]
+    rows += [(5, "same words here " * 20, "hot")] * 1000 + [(None, "none of these words", None)] * 300
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix_sources(t).collect()
+    taken, sizes, want = Counter(), defaultdict(list), {}
+    for x in got:
+        taken[x.target, x.source_size] += x.taken
+        sizes[x.target, x.source_size].append(x.size)
+        assert x.taken <= 3 * x.size
+    for k, n in taken.items():
+        assert abs(n - k[0]) <= max(sizes[k]), k
+    again = mixing.mix_sources(t.repartition(3)).collect()
+    assert Counter(map(str, got)) == Counter(map(str, again))
+    assert len({x.taken for x in got if x.doc_id == 5 and x.size == 60}) == 2
+
+
+def test_mixed_keeps_clashing_columns(spark):
+    t = spark.createDataFrame([(i, "some words", "s", i, 2, 3, 4) for i in range(40)], ["doc_id", "text", "source", "__id", "a.b", "draw", "shards"])
+    out = mixing.mixed(t)
+    assert out.columns == t.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in t.collect()}
+
+
 def test_splitting_tree_keeps_exact_quotas(spark):
     q = spark.createDataFrame([("a", 1000), ("b", 37), (None, 500)], "source string, quota long")
     got = mixing.split(q, 7).collect()
