@@ -1,8 +1,9 @@
 """Language ID (operator 3): Bayesian evidence fusion.
 
 Four pieces of evidence are combined: the text's likelihood under character trigram models, the language that markup or
-metadata declares, the address suffix, and a prior of the host that is smoothed toward its domain, the domain's toward
-the suffix and that toward all rows.  All tables behind them are grouped aggregations over all rows.
+metadata declares, the address suffix, and the host.  The last two make one prior: all rows' shares of languages are
+sharpened by the suffix's, these by the domain's and these by the host's, each smoothed toward the one before, so the
+suffix counts once, and the less the more is known of the host.  All tables behind are grouped aggregations over all rows.
 """
 
 from __future__ import annotations
@@ -11,15 +12,21 @@ import math
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import join_small, saved, table
 
-#: Trigrams are counted in so many cells, and a language needs so many rows that declare it.
-CELLS, LEAST_ROWS, MOST_LANGUAGES = 1 << 16, 5, 200
-#: Trigrams overlap, so a text counts as a third as many observations, and as 100 at most.
-DEPENDENT, MOST_SEEN = 3.0, 100.0
+#: Trigrams are counted in so many cells.
+CELLS = 1 << 16
+#: Trigrams overlap, so a text counts as a third as many observations.
+DEPENDENT = 3.0
+#: A declared language is the primary subtag of a language tag: two or three letters.  Anything else declares nothing, so
+#: there are 26**2 + 26**3 languages at most, whatever the rows declare.
+SUBTAG = r"^\s*([A-Za-z]{2,3})(?:[-_].*|\s*)$"
+#: Languages whose counts a task holds before it writes them out.
+HELD_AT_ONCE = 256
 #: Rows that the coarser prior weighs in each step of smoothing, and the weight of a declaration or suffix never seen.
 SMOOTH, UNSEEN = 20.0, 1.0
 #: Share of every language's model that is uniform over the cells.  The fit is measured without any other smoothing, so a
@@ -50,21 +57,27 @@ def _text(value, markup: bool) -> str:
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """(declared, cell, n) over all rows that declare a language: one partial table per task, then summed."""
+    """(declared, cell, n) over all rows that declare a language: partial tables per task, then summed."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        def table_of(sums):
+            for lang, n in sums.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["declared", "cell", "n"])
+
         sums: dict = {}
         for b in batches:
             for lang, text, markup in zip(b.column("declared").to_pylist(), b.column("text"), b.column("markup").to_pylist()):
-                if lang in sums or len(sums) < 4 * MOST_LANGUAGES:
-                    sums.setdefault(lang, np.zeros(CELLS, np.int64))
-                    sums[lang] += np.bincount(cells_of(_text(text, markup)), minlength=CELLS)
-        for lang, n in sums.items():
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["declared", "cell", "n"])
+                if lang not in sums:
+                    if len(sums) == HELD_AT_ONCE:  # write out what is held, whole, and go on
+                        yield from table_of(sums)
+                        sums = {}
+                    sums[lang] = np.zeros(CELLS, np.int64)
+                sums[lang] += np.bincount(cells_of(_text(text, markup)), minlength=CELLS)
+        yield from table_of(sums)
 
     part = rows.filter(F.col("declared").isNotNull()).select("declared", "text", "markup").mapInArrow(run, "declared string, cell int, n long")
     return part.groupBy("declared", "cell").agg(F.sum("n").alias("n"))
@@ -73,25 +86,25 @@ def counts(rows: DataFrame) -> DataFrame:
 def fit(rows: DataFrame) -> tuple[list[str], object]:
     """Languages and their log-probabilities of cells (2 x languages x 65,536): smoothed as evidence, and to measure fit.
 
-    At most 200 languages, by number of rows that declare them, so what comes to the driver and is broadcast is bounded.
+    What comes to the driver and is broadcast is bounded by the number of subtags and cells.
     """
     import numpy as np
 
-    declared = rows.filter(F.col("declared").isNotNull()).groupBy("declared").agg(F.count("*").alias("rows")).filter(F.col("rows") >= LEAST_ROWS)
-    languages = sorted(r["declared"] for r in declared.orderBy(F.desc("rows"), "declared").limit(MOST_LANGUAGES).collect())
+    t = counts(rows).toArrow()
+    languages = sorted(set(t["declared"].to_pylist()))
+    place = {x: k for k, x in enumerate(languages)}
     model = np.zeros((len(languages), CELLS))
-    if languages:
-        kept = rows.filter(F.col("declared").isin(languages))
-        t = counts(kept).toArrow()
-        at = np.array([languages.index(x) for x in t["declared"].to_pylist()], np.int64)
-        model[at, t["cell"].to_numpy()] += t["n"].to_numpy()
+    model[np.array([place[x] for x in t["declared"].to_pylist()], np.int64), t["cell"].to_numpy()] += t["n"].to_numpy()
     n = model.sum(axis=1, keepdims=True)
     return languages, np.stack([np.log((1 - UNIFORM) * shares + UNIFORM / CELLS).astype(np.float32) for shares in ((model + 0.5) / (n + 0.5 * CELLS), model / np.maximum(n, 1))])
 
 
-def _score(rows: DataFrame, languages: list[str], model) -> DataFrame:
-    """rows without their text, with scores array<double>: tempered log-likelihoods; and fits: each language's fit per trigram."""
+def _score(rows: DataFrame, languages: list[str], model, dropped: tuple[str, ...]) -> DataFrame:
+    """rows with scores array<double>, tempered log-likelihoods, and fits, each language's fit per trigram (null: no text);
+    all in one narrow pass, and without the columns ``dropped``."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
+    kept = [f for f in rows.schema if f.name not in dropped]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -101,18 +114,14 @@ def _score(rows: DataFrame, languages: list[str], model) -> DataFrame:
         for b in batches:
             scores, fits = [], []
             for text, markup in zip(b.column("text"), b.column("markup").to_pylist()):
-                at = np.bincount(cells_of(_text(text, markup)), minlength=CELLS)
-                used = np.flatnonzero(at)
+                used, at = np.unique(cells_of(_text(text, markup)), return_counts=True)
                 n = int(at.sum())
-                mean = logs[:, :, used] @ at[used] / n if n else np.zeros((2, len(languages)))
-                scores.append((mean[0] * min(n / DEPENDENT, MOST_SEEN)).tolist())
+                mean = logs[:, :, used] @ at / n if n else np.zeros((2, len(languages)))
+                scores.append((mean[0] * (n / DEPENDENT)).tolist())
                 fits.append(mean[1].tolist() if n else None)
-            names = [c for c in b.schema.names if c not in ("text", "markup")]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(scores, pa.list_(pa.float64())), pa.array(fits, pa.list_(pa.float64()))], [*names, "scores", "fits"])
 
-    kept = [c for c in rows.columns if c not in ("text", "markup")]
-    schema = ", ".join([*(f"`{c}` {dict(rows.dtypes)[c]}" for c in kept), "scores array<double>", "fits array<double>"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*kept, StructField("scores", ArrayType(DoubleType())), StructField("fits", ArrayType(DoubleType()))]))
 
 
 def _smoothed(scored: DataFrame, keys: list[str], coarser: DataFrame | list[float], name: str, languages: list[str]) -> DataFrame:
@@ -132,33 +141,37 @@ def _smoothed(scored: DataFrame, keys: list[str], coarser: DataFrame | list[floa
     return t.select(*keys, F.array(*((F.col(f"n{k}") + SMOOTH * p) / (F.col("rows") + SMOOTH) for k, p in enumerate(prior))).alias(name))
 
 
-def identify(rows: DataFrame) -> DataFrame:
-    """rows (any keys, text, markup boolean, declared, host, domain, suffix) with language, posterior and kept, without text.
+def identify(rows: DataFrame, carried: bool = False) -> DataFrame:
+    """rows (text, markup boolean, declared, host, domain, suffix, any others) with language, posterior and kept.
 
-    Texts are read twice, once to count and once to score; what follows uses a saved table of scores.  Likelihoods of
-    declarations and suffixes, and the priors, come from grouped counts of the languages that the texts alone suggest.
+    Without the text, unless it is ``carried``.  Texts are read twice, once to count and once to score; what follows uses a
+    saved table of rows and scores and joins small tables to it, so rows are not shuffled.  Likelihoods of declarations and
+    the priors come from grouped counts of the languages that the texts alone suggest.
 
     Null or letterless text: language null, posterior 0, not kept.  Null declared, host, domain or suffix: that evidence is
     left out, or smoothed as a group of its own.  No declared language in the whole table: nothing can be learnt, and
-    every row is kept with language null.  Repeated rows: a row each.  Very long texts are read whole.
+    every row is kept with language null.  Ties go to the first language by name.  Repeated rows: a row each.  Very long
+    texts are read whole.  Empty table: no rows.
     """
-    keys = [c for c in rows.columns if c not in ("text", "markup")]
+    dropped = ("markup",) if carried else ("text", "markup")
+    keys = [c for c in rows.columns if c not in dropped]
+    rows = rows.withColumn("declared", F.nullif(F.lower(F.regexp_extract("declared", SUBTAG, 1)), F.lit("")))
     languages, model = fit(rows)
     if not languages:
         return rows.select(*keys, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("kept"))
-    scored = _score(rows, languages, model).withColumn("guess", F.when(F.col("fits").isNotNull(), F.array_position("scores", F.array_max("scores")) - 1))
+    scored = _score(rows, languages, model, dropped).withColumn("guess", F.when(F.col("fits").isNotNull(), F.array_position("scores", F.array_max("scores")) - 1))
     scored = saved(scored)
-    guesses = scored.agg(F.count("guess"), *(F.count_if(F.col("guess") == k) for k in range(len(languages)))).first()
-    overall = [(n + 1) / (guesses[0] + len(languages)) for n in guesses[1:]]
+    each = lambda *test: [F.count_if((F.col("guess") == k) & t) for k in range(len(languages)) for t in test]
+    guesses = scored.agg(*each(F.lit(True)), *each(F.col("declared").isNotNull())).first()
+    of_all, of_declared = guesses[: len(languages)], guesses[len(languages) :]
+    overall = [(n + 1) / (sum(of_all) + len(languages)) for n in of_all]
     by_suffix = saved(_smoothed(scored, ["suffix"], overall, "p1", languages))
     by_domain = saved(_smoothed(scored, ["suffix", "domain"], by_suffix, "p2", languages))
     by_host = saved(_smoothed(scored, ["suffix", "domain", "host"], by_domain, "p3", languages))
-    said = saved(_evidence(scored, "declared", languages))
-    ends = saved(_evidence(scored, "suffix", languages))
-    out = join_small(join_small(join_small(scored, by_host, ["suffix", "domain", "host"]), said, ["declared"]), ends, ["suffix"])
-    # The suffix already shapes the prior; as evidence of its own it counts once, against the prior of all rows.
-    term = lambda name: F.coalesce(F.col(name), F.array(*[F.lit(0.0)] * len(languages)))
-    total = F.zip_with(F.zip_with("scores", term("declared_e"), lambda a, b: a + b), F.zip_with(F.transform("p3", lambda p: F.log(p)), term("suffix_e"), lambda a, b: a + b), lambda a, b: a + b)
+    said = saved(_declarations(scored, of_declared, languages))
+    out = join_small(join_small(scored, by_host, ["suffix", "domain", "host"]), said, ["declared"])
+    told = F.coalesce("declared_e", F.array(*[F.lit(0.0)] * len(languages)))
+    total = F.zip_with(F.zip_with("scores", told, lambda a, b: a + b), F.transform("p3", lambda p: F.log(p)), lambda a, b: a + b)
     out = out.withColumn("total", total).withColumn("top", F.array_max("total"))
     out = out.withColumn("posterior", 1 / F.aggregate(F.transform("total", lambda t: F.exp(t - F.col("top"))), F.lit(0.0), lambda a, x: a + x))
     names = F.array(*map(F.lit, languages))
@@ -166,13 +179,13 @@ def identify(rows: DataFrame) -> DataFrame:
     return out.select(*keys, F.when(found, F.get(names, chosen)).alias("language"), F.when(found, F.col("posterior")).otherwise(0.0).alias("posterior"), (found & (F.col("posterior") >= SURE) & (F.get("fits", chosen) >= FIT)).alias("kept"))
 
 
-def _evidence(scored: DataFrame, column: str, languages: list[str]) -> DataFrame:
-    """column -> array<double>: log P(value | language) less log P(value), add-one smoothed."""
-    values = scored.filter(F.col(column).isNotNull() & F.col("guess").isNotNull())
-    t = values.groupBy(column).agg(F.count("*").cast("double").alias("rows"), *(F.count_if(F.col("guess") == k).cast("double").alias(f"n{k}") for k in range(len(languages))))
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    share = lambda c: F.log((F.col(c) + UNSEEN) / (F.sum(c).over(everything) + 10 * UNSEEN))
-    return t.select(column, F.array(*(share(f"n{k}") - share("rows") for k in range(len(languages)))).alias(f"{column}_e"))
+def _declarations(scored: DataFrame, totals, languages: list[str]) -> DataFrame:
+    """declared -> declared_e array<double>: log P(declared | language) less log P(declared), smoothed; ``totals`` counts the
+    declaring rows by the language that the text suggests."""
+    values = scored.filter(F.col("declared").isNotNull() & F.col("guess").isNotNull())
+    t = values.groupBy("declared").agg(F.count("*").cast("double").alias("rows"), *(F.count_if(F.col("guess") == k).cast("double").alias(f"n{k}") for k in range(len(languages))))
+    share = lambda c, total: F.log((F.col(c) + UNSEEN) / (total + 10 * UNSEEN))
+    return t.select("declared", F.array(*(share(f"n{k}", n) - share("rows", sum(totals)) for k, n in enumerate(totals))).alias("declared_e"))
 
 
 def documents_evidence(docs: DataFrame) -> DataFrame:
@@ -190,13 +203,17 @@ def pages_evidence(pages: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs whose language is identified, with ``lang`` set to it; same columns.
 
-    The decision is made once per distinct (doc_id, text) and joined back by doc_id and a hash of the text.
+    Each row carries its own columns through scoring and is decided by itself.  Null, empty and letterless texts go.  Null
+    doc_id, lang or source: like any other row.  Repeated rows: a row each.  Very long texts are read whole.  No declared
+    language in the whole table: all rows stay as they are.  Empty table: no rows.  All columns stay as they are, whatever
+    their names.
     """
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    found = identify(documents_evidence(docs).withColumn("key", key))
-    kept = saved(found.filter("kept").groupBy("doc_id", "key").agg(F.max("language").alias("__language")))
-    out = join_small(docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", key), kept.withColumnsRenamed({"doc_id": "__id", "key": "__key"}), ["__id", "__key"], how="inner", limit=500_000)
-    return out.withColumn("lang", F.col("__language")).select(docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    plain = docs.select("text", F.lit(False).alias("markup"), F.col("lang").cast("string").alias("declared"), F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("suffix"), row)
+    found = identify(plain.withColumn("text", F.col("text").cast("string")), carried=True).filter("kept")
+    kinds = dict(docs.dtypes)
+    new = {"text": F.col("text").cast(kinds["text"]), "lang": F.coalesce("language", "row.lang").cast(kinds["lang"])}
+    return found.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

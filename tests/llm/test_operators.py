@@ -194,6 +194,75 @@ def test_a_tiny_language_does_not_let_junk_pass(spark):
     assert all(got[i].kept and got[i].language == speech(i)[0] for i in range(300))
 
 
+def brute_posteriors(rows: list[tuple]) -> list[tuple]:
+    """(language, posterior, kept) of each row (text, declared, host, domain, suffix), by plain loops."""
+    from math import exp, log
+
+    grams = [Counter(language.cells_of(t or "").tolist()) for t, *_ in rows]
+    languages = sorted({d for _, d, *_ in rows if d})
+    model = {k: Counter() for k in languages}
+    for g, (_, d, *_) in zip(grams, rows):
+        if d:
+            model[d].update(g)
+    size = {k: sum(m.values()) for k, m in model.items()}
+    cell = lambda share: log((1 - language.UNIFORM) * share + language.UNIFORM / language.CELLS)
+    score = [{k: sum(n * cell((model[k][c] + 0.5) / (size[k] + 0.5 * language.CELLS)) for c, n in g.items()) / language.DEPENDENT for k in languages} for g in grams]
+    fit = [{k: sum(n * cell(model[k][c] / max(size[k], 1)) for c, n in g.items()) / max(sum(g.values()), 1) for k in languages} for g in grams]
+    guess = [max(languages, key=lambda k: (s[k], [-ord(x) for x in k])) if g else None for s, g in zip(score, grams)]
+    known = [x for x in guess if x]
+    prior = {(): {k: (known.count(k) + 1) / (len(known) + len(languages)) for k in languages}}
+    for depth in (1, 2, 3):
+        for key in {r[4:1:-1][:depth] for r in rows}:
+            own = [x for x, r in zip(guess, rows) if x and r[4:1:-1][:depth] == key]
+            prior[key] = {k: (own.count(k) + language.SMOOTH * prior[key[:-1]][k]) / (len(own) + language.SMOOTH) for k in languages}
+    declaring = [(x, r[1]) for x, r in zip(guess, rows) if x and r[1]]
+    out = []
+    for s, f, g, r in zip(score, fit, grams, rows):
+        total = {}
+        for k in languages:
+            told = 0.0
+            if r[1] and any(d == r[1] for _, d in declaring):
+                share = lambda n, of: log((n + 1) / (of + 10))
+                told = share(sum(x == k and d == r[1] for x, d in declaring), sum(x == k for x, _ in declaring)) - share(sum(d == r[1] for _, d in declaring), len(declaring))
+            total[k] = s[k] + told + log(prior[r[4:1:-1]][k])
+        best = max(total.values())
+        chosen = min(k for k in languages if total[k] == best)
+        p = 1 / sum(exp(t - best) for t in total.values())
+        out.append((chosen, p, p >= language.SURE and f[chosen] >= language.FIT) if g else (None, 0.0, False))
+    return out
+
+
+def test_language_posteriors_match_brute_force(spark):
+    r = np.random.default_rng(9)
+    rows = []
+    for i in range(240):
+        lang, text = speech(i)
+        said = [lang, None, lang, "de"][i % 4]
+        host = f"h{r.integers(6)}.d{r.integers(3)}.{lang if r.random() < 0.8 else 'org'}"
+        rows.append((" ".join(text.split()[: r.integers(1, 12)]), said, host, host.split(".", 1)[1], host.rsplit(".", 1)[1]))
+    rows += [(None, "en", None, None, None), ("12 34", None, "h", None, None), ("zq xk vv", None, None, None, None), ("saluton mondo", "eo", "x.eo", "x.eo", "eo"), ("der hund " * 500, "en", None, None, None)]
+    t = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "id long, text string, declared string, host string, domain string, suffix string").withColumn("markup", F.lit(False)).repartition(5)
+    got = {x.id: x for x in language.identify(t).collect()}
+    for i, (lang, p, kept) in enumerate(brute_posteriors(rows)):
+        assert got[i].language == lang and got[i].kept == kept and abs(got[i].posterior - p) < 1e-3, rows[i]
+
+
+def test_identified_rows_keep_clashing_columns(spark):
+    rows = [(i, speech(i)[1], speech(i)[0], "h", i, 2, "k", "x") for i in range(60)] + [(7, None, "en", "h", 0, 0, "k", "x")]
+    t = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "__id", "a.b", "host", "kept"])
+    out = language.keep_identified(t)
+    assert out.columns == t.columns
+    assert sorted(map(tuple, out.collect())) == sorted(rows[:60])
+
+
+def test_tags_declare_their_primary_subtag(spark):
+    rows = [(i, speech(i)[1], {"en": "EN-us", "de": "de_AT", "fr": " fr "}[speech(i)[0]], "h") for i in range(60)] + [(100 + i, speech(i)[1], "english text", "h") for i in range(9)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in language.identify(language.documents_evidence(t)).collect()}
+    assert all(got[i].language == got[i].declared == speech(i)[0] for i in range(60))
+    assert all(got[100 + i].declared is None and got[100 + i].language == speech(i)[0] for i in range(9))
+
+
 def test_language_evidence_tips_the_scale(spark):
     base = [(i, speech(i)[1], speech(i)[0], f"host-{speech(i)[0]}") for i in range(150)]
     t = spark.createDataFrame([*base, (900, "so la", None, "host-fr"), (901, "so la", None, "host-de")], "doc_id long, text string, lang string, source string")
