@@ -29,16 +29,22 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
+def is_small(small: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a (saved) table has no more rows than may be broadcast."""
+    return small.limit(limit + 1).count() <= limit
+
+
+def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS, known: bool | None = None) -> DataFrame:
     """df joined to a table with at most one row per key; null keys match null keys.
 
-    The small side is counted first (it should be a saved table).  Up to ``limit`` rows it is broadcast.  Beyond that it
-    is an ordinary shuffled join, whose skewed partitions adaptive execution splits on df's side.
+    The small side is counted first (it should be a saved table), unless ``known`` tells what its count would.  Up to
+    ``limit`` rows it is broadcast.  Beyond that it is an ordinary shuffled join, whose skewed partitions adaptive
+    execution splits on df's side.
     """
     names = [f"__k{i}" for i in range(len(keys))]
     right = small.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), *(c for c in small.columns if c not in keys))
     on = _all([df[k].eqNullSafe(right[n]) for k, n in zip(keys, names)])
-    if small.limit(limit + 1).count() <= limit:
+    if known if known is not None else is_small(small, limit):
         right = F.broadcast(right)
     return df.join(right, on, how).drop(*names)
 

@@ -10,19 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, join_small, saved, table
+from .common import WORD, is_small, join_small, saved, table
 
 #: Words of a window whose repetition counts.
 SPAN = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: Share of a group that the estimates rest on, concentration steps, and rows from which a group has estimates of its own.
-#: The share is a half, so that outliers stay out of the core until they are nearly half of a group, copies or not.
-CORE, STEPS, LEAST_ROWS = 0.5, 5, 50
+#: Share of a group that the estimates rest on: a half, so that outliers stay out of the core until they are nearly half
+#: of a group, copies or not.  Steps of each start, and of the best of them at most; steps end when no determinant
+#: falls by more than the last share.
+CORE, FIRST_STEPS, MOST_STEPS, SETTLED = 0.5, 2, 40, 1e-4
+#: Rows that the coarser level weighs when a group's estimates are drawn toward its language's, and those to all rows'.
+SHRINK = 50.0
+#: Cells of squared distance, per unit of its logarithm, in which a core's edge is found.
+FINE = 256
 #: Least standard deviation of each component: less is no evidence of anything (most documents have no repeats at all).
 FLOORS = {"word_length": 0.08, "symbols": 0.06, "same_lines": 0.15, "repeats": 0.2, "capitals": 0.1}
 #: Quantiles of the chi-squared distribution with five degrees of freedom: 0.5 and 0.9999.
 CHI2_HALF, CHI2_CUT = 4.35146, 25.7448
-POOL = "\x00 pool"
 X = list(FLOORS)
 
 
@@ -72,6 +76,19 @@ def _vector(t: DataFrame) -> DataFrame:
     })
 
 
+PAIRS = [(i, j) for i in range(len(X)) for j in range(i + 1)]
+SUMS = [*(f"s{i}" for i in range(len(X))), *(f"e{i}{j}" for i, j in PAIRS)]
+ESTIMATE = [*(f"m{i}" for i in range(len(X))), *(f"c{i}{j}" for i, j in PAIRS)]
+KEY = ["level", "k0", "k1"]
+
+
+def _levels(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row once per level: of all rows (0), of the first key (1) and, with two keys, of both (2)."""
+    null = F.lit(None).cast("string")
+    named = [F.struct(F.lit(n).alias("level"), *((F.col(keys[i]).cast("string") if i < n else null).alias(f"k{i}") for i in range(2))) for n in range(len(keys) + 1)]
+    return rows.select(*X, F.explode(F.array(*named)).alias("k")).select("k.*", *X)
+
+
 def _quantile(rows: DataFrame, keys: list[str], cell: Column, q: float, name: str) -> DataFrame:
     """keys -> name: the first cell at which a share q of the key's rows is reached.  Cells are counted, rows never sorted."""
     cells = rows.withColumn("__cell", cell).groupBy(*keys, "__cell").agg(F.count("*").alias("__n"))
@@ -80,77 +97,138 @@ def _quantile(rows: DataFrame, keys: list[str], cell: Column, q: float, name: st
     return cells.filter(F.col("__upto") >= q * F.col("__all")).groupBy(*keys).agg(F.min("__cell").alias(name))
 
 
-def _scatter(covariance) -> list[tuple[str, Column]]:
-    """Cholesky factor of a covariance given as covariance(i, j), each entry a column that may use earlier ones."""
+def _factored(estimates: DataFrame) -> DataFrame:
+    """estimates (m, c) with the Cholesky factor l of covariance + FLOORS**2 and the logarithm of its determinant."""
     out = []
-    for i in range(len(X)):
-        for j in range(i + 1):
-            rest = covariance(i, j) - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            out.append((f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}")))
-    return out
+    for i, j in PAIRS:
+        rest = " - ".join([f"c{i}{j}", *(f"l{i}{k} * l{j}{k}" for k in range(j))])
+        floor = FLOORS[X[i]] ** 2
+        out.append(f"sqrt(greatest({rest} + {floor!r}D, {floor * 1e-6!r}D)) as l{i}{j}" if i == j else f"({rest}) / l{j}{j} as l{i}{j}")
+    return estimates.selectExpr("*", *out, f"2 * ({' + '.join(f'ln(l{i}{i})' for i in range(len(X)))}) as log_det")
+
 
+def _distance(rows: DataFrame, estimates: DataFrame, keys: list[str], known: bool | None = None) -> DataFrame:
+    """rows joined to their estimates, with d2, the squared Mahalanobis distance, by forward substitution."""
+    out = []
+    for i, x in enumerate(X):
+        out.append(f"({' - '.join([x, f'm{i}', *(f'l{i}{k} * y{k}' for k in range(i))])}) / l{i}{i} as y{i}")
+    return join_small(rows, estimates, keys, known=known).selectExpr("*", *out, f"{' + '.join(f'y{i} * y{i}' for i in range(len(X)))} as d2")
 
-def _with_scatter(centres: DataFrame, covariance, keys: list[str]) -> DataFrame:
-    for name, column in _scatter(covariance):
-        centres = centres.withColumn(name, column)
-    return saved(centres.select(*keys, *(f"m{i}" for i in range(len(X))), *(name for name, _ in _scatter(covariance))))
 
+def _step(rows: DataFrame, estimates: DataFrame, starts: list[int], known: bool | None = None) -> DataFrame:
+    """One concentration step of the given starts: the mean and covariance of the half of each key's rows that is nearest.
 
-def _distance(rows: DataFrame, estimates: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance, by forward substitution; estimates of a key are joined by key."""
-    out = join_small(rows, estimates, keys)
-    for i, x in enumerate(X):
-        out = out.withColumn(f"y{i}", (F.col(x) - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * F.col(f"y{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, len(X))), F.col("y0") * F.col("y0"))).select(*rows.columns, "d2")
+    One pass: rows are summed by key, start and cell of distance; the core is made of these sums.  Of the cell at its edge,
+    as large a share is taken as makes the core a half exactly.
+    """
+    each = rows if len(starts) == 1 else rows.withColumn("start", F.explode(F.array(*map(F.lit, starts))))
+    keys = KEY if len(starts) == 1 else [*KEY, "start"]
+    near = _distance(each, estimates, keys, known).withColumn("cell", F.expr(f"floor({FINE} * ln(1 + d2))"))
+    sums = [F.expr(f"sum({x}) as s{i}") for i, x in enumerate(X)] + [F.expr(f"sum({X[i]} * {X[j]}) as e{i}{j}") for i, j in PAIRS]
+    cells = near.groupBy(*keys, "cell").agg(F.expr("double(count(*)) as n"), *sums)
+    names = ", ".join(keys)
+    upto = f"coalesce(sum(n) over (partition by {names} order by cell rows between unbounded preceding and 1 preceding), 0D)"
+    cells = cells.selectExpr("*", f"{CORE} * sum(n) over (partition by {names}) as h", f"{upto} as before").selectExpr("*", "least(1D, greatest(0D, (h - before) / n)) as w")
+    core = cells.filter("w > 0").groupBy(*keys).agg(F.expr("first(h) as h"), *(F.expr(f"sum(w * {c}) as {c}") for c in SUMS))
+    return _factored(core.selectExpr(*keys, *(f"s{i} / h as m{i}" for i in range(len(X))), *(f"e{i}{j} / h - s{i} / h * s{j} / h as c{i}{j}" for i, j in PAIRS)))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three first estimates per key, about the medians: absolute deviations alone; with the correlations of the values'
+    hyperbolic tangents; and the spatial signs' covariance."""
+    value = rows.select(*KEY, F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.col(x).alias("x")) for i, x in enumerate(X)))).alias("c")).select(*KEY, "c.which", "c.x")
+    each = [*KEY, "which"]
+    middle = saved(_quantile(value, each, F.floor(F.col("x") * 1024), 0.5, "at").withColumn("at", (F.col("at") + 0.5) / 1024))
+    off = join_small(value, middle, each).withColumn("off", F.abs(F.col("x") - F.col("at")))
+    spread = saved(_quantile(off, each, F.floor(F.col("off") * 1024), 0.5, "wide"))
+    floor = F.get(F.array(*map(F.lit, FLOORS.values())), F.col("which"))
+    wide = F.greatest(1.4826 * (F.col("wide") + 0.5) / 1024, floor)
+    first = saved(join_small(middle, spread, each).groupBy(*KEY).agg(*(F.max(F.when(F.col("which") == i, F.col("at"))).alias(f"m{i}") for i in range(len(X))), *(F.max(F.when(F.col("which") == i, wide)).alias(f"d{i}") for i in range(len(X)))))
+    z = join_small(rows, first, KEY)
+    z = z.selectExpr(*KEY, *(f"({x} - m{i}) / d{i} as z{i}" for i, x in enumerate(X))).selectExpr("*", f"greatest({' + '.join(f'z{i} * z{i}' for i in range(len(X)))}, 1e-12D) as length")
+    shapes = z.groupBy(*KEY).agg(*(F.expr(f"avg(tanh(z{i}) * tanh(z{j})) as t{i}{j}") for i, j in PAIRS), *(F.expr(f"avg(z{i} * z{j} / length) as g{i}{j}") for i, j in PAIRS))
+    shapes = join_small(first, saved(shapes), KEY)
+    of = [
+        lambda i, j: f"d{i} * d{j}" if i == j else "0D",
+        lambda i, j: f"d{i} * d{j}" if i == j else f"d{i} * d{j} * coalesce(try_divide(t{i}{j}, sqrt(t{i}{i} * t{j}{j})), 0D)",
+        lambda i, j: f"d{i} * d{j} * {len(X)} * g{i}{j}",
+    ]
+    made = [f"struct({k} as start, {', '.join(f'double({f(i, j)}) as c{i}{j}' for i, j in PAIRS)})" for k, f in enumerate(of)]
+    means = [f"m{i}" for i in range(len(X))]
+    return _factored(shapes.selectExpr(*KEY, *means, f"explode(array({', '.join(made)})) as x").select(*KEY, *means, "x.*"))
+
+
+def minimum_determinant(rows: DataFrame) -> DataFrame:
+    """(KEY, m, c, l, log_det): per key the core of half its rows whose covariance has the least determinant that was found.
+
+    From three starts, two concentration steps each; from the best of them steps until no key's determinant falls any more,
+    and the estimates with the least one are kept.  FLOORS**2 is added to every covariance, always the same, so that a
+    step doesn't raise the determinant (as is proven of regularised estimates with a fixed target) even if most rows agree.
+    """
+    now = saved(_starts(rows))
+    known = is_small(now)
+    for _ in range(FIRST_STEPS):
+        now = saved(_step(rows, now, [0, 1, 2], known))
+    fields = [c for c in now.columns if c not in (*KEY, "start")]
+    best = now.withColumn("nth", F.row_number().over(Window.partitionBy(*KEY).orderBy("log_det", "start"))).filter("nth = 1")
+    best = saved(best.select(*KEY, *fields))
+    for _ in range(MOST_STEPS):
+        after = _step(rows, best, [0], known).select(*KEY, F.struct(*fields).alias("new"))
+        pair = join_small(after, best.select(*KEY, F.struct(*fields).alias("old")), KEY, known=known)
+        best = saved(pair.selectExpr(*KEY, "if(new.log_det < old.log_det, new, old) as x", f"new.log_det < old.log_det - {SETTLED} as fell").select(*KEY, "x.*", "fell"))
+        fell, best = best.filter("fell").limit(1).count(), best.drop("fell")
+        if not fell:
+            break
+    return best
 
 
 def robust_distance(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds d2 by minimum-covariance-determinant estimates per key.
+    """rows with d2 by minimum-covariance-determinant estimates per key, drawn toward coarser ones by weight.
 
-    Start: medians and absolute deviations.  Each step keeps the share CORE of a key's rows that is nearest and takes
-    their mean and covariance, which never raises the determinant; quantiles are found by counting cells.  Per step there
-    are two passes over the vectors, both aggregated before any shuffle, so a key with a third of all rows is no burden.
+    Estimates are made of all rows, of each value of the first key and of each pair; a level with n rows weighs n against
+    SHRINK of the level above.  Distances are scaled so that their median is that of chi-squared, as the core is narrower
+    than the whole; the scale is drawn in the same way.  Every pass over the vectors is aggregated before any shuffle, so
+    a key with a third of all rows is no burden.
     """
-    value = rows.select(*keys, F.explode(F.array(*(F.struct(F.lit(i).alias("__which"), F.col(x).alias("__x")) for i, x in enumerate(X)))).alias("__c")).select(*keys, "__c.__which", "__c.__x")
-    middle = saved(_quantile(value, [*keys, "__which"], F.floor(F.col("__x") * 256), 0.5, "__at"))
-    off = join_small(value, middle, [*keys, "__which"]).withColumn("__off", F.abs(F.col("__x") - (F.col("__at") + 0.5) / 256))
-    spread = saved(_quantile(off, [*keys, "__which"], F.floor(F.col("__off") * 256), 0.5, "__wide"))
-    start = join_small(middle, spread, [*keys, "__which"]).groupBy(*keys).agg(*(F.max(F.when(F.col("__which") == i, (F.col("__at") + 0.5) / 256)).alias(f"m{i}") for i in range(len(X))), *(F.max(F.when(F.col("__which") == i, 1.4826 * (F.col("__wide") + 0.5) / 256)).alias(f"s{i}") for i in range(len(X))))
-    floor2 = [f * f for f in FLOORS.values()]
-    estimates = _with_scatter(start, lambda i, j: F.greatest(F.col(f"s{i}") * F.col(f"s{i}"), F.lit(floor2[i])) if i == j else F.lit(0.0), keys)
-    cell = F.floor(64 * F.log1p("d2"))
-    for _ in range(STEPS):
-        near = _distance(rows, estimates, keys)
-        cut = saved(_quantile(near, keys, cell, CORE, "cut"))
-        core = join_small(near, cut, keys).filter(cell <= F.col("cut"))
-        moments = core.groupBy(*keys).agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(X)), *(F.avg(F.col(X[i]) * F.col(X[j])).alias(f"e{i}{j}") for i in range(len(X)) for j in range(i + 1)))
-        estimates = _with_scatter(moments, lambda i, j: F.col(f"e{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") + (floor2[i] if i == j else 0.0), keys)
-    far = _distance(rows, estimates, keys)
-    # The core is narrower than the whole: distances are scaled down until their median is that of chi-squared.
-    half = saved(_quantile(far, keys, cell, 0.5, "half"))
-    scale = F.greatest(F.lit(1.0), F.expm1((F.col("half") + 1) / 64) / CHI2_HALF)
-    return join_small(far, half, keys).withColumn("d2", F.col("d2") / scale).drop("half")
+    wide = saved(_levels(rows, keys))
+    best = minimum_determinant(wide)
+    far = _distance(wide, best, KEY).withColumn("cell", F.expr(f"floor({FINE} * ln(1 + d2))"))
+    half = saved(_quantile(far, KEY, F.col("cell"), 0.5, "half"))
+    sizes = wide.groupBy(*KEY).agg(F.count("*").cast("double").alias("n"))
+    own = saved(join_small(join_small(best, half, KEY), saved(sizes), KEY).select(*KEY, "n", *ESTIMATE, F.greatest(F.lit(1.0), F.expm1((F.col("half") + 1) / FINE) / CHI2_HALF).alias("scale")))
+    drawn = [*ESTIMATE, "scale"]
+    level = lambda n: own.filter(F.col("level") == n)
+    made = level(0).select(*drawn)
+    for n in range(1, len(keys) + 1):
+        up = made.select(*(F.col(k).alias(f"u{k}") for k in KEY[1:n]), *(F.col(c).alias(f"up_{c}") for c in drawn))
+        here = level(n).select(*KEY[1 : n + 1], "n", *drawn)
+        # The level above the first is one row, the one of all rows; above the second, one row for each first key.
+        met = join_small(here, up.withColumnsRenamed({f"u{k}": k for k in KEY[1:n]}), KEY[1:n]) if n > 1 else here.join(F.broadcast(up), how="cross")
+        w = F.col("n") / (F.col("n") + SHRINK)
+        made = met.select(*KEY[1 : n + 1], *((w * F.col(c) + (1 - w) * F.col(f"up_{c}")).alias(c) for c in drawn))
+        made = saved(made)
+    final = saved(_factored(made).withColumnsRenamed({f"k{i}": keys[i] for i in range(len(keys))}))
+    text = rows.withColumns({f"__k{i}x": F.col(k).cast("string") for i, k in enumerate(keys)})
+    final = final.withColumnsRenamed({k: f"__k{i}x" for i, k in enumerate(keys)})
+    return _distance(text, final, [f"__k{i}x" for i in range(len(keys))]).withColumn("d2", F.col("d2") / F.col("scale")).select(*rows.columns, "d2")
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance for every row.
 
     base_failed: fewer than 20 words, or over 30 % of them in repeated eight-word windows.  Others are kept unless their
-    vector lies beyond the 0.9999 quantile in squared robust distance from its language and source; languages and sources
-    with under 50 such rows are judged with their language, and that failing with all such rows.
+    vector lies beyond the 0.9999 quantile in squared robust distance from its language and source.  The estimates of a
+    language and source of n such rows weigh n against 50 of its language's, and these alike against all rows'.
 
     Null or empty text: all counts 0, base_failed.  Null lang or source: groups of their own.  Null doc_id and repeated
-    rows: a row each.  Very long texts are counted whole.  Empty table: no rows.  Other columns are ignored.
+    rows: a row each.  Very long texts are counted whole.  Groups of one row, and of rows that all agree, have estimates
+    like any other.  Empty table: no rows.  Other columns are ignored, whatever their names.
     """
     t = statistics(docs)
     t = saved(t.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))))
     named = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    fine = _vector(t.filter(~F.col("base_failed")))
-    sizes = saved(fine.groupBy("lang", "source").agg(F.count("*").alias("__rows")).withColumn("__small", F.sum(F.when(F.col("__rows") < LEAST_ROWS, F.col("__rows")).otherwise(0)).over(Window.partitionBy("lang"))))
-    own, pooled = F.col("__rows") >= LEAST_ROWS, F.col("__small") >= LEAST_ROWS
-    fine = join_small(fine, sizes, ["lang", "source"]).withColumn("g_lang", F.when(own | pooled, F.col("lang")).otherwise(POOL)).withColumn("g_source", F.when(own, F.col("source")).otherwise(POOL))
-    fine = saved(fine.select(*named, *X, "g_lang", "g_source"))
-    judged = robust_distance(fine, ["g_lang", "g_source"])
+    fine = saved(_vector(t.filter(~F.col("base_failed"))).select(*named, *X, "lang", "source"))
+    judged = robust_distance(fine, ["lang", "source"])
     out = judged.select(*named, (F.col("d2") <= CHI2_CUT).alias("kept"), F.sqrt("d2").alias("distance"))
     return out.unionByName(t.filter("base_failed").select(*named, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")))
 

@@ -139,6 +139,65 @@ def test_mcd_finds_the_clean_core(spark):
     assert np.mean([d[i] <= quality.CHI2_CUT for i in range(100, 600)]) > 0.97
 
 
+def log_det(x: np.ndarray) -> float:
+    return float(np.linalg.slogdet(np.cov(x.T, bias=True) + np.diag([f * f for f in quality.FLOORS.values()]))[1])
+
+
+def brute_mcd(x: np.ndarray, starts: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
+    """Least log-determinant over many random starts with steps to convergence; its centre and its core."""
+    r, h, best = np.random.default_rng(0), len(x) // 2, None
+    floor = np.diag([f * f for f in quality.FLOORS.values()])
+    for _ in range(starts):
+        core = x[r.choice(len(x), 6, replace=False)]
+        for _ in range(50):
+            m, c = core.mean(axis=0), np.cov(core.T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            after = x[np.argsort(d, kind="stable")[:h]]
+            if np.array_equal(after, core):
+                break
+            core = after
+        if best is None or log_det(core) < best[0]:
+            best = (log_det(core), core.mean(axis=0), core)
+    return best
+
+
+def test_mcd_matches_brute_force(spark):
+    rng = np.random.default_rng(2)
+    mix = np.array([[1, 0, 0, 0, 0], [0.6, 0.5, 0, 0, 0], [0, 0.3, 0.6, 0, 0], [0, 0, 0.2, 0.4, 0], [0.1, 0, 0, 0.3, 0.5]])
+    groups = {"plain": rng.normal(0, 0.5, (400, 5)) @ mix.T}
+    groups["far"] = np.concatenate([groups["plain"] + 3, rng.normal(7, 0.05, (180, 5))])
+    groups["flat"] = np.concatenate([np.pad(rng.normal(0, 0.3, (300, 2)), ((0, 0), (0, 3))), rng.normal(2, 0.5, (100, 5))])
+    rows = [(k, *map(float, x)) for k, xs in groups.items() for x in xs]
+    t = spark.createDataFrame(rows, "k string, " + ", ".join(f"{c} double" for c in quality.X)).repartition(4)
+    got = {r.k0: r for r in quality.minimum_determinant(quality._levels(t, ["k"])).collect() if r.level == 1}
+    for k, x in groups.items():
+        least, centre, core = brute_mcd(x)
+        assert got[k].log_det <= least + 0.02, k
+        spread = np.sqrt(np.diag(np.cov(core.T, bias=True)) + np.square(list(quality.FLOORS.values())))
+        assert np.all(np.abs([got[k][f"m{i}"] for i in range(5)] - centre) < 0.25 * spread), k
+
+
+def test_steps_do_not_raise_the_determinant(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (500, 5)) * [1, 0.2, 0, 0, 0.5], rng.normal(3, 0.3, (200, 5))])
+    t = quality.saved(quality._levels(spark.createDataFrame([("g", *map(float, r)) for r in x], "k string, " + ", ".join(f"{c} double" for c in quality.X)), ["k"]))
+    now, before = quality.saved(quality._step(t, quality._starts(t), [0, 1, 2])), {}
+    for _ in range(5):
+        dets = {(r.level, r.start): r.log_det for r in now.collect()}
+        assert all(dets[k] <= before[k] + 0.02 for k in before)
+        before, now = dets, quality.saved(quality._step(t, now, [0, 1, 2]))
+
+
+def test_small_groups_lean_on_larger_ones(spark):
+    from tests.llm.conftest import prose
+
+    odd = " ".join(w + "###" for w in prose(1, 100).split())
+    rows = [(i, prose(i, 100), "en", "big") for i in range(300)] + [(900, odd, "en", "tiny"), (901, prose(901, 100), "en", "tiny"), (902, odd, "xx", "alone"), (903, prose(903, 100), "xx", "alone"), (904, prose(904, 100), None, None)]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert (got[900], got[902]) == (False, False)
+    assert got[901] and got[903] and got[904]
+
+
 def test_quality_rejects_a_third_of_copies(spark):
     from tests.llm.conftest import prose
 
