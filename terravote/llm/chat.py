@@ -12,17 +12,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, saved, table
+from .common import join_small, prefix_sums, saved, table
 
 # Control strings.
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 CONTROL = [TURN, BODY, END, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 
-#: Tokens of a window's new turns, and of the history repeated before them.
+#: Tokens of a window, all of it, and of them at most for history that is repeated before the new turns.
 BUDGET, HISTORY = 1024, 256
 #: Turns that may be repeated.
 LOOK_BACK = 8
-#: Turn numbers of a range within which running sums are sorted.
+#: Turn numbers of a range within which running sums are sorted, and turns of a range in which windows are chosen.
 RANGE = 4096
 #: The unit of the budget: words, digits and marks as a byte-pair pattern cuts them before merging.
 PRE_TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"
@@ -40,42 +40,66 @@ def _length(text: Column) -> Column:
     return F.char_length(text)
 
 
+def _spans(numbered: DataFrame, budget: int, history: int) -> DataFrame:
+    """(conv_id, first, upto, back) of every window: its new turns, and how many turns before them are repeated.
+
+    Greedy, along prefix sums: a window takes turns as long as the system turn, the history and they fit the budget.  Its
+    history are the last turns before it, at most LOOK_BACK, that fit ``history`` tokens and what the budget leaves
+    beside the system turn and the window's first turn.  Windows are chosen within ranges of RANGE turns, which begin a
+    window each, so a row here holds a bounded number of turns whatever a conversation's length; a range sees the turns
+    that it may repeat of the range before.
+    """
+    n = numbered.select("conv_id", "pos", "before", "tokens", "head", F.expr(f"pos div {RANGE}").alias("range"))
+    late = F.expr(f"pos % {RANGE} >= {RANGE - LOOK_BACK}")
+    shown = n.select("*", F.explode(F.when(late, F.array(F.col("range"), F.col("range") + 1)).otherwise(F.array("range"))).alias("of"))
+    rows = shown.groupBy("conv_id", "of").agg(F.sort_array(F.collect_list(F.struct("pos", "before", "tokens", "head"))).alias("t"))
+    rows = rows.filter(F.expr(f"t[size(t) - 1].pos >= of * {RANGE}"))
+    system = numbered.filter("head").select("conv_id", F.col("tokens").alias("s"))
+    rows = join_small(rows, saved(system), ["conv_id"]).select("conv_id", "of", "t", F.coalesce("s", F.lit(0).cast("long")).alias("s"))
+    # What is repeated before turn i: the most turns of those before it, short of the system turn, whose tokens fit ``room``.
+    fits = f"filter(sequence(1, {LOOK_BACK}), b -> i - b >= 0 and not t[i - b].head and t[i].before - t[i - b].before <= least({history}L, {budget} - s - t[i].tokens))"
+    open_ = f"transform(array(coalesce(array_max({fits}), 0)), b -> struct(t[i].pos as first, b as back, t[i].tokens + if(t[i].head, 0L, s) + t[i].before - t[i - b].before as used))[0]"
+    state = "struct(cast(null as struct<first:bigint,back:int,used:bigint>) as w, cast(array() as array<struct<first:bigint,back:int,used:bigint>>) as done)"
+    step = f"""case when t[i].pos < of * {RANGE} then a
+        when a.w.used + t[i].tokens <= {budget} then struct(struct(a.w.first as first, a.w.back as back, a.w.used + t[i].tokens as used) as w, a.done as done)
+        else struct({open_} as w, if(a.w is null, a.done, array_append(a.done, a.w)) as done) end"""
+    run = f"aggregate(sequence(0, size(t) - 1), {state}, (a, i) -> {step}, a -> array_append(a.done, a.w))"
+    rows = rows.withColumn("w", F.expr(run)).withColumn("end", F.expr("t[size(t) - 1].pos + 1"))
+    cut = "transform(w, (x, k) -> struct(x.first as first, coalesce(get(w, k + 1).first, end) as upto, x.back as back))"
+    return rows.select("conv_id", F.explode(F.expr(cut)).alias("x")).select("conv_id", "x.*")
+
+
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row per window: conv_id, window, n_new, n_context, has_system, formatted, loss array<struct<start, length>>.
+    """One row per window: conv_id, window, first, n_new, n_context, n_tokens, has_system, formatted, loss array<struct<start,
+    length>>.
 
-    Prefix sums of turn tokens choose the spans.  A conversation is cut every ``budget`` tokens; the turns between two
-    cuts are one span and a turn on a cut is one of its own, so no span exceeds the budget but a turn longer than it.
-    A window holds the conversation's system turn, as much of the turns just before its span as fits ``history`` tokens
-    (at most 8), and the span; only assistant texts of the span are under the mask, each in one window alone.
+    One budget holds for the whole window: the conversation's system turn, which every window retains, the turns repeated
+    before the new ones, and the new turns.  Only a window of a single new turn that is too long beside the system turn
+    exceeds it, as turns are not cut; it repeats nothing else.  Tokens are counted as pre-tokens of a byte-pair pattern and
+    three marks a turn, as merging has no native form.  Only assistant texts of new turns are under the mask, each in one
+    window alone.
 
-    Sums, the window's predecessors and its texts are found without bringing a conversation into one task: rows are
-    sorted within ranges of turn numbers, and a window's size is bounded by the budget and its longest turn.
+    Sums, spans and texts are found without bringing a conversation into one task: rows are sorted within ranges of turns,
+    and a window's size is bounded by the budget and its longest turn.
     """
     t = turns.select("conv_id", "turn", "role", "text")
-    key = F.xxhash64("turn", "role", "text")
-    t = t.withColumn("tie", key).withColumn("tokens", (F.regexp_count(F.concat_ws(" ", "role", "text"), F.lit(PRE_TOKEN)) + 3).cast("long")).withColumn("one", F.lit(1).cast("long"))
+    t = t.withColumn("tie", F.xxhash64("turn", "role", "text")).withColumn("tokens", (F.regexp_count(F.concat_ws(" ", "role", "text"), F.lit(PRE_TOKEN)) + 3).cast("long")).withColumn("one", F.lit(1).cast("long"))
     order = [F.asc_nulls_last("turn"), F.asc("tie")]
-    t = prefix_sums(t, ["conv_id"], F.coalesce(F.floor(F.col("turn") / RANGE), F.lit(2**62)), order, {"before": "tokens", "pos": "one"})
-    t = t.withColumn("cut", F.expr(f"before div {budget}")).withColumn("over", F.expr(f"(before + tokens - 1) div {budget} > before div {budget}"))
-    t = t.withColumn("window", F.col("cut") * 2 + F.col("over").cast("long"))
+    cell = F.when(F.col("turn").isNull(), F.lit(2**61) + F.shiftright("tie", 50)).otherwise(F.floor(F.col("turn") / RANGE))
+    t = prefix_sums(t, ["conv_id"], cell, order, {"before": "tokens", "pos": "one"})
+    t = t.withColumn("head", (F.col("pos") == 0) & (F.col("role") == "system"))
     t = t.withColumn("body", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY), escape(F.col("text")), F.lit(END))).withColumn("target", F.col("role") == "assistant")
     t = t.withColumn("lead", _length(F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY)))).withColumn("masked", _length(escape(F.col("text"))))
-    t = saved(t.select("conv_id", "pos", "window", "before", "tokens", "role", "body", "target", "lead", "masked"))
-    spans = t.groupBy("conv_id", "window").agg(F.min("pos").alias("from"), F.min("before").alias("start"))
-    # A turn is history of every window that starts within LOOK_BACK turns and history tokens after it.  Which ones is
-    # found on positions alone; texts are fetched for those that are repeated.
-    head = (F.col("pos") == 0) & (F.col("role") == "system")
-    near = t.filter(~head).select("conv_id", "pos", "before", F.explode(F.sequence(F.lit(1), F.lit(LOOK_BACK))).alias("back"))
-    starts = spans.select(F.col("conv_id").alias("c"), F.col("from").alias("f"), "window", "start")
-    near = near.join(starts, near["conv_id"].eqNullSafe(F.col("c")) & (near["pos"] + near["back"] == F.col("f")))
-    near = near.filter(F.col("start") - F.col("before") <= history).select(F.col("conv_id").alias("c"), F.col("pos").alias("p"), F.col("window").alias("into"))
-    h = t.drop("window").join(near, t["conv_id"].eqNullSafe(F.col("c")) & (t["pos"] == F.col("p"))).withColumnRenamed("into", "window")
-    piece = lambda kind: F.struct(F.lit(kind).alias("kind"), "pos", "body", "target", "lead", "masked")
-    none = {"target": F.lit(False), "lead": F.lit(0), "masked": F.lit(0)}
-    parts = t.select("conv_id", "window", piece(2).alias("p")).unionByName(h.withColumns(none).select("conv_id", "window", piece(1).alias("p")))
-    system = t.filter((F.col("pos") == 0) & (F.col("role") == "system")).select(F.col("conv_id").alias("c"), "body", "pos")
-    s = spans.filter(F.col("from") > 0).join(system, spans["conv_id"].eqNullSafe(F.col("c"))).withColumns(none).select("conv_id", "window", piece(0).alias("p"))
-    w = parts.unionByName(s).groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("p")).alias("p"), F.min(F.when(F.col("p.kind") == 2, F.col("p.pos"))).alias("first"))
+    t = saved(t.select("conv_id", "pos", "before", "tokens", "head", "body", "target", "lead", "masked"))
+    spans = saved(_spans(t.select("conv_id", "pos", "before", "tokens", "head"), budget, history))
+    # Which turns a window holds is found on positions alone; then texts are fetched, once for each window they are in.
+    whose = spans.select(F.col("conv_id").alias("c"), F.col("first").alias("window"), F.explode(F.expr("transform(sequence(first - back, upto - 1), p -> struct(p as pos, if(p < first, 1, 2) as kind))")).alias("x")).select("c", "window", F.col("x.pos").alias("p"), F.col("x.kind").alias("kind"))
+    met = t.join(whose, t["conv_id"].eqNullSafe(F.col("c")) & (t["pos"] == F.col("p")))
+    piece = F.struct("kind", "pos", "body", (F.col("target") & (F.col("kind") == 2)).alias("target"), "lead", "masked", "tokens").alias("p")
+    parts = met.select("conv_id", "window", piece)
+    system = saved(t.filter("head").select("conv_id", "pos", "body", "target", "lead", "masked", "tokens"))
+    s = join_small(spans.filter("first > 0").select("conv_id", F.col("first").alias("window")), system, ["conv_id"], "inner").withColumn("kind", F.lit(0))
+    w = parts.unionByName(s.select("conv_id", "window", piece)).groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("p")).alias("p")).withColumn("first", F.col("window"))
     w = w.withColumn("formatted", F.array_join(F.transform("p", lambda x: x["body"]), ""))
     run = F.aggregate(
         "p",
@@ -83,7 +107,8 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
         lambda a, x: F.struct((a["at"] + _length(x["body"])).alias("at"), F.when(x["target"], F.concat(a["loss"], F.array(F.struct((a["at"] + x["lead"]).alias("start"), x["masked"].alias("length"))))).otherwise(a["loss"]).alias("loss")),
     )
     count = lambda kind: F.size(F.filter("p", lambda x: x["kind"] == kind))
-    return w.select("conv_id", "window", "first", count(2).alias("n_new"), (count(0) + count(1)).alias("n_context"), (count(0) > 0).alias("has_system"), "formatted", run["loss"].alias("loss"))
+    tokens = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
+    return w.select("conv_id", "window", "first", count(2).alias("n_new"), (count(0) + count(1)).alias("n_context"), tokens.alias("n_tokens"), (count(0) > 0).alias("has_system"), "formatted", run["loss"].alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -108,7 +133,7 @@ def format_chats(conversations: DataFrame, budget: int = BUDGET, history: int =
 
     Rows are ordered by turn, null turns last, then by a hash of role and text.  Null text or role: empty.  Null conv_id:
     one conversation of its own.  Repeated rows: a turn each.  Empty and very long texts are turns like any other; nothing
-    is cut.  Empty table: no rows.  Other columns are ignored.
+    is cut.  Empty table: no rows.  Other columns are ignored, whatever their names.
     """
     t = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return windows(t, budget, history)

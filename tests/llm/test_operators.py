@@ -707,14 +707,45 @@ def test_chat_windows_read_back(spark):
         assert (g.loss_chars, g.loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
 
 
-def test_chat_windows_keep_their_budget(spark):
-    w = chat.format_chats(conversations(spark), 300, 100).collect()
-    for r in w:
+def pre_tokens(role: str, text: str) -> int:
+    import regex
+
+    return len(regex.findall(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]", f"{role} {text}")) + 3
+
+
+def brute_windows(tokens: list[int], system: bool, budget: int, history: int, span: int = 10**9) -> list[tuple]:
+    """(first, new turns, repeated turns, tokens) of each window of a conversation, greedily."""
+    out, s = [], tokens[0] if system else 0
+    for i, n in enumerate(tokens):
+        if out and i % span and out[-1][3] + n <= budget:
+            first, new, back, used = out[-1]
+            out[-1] = (first, new + 1, back, used + n)
+            continue
+        back = 0
+        for b in range(1, 9):
+            if i - b >= (1 if system else 0) and sum(tokens[i - b : i]) <= min(history, budget - s - n):
+                back = b
+        out.append((i, 1, back, n + sum(tokens[i - back : i]) + (s if i else 0)))
+    return out
+
+
+@pytest.mark.parametrize("budget, history, span", [(300, 100, 4096), (60, 0, 4096), (120, 60, 16)])
+def test_chat_windows_are_greedy_within_one_budget(spark, monkeypatch, budget, history, span):
+    monkeypatch.setattr(chat, "RANGE", span)
+    t = conversations(spark)
+    said = defaultdict(list)
+    for r in t.filter("conv_id < 50 or conv_id in (51, 52)").collect():
+        said[r.conv_id].append((r.turn, r.role or "", r.text or ""))
+    got = defaultdict(list)
+    for r in chat.format_chats(t, budget, history).collect():
+        got[r.conv_id].append((r.first, r.n_new, r.n_context - r.has_system, r.n_tokens))
         assert r.formatted.count(chat.TURN) == r.n_new + r.n_context == r.formatted.count(chat.END)
-        tokens = [len(re.findall(r"[^\W\d_]+|\d+|[^\w\s]|_", x)) for x in r.formatted.split(chat.TURN)[1:]]
-        assert len(tokens) == 1 or r.n_new == 1 or sum(tokens) < 4 * (300 + 100)
         assert r.has_system == (r.conv_id is not None and r.conv_id < 12 and r.conv_id % 3 == 0 and r.first > 0)
-    assert max(r.n_context for r in w) > 1
+        assert r.n_tokens <= budget or r.n_new == 1 and r.n_context == r.has_system
+    for c, turns in said.items():
+        turns.sort()
+        tokens = [pre_tokens(role, text) for _, role, text in turns]
+        assert sorted(got[c]) == brute_windows(tokens, turns[0][1] == "system", budget, history, span), c
 
 
 def test_chat_escape_is_reversible(spark):
