@@ -5,9 +5,9 @@ candidates for a query are one list; a candidate's score is its sum over the lis
 
 Phase one gathers the k best entries of each list and adds what the other lists give them: the k-th best sum is a safe
 cutoff, as k candidates reach it.  Phase two sends the cutoff with the queries, and each list returns its entries of at
-least cutoff / lists: a candidate below that in every list can't reach the cutoff.  Nor can one that falls short of it even
-with the greatest entries of the lists it was not returned from.  Phase three looks up what is missing of the others, and
-ranks the sums.
+least cutoff / lists: a candidate below that in every list can't reach the cutoff.  Candidates that every list returned
+raise the cutoff; those that fall short of it even with the most that the other lists can add are out.  Phase three looks up
+what is missing of the others, and ranks the sums.
 
 Candidates stay where they are, in blocks of bounded size; queries come to them in batches of bounded size by broadcast.
 """
@@ -149,12 +149,12 @@ def _search(blocks: DataFrame, queries: DataFrame, k: int, parts: int, row_block
     cut = sums.withColumn("rank", F.row_number().over(best("query_id"))).filter(F.col("rank") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("cutoff"))
     greatest = top.groupBy("query_id").pivot("part", list(range(parts))).agg(F.max("score"))
     limits = greatest.join(cut, "query_id").select("query_id", "cutoff", F.array(*(F.col(str(p)) for p in range(parts))).alias("most"))
-    limits = saved(limits)
-    # Phase two: the queries go out with their cutoff and with the most that the other lists can add.
+    every = F.aggregate("most", F.lit(0).cast("long"), lambda a, x: a + x)
+    threshold = F.transform("most", lambda m: F.when(F.col("cutoff").isNull(), F.lit(-(2**62))).otherwise(F.greatest(F.ceil(F.col("cutoff") / parts), F.col("cutoff") - (every - m))).cast("long"))
+    limits = saved(limits.withColumn("least", threshold))
+    # Phase two: the queries go out with their thresholds: the uniform one, or what the other lists' greatest leave.
     table_of = queries.select("part", F.explode("queries").alias("x")).select("part", F.col("x.id").alias("query_id"), F.col("x.v").alias("v")).join(limits, "query_id")
-    others = F.aggregate("most", F.lit(0).cast("long"), lambda a, x: a + x) - F.get("most", F.col("part"))
-    least = F.when(F.col("cutoff").isNull(), F.lit(-(2**62))).otherwise(F.greatest(F.ceil(F.col("cutoff") / parts), F.col("cutoff") - others)).cast("long")
-    informed = table_of.groupBy("part").agg(F.collect_list(F.struct(F.col("query_id").alias("id"), "v", least.alias("least"))).alias("queries"))
+    informed = table_of.groupBy("part").agg(F.collect_list(F.struct(F.col("query_id").alias("id"), "v", F.get("least", F.col("part")).alias("least"))).alias("queries"))
 
     def collect(batches: Iterator) -> Iterator:
         import numpy as np
@@ -166,10 +166,14 @@ def _search(blocks: DataFrame, queries: DataFrame, k: int, parts: int, row_block
         return _lists(batches, choose)
 
     entries = saved(met(informed).mapInArrow(collect, ENTRY))
-    seen = entries.groupBy("query_id", "vec_id").agg(F.collect_list("part").alias("have"), F.sum("score").alias("score")).join(limits, "query_id")
-    # A list that did not return the candidate can add less than its threshold, and no more than its greatest entry.
-    more = F.aggregate(F.sequence(F.lit(0), F.lit(parts - 1)), F.lit(0).cast("long"), lambda a, p: a + F.when(F.array_contains("have", p), F.lit(0)).otherwise(F.get("most", p)))
-    seen = saved(seen.filter(F.col("cutoff").isNull() | (F.col("score") + more >= F.col("cutoff"))).select("query_id", "vec_id", "have", "score"))
+    seen = saved(entries.groupBy("query_id", "vec_id").agg(F.collect_list("part").alias("have"), F.sum("score").alias("score")))
+    # Candidates that every list returned are known, and the k-th best of them may raise the cutoff.  A list that did not
+    # return a candidate adds less than its threshold, and no more than its greatest entry.
+    known = seen.filter(F.size("have") == parts).withColumn("rank", F.row_number().over(best("query_id"))).filter(F.col("rank") == k).select("query_id", F.col("score").alias("raised"))
+    raised = saved(limits.join(known, "query_id", "left").withColumn("cutoff", F.greatest("cutoff", "raised")).select("query_id", "cutoff", F.zip_with("most", "least", lambda m, t: F.least(m, t - 1)).alias("bound")))
+    more = F.aggregate(F.sequence(F.lit(0), F.lit(parts - 1)), F.lit(0).cast("long"), lambda a, p: a + F.when(F.array_contains("have", p), F.lit(0)).otherwise(F.get("bound", p)))
+    seen = seen.join(raised, "query_id").filter(F.col("cutoff").isNull() | (F.col("score") + more >= F.col("cutoff")))
+    seen = saved(seen.select("query_id", "vec_id", "have", "score"))
     # Phase three: the missing scores of those that can still reach the cutoff.
     rest = _missing(seen, blocks, queries, parts, row_blocks).groupBy("query_id", "vec_id").agg(F.sum("score").alias("rest"))
     full = seen.join(rest, ["query_id", "vec_id"], "left").select("query_id", "vec_id", (F.col("score") + F.coalesce("rest", F.lit(0))).alias("score"))
