@@ -9,6 +9,7 @@ from terravote.functions.geo import METRO_KM, haversine_km
 from terravote.functions.text import clean_text, slug_to_name
 from terravote.operators.places import nearest_place
 from terravote.operators.toponyms import matches, terms
+from terravote.sources.shared import checked
 
 INSIDE_KM, TIMELINE = 50.0, 10
 
@@ -30,7 +31,7 @@ def post_rows(records: DataFrame, places: DataFrame) -> DataFrame:
     t = t.withColumn("bucket", F.when(inside & F.col("named"), "intl").when(inside, "hard-sem").otherwise("ooc"))
     t = t.withColumn("truth", F.when(inside, F.col("place")).otherwise(slug_to_name("tweet_city")))
     known = places.select(F.lower("name").alias("__known")).distinct()
-    t = t.join(F.broadcast(known), F.lower("truth") == F.col("__known"), "left")
+    t = t.join(checked(known), F.lower("truth") == F.col("__known"), "left")
     return t.filter(inside | ((F.col("truth") != "") & F.col("__known").isNull())).select(F.col("row_id").alias("tweet_id"), F.col("text").alias("post"), "truth", "bucket", "km")
 
 
@@ -81,3 +82,17 @@ def manifest_diff(want: DataFrame, got: DataFrame) -> DataFrame:
     missing: Column = F.col("g").isNull()
     five = lambda c: F.array_join(F.slice(F.array_sort(F.collect_list(F.when(c, F.col("id")))), 1, 5), ",")
     return t.groupBy("bucket").agg(F.count_if(missing).alias("missing"), F.count_if(F.col("w").isNull()).alias("extra"), five(missing).alias("first_missing"), five(F.col("w").isNull()).alias("first_extra"))
+
+
+#: The benchmark's buckets in the order of its pool.
+POOL = ["intl", "hard-sem", "ooc", "disagree", "userhome"]
+
+
+def pool(parts: list[DataFrame], columns: list[str]) -> DataFrame:
+    """The rows of all parts (each with a bucket and whatever of ``columns`` it has), with position, the bucket's place."""
+    none = lambda t: {c: F.lit(None).cast("string") for c in columns if c not in t.columns}
+    out = None
+    for t in parts:
+        t = t.withColumns(none(t)).select("bucket", *columns)
+        out = t if out is None else out.unionByName(t)
+    return out.filter(F.col("bucket").isin(POOL)).withColumn("position", F.array_position(F.array(*map(F.lit, POOL)), F.col("bucket")))

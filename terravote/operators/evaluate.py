@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terravote.functions.geo import METRO_KM, haversine_km
 from terravote.functions.stats import mcnemar_p, mcnemar_statistic, ratio, wilson
 from terravote.operators.scoring import mode, usable
+from terravote.sources.shared import checked
 
 ABSENT = 1_000_000
 MODES = ["real", "stub", "failed", "skipped"]
@@ -32,7 +33,7 @@ def rank_in(top_k: str, wanted: str) -> Column:
 
 def _located(rows: DataFrame, coordinates: DataFrame, city: str) -> DataFrame:
     for side, c in (("p", city), ("t", "truth")):
-        rows = rows.join(F.broadcast(coordinates.select(F.col("name").alias(f"__{side}"), F.col("lat").alias(f"{side}_lat"), F.col("lon").alias(f"{side}_lon"))), F.col(c) == F.col(f"__{side}"), "left").drop(f"__{side}")
+        rows = rows.join(checked(coordinates.select(F.col("name").alias(f"__{side}"), F.col("lat").alias(f"{side}_lat"), F.col("lon").alias(f"{side}_lon"))), F.col(c) == F.col(f"__{side}"), "left").drop(f"__{side}")
     return rows.withColumn("km", haversine_km("p_lat", "p_lon", "t_lat", "t_lon"))
 
 
@@ -93,7 +94,7 @@ def bucket_accuracy(points: DataFrame) -> DataFrame:
 
 def in_scope(points: DataFrame, scope: DataFrame) -> DataFrame:
     """Points whose (level, bucket) is in the scope table: the fair subset of each level."""
-    return points.join(F.broadcast(scope.select("level", "bucket").distinct()), ["level", "bucket"], "left_semi")
+    return points.join(checked(scope.select("level", "bucket").distinct()), ["level", "bucket"], "left_semi")
 
 
 def flag_confusion(flags: DataFrame, rows: DataFrame) -> DataFrame:

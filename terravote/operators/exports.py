@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from terravote.functions.geo import METRO_KM, haversine_km
 from terravote.operators.scoring import mode, usable
+from terravote.sources.shared import checked
 
 EVAL_COLUMNS = ["id", "post", "user_posts", "ground_truth_city", "bucket", "should_disagree", "source", "lang"]
-MANIFEST_COLUMNS = ["id", "bucket", "ground_truth_city", "should_disagree", "lang"]
+MANIFEST_COLUMNS = ["id", "bucket", "ground_truth_city", "should_disagree", "lang", "post_tweet_id", "user_post_ids"]
 
 
 def cell_text() -> Column:
@@ -49,7 +50,7 @@ def geojson_features(fused: DataFrame, predictions: DataFrame, places: DataFrame
     t = f.unionByName(e).join(truths.select("row_id", "truth_post", "truth_user"), "row_id")
     t = t.withColumn("truth", F.when(F.col("level") == "user", F.coalesce("truth_user", "truth_post")).otherwise(F.col("truth_post")))
     for side, c in (("p", "city"), ("t", "truth")):
-        t = t.join(F.broadcast(places.select(F.col("name").alias(f"{side}_n"), F.col("lat").alias(f"{side}_lat"), F.col("lon").alias(f"{side}_lon"))), F.col(c) == F.col(f"{side}_n"), "left")
+        t = t.join(checked(places.select(F.col("name").alias(f"{side}_n"), F.col("lat").alias(f"{side}_lat"), F.col("lon").alias(f"{side}_lon"))), F.col(c) == F.col(f"{side}_n"), "left")
     km = haversine_km("p_lat", "p_lon", "t_lat", "t_lon")
     t = t.withColumn("km", km).withColumn("why", F.coalesce("why", F.when(F.col("p_lat").isNull(), "place has no coordinates")))
     point = F.when(F.col("p_lat").isNotNull(), F.struct(F.lit("Point").alias("type"), F.array("p_lon", "p_lat").alias("coordinates")))

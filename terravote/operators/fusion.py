@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terravote.functions.geo import DISAGREEMENT_KM, METRO_KM, haversine_km
 from terravote.operators.scoring import usable
+from terravote.sources.shared import checked
 
 DAMPING = 60
 
@@ -28,7 +29,7 @@ def fused_scores(predictions: DataFrame, method: str = "weighted", weights: Data
     """(row_id, level, place, score, share, first_ord, first_pos): weighted sums of scores, or of reciprocal ranks."""
     e = entries(predictions)
     if weights is not None:
-        e = e.join(F.broadcast(weights.select("engine", "weight")), "engine", "left")
+        e = e.join(checked(weights.select("engine", "weight")), "engine", "left")
     w = F.coalesce(F.col("weight"), F.lit(1.0)) if weights is not None else F.lit(1.0)
     value = w / (DAMPING + F.col("pos") + 1) if method == "rrf" else w * F.col("score")
     s = e.groupBy("row_id", "level", "place").agg(_ordered_sum(["ord", "pos"], value).alias("score"), F.min(F.struct("ord", "pos")).alias("at"))
@@ -91,7 +92,7 @@ def verification_flag(predictions: DataFrame, coordinates: DataFrame, radius_km:
     out = rows.join(overall, "row_id", "left").join(levels, "row_id", "left")
     for level in ("post", "user"):
         at = coordinates.select(F.col("name").alias(f"{level}_city"), F.col("lat").alias(f"{level}_lat"), F.col("lon").alias(f"{level}_lon"))
-        out = out.join(F.broadcast(at), f"{level}_city", "left")
+        out = out.join(checked(at), f"{level}_city", "left")
     apart = F.col("post_city") != F.col("user_city")
     km = F.when(apart, haversine_km("post_lat", "post_lon", "user_lat", "user_lon"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terravote.functions.geo import RADIUS_KM, haversine_km, within_box
 from terravote.sources.catalogue import ONBOARDED_FEATURE
+from terravote.sources.shared import checked
 
 KM_PER_DEGREE = math.pi * RADIUS_KM / 180
 
@@ -16,7 +17,7 @@ KM_PER_DEGREE = math.pi * RADIUS_KM / 180
 def locate(names: DataFrame, key: str, places: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """Adds lat, lon, feature_type and place_id by name key; a built-in place wins over a profile of the same name."""
     own = places.select(F.col("name_key").alias("__k"), "lat", "lon", "feature_type", "place_id")
-    out = names.join(F.broadcast(own), F.col(key) == F.col("__k"), "left").drop("__k")
+    out = names.join(checked(own), F.col(key) == F.col("__k"), "left").drop("__k")
     if profiles is not None:
         p = profiles.select(F.col("name_key").alias("__k"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.lit(True).alias("__p"))
         out = out.join(p, F.col(key) == F.col("__k"), "left")
@@ -63,7 +64,7 @@ def nearest_place(points: DataFrame, places: DataFrame, key: str = "row_id", exc
     p = places.filter(F.col("lat").isNotNull()).select(F.col("ord").alias("p_ord"), F.col("name").alias("p_name"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     if p.limit(20_001).count() > 20_000:
         return nearest_in_cells(points, places, key, exclude)
-    t = points.join(F.broadcast(p), F.lit(True))
+    t = points.join(checked(p), F.lit(True))
     if exclude:
         t = t.filter(~F.coalesce(F.col("p_name") == F.col(exclude), F.lit(False)))
     t = t.withColumn("d", haversine_km("lat", "lon", "p_lat", "p_lon"))
@@ -106,9 +107,9 @@ def region_faults(candidates: DataFrame, aliases: DataFrame, boxes: DataFrame) -
     hint = F.trim(F.regexp_replace("region", r"\s+", " "))
     parts = F.reverse(F.filter(F.transform(F.split(hint, "[,/|]"), lambda s: F.btrim(s, F.lit(" ."))), lambda s: s != ""))
     t = candidates.filter(hint != "").select("name", "lat", "lon", F.posexplode(F.concat(F.array(hint), parts)).alias("pos", "part"))
-    t = t.join(F.broadcast(aliases), F.lower("part") == F.col("alias"))
+    t = t.join(checked(aliases), F.lower("part") == F.col("alias"))
     first = t.groupBy("name", "lat", "lon").agg(F.min_by("country", "pos").alias("country"))
-    return first.join(F.broadcast(boxes), "country").select("name", "country", within_box("lat", "lon").alias("inside"))
+    return first.join(checked(boxes), "country").select("name", "country", within_box("lat", "lon").alias("inside"))
 
 
 def same_name(candidates: DataFrame, places: DataFrame, key: str = "name_key") -> DataFrame:
@@ -123,7 +124,7 @@ def swallowed(candidates: DataFrame, places: DataFrame, most: int = 2) -> DataFr
     t = candidates.withColumn("w", words("name")).withColumn("len", F.size("w"))
     t = t.withColumn("from", F.explode(F.sequence(F.lit(1), F.col("len")))).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("len") - F.col("from") + 1)))
     t = t.withColumn("run", F.array_join(F.slice("w", F.col("from"), F.col("n")), " "))
-    met = t.join(F.broadcast(p), ["run", "n"]).filter(F.lower(F.col("name")) != F.lower(F.col("p_name")))
+    met = t.join(checked(p), ["run", "n"]).filter(F.lower(F.col("name")) != F.lower(F.col("p_name")))
     edge = (F.col("from") == 1) | (F.col("from") + F.col("n") - 1 == F.col("len"))
     each = met.groupBy("name", "p_ord", "p_name").agg(F.bool_or(edge & (F.col("len") - F.col("n") <= most)).alias("extends"))
     return each.filter(~F.col("extends")).groupBy("name").agg(F.min_by("p_name", "p_ord").alias("place"))

@@ -164,8 +164,8 @@ def profile_warnings(profiles: DataFrame, places: DataFrame, aliases: DataFrame,
     found = _said(
         (F.col("source") == "stub", "placeholder"),
         (F.trim(F.coalesce("region", F.lit(""))) == "", "no region"),
-        (F.size("aliases") <= 0, "no aliases"),
-        (F.size("landmarks") <= 0, "no landmarks"),
+        (F.coalesce(F.size("aliases"), F.lit(0)) <= 0, "no aliases"),
+        (F.coalesce(F.size("landmarks"), F.lit(0)) <= 0, "no landmarks"),
         (F.col("lat").isNull() | F.col("lon").isNull(), "no centroid"),
         (out, "centroid out of range"),
         (F.col("__away"), "outside its region"),
@@ -178,3 +178,10 @@ def profile_warnings(profiles: DataFrame, places: DataFrame, aliases: DataFrame,
 def accepted(candidates: DataFrame, *checks) -> DataFrame:
     """Candidates without a violation under each check (functions that add ``violations``)."""
     return reduce(lambda t, check: check(t).filter(F.size("violations") == 0).drop("violations"), checks, candidates)
+
+
+def not_empty(rows: DataFrame) -> DataFrame:
+    """rows, unless there are none: an empty batch is refused."""
+    if not rows.limit(1).count():
+        raise ValueError("the batch has no rows")
+    return rows

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravote.functions.text import confidence, extract_json
+from terravote.sources.shared import checked
 
 SHARPNESS = 10.0
 LIST = "array<struct<place:string,score:double>>"
@@ -20,7 +21,7 @@ def row_status(inputs: DataFrame, places: DataFrame) -> DataFrame:
     known = places.select(F.lower("name").alias("n")).distinct()
     out = inputs
     for side in ("truth_post", "truth_user"):
-        out = out.join(F.broadcast(known.select(F.col("n").alias(f"__{side}"))), F.lower(side) == F.col(f"__{side}"), "left")
+        out = out.join(checked(known.select(F.col("n").alias(f"__{side}"))), F.lower(side) == F.col(f"__{side}"), "left")
     outside = lambda side: F.col(side).isNotNull() & F.col(f"__{side}").isNull()
     status = F.when(F.col("error").isNotNull(), "error").when(outside("truth_post") | outside("truth_user"), "ooc").otherwise("ok")
     return out.withColumn("status", status).drop("__truth_post", "__truth_user")
@@ -34,7 +35,7 @@ def dispatch(inputs: DataFrame, engines: DataFrame, selected: list[str] | None =
         .when((F.col("level") == "user") & (F.coalesce(F.size("user_posts"), F.lit(0)) <= 0), "no timeline")
         .when((F.col("level") == "post") & F.col("post").isNull(), "no post")
     )
-    return inputs.join(F.broadcast(engines), F.lit(True)).withColumn("skip_reason", reason)
+    return inputs.join(checked(engines), F.lit(True)).withColumn("skip_reason", reason)
 
 
 def level_text(level: Column | str) -> Column:
@@ -75,7 +76,7 @@ def encoder_scores(queries: DataFrame, places: DataFrame) -> DataFrame:
     q = queries.select("row_id", F.col("vector").cast("array<double>").alias("q")).withColumn("q", unit(F.col("q")))
     p = places.select("place_ord", "place", F.col("vector").cast("array<double>").alias("p")).withColumn("p", unit(F.col("p")))
     dot = F.aggregate(F.zip_with("q", "p", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    t = q.join(F.broadcast(p), F.lit(True)).select("row_id", "place_ord", "place", dot.alias("cosine"))
+    t = q.join(checked(p), F.lit(True)).select("row_id", "place_ord", "place", dot.alias("cosine"))
     row = Window.partitionBy("row_id")
     t = t.withColumn("e", F.exp(SHARPNESS * (F.col("cosine") - F.max("cosine").over(row))))
     return t.withColumn("probability", F.col("e") / F.sum("e").over(row)).drop("e")
@@ -114,7 +115,7 @@ def reply_predictions(replies: DataFrame, places: DataFrame, k: int = 5) -> Data
 
 def call_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds cost_usd and cost_is_estimated; a model without a price has no cost, never another's."""
-    out = calls.join(F.broadcast(prices.select("model", "usd_in", "usd_out")), "model", "left")
+    out = calls.join(checked(prices.select("model", "usd_in", "usd_out")), "model", "left")
     return out.withColumn("cost_usd", F.col("in_tokens") * F.col("usd_in") + F.col("out_tokens") * F.col("usd_out")).withColumn("cost_is_estimated", F.col("cost_usd").isNotNull()).drop("usd_in", "usd_out")
 
 
@@ -159,3 +160,33 @@ def check_predictions(predictions: DataFrame) -> DataFrame:
         .when(~F.col("confidence").between(0, 1), "confidence out of range")
     )
     return predictions.withColumn("fault", fault).filter(F.col("fault").isNotNull())
+
+
+LEVELS = ("post", "user")
+
+
+def known_engines(names: list[str], roster: DataFrame) -> list[str]:
+    """names, unless the roster lacks some of them: unknown engines are refused by name."""
+    have = {r["engine"] for r in roster.filter(F.col("engine").isin(list(names))).select("engine").collect()}
+    if unknown := [n for n in names if n not in have]:
+        raise ValueError(f"unknown engines: {', '.join(unknown)}")
+    return list(names)
+
+
+def register(roster: DataFrame, engine: str, level: str, third_party: bool = False, weight: float = 1.0) -> DataFrame:
+    """The roster with a caller's engine as its last, so that dispatch, fusion and votes take it like any other."""
+    if level not in LEVELS:
+        raise ValueError(f"level must be one of {', '.join(LEVELS)}")
+    if roster.filter(F.col("engine") == engine).limit(1).count():
+        raise ValueError(f"{engine} is registered already")
+    new = roster.agg((F.coalesce(F.max("ord"), F.lit(-1)) + 1).cast("int").alias("ord")).select("ord", F.lit(engine).alias("engine"), F.lit(level).alias("level"), F.lit(third_party).alias("third_party"), F.lit(float(weight)).alias("weight"))
+    return roster.unionByName(new)
+
+
+def mean_pool(tokens: str | Column, mask: str | Column) -> Column:
+    """Mean of the token vectors (array<array<double>>) whose mask is 1; null if none is."""
+    tokens, mask = (F.col(c) if isinstance(c, str) else c for c in (tokens, mask))
+    kept = F.filter(F.zip_with(tokens, mask, lambda t, m: F.when(m == 1, t)), lambda t: t.isNotNull())
+    zero = F.array_repeat(F.lit(0.0), F.size(F.get(kept, F.lit(0))))
+    total = F.aggregate(F.transform(kept, lambda t: t.cast("array<double>")), zero, lambda a, t: F.zip_with(a, t, lambda x, y: x + y))
+    return F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept)))

@@ -28,20 +28,36 @@ def rolling_spend(calls: DataFrame, hour_cap: float = 0.0, day_cap: float = 0.0)
 
 
 class Ledger:
-    """Spend of one key so far; a paid call is let through unless a cap is met, and only then costs."""
+    """Spend of one key so far; a paid call is let through unless a cap is met, and only then costs.
+
+    Two running sums move with their windows, so a call costs what leaves them.  They are kept as exact fractions of
+    1 / 2**60, which sums and differences don't wear.
+    """
+
+    UNIT = 2.0**60
 
     def __init__(self, hour_cap: float, day_cap: float, entries=()):
-        self.hour_cap, self.day_cap, self.entries = hour_cap, day_cap, deque(entries)
+        self.hour_cap, self.day_cap, self.entries, self.late = hour_cap, day_cap, deque(), deque()
+        self.hour = self.day = 0
+        for at, usd in entries:
+            self._add(at, usd)
+
+    def _add(self, at: float, usd: float) -> None:
+        n = int(usd * self.UNIT)
+        self.entries.append((at, usd))
+        self.late.append((at, n))
+        self.day, self.hour = self.day + n, self.hour + n
 
     def offer(self, at: float, usd: float, paid: bool) -> tuple[bool, float, float]:
         while self.entries and self.entries[0][0] < at - DAY:
-            self.entries.popleft()
-        day = sum(u for _, u in self.entries)
-        hour = sum(u for t, u in self.entries if t >= at - HOUR)
+            self.day -= int(self.entries.popleft()[1] * self.UNIT)
+        while self.late and self.late[0][0] < at - HOUR:
+            self.hour -= self.late.popleft()[1]
+        hour, day = self.hour / self.UNIT, self.day / self.UNIT
         full = 0 < self.hour_cap <= hour or 0 < self.day_cap <= day
         run = not (paid and full)
         if run and usd > 0:
-            self.entries.append((at, usd))
+            self._add(at, usd)
         return run, hour, day
 
 

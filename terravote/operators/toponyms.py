@@ -10,6 +10,8 @@ from terravote.functions.text import is_word_term, match_count
 LANDMARK_WEIGHT = 0.25
 #: Terms up to this number are broadcast; a larger table of plain words is joined by a shuffle on the word.
 BROADCAST_TERMS = 100_000
+#: Phrases up to this number are tested on every text; more are met by their first HEAD characters.
+PHRASES, HEAD = 10_000, 6
 
 
 def terms(places: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
@@ -30,24 +32,40 @@ def terms(places: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
 
 
 def match_words(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Hits of plain words of letters: texts' words are counted first, then joined on the word.
+    """Hits of plain words of letters: texts' words meet the terms where they are, and only hits are shuffled and counted.
 
-    For such a term a match at word boundaries is exactly a word of the text, so this is an equi-join.
+    For such a term a match at word boundaries is exactly a word of the text, so this is an equi-join.  Terms too many
+    to broadcast are joined by a shuffle on the word, after the words of each text are counted.
     """
     plain = terms.filter(F.col("term").rlike("^[a-z]+$"))
     token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
-    counted = texts.select("row_id", "level", token.alias("token")).groupBy("row_id", "level", "token").agg(F.count("*").cast("int").alias("hits"))
-    side = F.broadcast(plain) if plain.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else plain
-    return counted.join(side, F.col("token") == F.col("term")).drop("token")
+    words = texts.select("row_id", "level", token.alias("token"))
+    few = plain.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    if few:
+        words = words.join(F.broadcast(plain.select("term").distinct()), F.col("token") == F.col("term"), "left_semi")
+    counted = words.groupBy("row_id", "level", "token").agg(F.count("*").cast("int").alias("hits"))
+    return counted.join(F.broadcast(plain) if few else plain, F.col("token") == F.col("term")).drop("token")
 
 
 def match_phrases(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Hits of all other terms, within words too: a broadcast test of each term, then the exact count."""
+    """Hits of all other terms, within words too: texts that contain a term, then the exact count.
+
+    A few phrases are tested on every text.  Of more, those are tested on a text whose first HEAD characters (all, of
+    shorter ones) are somewhere in it, which is found by a join on these.
+    """
     others = terms.filter(~F.col("term").rlike("^[a-z]+$"))
-    if others.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
-        raise ValueError("too many phrases to test on every text; cut the table into parts")
     low = texts.select("row_id", "level", F.lower("text").alias("low"))
-    met = low.join(F.broadcast(others), F.contains("low", "term"))
+    if others.limit(PHRASES + 1).count() <= PHRASES:
+        met = low.join(F.broadcast(others), F.contains("low", "term"))
+    else:
+        pairs = None
+        for n in range(1, HEAD + 1):
+            size = F.char_length("term")
+            head = others.filter(size >= n if n == HEAD else size == n).withColumn("head", F.substring("term", 1, n))
+            runs = F.regexp_extract_all("low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+            part = low.select("row_id", "level", F.explode(F.array_distinct(runs)).alias("run")).join(head, F.col("run") == F.col("head")).drop("run", "head")
+            pairs = part if pairs is None else pairs.unionByName(part)
+        met = low.join(pairs, ["row_id", "level"])
     return met.withColumn("hits", match_count("low", "term")).filter("hits > 0").drop("low")
 
 

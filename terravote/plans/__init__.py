@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["matching", "fusing", "evaluating", "cataloguing", "replaying"]
+MODULES = ["matching", "fusing", "evaluating", "cataloguing", "replaying", "reporting"]
 
 
 def _all() -> dict[str, tuple[Callable, str | None]]:

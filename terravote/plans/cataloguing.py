@@ -10,6 +10,7 @@ from terravote.operators import benchmark, exports, places, rules
 from terravote.plans import corpus as C
 from terravote.plans.corpus import km_sql, read, sql
 from terravote.sources.catalogue import builtin_places, country_boxes, country_names
+from terravote.sources.shared import checked
 
 
 def points(spark, sf_dir):
@@ -135,7 +136,14 @@ def profile_warnings(spark, sf_dir):
     k = F.substring("name", 10, 12).cast("int")
     t = _regions(spark, sf_dir).withColumn("source", F.when(k % 3 == 0, "stub").otherwise("openai")).withColumn("aliases", F.when(k % 2 == 0, F.array(F.lit("x")))).withColumn("landmarks", F.array().cast("array<string>")).withColumn("k", k)
     w = rules.profile_warnings(t, builtin_places(spark), country_names(spark), country_boxes(spark))
-    return w.groupBy(F.explode("warnings").alias("warning")).agg(F.count("*").alias("n"))
+    return w.select(F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
+
+
+WARNINGS_SQL = sql(REGION_SQL.split("SELECT c.name, c.country", 1)[0] + """, w AS (
+  SELECT 'placeholder' AS warning FROM customer WHERE c_custkey%3=0 UNION ALL SELECT 'no region' FROM customer WHERE c_custkey%7=6 UNION ALL SELECT 'no aliases' FROM customer WHERE c_custkey%2=1
+  UNION ALL SELECT 'no landmarks' FROM customer UNION ALL SELECT 'beside another place' FROM customer UNION ALL SELECT 'address' FROM customer WHERE c_name SIMILAR TO '.*[0-9].*'
+  UNION ALL SELECT 'outside its region' FROM cand c JOIN boxes b USING (country) WHERE NOT (c.lat BETWEEN b.min_lat AND b.max_lat AND c.lon BETWEEN b.min_lon AND b.max_lon))
+SELECT warning, count(*) AS n FROM w GROUP BY warning""")
 
 
 def field_rules(spark, sf_dir):
@@ -171,7 +179,7 @@ def confusable_names(spark, sf_dir):
     t = read(spark, sf_dir, "customer").join(side, on).select(k, F.translate("place_name", "ao", "αο").alias("name"))
     key = T.place_name_key("name")
     found = places.same_name(t.select("name").distinct().withColumn("key", key), builtin_places(spark).withColumn("key", key), "key")
-    return t.join(F.broadcast(found), "name").select("c_custkey", "place")
+    return t.join(checked(found), "name").select("c_custkey", "place")
 
 
 def missing_builtin(spark, sf_dir):
@@ -277,8 +285,10 @@ def lon_wrap(spark, sf_dir):
 
 def id_manifest(spark, sf_dir):
     """The id manifest's rows: ids and labels, no text."""
-    i = C.inputs(spark, sf_dir)
-    return i.select(F.col("row_id").alias("id"), "bucket", F.col("truth_post").alias("ground_truth_city"), "should_disagree", F.lit("und").alias("lang")).select(exports.MANIFEST_COLUMNS)
+    ids = C.turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    named = F.transform("turns", lambda t: F.concat_ws(".", F.col("conv_id"), t))
+    i = C.inputs(spark, sf_dir).join(ids, "conv_id").withColumn("post_tweet_id", named[0]).withColumn("user_post_ids", F.array_join(named, "|"))
+    return i.select("post_tweet_id", "user_post_ids", F.col("row_id").alias("id"), "bucket", F.col("truth_post").alias("ground_truth_city"), "should_disagree", F.lit("und").alias("lang")).select(exports.MANIFEST_COLUMNS)
 
 
 def csv_row_rules(spark, sf_dir):
@@ -325,7 +335,7 @@ QUERIES = {
     "alias_rules": (alias_rules, ALIAS_SQL),
     "coordinate_rules": (coordinate_rules, COORD_SQL),
     "field_rules": (field_rules, FIELD_SQL),
-    "profile_warnings": (profile_warnings, None),
+    "profile_warnings": (profile_warnings, WARNINGS_SQL),
     "swallowed_names": (swallowed_names, SWALLOWED_SQL),
     "confusable_names": (confusable_names, sql("SELECT c.c_custkey, p.name AS place FROM customer c JOIN places p ON p.ord=c.c_custkey%50")),
     "missing_builtin": (missing_builtin, sql("SELECT ord, name FROM places WHERE name NOT IN (SELECT truth_post FROM inputs)")),
@@ -339,7 +349,7 @@ QUERIES = {
     "great_circle": (great_circle, sql(PTS + " SELECT row_id, 65 AS n, 0.0::DOUBLE AS off FROM pts")),
     "geodesic_circle": (geodesic_circle, sql(PTS + " SELECT row_id, 73::BIGINT AS n, 161.0::DOUBLE AS far, 161.0::DOUBLE AS near FROM pts")),
     "lon_wrap": (lon_wrap, sql(PTS + " SELECT row_id, round(CASE WHEN abs(lon*3-150)<=180 THEN lon*3 ELSE lon*3-360*ceil((lon*3-150-180)/360) END, 6) AS lon FROM pts")),
-    "id_manifest_export": (id_manifest, sql("SELECT row_id AS id, bucket, truth_post AS ground_truth_city, should_disagree, 'und' AS lang FROM inputs")),
+    "id_manifest_export": (id_manifest, sql("SELECT i.row_id AS id, i.bucket, i.truth_post AS ground_truth_city, i.should_disagree, 'und' AS lang, max(t.conv_id)||'.'||min(t.turn) AS post_tweet_id, string_agg(t.conv_id||'.'||t.turn, '|' ORDER BY t.turn) AS user_post_ids FROM inputs i JOIN turns t ON t.conv_id=i.conv_id GROUP BY i.row_id, i.bucket, i.truth_post, i.should_disagree")),
     "csv_row_rules": (csv_row_rules, CSV_SQL),
     "duplicate_ids": (duplicate_ids, "SELECT 'd-'||(doc_id%700) AS row_id, count(*) AS n FROM documents GROUP BY ALL HAVING count(*)>1"),
     "handle_like_ids": (handle_like_ids, "SELECT count(*) AS n, array_to_string(list(r ORDER BY r)[1:3], ', ') AS first FROM (SELECT 'user_'||doc_id AS r FROM documents WHERE doc_id%9=0)"),

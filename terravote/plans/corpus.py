@@ -89,18 +89,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_shared: dict[tuple[str, str], DataFrame] = {}
-
-
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All engines' predictions, kept for the session: fusion, votes, flag and metrics all read them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _shared:
-        _shared[key] = scored(spark, sf_dir).persist()
-    return _shared[key]
-
-
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All engines' predictions, skips included, in the one long schema."""
     rows, places = inputs(spark, sf_dir), builtin_places(spark)
     d = scoring.dispatch(rows.select("row_id", "post", "user_posts"), engines(spark)).select("row_id", "engine", "ord", "level", "skip_reason")

@@ -1,10 +1,11 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and the check before a broadcast."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,3 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+#: Most rows of a table that may be broadcast once it has been counted.
+BROADCAST_ROWS = 200_000
+
+
+def checked(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """small, to be broadcast if it has been counted to have no more than ``limit`` rows; else as it is."""
+    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
