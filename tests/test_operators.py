@@ -8,9 +8,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from terravote.operators import benchmark, evaluate, exports, fusion, places, rules, scoring, state, toponyms
+from terravote.functions import rounding
+from terravote.operators import benchmark, evaluate, exports, fusion, places, reports, rules, scoring, state, toponyms
 from terravote.sources import readers
-from terravote.sources.catalogue import builtin_places, country_boxes, country_names
+from terravote.sources.catalogue import builtin_places, country_boxes, country_names, roster
 
 NAMES = {"Singapore": (1.3521, 103.8198), "Tampines": (1.3496, 103.9568), "Tokyo": (35.6762, 139.6503), "Kuala Lumpur": (3.1390, 101.6869), "Petaling Jaya": (3.1073, 101.6067)}
 
@@ -207,3 +208,58 @@ def test_rolling_windows_include_their_end(spark):
     t = spark.sql("select * from values (1, 'k', timestamp'2024-01-01 00:00:00', 1.0D), (2, 'k', timestamp'2024-01-01 01:00:00', 1.0D), (3, 'k', timestamp'2024-01-01 01:00:01', -5.0D) as t(call_id, key, ts, usd)")
     r = {x.call_id: (x.hour, x.day, x.reached) for x in state.rolling_spend(t, 2.0, 0).collect()}
     assert r == {1: (1.0, 1.0, None), 2: (2.0, 2.0, "hour"), 3: (1.0, 2.0, None)}
+
+
+def test_engines_are_known_or_registered(spark):
+    r = roster(spark, [("a", "post", False, 1.0), ("b", "user", True, 2.0)])
+    assert scoring.known_engines(["b"], r) == ["b"]
+    with pytest.raises(ValueError, match="unknown engines: x, y"):
+        scoring.known_engines(["a", "x", "y"], r)
+    more = scoring.register(r, "c", "post", weight=0.5)
+    assert [tuple(x) for x in more.orderBy("ord").collect()][-1] == (2, "c", "post", False, 0.5)
+    assert {(d.engine, d.skip_reason) for d in scoring.dispatch(spark.createDataFrame([("r", "text", None)], "row_id string, post string, user_posts array<string>"), more).collect()} >= {("a", None), ("c", None)}
+    for name, level in (("a", "post"), ("d", "city")):
+        with pytest.raises(ValueError):
+            scoring.register(r, name, level)
+
+
+def test_empty_batches_are_refused(spark):
+    t = spark.createDataFrame([("r",)], "row_id string")
+    assert rules.not_empty(t).count() == 1
+    with pytest.raises(ValueError):
+        rules.not_empty(t.limit(0))
+
+
+def test_rounding_is_half_up_on_what_is_written(spark):
+    t = spark.createDataFrame([(0.175,), (0.615,), (0.6139,), (1.0,), (0.0,), (1e-5,), (2.675,)], "x double")
+    got = [tuple(r) for r in t.select(rounding.share_text("x"), rounding.half_up("x", 2), rounding.half_up("x", 1), rounding.is_tie("x")).collect()]
+    assert got == [(".18", "0.18", "0.2", True), (".62", "0.62", "0.6", True), (".61", "0.61", "0.6", False), ("1.00", "1.00", "1.0", False), (".00", "0.00", "0.0", False), (".00", "0.00", "0.0", False), ("2.68", "2.68", "2.7", True)]
+
+
+def test_many_phrases_are_met_by_their_heads(spark, monkeypatch):
+    p = spark.createDataFrame([(0, "Kuala Lumpur"), (1, "St. Ives"), (2, "New York"), (3, "a-b"), (4, "York")], "ord int, name string")
+    t = texts(spark, "kuala lumpur and St. Ives, st. ives", "NEW YORK a-b xa-by a-b", "nothing", "")
+    few = {tuple(r) for r in toponyms.matches(t, toponyms.terms(p)).select("row_id", "level", "term", "hits").collect()}
+    monkeypatch.setattr(toponyms, "PHRASES", 1)
+    many = {tuple(r) for r in toponyms.matches(t, toponyms.terms(p)).select("row_id", "level", "term", "hits").collect()}
+    assert few == many and len(few) == 5
+
+
+def test_documents_of_a_flag_scored_anew(spark):
+    flags = spark.createDataFrame([("a", "X", "Y", True), ("b", "X", None, False), ("c", "X", "X", False)], "row_id string, post_city string, user_city string, flag boolean")
+    rows = spark.createDataFrame([("a", "intl", "ok", "X", None, True), ("b", "intl", "ok", "X", None, True), ("c", "ooc", "ok", "X", None, False)], "row_id string, bucket string, status string, truth_post string, truth_user string, should_disagree boolean")
+    t = reports.flag_rescore(flags, rows, {"one": ["intl"], "all": ["intl", "ooc"]})
+    doc = json.loads(reports.rescore_document(t, "note").first().document)
+    assert doc["note"] == "note" and [(x["row_set"], x["n_rows"], x["tp"], x["fn"], x["tn"]) for x in doc["row_sets"]] == [("all", 3, 1, 1, 1), ("one", 2, 1, 1, 0)]
+
+
+def test_masked_tokens_take_no_part(spark):
+    t = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 2.0]], [0])], "t array<array<float>>, m array<int>")
+    assert [r.p for r in t.select(scoring.mean_pool("t", "m").alias("p")).collect()] == [[2.0, 3.0], None]
+
+
+def test_unknown_languages_are_und(spark):
+    t = spark.createDataFrame([("der Hund", " "), ("x", None), ("y", "fr")], "text string, lang string")
+    tag = lambda c: F.when(F.contains(c, F.lit("der")), "de")
+    assert [r.tag for r in reports.language_tag(t, detect=tag, known="lang").collect()] == ["de", "und", "fr"]
+    assert {r.tag for r in reports.language_tag(t).collect()} == {"und"}
