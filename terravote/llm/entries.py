@@ -15,4 +15,9 @@ QUERIES = {
     "op10_exact_topk": topk.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_exact_topk": """WITH w AS (SELECT vec_id, max(list_transform(embedding, lambda x: floor(256*x::DOUBLE))) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE)))=0 GROUP BY vec_id),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM w q JOIN w c ON c.vec_id<>q.vec_id WHERE q.vec_id%50=0)
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank<=5""",
+}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 
 def test_stages_pass_documents_on(spark, docs, tmp_path):
@@ -27,5 +28,18 @@ def test_stages_pass_documents_on(spark, docs, tmp_path):
 def test_run_equals_the_stages(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     a = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length", "ids_crc32")
-    b = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length", "ids_crc32")
-    assert Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect()))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / f"again-{name}"))
+        now = spark.read.parquet(str(tmp_path / f"again-{name}"))
+    assert Counter(map(tuple, a.collect())) == Counter(tuple(r) for r in now.select("doc_id", "piece", "length", "ids_crc32").collect())
+
+
+def test_stages_keep_clashing_columns(spark, docs, empty, tmp_path):
+    odd = docs.limit(60).withColumns({"__id": F.lit(1), "__key": F.lit(2), "a.b": F.lit("x"), "row": F.lit(3), "draw": F.lit(4), "kept": F.lit(True), "language": F.lit("y")})
+    none = empty
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        odd_out, none = stage(spark, odd, str(tmp_path)), stage(spark, none, str(tmp_path))
+        assert odd_out.columns == odd.columns and none.columns == empty.columns and none.count() == 0
+        rows = odd_out.select("__id", "__key", "`a.b`", "row", "draw", "kept", "language").distinct().collect()
+        assert [tuple(r) for r in rows] == [(1, 2, "x", 3, 4, True, "y")], name
