@@ -5,6 +5,10 @@ near_dedup    one document, the first by doc_id, of each near-duplicate group
 pii           personal data replaced by its kind in brackets
 mixing        documents repeated or left out so that sources meet their target weights, shuffled within output shards
 packing       token pieces placed in sequences of at most 1,024 tokens: one row per piece
+
+Every stage takes any table of documents: null, empty and very long texts, null ids, ties, repeated rows, columns of any
+other name, and no rows at all have the results that the operators' docstrings name; what the stages do with them is
+said at each.  All stages but the last keep the columns as they are.
 """
 
 from __future__ import annotations
@@ -16,22 +20,32 @@ from terravote.llm.common import saved, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language.  Those with null, empty or letterless texts go; repeated rows stay or go alike; if no row
+    declares a language, all stay.  See ``language.keep_identified``."""
     return language.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate group, also of repeated rows, null ids and texts without words, always the same one.
+    See ``simhash.keep_one_each``."""
     return simhash.keep_one_each(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, its text without personal data.  Null texts stay null, long ones are rewritten whole, repeated rows alike.
+    See ``pii.redacted``."""
     return pii.redacted(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as their source's target asks.  Null texts have no words, and of sources without words nothing is taken;
+    null sources are one source; repeated rows are drawn one by one.  See ``mixing.mixed``."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  Null texts are empty documents, with
+    a piece of the end token alone; repeated rows have pieces of their own.  See ``packing.best_fit_packing``."""
     import public_tokenizers as P
 
     return packing.best_fit_packing(docs, tokenizer=P.path("byte_bpe_50k.json"), ranks=P.path("byte_bpe_50k.tiktoken"), pattern=P.PATTERN)
@@ -39,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", identify), ("near_dedup", near_dedup), ("pii", redact), ("mixing", mix), ("packing", pack)]
 
-#: Trained models and packing have no SQL form; tests hold the stages against brute force.
+#: Trained models and packing have no SQL form; tests hold the operators against brute force, and run against the stages.
 ORACLE_SQL = None
 
 
