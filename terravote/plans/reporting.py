@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terravote.functions import rounding
-from terravote.operators import benchmark, evaluate, reports, scoring
+from terravote.operators import benchmark, exports, fusion, reports, scoring
 from terravote.plans import cataloguing, evaluating
 from terravote.plans import corpus as C
-from terravote.plans.corpus import read, sql, wilson_sql
+from terravote.plans.corpus import km_sql, read, sql, wilson_sql
+from terravote.sources.catalogue import builtin_places
 
 #: Sets of buckets that the flag is scored on.
 ROW_SETS = {"all": ["intl", "hard-sem", "userhome"], "accounts": ["userhome"]}
@@ -82,7 +83,32 @@ def pooled_vectors(spark, sf_dir):
 
 POOLED_SQL = "SELECT vec_id//10 AS chunk, round(avg(embedding[1]::DOUBLE), 6) AS first, round(avg(embedding[-1]::DOUBLE), 6) AS last FROM embeddings WHERE vec_id%3<>0 GROUP BY 1"
 
+def result_rows(spark, sf_dir):
+    p, places = C.predictions(spark, sf_dir), builtin_places(spark)
+    return exports.result_rows(C.status(spark, sf_dir), fusion.fuse(p), fusion.verification_flag(p, places), p, places, [e[0] for e in C.ENGINES])
+
+
+def _km(a: str, b: str) -> str:
+    return km_sql(f"{a}.lat", f"{a}.lon", f"{b}.lat", f"{b}.lon")
+
+
+_CELL = {"top1": "cell", "mode": "mode", "place_id": "pid", "lat": "lat", "lon": "lon", "error_km": "round(km, 1)", "within_161km": "(km<=161)::INT", "correct": "scored"}
+ROWS_SQL = sql(f""", pl AS (SELECT name, lat::DOUBLE AS lat, lon::DOUBLE AS lon, 'pl_'||substr(sha256(lower(name)), 1, 12) AS pid FROM places), w1 AS (SELECT * FROM weighted WHERE rank=1),
+x AS (SELECT p.row_id, p.engine, a.pid, a.lat, a.lon, {_km('a', 't')} AS km, CASE WHEN p.skipped THEN 'not run: '||CASE WHEN p.level='user' THEN 'no timeline' ELSE 'no post' END WHEN p.failed THEN 'call failed' WHEN p.city IS NULL THEN 'no place named' ELSE p.city END AS cell,
+  CASE WHEN p.skipped THEN 'skipped' WHEN p.failed THEN 'failed' ELSE 'real' END AS mode, CASE WHEN NOT p.skipped AND NOT p.failed THEN coalesce((lower(p.city)=lower(CASE WHEN p.level='user' THEN coalesce(i.truth_user, i.truth_post) ELSE i.truth_post END))::INT, 0) END AS scored
+  FROM preds p JOIN inputs i USING (row_id) LEFT JOIN pl a ON a.name=p.city AND NOT p.skipped AND NOT p.failed LEFT JOIN pl t ON t.name=CASE WHEN p.level='user' THEN coalesce(i.truth_user, i.truth_post) ELSE i.truth_post END WHERE p.engine<>'similarity_post' OR p.skipped OR p.city IS NOT NULL),
+e AS (SELECT row_id, {', '.join(f"max(CASE WHEN engine='{n}' THEN {c} END) AS {n}_{k}" for n, *_ in C.ENGINES for k, c in _CELL.items())} FROM x GROUP BY row_id)
+SELECT s.row_id AS id, s.status, s.bucket, (SELECT substr(sha256(string_agg(lower(trim(name)), chr(10) ORDER BY lower(trim(name)))), 1, 12) FROM places) AS catalogue_sha,
+  s.truth_post AS ground_truth_city, tp.pid AS ground_truth_place_id, tp.lat AS ground_truth_lat, tp.lon AS ground_truth_lon, s.truth_user AS ground_truth_user_city, tu.pid AS ground_truth_user_place_id, tu.lat AS ground_truth_user_lat, tu.lon AS ground_truth_user_lon,
+  {', '.join(f"f{v[0]}.place AS {v}_fused_city, round(f{v[0]}.share, 4)::DOUBLE AS {v}_fused_conf, {v[0]}.pid AS {v}_fused_place_id, {v[0]}.lat AS {v}_fused_lat, {v[0]}.lon AS {v}_fused_lon, round({_km(v[0], t)}, 1) AS {v}_fused_error_km, ({_km(v[0], t)}<=161)::INT AS {v}_fused_within_161km" for v, t in (('post', 'tp'), ('user', 'te')))},
+  g.post_city AS post_consensus_city, g.user_city AS user_consensus_city, cp.pid AS post_consensus_place_id, cu.pid AS user_consensus_place_id, coalesce(g.km>161, false)::INT AS disagreement_flag, round(g.km, 1) AS disagreement_km,
+  round(CASE WHEN g.post_city<>g.user_city THEN least(1, g.km/2000) ELSE 0 END, 3) AS disagreement_score, e.* EXCLUDE (row_id)
+FROM status s LEFT JOIN pl tp ON tp.name=s.truth_post LEFT JOIN pl tu ON tu.name=s.truth_user LEFT JOIN pl te ON te.name=coalesce(s.truth_user, s.truth_post)
+  LEFT JOIN w1 fp ON fp.row_id=s.row_id AND fp.level='post' LEFT JOIN w1 fu ON fu.row_id=s.row_id AND fu.level='user' LEFT JOIN pl p ON p.name=fp.place LEFT JOIN pl u ON u.name=fu.place
+  LEFT JOIN flags g ON g.row_id=s.row_id LEFT JOIN pl cp ON cp.name=g.post_city LEFT JOIN pl cu ON cu.name=g.user_city LEFT JOIN e ON e.row_id=s.row_id""")
+
 QUERIES = {
+    "result_rows": (result_rows, ROWS_SQL),
     "report_orders": (report_orders, ORDERS_SQL),
     "rounded_shares": (rounded_shares, ROUNDED_SQL),
     "flag_rescore": (flag_rescore, RESCORE_SQL),
