@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from terravote.operators import fusion, scoring, toponyms
 from terravote.sources.catalogue import COUNTRY_ALIASES, COUNTRY_BOXES, PLACES, PRICES, SEED_SOURCE, SEEDED, GOLD_SOURCE, builtin_places, prices, roster
+from terravote.sources.shared import written
 
 ENGINES = [("similarity_post", "post", False, 1.0), ("gazetteer_post", "post", False, 1.0), ("gazetteer_user", "user", False, 1.0), ("model_post", "post", True, 1.0), ("model_user", "user", True, 1.0)]
 MODEL = {"model_post": ("gpt-4o-mini", 0), "model_user": ("claude-haiku-4-5-20251001", 17)}
@@ -90,7 +91,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All engines' predictions, skips included, in the one long schema."""
+    """All engines' predictions, skips included, in the one long schema; written once for all that a query makes of them."""
     rows, places = inputs(spark, sf_dir), builtin_places(spark)
     d = scoring.dispatch(rows.select("row_id", "post", "user_posts"), engines(spark)).select("row_id", "engine", "ord", "level", "skip_reason")
     run = d.filter(F.col("skip_reason").isNull())
@@ -103,7 +104,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out
+    return written(out)
 
 
 def fused(spark: SparkSession, sf_dir: str, method: str = "weighted") -> DataFrame:
