@@ -79,9 +79,13 @@ def round_robin(rows: DataFrame, order: str, n: int = 50) -> DataFrame:
 def manifest_diff(want: DataFrame, got: DataFrame) -> DataFrame:
     """(bucket, missing, extra, first_missing, first_extra) of two tables of (bucket, id)."""
     t = want.select("bucket", "id", F.lit(True).alias("w")).join(got.select("bucket", "id", F.lit(True).alias("g")), ["bucket", "id"], "full_outer")
-    missing: Column = F.col("g").isNull()
-    five = lambda c: F.array_join(F.slice(F.array_sort(F.collect_list(F.when(c, F.col("id")))), 1, 5), ",")
-    return t.groupBy("bucket").agg(F.count_if(missing).alias("missing"), F.count_if(F.col("w").isNull()).alias("extra"), five(missing).alias("first_missing"), five(F.col("w").isNull()).alias("first_extra"))
+    t = t.withColumn("side", F.when(F.col("g").isNull(), "missing").when(F.col("w").isNull(), "extra"))
+    n = t.groupBy("bucket").agg(F.count_if(F.col("side") == "missing").alias("missing"), F.count_if(F.col("side") == "extra").alias("extra"))
+    by = Window.partitionBy("bucket", "side").orderBy("id")
+    five = t.filter(F.col("side").isNotNull()).withColumn("r", F.row_number().over(by)).filter("r <= 5")
+    said = lambda side: F.array_join(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("id")))), ",").alias(f"first_{side}")
+    first = five.groupBy("bucket").agg(said("missing"), said("extra"))
+    return n.join(first, "bucket", "left").fillna("", ["first_missing", "first_extra"])
 
 
 #: The benchmark's buckets in the order of its pool.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terravote.functions.geo import RADIUS_KM, haversine_km, within_box
 from terravote.sources.catalogue import ONBOARDED_FEATURE
-from terravote.sources.shared import checked
+from terravote.sources.shared import checked, written
 
 KM_PER_DEGREE = math.pi * RADIUS_KM / 180
 
@@ -59,17 +59,18 @@ def pairs_within(places: DataFrame, km: float) -> DataFrame:
 def nearest_place(points: DataFrame, places: DataFrame, key: str = "row_id", exclude: str | None = None) -> DataFrame:
     """Adds place and km of the nearest place, the first in catalogue order on ties; a column may name one to leave out.
 
-    The catalogue is broadcast after a check of its size; a larger one must come in regions, see ``nearest_in_cells``.
+    A catalogue of up to 20,000 places goes to every row as one array, so points are not shuffled; a larger one is joined by
+    cells, see ``nearest_in_cells``.
     """
     p = places.filter(F.col("lat").isNotNull()).select(F.col("ord").alias("p_ord"), F.col("name").alias("p_name"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     if p.limit(20_001).count() > 20_000:
         return nearest_in_cells(points, places, key, exclude)
-    t = points.join(checked(p), F.lit(True))
-    if exclude:
-        t = t.filter(~F.coalesce(F.col("p_name") == F.col(exclude), F.lit(False)))
-    t = t.withColumn("d", haversine_km("lat", "lon", "p_lat", "p_lon"))
-    best = t.groupBy(key).agg(F.min(F.struct(F.col("d").alias("km"), "p_ord", F.col("p_name").alias("place"))).alias("m"))
-    return points.join(best.select(key, "m.place", "m.km"), key, "left")
+    table = p.agg(F.collect_list(F.struct("p_ord", "p_name", "p_lat", "p_lon")).alias("__places"))
+    own = F.filter("__places", lambda x: ~F.coalesce(x["p_name"] == F.col(exclude), F.lit(False))) if exclude else F.col("__places")
+    far = F.transform(own, lambda x: F.struct(haversine_km(F.col("lat"), F.col("lon"), x["p_lat"], x["p_lon"]).alias("km"), x["p_ord"].alias("p_ord"), x["p_name"].alias("place")))
+    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    t = points.join(F.broadcast(table), F.lit(True)).withColumn("__best", F.when(known, F.array_min(far)))
+    return t.select(*points.columns, "__best.place", "__best.km")
 
 
 def nearest_in_cells(points: DataFrame, places: DataFrame, key: str = "row_id", exclude: str | None = None, size: float = 1.0, rings: tuple[int, ...] = (1, 4, 16, 64, 180)) -> DataFrame:
@@ -91,9 +92,9 @@ def nearest_in_cells(points: DataFrame, places: DataFrame, key: str = "row_id",
         sure = cell * KM_PER_DEGREE * F.cos(F.radians(F.least(F.abs(F.col("lat")) + cell, F.lit(90.0)))) * 2 / math.pi
         best = t.groupBy(key).agg(F.min(F.struct(F.col("d").alias("km"), "p_ord", F.col("p_name").alias("place"))).alias("m"))
         found = left.join(best, key).select(key, "m.place", "m.km", (F.col("m.km") <= sure).alias("sure")) if ring != rings[-1] else left.join(best, key).select(key, "m.place", "m.km", F.lit(True).alias("sure"))
-        found = found.filter("sure").drop("sure")
+        found = written(found.filter("sure").drop("sure"))
         done = found if done is None else done.unionByName(found)
-        left = left.join(found.select(key), key, "left_anti")
+        left = written(left.join(found.select(key), key, "left_anti"))
     return points.join(done, key, "left")
 
 

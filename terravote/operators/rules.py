@@ -52,7 +52,7 @@ def clean_inputs(rows: DataFrame, id_policy: str = "required") -> DataFrame:
     key = F.substring(F.trim("id"), 1, ID_CHARS)
     t = rows
     if id_policy == "row_number":
-        t = t.withColumn("__n", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+        t = _row_numbered(t, "__n")
         key = F.coalesce(F.nullif(key, F.lit("")), F.col("__n").cast("string"))
     posts = F.filter(F.transform(F.split(F.coalesce("user_posts", F.lit("")), r"\|"), lambda p: F.trim(p)), lambda p: p != "")
     t = t.select(
@@ -76,6 +76,15 @@ def clean_inputs(rows: DataFrame, id_policy: str = "required") -> DataFrame:
     return t.withColumn("error", error)
 
 
+def _row_numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Adds the row's number from 1 in reading order: its place in its partition after all rows of those before."""
+    t = rows.withColumn("__m", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__m", 33))
+    sizes = t.groupBy(F.col("__p").alias("__q")).agg(F.count("*").alias("__s"))
+    before = F.coalesce(F.sum("__s").over(Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = t.join(F.broadcast(sizes.select("__q", before.alias("__before"))), F.col("__p") == F.col("__q"))  # a row per partition
+    return t.withColumn(name, F.col("__before") + F.col("__m") % (1 << 33) + 1).drop("__m", "__p", "__q", "__before")
+
+
 def duplicate_ids(rows: DataFrame, key: str = "row_id") -> DataFrame:
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
@@ -98,7 +107,8 @@ def has_truth(rows: DataFrame) -> DataFrame:
 def handle_like_ids(rows: DataFrame, pattern: str = r"^@?[A-Za-z_][A-Za-z0-9_.]{2,}$") -> DataFrame:
     """How many ids look like account handles, and the first three."""
     t = rows.filter(F.col("row_id").rlike(pattern))
-    return t.agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("row_id")), 1, 3), ", ").alias("first"))
+    first = t.select("row_id").distinct().orderBy("row_id").limit(3).agg(F.array_join(F.array_sort(F.collect_list("row_id")), ", ").alias("first"))
+    return t.agg(F.count("*").alias("n")).join(F.broadcast(first), F.lit(True))
 
 
 def name_faults(names: DataFrame) -> DataFrame:
