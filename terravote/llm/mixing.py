@@ -21,24 +21,28 @@ def _size() -> Column:
     return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def numbered(sized: DataFrame) -> DataFrame:
-    """sized (doc_id, source, size, text_hash and others), saved, with draw, a document's place in the permutation.
+def numbered(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sized (doc_id, source, size, text_hash, perhaps row) with draw, a document's place in the permutation: a saved table of
+    it without row, to plan with, and the rows.
 
     The draw is a hash of seed, source, doc_id, size, text and, among rows that agree in all of these, their number: so
-    repeated rows have draws of their own, and which of them has which is of no matter.  Rows are numbered within ranges
-    of their order of writing, whatever their number.
+    repeated rows have draws of their own, and which of them has which is of no matter.  Only if there are such rows
+    are rows saved, with a number; they are numbered within ranges of their order of writing, whatever their number.
     """
     key = ["doc_id", "source", "size", "text_hash"]
-    sized = saved(sized.withColumn("number", F.monotonically_increasing_id()))
-    again = saved(sized.groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1"))
     draw = lambda nth: F.xxhash64(F.lit(SEED), *key, nth)
+    keys = saved(sized.select(*key))
+    again = saved(keys.groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1"))
     if not again.limit(1).count():
-        return sized.withColumn("draw", draw(F.lit(0).cast("long"))).drop("number")
-    known = join_small(sized, again, key)
+        first = draw(F.lit(0).cast("long"))
+        planned = keys.withColumn("draw", first)
+        return planned, sized.withColumn("draw", first) if "row" in sized.columns else planned
+    known = join_small(saved(sized.withColumn("number", F.monotonically_increasing_id())), again, key)
     once = known.filter(F.col("rows").isNull()).withColumn("nth", F.lit(0).cast("long"))
     many = known.filter(F.col("rows").isNotNull()).withColumn("one", F.lit(1).cast("long"))
     many = prefix_sums(many, key, F.shiftright("number", 33) * (1 << 20) + F.expr("number % 8589934592 div 65536"), [F.col("number")], {"nth": "one"}).drop("one")
-    return saved(once.unionByName(many).withColumn("draw", draw(F.col("nth"))).drop("number", "rows", "nth"))
+    rows = saved(once.unionByName(many).withColumn("draw", draw(F.col("nth"))).drop("number", "rows", "nth"))
+    return rows.select(*key, "draw"), rows
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -165,8 +169,8 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     draws of their own.  Very long texts are counted whole.  Sources of size 0 have target 0 and nothing is taken.  Empty
     table: no rows.  Other columns are ignored, whatever their names.
     """
-    sized = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")))
-    return Mix(sized).apply(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
+    planned, sized = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")))
+    return Mix(planned).apply(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -178,8 +182,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     """
     names = docs.columns
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
-    sized = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), row))
-    out = Mix(sized.drop("row")).apply(sized).select("row", "draw", F.posexplode("shards").alias("nth", "shard")).withColumn("order", F.xxhash64(F.lit(SEED), "shard", "draw", "nth"))
+    planned, sized = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), row))
+    out = Mix(planned).apply(sized).select("row", "draw", F.posexplode("shards").alias("nth", "shard")).withColumn("order", F.xxhash64(F.lit(SEED), "shard", "draw", "nth"))
     return out.repartition("shard").sortWithinPartitions("shard", "order").select("row.*")
 
 
