@@ -25,7 +25,7 @@ def saved(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: later readers neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
