@@ -1,6 +1,6 @@
 """Queries of this folder, and the SQL that some of them are checked against."""
 
-from . import chat, html_text, language, mixing, packing, pii, quality, simhash, token_counts, topk
+from . import chat, divergence, html_text, language, mixing, packing, pii, quality, simhash, token_counts, topk, whitening, window_packing
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_html_text": html_text.op8,
     "op9_mixing": mixing.op9,
     "op10_exact_topk": topk.op10,
+    "op11_window_packing": window_packing.op11,
+    "op12_whitening": whitening.op12,
+    "op13_source_divergence": divergence.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -20,4 +23,5 @@ ORACLE_SQL: dict[str, str] = {
       WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE)))=0 GROUP BY vec_id),
     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM w q JOIN w c ON c.vec_id<>q.vec_id WHERE q.vec_id%50=0)
     SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank<=5""",
+    "op13_source_divergence": divergence.SQL,
 }
