@@ -86,16 +86,19 @@ def _round(items: DataFrame, groups: int, size: int, number: int) -> DataFrame:
     lower half, place in the group, which no group that fits a task can exceed.
     """
 
-    def run(key, pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32", "row"], ascending=[False, True, True, True, True], kind="stable")
-        bins, places, free = pack(pdf["length"].tolist(), size)
-        pdf["sequence_id"] = [((key[0] * ROUNDS + number) << 32) + 2 * b for b in bins]
-        pdf["offset"] = places
-        pdf["free"] = [free[b] for b in bins]
-        return pdf[["row", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "free"]]
-
-    dealt = items.select("row", "doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64(F.lit(number), "row"), F.lit(groups)).alias("g"))
-    return dealt.groupBy("g").applyInPandas(run, "row long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, free long")
+    names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def run(key, t):
+        import pyarrow as pa
+
+        t = t.select(names).sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "ids_crc32", "row"))])
+        bins, places, free = pack(t.column("length").to_pylist(), size)
+        long = lambda values: pa.array(values, pa.int64())
+        t = t.append_column("sequence_id", long([((key[0].as_py() * ROUNDS + number) << 32) + 2 * b for b in bins]))
+        return t.append_column("offset", long(places)).append_column("free", long([free[b] for b in bins]))
+
+    dealt = items.select(*names, F.pmod(F.xxhash64(F.lit(number), "row"), F.lit(groups)).alias("g"))
+    return dealt.groupBy("g").applyInArrow(run, "row long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, free long")
 
 
 def best_fit_packing(docs: DataFrame, *, tokenizer: str, ranks: str | None = None, pattern: str | None = None, size: int = 1024, end_id: int = 2) -> DataFrame:
