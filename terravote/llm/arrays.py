@@ -48,6 +48,18 @@ def overlapped(spans: str, others: str) -> str:
     return f"if(size({spans}) = 0 or size({others}) = 0, transform({spans}, s -> false), zip_with({begun}, {over}, (b, o) -> b > o))"
 
 
+def covered(spans: str, others: str) -> str:
+    """For each span (struct start, end; ascending and disjoint) whether any one other span, in whatever order, covers it."""
+
+    def reach(o: str) -> str:
+        begun = rank(f"{o}.start", f"{spans}.start", True)
+        ends = running(f"{o}.end", "greatest(a, x)")
+        return let(begun, lambda b: let(ends, lambda e: f"zip_with({spans}, {b}, (s, n) -> coalesce(get({e}, int(n)), array_max({o}.end)) >= s.end)"))
+
+    ordered = f"sort_array(transform({others}, o -> struct(o.start as start, o.end as end)))"
+    return f"if(size({spans}) = 0 or size({others}) = 0, transform({spans}, s -> false), {let(ordered, reach)})"
+
+
 def split_off(text: str, pattern: str) -> str:
     """array<string>: text between, match, text between, ..., text between, for a pattern's leftmost matches.
 

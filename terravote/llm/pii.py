@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import matches, overlapped, replaced
+from .arrays import covered, matches, overlapped, replaced
 from .common import saved, table
 
 KINDS = ["email", "ip", "card", "phone", "mail", "number", "secret"]
@@ -45,7 +45,8 @@ SPELT = r"^[^A-Za-z0-9._%+-]*+[A-Za-z0-9._%+-]++(?:\(at\)|\[at\])[A-Za-z0-9-]++(
 NUMBER_NAME = r"(?:phone|tel|mobile|call|fax|card|visa|account|iban|ip|address|ssn)\b[^a-z]*$"
 SECRET_NAME = r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_ -]?key|key|auth|bearer|credential)"
 GIVEN = r"[=:]\s*[\"'`]?$"
-#: Characters before a candidate that the naming words are looked for in.
+#: Parameter: characters before a candidate that the naming words are looked for in.  A name farther off confirms nothing;
+#: such candidates are left to the trees.
 CONTEXT = 24
 
 #: Features and their numbers of values; a code is their mixed-radix number, and a kind has at most 1,152 codes.  None
@@ -146,9 +147,11 @@ def _named(kind: str, x: Column) -> Column:
 
 def found_in(docs: DataFrame) -> DataFrame:
     """docs (with a column text) with base (struct of a span array per base kind), candidates (array of kind, start, end,
-    code, label, free) and held, whether the document is held out from fitting.
+    code, label, open) and held, whether the document is held out from fitting.
 
-    free: no base span overlaps the candidate.  label: a validator confirms it, be it a base span or what ``_named`` says.
+    label: a validator confirms it, be it a base span or what ``_named`` says.  open: it may be added to the base spans.  What
+    one base span covers is not.  Nor is an address or number that a base span touches, unless it is confirmed by itself;
+    a secret is whole with whatever base spans lie in it or across its ends.
     """
     text, digits = "coalesce(text, '')", r"text rlike r'[0-9][\x20().-]{0,2}[0-9]'"
     base = {"email": (EMAIL, "contains(text, '@')"), "ip": (IP, f"contains(text, '.') and {digits}"), "card": (CARD, digits), "phone": (PHONE, "contains(text, '+')")}
@@ -157,10 +160,12 @@ def found_in(docs: DataFrame) -> DataFrame:
     own = lambda kind: F.transform(seen[kind], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _code(kind, _feature(kind, x)).alias("code"), _named(kind, x).alias("named")))
     out = docs.select("*", (F.pmod(F.xxhash64("text"), F.lit(HELD)) == 0).alias("held"), F.struct(*(_spans(F.filter(seen[k], lambda x: _valid(k, x["value"]))).alias(k) for k in base)).alias("base"), *(own(k).alias(f"__{k}") for k in drawn))
     out = out.withColumn("__all", F.expr("concat(base.email, base.ip, base.card, base.phone)"))
-    out = out.select("*", *(F.expr(overlapped(f"__{k}", "__all")).alias(f"__taken_{k}") for k in drawn))
-    label = {"mail": "x.named or taken", "number": "x.named or taken", "secret": "x.named"}
-    parts = [f"zip_with(__{k}, __taken_{k}, (x, taken) -> struct('{k}' as kind, x.start as start, x.end as end, x.code as code, {label[k]} as label, not taken as free))" for k in drawn]
-    return out.withColumn("candidates", F.expr(f"concat({', '.join(parts)})")).drop("__all", *(f"__{k}" for k in drawn), *(f"__taken_{k}" for k in drawn))
+    out = out.select("*", *(F.expr(f(f"__{k}", "__all")).alias(f"__{name}_{k}") for k in drawn for name, f in (("taken", overlapped), ("inside", covered))))
+    label = {"mail": "x.named or y.taken", "number": "x.named or y.taken", "secret": "x.named"}
+    may = {k: "not y.inside" if k == "secret" else "not y.taken or (x.named and not y.inside)" for k in drawn}
+    met = {k: f"zip_with(__taken_{k}, __inside_{k}, (a, b) -> struct(a as taken, b as inside))" for k in drawn}
+    parts = [f"zip_with(__{k}, {met[k]}, (x, y) -> struct('{k}' as kind, x.start as start, x.end as end, x.code as code, {label[k]} as label, {may[k]} as open))" for k in drawn]
+    return out.withColumn("candidates", F.expr(f"concat({', '.join(parts)})")).drop("__all", *(f"__{name}{k}" for k in drawn for name in ("", "taken_", "inside_")))
 
 
 def _decode(code: Column, kind: str) -> dict[str, Column]:
@@ -207,13 +212,13 @@ def fit(found: DataFrame) -> list[tuple[str, int]]:
 
 
 def spans_of(found: DataFrame, codes: list[tuple[str, int]]) -> DataFrame:
-    """found with spans, array of (order, start, end): the base spans, and of the candidates that overlap none of these the
-    confirmed and the selected ones."""
+    """found with spans, array of (order, start, end): the base spans, and of the open candidates the confirmed and the
+    selected ones."""
     base = F.concat(*(F.transform(F.col(f"base.{k}"), lambda s: F.struct(F.lit(i).alias("order"), s["start"].alias("start"), s["end"].alias("end"))) for i, k in enumerate(KINDS[:4])))
     picked = F.array().cast("array<struct<order:int,start:bigint,end:bigint>>")
     for kind in FEATURES:
         own = [c for k, c in codes if k == kind] or [-1]
-        hit = F.filter("candidates", lambda x: (x["kind"] == kind) & (x["label"] | x["code"].isin(own)) & x["free"])
+        hit = F.filter("candidates", lambda x: (x["kind"] == kind) & (x["label"] | x["code"].isin(own)) & x["open"])
         picked = F.concat(picked, F.transform(hit, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("order"), x["start"].alias("start"), x["end"].alias("end"))))
     return found.withColumn("base_spans", F.sort_array(base)).withColumn("spans", F.sort_array(F.concat(base, picked)))
 
@@ -230,7 +235,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     kind:start:end in code points, by kind and then start.  The model is learnt from all candidates of docs.
 
     Null or empty text: no spans, and the digest of the empty string.  Null doc_id and repeated rows: a row each.  Very
-    long texts are searched whole, in linear time.  Empty table: no rows.  Other columns are ignored.
+    long texts are searched whole, in linear time.  Ties: matches of a kind never overlap; spans of different kinds may, and
+    are all listed, even where they are alike, unless a base span covers an added one.  Empty table: no rows.  Other
+    columns are ignored, whatever their names.
     """
     found = saved(found_in(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).drop("text"))
     out = spans_of(found, fit(found))
