@@ -18,10 +18,17 @@ BLOCKS = CONTAINERS | set("p h1 h2 h3 h4 h5 h6 li dt dd pre hr br address figcap
 NEVER = set("nav footer aside form head menu dialog button select iframe object svg canvas template noscript audio video".split())
 VOID = set("br hr img input meta link area base col embed source track wbr".split())
 NOISE = set("ad ads advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert modal popup overlay paywall nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets related recommended share sharing social newsletter subscribe subscription signup login comment comments reply replies respond discussion disqus footer masthead topbar toolbar pagination pager search complementary contentinfo skip toc tags".split())
-LAYOUT = set("content main article layout wrapper container page".split())
+#: Words that say of a name how its thing is laid out, not what it is: a name means what stands before them.
+SHELL = set("container containers wrapper wrap inner outer box boxes block section area list items item holder panel bar group row col column columns grid content body main text title heading head header left right top bottom primary secondary mobile desktop link links button buttons btn icon form post posts article articles story stories thread feed".split())
+#: A name with one of these says what a thing has or stands beside.
+BESIDE = set("has with no without not below above under after before".split())
 TEXT_WORDS = set("content article post entry story body text main".split())
 # Names of a container that holds one whole article, unless one of the others says that it holds the page's layout.
 UNIT, AROUND = set("article post entry story".split()), set("layout wrapper container page".split())
+#: Blocks whose id names what they are about, as the target of a link; what readers' words are called, also as articles.
+ABOUT, READERS = set("h1 h2 h3 h4 h5 h6 p li dt dd pre summary caption figcaption address".split()), set("comment comments reply replies".split())
+#: Elements that are never marked: the page itself.
+WHOLE = set("html body main".split())
 
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 # Elements that a block closes if they are still open (a paragraph: by any block), and where that search ends.
@@ -38,25 +45,32 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTR = re.compile(r"(?:^|(?<=[\s/\"']))([^\s=<>/\"']+)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))")
-#: Votes of a host that its pages choose from, and the share of a page's best score from which a container gets a vote.
+HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Paths of a host that its pages choose from, and the share of a page's best score from which a container gets a vote.
 #: A page that has none of these paths is read by its own best container.
 PATHS, SHARE = 8, 0.5
+#: A path is boilerplate if so many different pages of a host have it for each text that it holds there, and no fewer
+#: than as many pages.
+REPEATED = 5
 
 
 class Page:
     """One walk over a page: containers (number of the path, parent, boilerplate or not, bonus, the highest article and the
-    highest main around it or itself) and text blocks in page order.
+    highest main around it or itself, whether repetition may make it boilerplate: in no article) and text blocks in page
+    order.
 
     A path is a hash of its parent's and its own name, so a container's memory does not grow with its depth.
     """
 
     def __init__(self, source: str):
         self.paths, self.parent, self.noise, self.bonus = [0], [-1], [False], [1.0]
-        self.article, self.main = [0], [0]
+        self.article, self.main, self.plain = [0], [0], [False]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters inside links
         # Open blocks: tag, the container it is or stands in, boilerplate or not.  How many of each tag are open spares
         # the search for one that is not.
         self.stack, self.open = [("", 0, False)], {}
+        # An inline element that is boilerplate: its tag, how many of it are open, and the depth of the stack around it.
+        self.mute = None
         text, linked, in_link, at = [], 0, False, 0
 
         def close():
@@ -68,7 +82,7 @@ class Page:
             text, linked = [], 0
 
         for m in TOKEN.finditer(source):
-            if m.start() > at:
+            if m.start() > at and not self.mute:
                 run = html.unescape(source[at : m.start()])
                 text.append(run)
                 linked += len(run) if in_link else 0
@@ -78,6 +92,7 @@ class Page:
             if tag == "a":
                 in_link = not m["end"]
             if tag not in BLOCKS and tag not in NEVER:
+                self._inline(tag, m["attrs"], m["end"])
                 continue
             if tag == "br":
                 text.append(" ")
@@ -93,14 +108,25 @@ class Page:
             self._imply(CLOSES.get(tag, ()))
             if tag not in VOID:
                 self._push(tag, m["attrs"])
-        if at < len(source):
+        if at < len(source) and not self.mute:
             text.append(html.unescape(source[at:]))
         close()
-        del self.stack, self.open
+        del self.stack, self.open, self.mute
+
+    def _inline(self, tag: str, attrs: str, end: str) -> None:
+        if self.mute:
+            if tag == self.mute[0]:
+                self.mute[1] += -1 if end else tag not in VOID
+                if not self.mute[1]:
+                    self.mute = None
+        elif not end and attrs and tag not in VOID and not attrs.endswith("/") and self._names(tag, attrs)[0]:
+            self.mute = [tag, 1, len(self.stack)]
 
     def _pop(self) -> str:
         tag = self.stack.pop()[0]
         self.open[tag] -= 1
+        if self.mute and len(self.stack) < self.mute[2]:
+            self.mute = None
         return tag
 
     def _imply(self, ends) -> None:
@@ -124,8 +150,9 @@ class Page:
             yield self.stack[j]
 
     def _push(self, tag: str, attrs: str) -> None:
-        noisy, name, bonus, unit = self._noisy(tag, attrs)
+        noisy, name, bonus, unit = self._names(tag, attrs)
         _, up, hush = self.stack[-1]
+        hush = hush or self.mute is not None
         self.open[tag] = self.open.get(tag, 0) + 1
         if tag not in CONTAINERS and tag not in NEVER:
             self.stack.append((tag, up, hush or noisy))
@@ -138,25 +165,56 @@ class Page:
         here = len(self.paths) - 1
         self.article.append(self.article[up] or (here if unit else 0))
         self.main.append(self.main[up] or (here if tag == "main" else 0))
+        self.plain.append(not self.article[here] and tag not in WHOLE)
         self.stack.append((tag, here, self.noise[here]))
 
     @staticmethod
-    def _noisy(tag: str, attrs: str) -> tuple[bool, str, float, bool]:
+    def _names(tag: str, attrs: str) -> tuple[bool, str, float, bool]:
         """Whether the attributes mark boilerplate; the tag with its classes, figures generalised; the score's factor;
         whether it holds an article as a whole."""
-        classes, words = [], set()
+        classes, words, noisy = [], set(), False
         for m in ATTR.finditer(attrs or ""):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name == "style":
+                noisy = noisy or bool(HIDDEN.search(value))
             if name not in ("class", "id", "role"):
                 continue
-            words.update(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w)
+            for one in value.split():
+                parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower()) if w]
+                words.update(parts)
+                kind = Page._kind(parts)
+                if kind in NOISE and not (name == "id" and tag in ABOUT) and (tag != "article" or kind in READERS):
+                    noisy = True
             if name == "class":
                 classes = sorted(re.sub(r"\d+", "#", c) for c in value.lower().split())
-        noisy = tag not in ("html", "body", "main") and bool(words & NOISE) and not words & LAYOUT
+        if not noisy and attrs and "hidden" in attrs.lower():
+            noisy = bool(re.search(r"(?:^|[\s/])hidden(?:[\s/]|$)", ATTR.sub(lambda m: " hidden " if m[1].lower() == "hidden" else " ", attrs), re.I))
+        noisy = noisy and tag not in WHOLE
         bonus = 2.0 if tag in ("article", "main") or words & TEXT_WORDS else 1.0
-        unit = tag == "article" or (tag not in ("html", "body", "main") and bool(words & UNIT) and not words & AROUND)
+        unit = tag == "article" or (tag not in WHOLE and bool(words & UNIT) and not words & AROUND)
         return noisy, ".".join([tag, *classes]), bonus, unit
 
+    @staticmethod
+    def _kind(parts: list[str]) -> str:
+        """What a name's thing is: its last word that doesn't tell of layout alone."""
+        return next((w for w in reversed(parts) if w not in SHELL), "") if BESIDE.isdisjoint(parts) else ""
+
+    def drop(self, boilerplate: set[int]) -> None:
+        """Marks the containers of these paths, and all in them, as boilerplate."""
+        for c in range(1, len(self.paths)):
+            self.noise[c] = self.noise[c] or self.noise[self.parent[c]] or (self.plain[c] and self.paths[c] in boilerplate)
+
+    def digests(self) -> tuple[int, dict[int, int]]:
+        """A number for the page's text, and one for each path's: the text directly in its containers."""
+        every, of = [], {}
+        for c, text, _ in self.blocks:
+            if not self.noise[c]:
+                every.append(text)
+                if self.plain[c]:
+                    of.setdefault(self.paths[c], []).append(text)
+        number = lambda texts: xxh64_intdigest("\n".join(texts))
+        return number(every), {p: number(t) for p, t in of.items()}
+
     def scores(self) -> dict[int, float]:
         """Each path's score: unlinked text directly in it, and half of what its inner containers score."""
         score = [0.0] * len(self.paths)
@@ -186,11 +244,12 @@ class Page:
         return " ".join(t for c, t, linked in self.blocks if not self.noise[c] and (whole[c] or (wide[c] and len(t) > 2 * linked)))
 
 
-def main_text(source: str | None, voted: list[int] | None) -> str:
+def main_text(source: str | None, voted: list[int] | None, boilerplate: list[int] | None = None) -> str:
     """Text of the voted path that the page has and that holds text, in the order of the votes; else of its own best."""
     if not source:
         return ""
     page = Page(source)
+    page.drop({p % (1 << 64) for p in boilerplate or []})
     scores = page.scores()
     for path in voted or []:
         path %= 1 << 64
@@ -203,54 +262,73 @@ def _host():
     return F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def votes(pages: DataFrame) -> DataFrame:
-    """(host, paths): the numbers of up to 8 paths of each host, by the sum of the shares that its pages give them."""
+def votes(pages: DataFrame, paths: int = PATHS) -> DataFrame:
+    """(host, paths, repeated): the numbers of up to ``paths`` paths of each host, by the sum of the shares that its pages
+    give them, and those of its boilerplate, which get no votes.
+
+    A path is boilerplate if it holds the same texts over and over: at least ``REPEATED`` times as many different pages
+    as different texts.  Copies of a page are one page here.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        signed = lambda x: x - (x >> 63 << 64)
+        names = ["host", "path", "share", "page", "text"]
         for b in batches:
-            hosts, paths, shares = [], [], []
+            out: list[list] = [[] for _ in names]
             for host, source in zip(b.column("host").to_pylist(), b.column("html")):
-                found = Page(source.as_py() or "").scores()
+                page = Page(source.as_py() or "")
+                found, (whole, texts) = page.scores(), page.digests()
                 best = max(found.values(), default=0)
-                for path, s in found.items():
-                    if s >= SHARE * best:
-                        hosts.append(host)
-                        paths.append(path - (path >> 63 << 64))
-                        shares.append(round(1000 * s / best))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(shares, pa.int64())], ["host", "path", "share"])
-
-    each = pages.select("host", "html").mapInArrow(run, "host string, path long, share long")
-    ranked = each.groupBy("host", "path").agg(F.sum("share").alias("votes"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).filter(F.col("rank") <= PATHS)
-    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
-
-
-def extract(pages: DataFrame) -> DataFrame:
+                for path in found.keys() | texts.keys():
+                    share = round(1000 * found[path] / best) if found.get(path, 0) >= SHARE * best > 0 else 0
+                    text = texts.get(path)
+                    for column, x in zip(out, (host, signed(path), share, signed(whole), None if text is None else signed(text))):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), *[pa.int64()] * 4))], names)
+
+    each = pages.select("host", "html").mapInArrow(run, "host string, path long, share long, page long, text long")
+    # Copies are brought together first: what is counted are different pages and different texts.
+    each = each.groupBy("host", "path", "page", "text").agg(F.sum("share").alias("share"))
+    counted = each.groupBy("host", "path", "text").agg(F.sum("share").alias("share"), F.count("*").alias("pages"))
+    counted = counted.groupBy("host", "path").agg(F.sum("share").alias("votes"), F.sum(F.when(F.col("text").isNotNull(), F.col("pages"))).alias("pages"), F.count("text").alias("texts"))
+    repeated = F.coalesce(F.col("pages") >= REPEATED * F.col("texts"), F.lit(False)) & (F.col("texts") > 0)
+    counted = saved(counted.withColumn("repeated", repeated).filter("repeated or votes > 0").select("host", "path", "votes", "repeated"))
+    ranked = counted.filter("not repeated").withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).filter(F.col("rank") <= paths)
+    known = ranked.unionByName(counted.filter("repeated").withColumn("rank", F.lit(None).cast("int")))
+    chosen = F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "path"))))
+    return known.groupBy("host").agg(F.transform(chosen, lambda x: x["path"]).alias("paths"), F.array_sort(F.collect_list(F.when(F.col("repeated"), F.col("path")))).alias("repeated"))
+
+
+def extract(pages: DataFrame, *, paths: int = PATHS) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
     Every page's containers are scored and vote for their generalised tag-class paths (figures in class names become #);
-    the votes are summed per host and path; each page is then read again by its host's paths, the most voted first, and
-    by its own best container if it has none of them.  From there the text is taken of the whole article (or, without
-    links, <main>) around, so headings and parts in containers of other names are not lost.  Navigation, page headers, footers, asides, forms, scripts, styles
-    and what class, id or role name as adverts, notices, menus or comments is left out at any depth.
+    the votes are summed per host and path; each page is then read again by its host's ``paths`` most voted paths, the first
+    that it has, and by its own best container if it has none of them.  From there the text is taken of the whole article
+    (or, without links, <main>) around, so headings and parts in containers of other names are not lost.
+
+    Left out at any depth: navigation, page headers, footers, asides, forms, scripts, styles, what is hidden, inline
+    elements too, of which a class, id or role names adverts, notices, menus or comments (by its last word that does not
+    tell of layout: ``comments-container`` is comments, ``related-work`` is not related), and paths that hold the same
+    texts over a host's pages.  Headings and paragraphs are not judged by their ids.
 
     Null or empty html: empty text.  Null or odd url: hosts null and empty vote as hosts of their own.  Repeated rows: a
     row each.  Very long pages are read whole, in memory that grows with their length alone; cut-off markup is read as far
     as it goes.  Ties: paths of equal votes by number.  Empty table: no rows.  Other columns are ignored, whatever their names.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", _host())
-    known = saved(votes(pages))
+    known = saved(votes(pages, paths))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            texts = [main_text(s.as_py(), p) for s, p in zip(b.column("html"), b.column("paths").to_pylist())]
+            texts = [main_text(s.as_py(), p, r) for s, p, r in zip(b.column("html"), b.column("paths").to_pylist(), b.column("repeated").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return join_small(pages, known, ["host"]).select("page_id", "url", "html", "paths").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return join_small(pages, known, ["host"]).select("page_id", "url", "html", "paths", "repeated").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,12 @@ def test_packing_deals_repeated_rows_over_groups(spark):
     assert len(places) <= 1.03 * sum(r.length for r in got) / 1024 + 1
 
 
+def test_packing_keeps_long_ids_beside_a_null(spark):
+    ids = [2**60 + 1, 2**60 + 3, None, 2**62 + 1]
+    t = spark.createDataFrame([(i, f"some words of {i}") for i in ids], "doc_id long, text string")
+    assert Counter(r.doc_id for r in packing.best_fit_packing(t, **BPE).collect()) == Counter(ids)
+
+
 def test_packing_of_nothing(empty):
     none_of(packing.best_fit_packing(empty, **BPE), ["doc_id", "sequence_id", "offset"])
 
@@ -563,6 +569,33 @@ def test_no_tail_of_a_secret_or_address_stays(spark):
     assert {got[100 + i] for i in range(20)} == {"[mail] end"}
 
 
+def test_no_character_of_a_secret_stays_around_base_spans(spark):
+    body = "abcdefABCDEFghijKLMN"
+    card = "4111111111111111"
+    texts = {
+        f'api_key="{body}{card}xyzXYZabcdef"': 'api_key="[secret]"',  # inside
+        f"token={body}+4912345678": "token=[secret]",  # at the end
+        f"token={card}{body}": "token=[card]",  # at the start, whose kind the whole span takes
+        f"token={card}aB{card}cD{card}": "token=[card]",  # several
+        f"token={body}+4912 345 678 now": "token=[secret] now",  # across the end
+        f"token={body}/10.0.0.1 now": "token=[secret] now",
+        f"secret={body}@host.org now": "secret=[email] now",  # the base span covers the secret
+        f"password: {body}{body}.x@host.org": "password: [email]",
+        "write jo(at)host.org+4912345678 now": "write [mail] now",
+        f"no name {card} here": "no name [card] here",
+    }
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redacted(t).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        assert not any(body[k : k + 6] in got[i] or card[k : k + 6] in got[i] for k in range(11)), (text, got[i])
+        if "10.0.0.1" not in text:
+            assert got[i] == want, text
+    spans = {r.doc_id: r for r in pii.personal_data(t).collect()}
+    for i, text in enumerate(texts):
+        assert spans[i].base_sha256 == hashlib.sha256(",".join(base_spans(text)).encode()).hexdigest()
+        assert set(filter(None, base_spans(text))) <= set(spans[i].spans.split(","))
+
+
 def test_work_grows_with_the_text(spark):
     run = "a" * 300_000 + " " + "1" * 300_000 + " " + "a.b@" * 50_000 + " " + "x.y." * 50_000 + "@z.a " + "(at)" * 50_000 + " " + "+1" * 50_000
     seconds = {}
@@ -591,6 +624,9 @@ def test_running_results_and_overlaps_match_brute_force(spark):
         spans, others = list(zip(cuts[::2], cuts[1::2])), [(int(a), int(a + w)) for a, w in zip(r.integers(0, 3000, m), r.integers(1, 9, m))]
         t = spark.createDataFrame([(spans, others)], "a array<struct<start:bigint,end:bigint>>, b array<struct<start:bigint,end:bigint>>")
         assert t.selectExpr(f"{arrays.overlapped('a', 'b')} as o").first().o == [any(c < b and d > a for c, d in others) for a, b in spans]
+        wide = spans[::3] + [(a, b + 5) for a, b in spans[::5]] + others
+        t = spark.createDataFrame([(spans, wide)], "a array<struct<start:bigint,end:bigint>>, b array<struct<start:bigint,end:bigint>>")
+        assert t.selectExpr(f"{arrays.covered('a', 'b')} as o").first().o == [any(c <= a and d >= b for c, d in wide) for a, b in spans]
 
 
 def brute_candidates(t: str) -> list[tuple]:
@@ -658,7 +694,8 @@ def test_added_spans_match_brute_force_with_measured_recall(spark):
                 assert 0 <= x < radix
                 code = code * radix + x
             named = kind == "mail" and "[at]" in text or kind == "secret" and 'token = "' in text or kind == "number" and "phone: " in text
-            if (named or (kind, code) in codes) and not any(int(c) < b and int(d) > a for _, c, d in base):
+            taken, inside = (any(test(int(c), int(d)) for _, c, d in base) for test in (lambda c, d: c < b and d > a, lambda c, d: c <= a and d >= b))  # noqa: B023
+            if (named or (kind, code) in codes or (taken and kind != "secret")) and (not inside if kind == "secret" else not taken or (named and not inside)):
                 want.append((pii.KINDS.index(kind), a, b))
         added = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(want)]
         assert got[i] == ",".join([":".join(x) for x in base] + added), text
@@ -841,6 +878,80 @@ def test_markup_is_read_as_browsers_do(markup, want):
     assert html_text.main_text(source, None) == f"{'body text ' * 9}start {want}"
 
 
+NOISY = ["comments-container", "article-comments", "comments-wrapper", "content-ad", "cookie-wrapper", "main-nav", "page-footer", "sidebar-content", "related-posts", "searchForm", "post__comments", "ad-2 col"]
+CLEAN = ["content", "post-body", "has-sidebar", "page with-nav", "related-work", "search-engines", "header-text", "adverb", "layout"]
+
+
+@pytest.mark.parametrize("name", NOISY)
+def test_names_of_boilerplate(name):
+    body = "body text " * 9 + "end"
+    for inner in (f'<div class="{name}"><p>{"other words " * 40}</p></div>', f'<section id="{name.split()[0]}">{"other words " * 40}</section>', f'<p>x<span class="{name}">no <b>words</b></span></p>'):
+        got = html_text.main_text(f'<body><div class="post-body"><p>{body}</p>{inner}</div></body>', None)
+        assert got in (body, body + " x"), (name, got)
+        got = html_text.main_text(f'<body>{inner}<div class="post-body"><p>{body}</p></div>{inner}</body>', None)
+        assert got == body
+
+
+@pytest.mark.parametrize("name", CLEAN)
+def test_names_that_only_sound_like_boilerplate(name):
+    for tag in ("div", "section", "p", "span"):
+        source = f'<article><p>{"body text " * 9}start</p><{tag} class="{name}" id="{name}">more words</{tag}></article>'
+        assert html_text.main_text(source, None) == "body text " * 9 + "start more words"
+
+
+def test_ids_of_headings_and_sections_stay():
+    source = '<article><h1 id="ad">One</h1><h2 id="search-engines">Two</h2><p>body text and more</p><h2 id="social-media">Three</h2><section id="related-work"><h3 id="comments">Four</h3><p id="notice">five</p></section></article>'
+    assert html_text.main_text(source, None) == "One Two body text and more Three Four five"
+
+
+HIDDEN = [
+    ("<div hidden>no</div>", ""), ('<div style="color:red; Display : none">no</div>', ""), ('<p style="visibility:hidden">no</p>', ""), ("<div data-hidden='1' title='hidden'>yes</div>", "yes"),
+    ('a<span class="ad">Buy</span>b', "ab"), ('<a class="share-button" href="/">Share</a><p>c</p>', "c"), ('<span class="ad"><span>x</span>y</span>z', "z"), ('<p>a <a class="ad">no</p><p>b</p>', "a b"),
+    ('<a class="ad"><div>no<p>no</div>no</a><p>d', "d"), ('<article class="comment"><p>words of a reader</p></article>', ""), ('<article class="share">own words</article>', "own words"), ('<p hidden="">no<div hidden id=x>no</div>e', "e"),
+]
+
+
+@pytest.mark.parametrize("markup, want", HIDDEN)
+def test_hidden_and_inline_boilerplate_goes(markup, want):
+    source = f"<body><article><p>{'body text ' * 9}start</p>{markup}</article></body>"
+    assert html_text.main_text(source, None) == f"{'body text ' * 9}start {want}".strip()
+
+
+def test_a_page_of_comments_and_menus_gives_its_post():
+    long = "words of readers " * 60
+    source = f'<body><div class="main-nav"><a>Home</a></div><div class="post-body"><p>the post itself</p></div><div class="page-footer">foot</div><div class="comments-container"><p>{long}</p></div></body>'
+    assert html_text.main_text(source, None) == "the post itself"
+
+
+def test_votes_match_brute_force(spark):
+    r = np.random.default_rng(5)
+    notice = "this house keeps its visitors informed of everything " * 3
+    pages = []
+    for i in range(60):
+        body = "".join(f"<p>{' '.join(r.choice(['one', 'two', 'three', 'four'], 30))} {i}</p>" for _ in range(r.integers(1, 3)))
+        pages.append((i, f"http://h{i % 3}.example.com/{i}", f'<body><div class="k{i}"><div class="box-{i % 2}">{notice}</div><div class="t-{i}">{body}</div><section class="x">{" ".join(r.choice(["a", "b"], 40))}</section></div></body>'))
+    pages += [(100 + i, "http://copies.example.com/", f'<body><div class="only"><p>{notice}</p></div></body>') for i in range(9)]
+    t = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", html_text._host()).repartition(5)
+    votes, seen = defaultdict(lambda: defaultdict(int)), defaultdict(lambda: defaultdict(set))
+    for _, url, source in pages:
+        host, page = url.split("/")[2], html_text.Page(source)
+        found, (whole, texts) = page.scores(), page.digests()
+        for path, s in found.items():
+            if s >= 0.5 * max(found.values()):
+                votes[host][path] += round(1000 * s / max(found.values()))
+        for path, text in texts.items():
+            seen[host][path].add((whole, text))
+    got = {x.host: ([p % 2**64 for p in x.paths], {p % 2**64 for p in x.repeated}) for x in html_text.votes(t).collect()}
+    assert set(got) == set(votes)
+    for host, (paths, repeated) in got.items():
+        assert repeated == {p for p, v in seen[host].items() if len(v) >= 5 * len({x for _, x in v})}
+        left = {p: v for p, v in votes[host].items() if p not in repeated}
+        assert paths == sorted(left, key=lambda p: (-left[p], p - (p >> 63 << 64)))[:8]
+    assert all(len(got[f"h{k}.example.com"][1]) > 0 for k in range(3)) and not got["copies.example.com"][1]
+    texts = {x.page_id: x.text for x in html_text.extract(t.drop("host")).collect()}
+    assert all("visitors" not in texts[i] for i in range(60)) and all(texts[100 + i] == notice.strip() for i in range(9))
+
+
 def random_page(r: np.random.Generator) -> tuple[str, str]:
     """A page of nested blocks, and its article's text as it was put in."""
     said: list[str] = []
@@ -853,7 +964,7 @@ def random_page(r: np.random.Generator) -> tuple[str, str]:
         return html_unescape(re.sub(r"<br>", " ", re.sub(r"</?[bi]\b[^>]*>", "", t)))
 
     def attrs(cls=None):
-        return pick("", " title=it's", " data-a='x>y'", ' data-b="<p>"', " id=k7", " hidden=''") + (pick(" class={}", " class='{}'", ' class="{} c1"').format(cls) if cls else "")
+        return pick("", " title=it's", " data-a='x>y'", ' data-b="<p>"', " id=k7", " data-hidden=''") + (pick(" class={}", " class='{}'", ' class="{} c1"').format(cls) if cls else "")
 
     def leaf(own):
         t = words()
