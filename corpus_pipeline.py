@@ -9,14 +9,33 @@ packing       token pieces placed in sequences of at most 1,024 tokens: one row
 Every stage takes any table of documents: null, empty and very long texts, null ids, ties, repeated rows, columns of any
 other name, and no rows at all have the results that the operators' docstrings name; what the stages do with them is
 said at each.  All stages but the last keep the columns as they are.
+
+A stage's tables in the shared folder are needed until its result is written.  So each stage, as it begins, takes away what
+stages before it have left there, but for tables that its own documents still read: write a stage's result before the
+next one is called on a table in files.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from terravote.llm import language, mixing, packing, pii, simhash
-from terravote.llm.common import saved, table
+from terravote.llm.common import owned, removed, saved, table
+
+
+def _stage(name: str, apply: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with its tables kept apart and those of the stages before it removed."""
+
+    @wraps(apply)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        removed(spark, [f"{n} {part}" for n in NAMES[: NAMES.index(name)] for part in ("tables", "result")], docs)
+        with owned(f"{name} tables"):
+            return apply(spark, docs, sf_dir)
+
+    return run
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +70,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(docs, tokenizer=P.path("byte_bpe_50k.json"), ranks=P.path("byte_bpe_50k.tiktoken"), pattern=P.PATTERN)
 
 
-STAGES = [("language", identify), ("near_dedup", near_dedup), ("pii", redact), ("mixing", mix), ("packing", pack)]
+NAMES = ["language", "near_dedup", "pii", "mixing", "packing"]
+STAGES = [(name, _stage(name, apply)) for name, apply in zip(NAMES, [identify, near_dedup, redact, mix, pack])]
 
 #: Trained models and packing have no SQL form; tests hold the operators against brute force, and run against the stages.
 ORACLE_SQL = None
@@ -60,6 +80,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of ``documents``.  Every stage but the last is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        made = stage(spark, docs, sf_dir)
+        with owned(f"{name} result"):
+            docs = saved(made)
     return STAGES[-1][1](spark, docs, sf_dir)

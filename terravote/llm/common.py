@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,14 +22,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Whose tables are being saved, and the tables that owners have in the shared folder.
+_owner: list[str] = []
+_tables: dict[str, list[str]] = {}
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: later readers neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _owner:
+        _tables.setdefault(_owner[-1], []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def owned(name: str) -> Iterator[None]:
+    """Tables saved inside belong to ``name``, until ``removed`` takes them away."""
+    _owner.append(name)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def removed(spark: SparkSession, names: Iterable[str], reader: DataFrame) -> None:
+    """Takes away the tables that belong to ``names``, but for those that ``reader`` reads.  Nothing is removed if reader is
+    no table in files: what it is made from may be read later."""
+    found = {n: _tables.pop(n, []) for n in names}
+    if not any(found.values()):
+        return
+    needed = {f.rsplit("/", 1)[0] for f in reader.inputFiles()}
+    read = lambda path: any(n.endswith(path.rsplit("/", 1)[-1]) for n in needed)
+    for name, paths in found.items():
+        for path in paths:
+            if not needed or read(path):
+                _tables.setdefault(name, []).append(path)
+            else:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def is_small(small: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether a (saved) table has no more rows than may be broadcast."""
     return small.limit(limit + 1).count() <= limit

@@ -43,3 +43,17 @@ def test_stages_keep_clashing_columns(spark, docs, empty, tmp_path):
         assert odd_out.columns == odd.columns and none.columns == empty.columns and none.count() == 0
         rows = odd_out.select("__id", "__key", "`a.b`", "row", "draw", "kept", "language").distinct().collect()
         assert [tuple(r) for r in rows] == [(1, 2, "x", 3, 4, True, "y")], name
+
+
+def test_stages_leave_no_tables_of_earlier_ones(spark, docs, tmp_path):
+    from pathlib import Path
+
+    from terravote.llm import common
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    corpus_pipeline.run(spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    left = {name: paths for name, paths in common._tables.items() if paths and name.split()[0] in corpus_pipeline.NAMES}
+    # What the last stage reads, the result of the one before, and its own tables.
+    assert set(left) == {"packing tables", "mixing result"}
+    assert all(Path(p.removeprefix("file:")).exists() for paths in left.values() for p in paths)
+    assert spark.read.parquet(str(tmp_path / "out")).count() > 0
