@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terravote.functions.exact import MONEY, exact_avg, money
 from terravote.functions.geo import METRO_KM, haversine_km
 from terravote.functions.stats import mcnemar_p, mcnemar_statistic, ratio, wilson
 from terravote.operators.scoring import mode, usable
@@ -66,7 +67,7 @@ def _metrics() -> list[Column]:
         F.coalesce(F.avg(F.when(F.col("found"), F.col("rank"))), F.lit(0.0)).alias("mean_rank_found"),
         F.count_if("found").alias("n_rank_found"),
         F.coalesce(F.median(F.when(geo, F.col("km"))), F.lit(0.0)).alias("median_km"),
-        F.coalesce(F.avg(F.when(geo, F.col("km"))), F.lit(0.0)).alias("mean_km"),
+        F.coalesce(exact_avg(F.when(geo, F.col("km"))), F.lit(0.0)).alias("mean_km"),
         ratio(F.count_if(geo & within), F.count_if(geo)).alias("acc_161"),
         F.count_if(geo).alias("n_geo"),
         F.count_if("silent").alias("n_abstained"),
@@ -75,7 +76,7 @@ def _metrics() -> list[Column]:
 
 def engine_metrics(points: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Accuracy, rank, distance, latency and cost of ``scored`` points, per engine or other keys."""
-    return points.groupBy(*(by or ["engine"])).agg(*_metrics(), F.median("latency_ms").alias("median_latency_ms"), F.sum("cost_usd").alias("total_cost_usd"))
+    return points.groupBy(*(by or ["engine"])).agg(*_metrics(), F.median("latency_ms").alias("median_latency_ms"), F.sum(money("cost_usd")).cast("double").alias("total_cost_usd"))
 
 
 def fusion_points(fused: DataFrame, rows: DataFrame, coordinates: DataFrame) -> DataFrame:
@@ -154,10 +155,13 @@ def majority_baseline(rows: DataFrame) -> DataFrame:
 
 
 def cost_per_thousand(costs: DataFrame) -> DataFrame:
-    """Per engine: n, total, cost per thousand rows; and its ratio to the cheapest engine that costs anything."""
-    t = costs.groupBy("engine").agg(F.count("*").alias("n"), F.sum("cost_usd").alias("total_usd"))
-    t = t.withColumn("per_1000", F.col("total_usd") * 1000 / F.col("n"))
-    return t.withColumn("ratio", F.col("per_1000") / F.min(F.when(F.col("per_1000") > 0, F.col("per_1000"))).over(Window.partitionBy()))
+    """Per engine: n, total, cost per thousand rows; and its ratio to the cheapest engine that costs anything.
+
+    Amounts are added up as decimal numbers, so no total and no rounding of one depends on the order of the rows.
+    """
+    t = costs.groupBy("engine").agg(F.count("*").alias("n"), F.coalesce(F.sum(money("cost_usd")), F.lit(0)).cast(MONEY).alias("total_usd"))
+    t = t.withColumn("per_1000", (F.col("total_usd") * 1000 / F.col("n").cast("decimal(19,0)")).cast(MONEY))
+    return t.withColumn("ratio", (F.col("per_1000") / F.min(F.when(F.col("per_1000") > 0, F.col("per_1000"))).over(Window.partitionBy())).cast("double"))
 
 
 def status_counts(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terravote.functions.stats import adjusted_precision
-from terravote.operators import evaluate, exports
+from terravote.operators import evaluate, exports, fusion
 from terravote.plans import corpus as C
 from terravote.plans.corpus import sql, wilson_sql
 from terravote.plans.fusing import flags
@@ -135,13 +135,14 @@ def status_counts(spark, sf_dir):
 
 
 def cost_per_1000(spark, sf_dir):
-    return evaluate.cost_per_thousand(C.predictions(spark, sf_dir)).select("engine", "n", F.round("total_usd", 9).alias("total_usd"), F.round("per_1000", 6).alias("per_1000"), F.round("ratio", 4).alias("ratio"))
+    return evaluate.cost_per_thousand(C.predictions(spark, sf_dir)).select("engine", "n", F.round("total_usd", 9).cast("double").alias("total_usd"), F.round("per_1000", 6).cast("double").alias("per_1000"), F.round("ratio", 4).alias("ratio"))
 
 
 def run_comparison(spark, sf_dir):
-    """Weighted against reciprocal rank fusion: first places that agree."""
-    a = C.fused(spark, sf_dir).select("row_id", "level", F.col("consensus_confidence").alias("v"))
-    b = C.fused(spark, sf_dir, "rrf").filter("level = 'post'").select("row_id", "level", F.col("consensus_confidence").alias("v"))
+    """Weighted against reciprocal rank fusion of the same predictions: first places that agree."""
+    p = C.predictions(spark, sf_dir)
+    a = fusion.fuse(p, "weighted").select("row_id", "level", F.col("consensus_confidence").alias("v"))
+    b = fusion.fuse(p, "rrf").filter("level = 'post'").select("row_id", "level", F.col("consensus_confidence").alias("v"))
     t = evaluate.compare_runs(a, b, ["row_id", "level"], "v", 1e-3)
     return t.groupBy("level", "status").agg(F.count("*").alias("n"))
 
@@ -197,8 +198,9 @@ QUERIES = {
     "majority_baseline": (majority, sql("SELECT bucket, place, round(share, 6) AS share FROM (SELECT bucket, truth_post AS place, count(*)/sum(count(*)) OVER (PARTITION BY bucket)::DOUBLE AS share, row_number() OVER (PARTITION BY bucket ORDER BY count(*) DESC, truth_post) AS r FROM inputs GROUP BY bucket, truth_post) WHERE r=1")),
     "coverage_counts": (coverage, sql("SELECT bucket, count(*) AS n, count(lat) AS placed, count(*) FILTER (n<=40) AS early FROM (SELECT i.bucket, p.lat, row_number() OVER (ORDER BY i.conv_id) AS n FROM inputs i LEFT JOIN places p ON p.name=i.truth_post) GROUP BY bucket")),
     "status_counts": (status_counts, sql("SELECT count(*) AS total, count(*) FILTER (status='ok') AS evaluated, count(*) FILTER (status='ooc') AS ooc, count(*) FILTER (status='error') AS error FROM status")),
-    "cost_per_1000": (cost_per_1000, sql("""SELECT engine, n, round(total, 9)::DOUBLE AS total_usd, round(total*1000/n, 6)::DOUBLE AS per_1000, round((total*1000/n)/min(CASE WHEN total>0 THEN total*1000/n END) OVER (), 4)::DOUBLE AS ratio FROM
-      (SELECT e.engine, count(*) AS n, coalesce(sum(CASE WHEN NOT e.skipped AND NOT e.failed THEN (100+e.conv_id%50)*p.usd_in+(20+e.conv_id%7)*p.usd_out END), 0)::DOUBLE AS total FROM preds e LEFT JOIN prices p ON p.model=CASE e.engine WHEN 'model_post' THEN 'gpt-4o-mini' WHEN 'model_user' THEN 'claude-haiku-4-5-20251001' END GROUP BY e.engine)""")),
+    # Whole numbers of 10^-15 dollars, so that halves of the last place are rounded as they are.
+    "cost_per_1000": (cost_per_1000, sql("""SELECT engine, n::BIGINT AS n, total::DOUBLE/1e15 AS total_usd, ((2*total*1000+n*1000000000)//(2*n*1000000000))::DOUBLE/1e6 AS per_1000, round((total/n::DOUBLE)/min(CASE WHEN total>0 THEN total/n::DOUBLE END) OVER (), 4)::DOUBLE AS ratio FROM
+      (SELECT e.engine, count(*)::HUGEINT AS n, coalesce(sum(CASE WHEN NOT e.skipped AND NOT e.failed THEN (100+e.conv_id%50)*round(p.usd_in*1e15)::HUGEINT+(20+e.conv_id%7)*round(p.usd_out*1e15)::HUGEINT END), 0)::HUGEINT AS total FROM preds e LEFT JOIN prices p ON p.model=CASE e.engine WHEN 'model_post' THEN 'gpt-4o-mini' WHEN 'model_user' THEN 'claude-haiku-4-5-20251001' END GROUP BY e.engine)""")),
     "run_comparison": (run_comparison, sql("SELECT level, status, count(*) AS n FROM (SELECT coalesce(a.level, b.level) AS level, CASE WHEN a.row_id IS NULL THEN 'only in b' WHEN b.row_id IS NULL THEN 'only in a' WHEN abs(a.share-b.share)<=1e-3 THEN 'OK' ELSE 'MISMATCH' END AS status FROM (SELECT * FROM weighted WHERE rank=1) a FULL JOIN (SELECT * FROM rrf WHERE rank=1 AND level='post') b ON a.row_id=b.row_id AND a.level=b.level) GROUP BY ALL")),
     "engine_reference_join": (engine_reference, sql("""SELECT p.row_id, p.engine, p.city, round(r.overall, 6) AS overall, round(r.named, 6) AS named, round(r.unnamed, 6) AS unnamed FROM preds p JOIN (SELECT l.engine, avg((l.rank=1)::INT) AS overall, avg((l.rank=1)::INT) FILTER (NOT g.skipped AND NOT g.abstain) AS named, avg((l.rank=1)::INT) FILTER (NOT g.skipped AND g.abstain) AS unnamed
       FROM located l LEFT JOIN preds g ON g.row_id=l.row_id AND g.level=l.level AND g.engine LIKE 'gazetteer%' GROUP BY l.engine) r USING (engine) WHERE p.city IS NOT NULL""")),
