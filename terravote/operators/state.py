@@ -1,16 +1,21 @@
 """Windows over a call log, and replays of rules whose decisions feed back: batch forms.
 
-A replay is a scan of one key's events in order, so it runs per key with applyInPandas; keys are ledgers, addresses or
-catalogues, and a key's rows are small next to a task.  Streaming forms of the same steps are in terravote.streaming.
+A replay is a scan of one key's events in order: rows are shuffled and sorted by key and time, and a task reads them on
+and on, in Arrow batches, holding the state of the one key that it is at.  However many rows a key has, its replay holds
+no more than the rule's window: an hour's or a day's entries, or the names that a catalogue holds.  Streaming forms of the
+same steps are in terravote.streaming.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 HOUR, DAY = 3600.0, 86400.0
 
@@ -82,11 +87,12 @@ class Catalogue:
     def __init__(self, ttl_s: float, cap: int, builtin=frozenset(), added=None):
         self.ttl, self.cap, self.builtin, self.added = ttl_s, cap, builtin, dict(added or {})
 
-    def expire(self, now: float) -> list[tuple[str, float]]:
-        gone = [(n, t + self.ttl) for n, t in self.added.items() if self.ttl > 0 and t <= now - self.ttl]
-        for n, _ in gone:
+    def expire(self, now: float) -> list[tuple[str, float, int]]:
+        """Names whose time is over, in the order of these times, with the time and how many names it left."""
+        gone = sorted(((t + self.ttl, n) for n, t in self.added.items() if self.ttl > 0 and t <= now - self.ttl), key=lambda x: x[0])
+        for _, n in gone:
             del self.added[n]
-        return gone
+        return [(n, t, len(self.added) + len(gone) - k) for k, (t, n) in enumerate(gone, 1)]
 
     def apply(self, op: str, name: str, now: float) -> tuple[str, list[str]]:
         """status and evicted names of a register or reset, after what has expired is gone."""
@@ -107,48 +113,83 @@ class Catalogue:
         return status, evicted
 
 
-def _ordered(pdf: pd.DataFrame, *by: str) -> pd.DataFrame:
-    pdf = pdf.sort_values(list(by), kind="stable")
-    return pdf.assign(at=pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6)
+def _replayed(events: DataFrame, keys: list[str], columns: list[str], make: Callable, step: Callable, schema: str, end: Callable = lambda key, book: ()) -> DataFrame:
+    """Replays of every key's events, in the order of ts and then of the first of ``columns``.
+
+    ``make()`` gives a key's state, ``step(state, key, time, *columns)`` the rows of an event, ``end(key, state)`` those after a
+    key's last event.  Null keys are a key like any other, ids pass through as they are, and events without a time come
+    first, before all time.
+    """
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    k = len(keys)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], schema=kinds)
+
+        key, book = None, None
+        for batch in batches:
+            rows: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                now, at, rest = row[:k], row[k], row[k + 1 :]
+                if book is None or now != key:
+                    if book is not None:
+                        rows += end(key, book)
+                    key, book = now, make()
+                rows += step(book, key, float("-inf") if at is None else at / 1e6, *rest)
+            yield out(rows)
+        if book is not None:
+            yield out(list(end(key, book)))
+
+    t = events.select(*keys, F.unix_micros("ts").alias("__at"), *columns)
+    assert t.columns[:k] == keys
+    return t.repartition(*keys).sortWithinPartitions(*keys, "__at", columns[0]).mapInArrow(run, schema)
 
 
 def spend_gate(calls: DataFrame, hour_cap: float, day_cap: float) -> DataFrame:
-    """calls (call_id, key, ts, usd, paid) -> call_id, key, ran, hour, day: totals before the call."""
+    """calls (call_id, key, ts, usd, paid) -> call_id, key, ran, hour, day: totals before the call.
+
+    A null amount is none, a null paid is false.
+    """
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        ledger, pdf = Ledger(hour_cap, day_cap), _ordered(pdf, "ts", "call_id")
-        out = [ledger.offer(a, u, p) for a, u, p in zip(pdf["at"], pdf["usd"], pdf["paid"])]
-        return pd.DataFrame({"call_id": pdf["call_id"].to_numpy(), "key": pdf["key"].to_numpy()} | {n: [o[i] for o in out] for i, n in enumerate(("ran", "hour", "day"))})
+    def step(ledger, key, at, call_id, usd, paid):
+        return [(call_id, key[0], *ledger.offer(at, usd or 0.0, bool(paid)))]
 
-    return calls.select("call_id", "key", "ts", "usd", "paid").groupBy("key").applyInPandas(replay, f"call_id long, key {dict(calls.dtypes)['key']}, ran boolean, hour double, day double")
+    return _replayed(calls, ["key"], ["call_id", "usd", "paid"], lambda: Ledger(hour_cap, day_cap), step, f"call_id long, key {dict(calls.dtypes)['key']}, ran boolean, hour double, day double")
 
 
 def quota_admission(calls: DataFrame, limit: int) -> DataFrame:
     """calls (call_id, kind, key, ts) -> call_id, kind, key, admitted, remaining, retry_after in seconds."""
+    kinds = dict(calls.dtypes)
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        quota, pdf = Quota(limit), _ordered(pdf, "ts", "call_id")
-        out = [quota.offer(a) for a in pdf["at"]]
-        return pd.DataFrame({c: pdf[c].to_numpy() for c in ("call_id", "kind", "key")} | {n: [o[i] for o in out] for i, n in enumerate(("admitted", "remaining", "retry_after"))})
+    def step(quota, key, at, call_id):
+        return [(call_id, *key, *quota.offer(at))]
 
-    kinds = dict(calls.dtypes)
-    return calls.select("call_id", "kind", "key", "ts").groupBy("kind", "key").applyInPandas(replay, f"call_id long, kind {kinds['kind']}, key {kinds['key']}, admitted boolean, remaining int, retry_after double")
+    return _replayed(calls, ["kind", "key"], ["call_id"], lambda: Quota(limit), step, f"call_id long, kind {kinds['kind']}, key {kinds['key']}, admitted boolean, remaining int, retry_after double")
 
 
-def catalogue_changes(log: DataFrame, ttl_s: float = 3600.0, cap: int = 20, builtin: frozenset = frozenset()) -> DataFrame:
-    """log (catalogue_id, seq, op, name, ts) -> catalogue_id, seq, name, status, size, evicted, at; expiries have seq null."""
+CHANGES = "seq long, name string, status string, size int, evicted array<string>, at double"
+
+
+def catalogue_changes(log: DataFrame, ttl_s: float = 3600.0, cap: int = 20, builtin: frozenset = frozenset(), until: datetime | None = None) -> DataFrame:
+    """log (catalogue_id, seq, op, name, ts) -> catalogue_id, seq, name, status, size, evicted, at; expiries have seq null.
+
+    Expiries up to ``until`` (UTC if it has no zone) come out also after a catalogue's last event; without it they end there.
+    """
+    last = None if until is None else (until if until.tzinfo else until.replace(tzinfo=timezone.utc)).timestamp()
+
+    def expired(key, book, now):
+        return [(key[0], None, n, "expired", size, [], t) for n, t, size in book.expire(now)]
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        book, out, pdf = Catalogue(ttl_s, cap, builtin), [], _ordered(pdf, "ts", "seq")
-        for seq, op, name, at in zip(pdf["seq"], pdf["op"], pdf["name"], pdf["at"]):
-            out += [(None, n, "expired", len(book.added), [], t) for n, t in book.expire(at)]
-            status, evicted = book.apply(op, name, at)
-            out.append((seq, name, status, len(book.added), evicted, at))
-        t = pd.DataFrame(out, columns=["seq", "name", "status", "size", "evicted", "at"])
-        t.insert(0, "catalogue_id", pdf["catalogue_id"].iloc[0])
-        return t.astype({"seq": "Int64"})
+    def step(book, key, at, seq, op, name):
+        gone = expired(key, book, at)
+        status, evicted = book.apply(op, name, at)
+        return [*gone, (key[0], seq, name, status, len(book.added), evicted, at)]
 
-    return log.select("catalogue_id", "seq", "op", "name", "ts").groupBy("catalogue_id").applyInPandas(replay, f"catalogue_id {dict(log.dtypes)['catalogue_id']}, seq long, name string, status string, size int, evicted array<string>, at double")
+    end = (lambda key, book: ()) if last is None else (lambda key, book: expired(key, book, last))
+    return _replayed(log, ["catalogue_id"], ["seq", "op", "name"], lambda: Catalogue(ttl_s, cap, builtin), step, f"catalogue_id {dict(log.dtypes)['catalogue_id']}, {CHANGES}", end)
 
 
 def catalogue_history(changes: DataFrame) -> DataFrame:
