@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terravote.functions.geo import RADIUS_KM, haversine_km, within_box
+from terravote.operators.intervals import interval_counts, interval_join
 from terravote.sources.catalogue import ONBOARDED_FEATURE
 from terravote.sources.shared import checked, written
 
@@ -141,6 +142,9 @@ def missing_builtin(builtin: DataFrame, present: DataFrame) -> DataFrame:
 
 def as_of(requests: DataFrame, history: DataFrame) -> DataFrame:
     """requests (request_id, catalogue_id, ts) with the places valid at ts: valid_from <= ts < valid_to."""
-    h = history.withColumnRenamed("catalogue_id", "__c")
-    inside = (F.col("valid_from") <= F.col("ts")) & (F.col("valid_to").isNull() | (F.col("ts") < F.col("valid_to")))
-    return requests.join(h, (F.col("catalogue_id") == F.col("__c")) & inside).drop("__c")
+    return interval_join(requests, history, "catalogue_id", "ts", "valid_from", "valid_to")
+
+
+def sizes_as_of(requests: DataFrame, history: DataFrame) -> DataFrame:
+    """requests with n, how many places their catalogue held at ts."""
+    return interval_counts(requests, history, "catalogue_id", "ts", "valid_from", "valid_to")
