@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terravote.functions.text import is_word_term, match_count
+from terravote.operators.automaton import AT_ONCE, term_counts, with_counts
+from terravote.sources.shared import checked
 
 LANDMARK_WEIGHT = 0.25
-#: Terms up to this number are broadcast; a larger table of plain words is joined by a shuffle on the word.
-BROADCAST_TERMS = 100_000
-#: Phrases up to this number are tested on every text; more are met by their first HEAD characters.
-PHRASES, HEAD = 10_000, 6
 
 
 def terms(places: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
@@ -31,47 +28,14 @@ def terms(places: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     return named.withColumn("term", F.trim(F.lower("raw"))).filter(F.col("term") != "").withColumn("weight", weight)
 
 
-def match_words(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Hits of plain words of letters: texts' words meet the terms where they are, and only hits are shuffled and counted.
+def matches(texts: DataFrame, terms: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """texts (row_id, level, text) and terms -> one row per text and matching term, with hits.
 
-    For such a term a match at word boundaries is exactly a word of the text, so this is an equi-join.  Terms too many
-    to broadcast are joined by a shuffle on the word, after the words of each text are counted.
+    One pass of an automaton of all terms over each text (``automaton``): texts meet no table of terms, however many there
+    are; only hits meet it, by an equality join on the term.
     """
-    plain = terms.filter(F.col("term").rlike("^[a-z]+$"))
-    token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
-    words = texts.select("row_id", "level", token.alias("token"))
-    few = plain.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    if few:
-        words = words.join(F.broadcast(plain.select("term").distinct()), F.col("token") == F.col("term"), "left_semi")
-    counted = words.groupBy("row_id", "level", "token").agg(F.count("*").cast("int").alias("hits"))
-    return counted.join(F.broadcast(plain) if few else plain, F.col("token") == F.col("term")).drop("token")
-
-
-def match_phrases(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Hits of all other terms, within words too: texts that contain a term, then the exact count.
-
-    A few phrases are tested on every text.  Of more, those are tested on a text whose first HEAD characters (all, of
-    shorter ones) are somewhere in it, which is found by a join on these.
-    """
-    others = terms.filter(~F.col("term").rlike("^[a-z]+$"))
-    low = texts.select("row_id", "level", F.lower("text").alias("low"))
-    if others.limit(PHRASES + 1).count() <= PHRASES:
-        met = low.join(F.broadcast(others), F.contains("low", "term"))
-    else:
-        pairs = None
-        for n in range(1, HEAD + 1):
-            size = F.char_length("term")
-            head = others.filter(size >= n if n == HEAD else size == n).withColumn("head", F.substring("term", 1, n))
-            runs = F.regexp_extract_all("low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-            part = low.select("row_id", "level", F.explode(F.array_distinct(runs)).alias("run")).join(head, F.col("run") == F.col("head")).drop("run", "head")
-            pairs = part if pairs is None else pairs.unionByName(part)
-        met = low.join(pairs, ["row_id", "level"])
-    return met.withColumn("hits", match_count("low", "term")).filter("hits > 0").drop("low")
-
-
-def matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """texts (row_id, level, text) and terms -> one row per text and matching term, with hits."""
-    return match_words(texts, terms).unionByName(match_phrases(texts, terms))
+    hits = term_counts(texts, terms, at_once)
+    return hits.withColumnRenamed("term", "__t").join(checked(terms), F.col("__t") == F.col("term")).drop("__t")
 
 
 def score_places(matched: DataFrame) -> DataFrame:
@@ -104,14 +68,15 @@ def gazetteer(texts: DataFrame, places: DataFrame, profiles: DataFrame | None =
 
 
 def gazetteer_in_row(texts: DataFrame, places: list[str], k: int = 5) -> DataFrame:
-    """The same ranking inside each row, for streams: the terms are a literal array, so nothing is grouped."""
-    low = F.lower("text")
-    table = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(p).alias("place"), F.lit(p.lower()).alias("term")) for i, p in enumerate(places)))
-    hits = F.filter(F.transform(table, lambda t: F.struct((-match_count(low, t["term"])).alias("neg"), t["ord"].alias("ord"), t["place"].alias("place"))), lambda t: t["neg"] < 0)
-    total = F.aggregate("hits", F.lit(0), lambda a, t: a - t["neg"])
-    out = texts.withColumn("hits", F.array_sort(hits)).withColumn("total", total)
+    """The same ranking inside each row, for streams, by the same matcher: nothing is grouped or joined."""
+    low = [p.lower() for p in places]
+    terms = sorted(set(low) - {""})
+    owners = F.array(*(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(p).alias("place")) for i, p in enumerate(places) if low[i] == t)) for t in terms))
+    each = F.transform("__found", lambda x: F.transform(F.get(owners, x["i"]), lambda p: F.struct((-x["n"]).alias("neg"), p["ord"].alias("ord"), p["place"].alias("place"))))
+    out = with_counts(texts, terms, "__found").withColumn("hits", F.array_sort(F.flatten(each)))
+    out = out.withColumn("total", F.aggregate("hits", F.lit(0), lambda a, t: a - t["neg"]))
     top = F.transform(F.slice("hits", 1, k), lambda t: F.struct(t["place"].alias("place"), (-t["neg"] / F.col("total")).alias("score")))
-    return out.withColumn("top_k", top).withColumn("city", F.get("top_k", F.lit(0))["place"]).withColumn("abstain", F.col("city").isNull()).drop("hits", "total")
+    return out.withColumn("top_k", top).withColumn("city", F.get("top_k", F.lit(0))["place"]).withColumn("abstain", F.col("city").isNull()).drop("hits", "total", "__found")
 
 
-__all__ = ["gazetteer", "gazetteer_in_row", "is_word_term", "match_phrases", "match_words", "matches", "ranked", "score_places", "terms"]
+__all__ = ["gazetteer", "gazetteer_in_row", "matches", "ranked", "score_places", "terms"]

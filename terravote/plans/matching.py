@@ -23,10 +23,10 @@ def _gazetteer(level):
     return query
 
 
-def _hits(match):
+def _hits(kind):
     def query(spark, sf_dir):
         t = C.texts(C.inputs(spark, sf_dir))
-        return match(t, toponyms.terms(builtin_places(spark))).select("row_id", "level", "place", "hits")
+        return toponyms.matches(t, toponyms.terms(builtin_places(spark)).filter(F.col("term").rlike(kind))).select("row_id", "level", "place", "hits")
 
     return query
 
@@ -131,8 +131,8 @@ GAZ = "SELECT row_id, rank::INT AS rank, name AS place, round(share, 6) AS score
 QUERIES = {
     "gazetteer_post_topk": (_gazetteer("post"), sql(GAZ.format("post"))),
     "gazetteer_user_topk": (_gazetteer("user"), sql(GAZ.format("user"))),
-    "toponym_token_join": (_hits(toponyms.match_words), sql("SELECT row_id, level, name AS place, hits::INT AS hits FROM hits WHERE regexp_full_match(lower(name), '[a-z]+')")),
-    "toponym_substring_join": (_hits(toponyms.match_phrases), sql("SELECT row_id, level, name AS place, hits::INT AS hits FROM hits WHERE NOT regexp_full_match(lower(name), '[a-z]+')")),
+    "toponym_token_join": (_hits("^[a-z]+$"), sql("SELECT row_id, level, name AS place, hits::INT AS hits FROM hits WHERE regexp_full_match(lower(name), '[a-z]+')")),
+    "toponym_substring_join": (_hits("^(?![a-z]+$)"), sql("SELECT row_id, level, name AS place, hits::INT AS hits FROM hits WHERE NOT regexp_full_match(lower(name), '[a-z]+')")),
     "gazetteer_landmarks": (landmarks, sql(LANDMARKS_SQL)),
     "gazetteer_evidence": (evidence, sql("""SELECT t.row_id, t.level, coalesce(a.name, '') AS city, a.name IS NULL AS abstain,
       CASE WHEN a.name IS NULL THEN '' ELSE 'matched: '||a.name||coalesce('; the text also names '||o.others, '') END AS evidence

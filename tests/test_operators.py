@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravote.functions import rounding
-from terravote.operators import benchmark, evaluate, exports, fusion, places, reports, rules, scoring, state, toponyms
+from terravote.functions.text import match_count
+from terravote.operators import automaton, benchmark, evaluate, exports, fusion, places, reports, rules, scoring, state, toponyms
 from terravote.sources import readers
 from terravote.sources.catalogue import builtin_places, country_boxes, country_names, roster
 
@@ -236,13 +237,27 @@ def test_rounding_is_half_up_on_what_is_written(spark):
     assert got == [(".18", "0.18", "0.2", True), (".62", "0.62", "0.6", True), (".61", "0.61", "0.6", False), ("1.00", "1.00", "1.0", False), (".00", "0.00", "0.0", False), (".00", "0.00", "0.0", False), ("2.68", "2.68", "2.7", True)]
 
 
-def test_many_phrases_are_met_by_their_heads(spark, monkeypatch):
-    p = spark.createDataFrame([(0, "Kuala Lumpur"), (1, "St. Ives"), (2, "New York"), (3, "a-b"), (4, "York")], "ord int, name string")
-    t = texts(spark, "kuala lumpur and St. Ives, st. ives", "NEW YORK a-b xa-by a-b", "nothing", "")
-    few = {tuple(r) for r in toponyms.matches(t, toponyms.terms(p)).select("row_id", "level", "term", "hits").collect()}
-    monkeypatch.setattr(toponyms, "PHRASES", 1)
-    many = {tuple(r) for r in toponyms.matches(t, toponyms.terms(p)).select("row_id", "level", "term", "hits").collect()}
-    assert few == many and len(few) == 5
+def test_slices_of_terms_find_what_one_automaton_finds(spark):
+    p = spark.createDataFrame([(0, "Kuala Lumpur"), (1, "St. Ives"), (2, "New York"), (3, "a-b"), (4, "York"), (5, "York")], "ord int, name string")
+    t = texts(spark, "kuala lumpur and St. Ives, st. ives", "NEW YORK a-b xa-by a-b", "nothing", "", None)
+    few, many = ({tuple(r) for r in toponyms.matches(t, toponyms.terms(p), n).select("row_id", "level", "place_ord", "term", "hits").collect()} for n in (100, 1))
+    assert few == many and len(few) == 6
+
+
+def test_counts_of_terms_match_a_count_term_by_term(spark):
+    """Words at their edges (hyphens, marks and digits beside them), phrases anywhere, none of a term overlapping itself."""
+    rng = random.Random(6)
+    terms = ["a", "ab", "aa", "a-a", "o'er", "-a", "a-", "aa aa", "a.", "é", "éa", "b é", "straße", "ı", "'"]
+    pieces = [*terms, " ", " ", ".", "_", "1", "²", "\u0301", "-", "'", "É", "A", "\u200d", "x", "😀"]
+    rows = [(str(i), "post", "".join(rng.choice(pieces) for _ in range(30))) for i in range(300)]
+    t, names = spark.createDataFrame(rows, "row_id string, level string, text string"), spark.createDataFrame([(x,) for x in terms], "term string")
+    want = {(r.row_id, r.term): r.n for r in t.join(names).select("row_id", "term", match_count(F.lower("text"), "term").alias("n")).filter("n > 0").collect()}
+    for at_once in (3, 1000):
+        assert {(r.row_id, r.term): r.hits for r in automaton.term_counts(t, names, at_once).collect()} == want
+    inside = automaton.with_counts(t.withColumn("hits", F.lit(1)), sorted(terms)).collect()
+    assert {(r.row_id, sorted(terms)[x.i]): x.n for r in inside for x in r.found} == want
+    plan = toponyms.matches(t, toponyms.terms(spark.range(20_000).select(F.col("id").cast("int").alias("ord"), F.concat(F.lit("place "), F.col("id").cast("string")).alias("name"))))._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_documents_of_a_flag_scored_anew(spark):
