@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terravote.functions.text import confidence, extract_json
-from terravote.sources.shared import checked
+from terravote.sources.shared import checked, written
 
 SHARPNESS = 10.0
 LIST = "array<struct<place:string,score:double>>"
@@ -66,28 +66,62 @@ def usable() -> Column:
     return ~(F.col("failed") | F.col("skipped"))
 
 
-def encoder_scores(queries: DataFrame, places: DataFrame) -> DataFrame:
-    """(row_id, place_ord, place, cosine, probability): softmax of ten times the cosine over the whole catalogue.
+#: Places of a block and queries of a row, which a task multiplies at once; blocks up to this number are broadcast.
+PLACES, QUERIES, FEW = 4096, 512, 8
 
-    Place vectors are broadcast; for a catalogue beyond that, place blocks can be scored apart and merged, as maximum and
-    sum of exponentials are all that a block adds.
+
+def _block_states(batches, k: int):
+    """For each query and block of places: the greatest logit, the sum of exponentials scaled by it, and the k best places."""
+    import numpy as np
+    import pyarrow as pa
+
+    def matrix(column):
+        rows = column.flatten()
+        v = np.array(rows.field("v").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
+        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return rows, np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+
+    best = pa.list_(pa.struct([("place_ord", pa.int64()), ("place", pa.string()), ("logit", pa.float64())]))
+    for batch in batches:
+        for r in range(batch.num_rows):
+            one = batch.slice(r, 1)
+            (asked, q), (held, p) = matrix(one.column("queries")), matrix(one.column("places"))
+            order = np.argsort(held.field("ord").to_numpy(zero_copy_only=False), kind="stable")
+            logits = SHARPNESS * (q @ p[order].T)
+            top = logits.max(axis=1)
+            total = np.exp(logits - top[:, None]).sum(axis=1)
+            first = np.argsort(-logits, axis=1, kind="stable")[:, :k]
+            ords, names = held.field("ord").take(pa.array(order)).to_pylist(), held.field("place").take(pa.array(order)).to_pylist()
+            lists = [[{"place_ord": ords[j], "place": names[j], "logit": float(logits[i, j])} for j in js] for i, js in enumerate(first)]
+            yield pa.RecordBatch.from_arrays([asked.field("id"), pa.array(top), pa.array(total), pa.array(lists, best)], ["__id", "top", "total", "best"])
+
+
+def encoder_topk(queries: DataFrame, places: DataFrame, k: int = 5, block: int = PLACES, at_once: int = QUERIES) -> DataFrame:
+    """queries (row_id, vector) and places (place_ord, place, vector) -> row_id, city, confidence, top_k: the k likeliest
+    places by the softmax of ten times the cosine over the whole catalogue, ties in catalogue order.
+
+    The catalogue lies in blocks of ``block`` places.  Each meets rows of ``at_once`` queries in one matrix product, which leaves
+    a state a query: the greatest logit, the sum of exponentials scaled by it, and the k best.  States of a query are merged
+    by key, one for each block, so no pair of query and place is ever a row, whatever the catalogue's size.  Few blocks are
+    broadcast; of more, queries go to each block by an equality join.
+
+    Null vectors take no part; a vector of zeros has cosine 0 with all.  Repeated row_ids are queries of their own.
     """
-    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
-    q = queries.select("row_id", F.col("vector").cast("array<double>").alias("q")).withColumn("q", unit(F.col("q")))
-    p = places.select("place_ord", "place", F.col("vector").cast("array<double>").alias("p")).withColumn("p", unit(F.col("p")))
-    dot = F.aggregate(F.zip_with("q", "p", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    t = q.join(checked(p), F.lit(True)).select("row_id", "place_ord", "place", dot.alias("cosine"))
-    row = Window.partitionBy("row_id")
-    t = t.withColumn("e", F.exp(SHARPNESS * (F.col("cosine") - F.max("cosine").over(row))))
-    return t.withColumn("probability", F.col("e") / F.sum("e").over(row)).drop("e")
-
-
-def top_places(scores: DataFrame, score: str = "probability", k: int = 5) -> DataFrame:
-    """(row_id, city, confidence, top_k), ties in catalogue order."""
-    by = Window.partitionBy("row_id").orderBy(F.desc(score), "place_ord")
-    best = scores.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
-    lists = best.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("rank", "place", F.col(score).alias("score")))).alias("r"))
-    return lists.select("row_id", F.col("r")[0]["place"].alias("city"), F.col("r")[0]["score"].alias("confidence"), F.transform("r", lambda x: F.struct(x["place"].alias("place"), x["score"].alias("score"))).alias("top_k"))
+    fine = lambda t: t.filter(F.col("vector").isNotNull())
+    asked = written(fine(queries).select(F.monotonically_increasing_id().alias("__id"), "row_id", F.col("vector").cast("array<double>").alias("v")))
+    held = written(fine(places).select(F.col("place_ord").cast("long").alias("ord"), "place", F.col("vector").cast("array<double>").alias("v")))
+    blocks = max(1, -(-held.count() // block))
+    own = held.groupBy(F.pmod(F.xxhash64("ord", "place"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("ord", "place", "v")).alias("places"))
+    rows = asked.groupBy(F.floor(F.col("__id") / at_once).alias("__row")).agg(F.collect_list(F.struct(F.col("__id").alias("id"), "v")).alias("queries"))
+    rows = rows.select("queries", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    met = rows.join(F.broadcast(own) if blocks <= FEW else own, "block").select("queries", "places")
+    states = met.mapInArrow(lambda b: _block_states(b, k), "__id long, top double, total double, best array<struct<place_ord:bigint,place:string,logit:double>>")
+    merged = states.groupBy("__id").agg(F.max("top").alias("top"), F.array_sort(F.collect_list(F.struct("top", "total"))).alias("parts"), F.flatten(F.collect_list("best")).alias("best"))
+    total = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["total"] * F.exp(x["top"] - F.col("top")))
+    ranked = F.slice(F.array_sort(F.transform("best", lambda x: F.struct((-x["logit"]).alias("neg"), x["place_ord"].alias("ord"), x["place"].alias("place")))), 1, k)
+    merged = merged.withColumn("total", total).withColumn("top_k", F.transform(ranked, lambda x: F.struct(x["place"].alias("place"), (F.exp(-x["neg"] - F.col("top")) / F.col("total")).alias("score"))))
+    first = F.get("top_k", F.lit(0))
+    return asked.select("__id", "row_id").join(merged, "__id").select("row_id", first["place"].alias("city"), first["score"].alias("confidence"), "top_k")
 
 
 def reply_predictions(replies: DataFrame, places: DataFrame, k: int = 5) -> DataFrame:

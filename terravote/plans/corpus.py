@@ -70,7 +70,8 @@ def texts(rows: DataFrame) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Queries (row_id, vector), one per account, and places (place_ord, place, vector)."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    q = inputs(spark, sf_dir).select("row_id", (50 + F.pmod(F.col("conv_id"), F.lit(150))).alias("vec_id")).join(e, "vec_id").select("row_id", "vector")
+    n = e.agg((F.coalesce(F.max("vec_id"), F.lit(0)) + 1).alias("n"))
+    q = inputs(spark, sf_dir).select("row_id", "conv_id").join(F.broadcast(n), F.lit(True)).select("row_id", F.pmod(F.col("conv_id") * 7 + 50, F.col("n")).alias("vec_id")).join(e, "vec_id").select("row_id", "vector")
     p = builtin_places(spark).join(e, F.col("ord") == F.col("vec_id")).select(F.col("ord").alias("place_ord"), F.col("name").alias("place"), "vector")
     return q, p
 
@@ -97,7 +98,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = d.filter(F.col("skip_reason").isNull())
     g = toponyms.gazetteer(texts(rows), places).join(run.filter(F.col("engine").startswith("gazetteer")), ["row_id", "level"])
     q, p = vectors(spark, sf_dir)
-    s = scoring.top_places(scoring.encoder_scores(q, p)).join(run.filter("engine = 'similarity_post'"), "row_id")
+    s = scoring.encoder_topk(q, p).join(run.filter("engine = 'similarity_post'"), "row_id")
     m = scoring.call_costs(scoring.reply_predictions(replies(spark, sf_dir), places), prices(spark)).join(run, ["row_id", "engine"])
     cost = F.when(~F.col("failed"), F.coalesce("cost_usd", F.lit(0.0))).otherwise(0.0)
     parts = [scoring.state(g), scoring.state(s), scoring.state(m.withColumn("cost_usd", cost)), scoring.skipped(d)]
@@ -168,7 +169,7 @@ def ctes() -> dict[str, str]:
           ELSE (length(lower(t.text))-length(replace(lower(t.text), lower(p.name), '')))//length(p.name) END AS hits FROM texts t JOIN places p ON contains(lower(t.text), lower(p.name))) WHERE hits>0)""",
         "shares AS (SELECT *, hits::DOUBLE/sum(hits) OVER (PARTITION BY row_id, level) AS share FROM hits)",
         "ranks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, level ORDER BY share DESC, ord) AS rank FROM shares) WHERE rank<=5)",
-        "qv AS (SELECT i.row_id, i.post, e.embedding::DOUBLE[] AS v FROM inputs i JOIN embeddings e ON e.vec_id=50+i.conv_id%150)",
+        "qv AS (SELECT i.row_id, i.post, e.embedding::DOUBLE[] AS v FROM inputs i JOIN embeddings e ON e.vec_id=(50+i.conv_id*7)%(SELECT max(vec_id)+1 FROM embeddings))",
         "pv AS (SELECT p.ord, p.name, e.embedding::DOUBLE[] AS v FROM places p JOIN embeddings e ON e.vec_id=p.ord)",
         "cosines AS (SELECT q.row_id, q.post, p.ord, p.name, list_cosine_similarity(q.v, p.v) AS cosine FROM qv q, pv p)",
         "soft AS (SELECT *, exp(10*(cosine-max(cosine) OVER w)) AS e FROM cosines WINDOW w AS (PARTITION BY row_id))",

@@ -73,8 +73,10 @@ def row_status(spark, sf_dir):
 
 
 def encoder_topk(spark, sf_dir):
-    q, p = C.vectors(spark, sf_dir)
-    return _lists(scoring.top_places(scoring.encoder_scores(q, p)), "row_id")
+    """Every vector against the catalogue's."""
+    e = C.read(spark, sf_dir, "embeddings")
+    _, p = C.vectors(spark, sf_dir)
+    return _lists(scoring.encoder_topk(e.select(F.col("vec_id").cast("string").alias("row_id"), F.col("embedding").alias("vector")), p), "row_id")
 
 
 def reply_predictions(spark, sf_dir):
@@ -121,7 +123,7 @@ def custom_engine(spark, sf_dir):
     t = C.texts(C.inputs(spark, sf_dir)).filter("level = 'post'")
     q = scoring.embed(t.select("row_id", "text"), encode).select("row_id", "vector")
     p = scoring.embed(builtin_places(spark).select("ord", "name"), encode, "name").select(F.col("ord").alias("place_ord"), F.col("name").alias("place"), "vector")
-    out = scoring.top_places(scoring.encoder_scores(q, p)).withColumns({"engine": F.lit("lengths"), "ord": F.lit(9), "level": F.lit("post")})
+    out = scoring.encoder_topk(q, p).withColumns({"engine": F.lit("lengths"), "ord": F.lit(9), "level": F.lit("post")})
     out = scoring.state(out)
     faults = scoring.check_predictions(out).groupBy().agg(F.count("*").alias("faults"))
     return out.join(F.broadcast(faults), F.lit(True)).select("row_id", "city", F.round("confidence", 6).alias("confidence"), "faults")
@@ -141,7 +143,9 @@ QUERIES = {
     "dispatch_reasons": (dispatch_reasons, sql("""SELECT i.row_id, e.engine, CASE WHEN e.engine NOT IN ('gazetteer_post','gazetteer_user','model_user') THEN 'not selected' WHEN e.level='user' AND i.n_posts=0 THEN 'no timeline' WHEN e.level='post' AND i.post IS NULL THEN 'no post' ELSE 'run' END AS decision FROM inputs i, engines e""")),
     "local_engines": (local_engines, sql("SELECT e.engine, count(*) AS n FROM inputs i, engines e WHERE NOT e.third_party AND NOT (e.level='user' AND i.n_posts=0) AND NOT (e.level='post' AND i.post IS NULL) GROUP BY ALL")),
     "row_status": (row_status, sql("SELECT row_id, status, truth_post FROM status")),
-    "encoder_topk": (encoder_topk, sql("SELECT row_id, rank::INT AS rank, name AS place, round(p, 6) AS score FROM sims WHERE rank<=5")),
+    "encoder_topk": (encoder_topk, sql(""", every AS (SELECT e.vec_id::VARCHAR AS row_id, p.ord, p.name, 10*list_cosine_similarity(e.embedding::DOUBLE[], p.v) AS l FROM embeddings e, pv p),
+      x AS (SELECT row_id, name, p, row_number() OVER (PARTITION BY row_id ORDER BY p DESC, ord) AS rank FROM (SELECT *, exp(l-max(l) OVER w)/sum(exp(l-10)) OVER w*exp(max(l) OVER w-10) AS p FROM every WINDOW w AS (PARTITION BY row_id)))
+      SELECT row_id, rank::INT AS rank, name AS place, round(p, 6) AS score FROM x WHERE rank<=5""")),
     "llm_reply_predictions": (reply_predictions, sql("""SELECT i.row_id, m.engine, CASE WHEN i.conv_id%4<2 THEN p.name ELSE '' END AS city, CASE WHEN i.conv_id%4<2 THEN ('0.'||(5+i.conv_id%5))::DOUBLE ELSE 0.0 END AS confidence,
       CASE WHEN i.conv_id%4<2 THEN 2 ELSE 0 END AS n, i.conv_id%4>=2 AS failed, CASE WHEN i.conv_id%4=2 THEN 'no_catalogue_place' ELSE '' END AS outcome
       FROM inputs i, (VALUES ('model_post', 0), ('model_user', 17)) m(engine, shift) JOIN places p ON p.ord=(i.conv_id*11+m.shift)%50""")),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,6 +239,24 @@ def test_rounding_is_half_up_on_what_is_written(spark):
     assert got == [(".18", "0.18", "0.2", True), (".62", "0.62", "0.6", True), (".61", "0.61", "0.6", False), ("1.00", "1.00", "1.0", False), (".00", "0.00", "0.0", False), (".00", "0.00", "0.0", False), ("2.68", "2.68", "2.7", True)]
 
 
+def test_softmax_over_blocks_matches_the_whole_catalogue(spark):
+    rng = np.random.default_rng(3)
+    q, p = rng.normal(0, 1, (40, 6)), rng.normal(0, 1, (200, 6))
+    p[7], p[150], q[3] = p[20], p[20], 0.0  # ties go by catalogue order
+    queries = spark.createDataFrame([(f"r{i % 39}", list(map(float, v))) for i, v in enumerate(q)] + [("none", None)], "row_id string, vector array<double>").repartition(3)
+    table = spark.createDataFrame([(i, f"p{i}", list(map(float, v))) for i, v in enumerate(p)] + [(999, "none", None)], "place_ord int, place string, vector array<double>").repartition(5)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    logits = 10 * unit(q) @ unit(p).T
+    e = np.exp(logits - logits.max(axis=1, keepdims=True))
+    e /= e.sum(axis=1, keepdims=True)
+    want = Counter((f"r{i % 39}", tuple((f"p{j}", round(e[i, j], 9)) for j in sorted(range(200), key=lambda j: (-round(logits[i, j], 12), j))[:5])) for i in range(40))
+    for block, at_once in ((4096, 512), (50, 7), (10, 3)):
+        got = scoring.encoder_topk(queries, table, 5, block, at_once)
+        assert Counter((r.row_id, tuple((x.place, round(x.score, 9)) for x in r.top_k)) for r in got.collect()) == want
+        plan = got._jdf.queryExecution().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_slices_of_terms_find_what_one_automaton_finds(spark):
     p = spark.createDataFrame([(0, "Kuala Lumpur"), (1, "St. Ives"), (2, "New York"), (3, "a-b"), (4, "York"), (5, "York")], "ord int, name string")
     t = texts(spark, "kuala lumpur and St. Ives, st. ives", "NEW YORK a-b xa-by a-b", "nothing", "", None)
