@@ -6,8 +6,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from terravote.functions.geo import RADIUS_KM, haversine_km, within_box
+from terravote.operators.celltree import DEPTH, CellTree, unit_vectors
 from terravote.operators.intervals import interval_counts, interval_join
 from terravote.sources.catalogue import ONBOARDED_FEATURE
 from terravote.sources.shared import checked, written
@@ -57,46 +60,124 @@ def pairs_within(places: DataFrame, km: float) -> DataFrame:
     return t.filter(F.col("km") <= km).select("a_ord", "a", "b_ord", "b", "km")
 
 
-def nearest_place(points: DataFrame, places: DataFrame, key: str = "row_id", exclude: str | None = None) -> DataFrame:
+#: Places of a catalogue whose tree goes to every task; blocks of a larger one, of which the tree is made then.
+TREE, BLOCKS = 200_000, 50_000
+NEAR = "array<struct<p_ord:int,p_name:string,p_lat:double,p_lon:double>>"
+
+
+def _candidates(points: DataFrame, tree_of, into: str, kind: str, exclude: str | None) -> DataFrame:
+    """points with an array of what ``tree_of()`` (a tree, its names' numbers, and what an item stands for) finds to be nearest."""
+    columns = points.columns
+    have = points.withColumns({"__lat": F.col("lat").cast("double"), "__lon": F.col("lon").cast("double"), "__without": (F.col(exclude) if exclude else F.lit(None)).cast("string")})
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in points.dtypes), f"{into} {kind}"])
+    arrow = to_arrow_schema(StructType.fromDDL(f"x {kind}")).field(0).type
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        tree, number, item = tree_of()
+        for batch in batches:
+            lat, lon = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("__lat", "__lon"))
+            known = np.flatnonzero(np.isfinite(lat) & np.isfinite(lon))
+            found: list[list] = [[] for _ in range(batch.num_rows)]
+            if tree is not None and len(known):
+                without = np.array([number.get(w, -1) for w in batch.column("__without").take(pa.array(known)).to_pylist()]) if exclude else None
+                for k, i in zip(*(x.tolist() for x in tree.nearest(unit_vectors(lat[known], lon[known]), without))):
+                    found[known[k]].append(item(i))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, arrow)], [*columns, into])
+
+    return have.mapInArrow(run, schema)
+
+
+def _located(places: DataFrame) -> DataFrame:
+    fine = F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.isnan("lat") & ~F.isnan("lon")
+    return places.filter(fine).select(F.col("ord").cast("int").alias("p_ord"), F.col("name").alias("p_name"), F.col("lat").cast("double").alias("p_lat"), F.col("lon").cast("double").alias("p_lon"))
+
+
+def nearest_place(points: DataFrame, places: DataFrame, key: str = "row_id", exclude: str | None = None, tree: int = TREE) -> DataFrame:
     """Adds place and km of the nearest place, the first in catalogue order on ties; a column may name one to leave out.
 
-    A catalogue of up to 20,000 places goes to every row as one array, so points are not shuffled; a larger one is joined by
-    cells, see ``nearest_in_cells``.
+    A tree of cells (``celltree``) finds the few places that are nearest up to rounding; the great-circle formula decides
+    among these.  The tree of up to ``tree`` places goes to every task, so points are not shuffled; a larger catalogue is
+    searched by blocks, see ``nearest_in_cells``.  Points without coordinates have no nearest place.
     """
-    p = places.filter(F.col("lat").isNotNull()).select(F.col("ord").alias("p_ord"), F.col("name").alias("p_name"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    if p.limit(20_001).count() > 20_000:
+    p = _located(places)
+    rows = p.limit(tree + 1).collect()
+    if len(rows) > tree:
         return nearest_in_cells(points, places, key, exclude)
-    table = p.agg(F.collect_list(F.struct("p_ord", "p_name", "p_lat", "p_lon")).alias("__places"))
-    own = F.filter("__places", lambda x: ~F.coalesce(x["p_name"] == F.col(exclude), F.lit(False))) if exclude else F.col("__places")
-    far = F.transform(own, lambda x: F.struct(haversine_km(F.col("lat"), F.col("lon"), x["p_lat"], x["p_lon"]).alias("km"), x["p_ord"].alias("p_ord"), x["p_name"].alias("place")))
-    known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    t = points.join(F.broadcast(table), F.lit(True)).withColumn("__best", F.when(known, F.array_min(far)))
-    return t.select(*points.columns, "__best.place", "__best.km")
-
-
-def nearest_in_cells(points: DataFrame, places: DataFrame, key: str = "row_id", exclude: str | None = None, size: float = 1.0, rings: tuple[int, ...] = (1, 4, 16, 64, 180)) -> DataFrame:
-    """nearest_place for a large catalogue: cells of a grid are joined in growing squares until none can be nearer."""
-    p = places.filter(F.col("lat").isNotNull()).select(F.col("ord").alias("p_ord"), F.col("name").alias("p_name"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    left, done = points.filter(F.col("lat").isNotNull()), None
-    for ring in rings:
-        cell = size * ring
-        around = max(1, math.ceil(360 / cell))
-        grid = p.withColumn("cy", F.floor(F.col("p_lat") / cell).cast("int")).withColumn("cx", F.pmod(F.floor((F.col("p_lon") + 180) / cell).cast("int"), F.lit(around)))
-        near = F.array(*(F.lit(d) for d in (-1, 0, 1)))
-        seek = left.withColumn("cy", F.explode(F.transform(near, lambda d: (F.floor(F.col("lat") / cell) + d).cast("int"))))
-        seek = seek.withColumn("cx", F.explode(F.array_distinct(F.transform(near, lambda d: F.pmod((F.floor((F.col("lon") + 180) / cell) + d).cast("int"), F.lit(around))))))
-        t = seek.join(grid, ["cy", "cx"])
-        if exclude:
-            t = t.filter(~F.coalesce(F.col("p_name") == F.col(exclude), F.lit(False)))
-        t = t.withColumn("d", haversine_km("lat", "lon", "p_lat", "p_lon"))
-        # Whatever lies outside the nine cells is at least a cell away, narrower toward the poles in longitude.
-        sure = cell * KM_PER_DEGREE * F.cos(F.radians(F.least(F.abs(F.col("lat")) + cell, F.lit(90.0)))) * 2 / math.pi
-        best = t.groupBy(key).agg(F.min(F.struct(F.col("d").alias("km"), "p_ord", F.col("p_name").alias("place"))).alias("m"))
-        found = left.join(best, key).select(key, "m.place", "m.km", (F.col("m.km") <= sure).alias("sure")) if ring != rings[-1] else left.join(best, key).select(key, "m.place", "m.km", F.lit(True).alias("sure"))
-        found = written(found.filter("sure").drop("sure"))
-        done = found if done is None else done.unionByName(found)
-        left = written(left.join(found.select(key), key, "left_anti"))
-    return points.join(done, key, "left")
+    numbers = {n: i for i, n in enumerate(dict.fromkeys(r["p_name"] for r in rows))}
+    table = [tuple(r) for r in rows]
+
+    def tree_of():
+        if not table:
+            return None, {}, None
+        at = unit_vectors([r[2] for r in table], [r[3] for r in table])
+        return CellTree(at, names=[numbers[r[1]] for r in table]), numbers, lambda i: dict(zip(("p_ord", "p_name", "p_lat", "p_lon"), table[i]))
+
+    t = _candidates(points, tree_of, "__near", NEAR, exclude)
+    far = F.transform("__near", lambda x: F.struct(haversine_km(F.col("lat"), F.col("lon"), x["p_lat"], x["p_lon"]).alias("km"), x["p_ord"].alias("p_ord"), x["p_name"].alias("place")))
+    return t.withColumn("__best", F.array_min(far)).select(*points.columns, "__best.place", "__best.km")
+
+
+def _blocks(p: DataFrame, most: int) -> DataFrame:
+    """p with block, a cell of at most about ``most`` places: dense cells are cut further, down to cells of 6 km."""
+    x, y, z = F.cos(F.radians("p_lat")) * F.cos(F.radians("p_lon")), F.cos(F.radians("p_lat")) * F.sin(F.radians("p_lon")), F.sin(F.radians("p_lat"))
+    p = p.withColumns({"__x": x, "__y": y, "__z": z})
+    cell = lambda c, level: F.floor((F.col(c) + 1) / 2 * 2**level).cast("string")
+    p = written(p.withColumn("__cells", F.array(*(F.concat_ws("/", F.lit(level), *(cell(c, level) for c in ("__x", "__y", "__z"))) for level in range(0, DEPTH + 1)))))
+    counted = p.select(F.explode("__cells").alias("__cell")).groupBy("__cell").count().filter(F.col("count") > most).select(F.col("__cell").alias("__full"))
+    level = F.split("__full", "/")[0].cast("int")
+    # The cells that are too full are a tree from the top; a place's block is the cell below the last of these it is in.
+    full = p.select("p_ord", "p_name", F.explode("__cells").alias("__cell")).join(checked(counted), F.col("__cell") == F.col("__full")).groupBy("p_ord", "p_name").agg(F.max(level).alias("__level"))
+    t = p.join(full, ["p_ord", "p_name"], "left")
+    return t.withColumn("block", F.element_at("__cells", F.least(F.coalesce("__level", F.lit(-1)) + 2, F.lit(DEPTH + 1)))).drop("__cells", "__level")
+
+
+def nearest_in_cells(points: DataFrame, places: DataFrame, key: str = "row_id", exclude: str | None = None, blocks: int = BLOCKS, size: int = 256) -> DataFrame:
+    """nearest_place for a catalogue of any size: a tree of its blocks finds the blocks that can hold the nearest place.
+
+    Places are dealt to cells of about ``size`` of them (more, where they would be more than ``blocks`` cells); a cell is known by its box and by two of its places, of different names.  The tree
+    of these goes to every task and finds for each point the one block or few whose boxes are not farther off than the
+    nearest place named; only these are joined, by an equality on the block.
+    """
+    p = _located(places)
+    n = p.count()
+    p = written(_blocks(p, max(size, -(-4 * n // blocks))))
+    axes = ("__x", "__y", "__z")
+    named = p.groupBy("block", "p_name").agg(F.min(F.struct("p_ord", *axes)).alias("one"), *(f(c).alias(f"{o}{c}") for c in axes for o, f in (("lo", F.min), ("hi", F.max))))
+    box = named.groupBy("block").agg(F.slice(F.array_sort(F.collect_set(F.struct("p_name", "one"))), 1, 2).alias("two"), *(f(f"{o}{c}").alias(f"{o}{c}") for c in axes for o, f in (("lo", F.min), ("hi", F.max)))) if exclude else p.groupBy("block").agg(F.array(F.min(F.struct("p_name", F.struct("p_ord", *axes).alias("one")))).alias("two"), *(f(c).alias(f"{o}{c}") for c in axes for o, f in (("lo", F.min), ("hi", F.max))))
+    rows = [(r["block"], one["p_name"], [one["one"][c] for c in axes], [r[f"lo{c}"] for c in axes], [r[f"hi{c}"] for c in axes]) for r in box.collect() for one in r["two"]]
+    numbers = {m: i for i, m in enumerate(dict.fromkeys(r[1] for r in rows))}
+
+    def tree_of():
+        import numpy as np
+
+        if not rows:
+            return None, {}, None
+        at, lo, hi = (np.array([r[k] for r in rows]) for k in (2, 3, 4))
+        # A block's own name may be the one left out: its box counts all the same, so names only bound from above.
+        tree = CellTree(at, lo, hi, [numbers[r[1]] for r in rows])
+        return _Boxes(tree), numbers, lambda i: rows[i][0]
+
+    asked = points.withColumn("__i", F.monotonically_increasing_id())
+    met = written(_candidates(asked, tree_of, "__blocks", "array<string>", exclude))
+    pairs = met.select("__i", "lat", "lon", *([F.col(exclude).alias("__without")] if exclude else []), F.explode(F.array_distinct("__blocks")).alias("block"))
+    t = pairs.join(p.select("block", "p_ord", "p_name", "p_lat", "p_lon"), "block")
+    if exclude:
+        t = t.filter(~F.coalesce(F.col("p_name") == F.col("__without"), F.lit(False)))
+    best = t.groupBy("__i").agg(F.min(F.struct(haversine_km("lat", "lon", "p_lat", "p_lon").alias("km"), "p_ord", F.col("p_name").alias("place"))).alias("__best"))
+    return met.join(best, "__i", "left").select(*points.columns, "__best.place", "__best.km")
+
+
+class _Boxes:
+    """A tree of boxes, of which a name left out only bars the place that bounds from above, not the box."""
+
+    def __init__(self, tree: CellTree):
+        self.tree = tree
+
+    def nearest(self, points, without=None):
+        return self.tree.nearest(points, without, boxes=True)
 
 
 def near_duplicates(candidates: DataFrame, places: DataFrame, km: float = 1.0) -> DataFrame:

@@ -11,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from terravote.functions import rounding
+from terravote.functions.geo import haversine_km
 from terravote.functions.text import match_count
-from terravote.operators import automaton, benchmark, evaluate, exports, fusion, places, reports, rules, scoring, state, toponyms
+from terravote.operators import automaton, benchmark, celltree, evaluate, exports, fusion, places, reports, rules, scoring, state, toponyms
 from terravote.sources import readers
 from terravote.sources.catalogue import builtin_places, country_boxes, country_names, roster
 
@@ -130,6 +131,34 @@ def test_near_places(spark):
     assert a == b and a["a"][1] > 50 and a["b"][0] == "Singapore"
 
 
+def test_nearest_matches_all_pairs(spark):
+    """Poles, the date line, dense spots, copies of a place, and a name to leave out; the tree and the blocks."""
+    rng = random.Random(9)
+    spot = lambda: rng.choice([(rng.uniform(-90, 90), rng.uniform(-180, 180)), (rng.choice([-90.0, 89.999, 90.0]), rng.uniform(-180, 180)), (rng.uniform(-5, 5), rng.choice([-180.0, 180.0, 179.9999])), (48.1 + rng.uniform(0, 0.01), 11.5 + rng.uniform(0, 0.01))])
+    table = [(i, f"p{i % 180}", *spot()) for i in range(400)] + [(500 + i, "copy", 48.1, 11.5) for i in range(20)] + [(900, "none", None, 1.0)]
+    asked = [(f"r{i}", *spot(), f"p{rng.randrange(200)}") for i in range(150)] + [("at", 48.1, 11.5, "copy"), ("null", None, 0.0, "p1")]
+    p = spark.createDataFrame(table, "ord int, name string, lat double, lon double").repartition(3)
+    q = spark.createDataFrame(asked, "row_id string, lat double, lon double, own string").repartition(4)
+    km = {(r.row_id, r.ord): (r.km, r.ord, r.name, r.own) for r in q.join(p.withColumnsRenamed({"lat": "p_lat", "lon": "p_lon"})).select("row_id", "own", "ord", "name", haversine_km("lat", "lon", "p_lat", "p_lon").alias("km")).filter("km is not null").collect()}
+    for exclude in (None, "own"):
+        want: dict = {}
+        for (row_id, _), (d, o, name, own) in km.items():
+            if exclude is None or name != own:
+                want[row_id] = min(want.get(row_id, (1e9, 0, "")), (d, o, name))
+        for got in (places.nearest_place(q, p, exclude=exclude), places.nearest_in_cells(q, p, exclude=exclude, size=16), places.nearest_in_cells(q, p, exclude=exclude, blocks=8, size=4)):
+            assert {r.row_id: (r.km, r.place) for r in got.collect() if r.place} == {k: (d, n) for k, (d, _, n) in want.items()}
+            assert got.count() == len(asked) and got.columns == [*q.columns, "place", "km"]
+    assert places.nearest_place(q, p.limit(0)).filter("place is not null").count() == 0 == places.nearest_in_cells(q, p.limit(0)).filter("place is not null").count()
+
+
+def test_the_tree_tries_few_places(spark):
+    rng = np.random.default_rng(2)
+    v = rng.normal(0, 1, (20_000, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    who, item = celltree.CellTree(v).nearest(v[:500])
+    assert sorted(zip(who.tolist(), item.tolist())) == [(i, i) for i in range(500)]
+
+
 def test_pairs_by_cells_match_all_pairs(spark):
     rng = random.Random(8)
     pts = [(i, f"p{i}", rng.uniform(-90, 90), rng.choice([-180, 180, 0]) + rng.uniform(-1, 1)) for i in range(300)]
