@@ -9,7 +9,7 @@ from terravote.functions.geo import METRO_KM, haversine_km
 from terravote.functions.text import clean_text, slug_to_name
 from terravote.operators.places import nearest_place
 from terravote.operators.toponyms import matches, terms
-from terravote.sources.shared import checked
+from terravote.sources.shared import checked, written
 
 INSIDE_KM, TIMELINE = 50.0, 10
 
@@ -46,11 +46,14 @@ def user_rows(tweets: DataFrame, homes: DataFrame, places: DataFrame) -> DataFra
     home = home.select(F.col("row_id").alias("user_id"), F.col("place").alias("home"), F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon"))
     t = nearest_place(tweets.withColumn("row_id", F.concat_ws("/", "user_id", F.col("pos").cast("string"))), places).join(home, "user_id")
     away = (haversine_km("lat", "lon", "h_lat", "h_lon") > METRO_KM) & (F.col("km") <= INSIDE_KM) & (F.col("place") != F.col("home"))
-    item = F.struct("pos", "tweet_id", "text", "place", away.alias("away"))
-    users = t.groupBy("user_id", "home").agg(F.array_sort(F.collect_list(item)).alias("tl")).filter(F.size("tl") >= 2)
-    users = users.withColumn("odd", F.get(F.filter("tl", lambda x: x["away"]), F.lit(0)))
-    chosen = F.coalesce("odd", F.get("tl", F.lit(0)))
-    users = users.withColumn("chosen", chosen)
+    item = F.struct("pos", "tweet_id", "text", "place")
+    t = written(t.select("user_id", "home", item.alias("item"), F.coalesce(away, F.lit(False)).alias("away")))
+    # An account is its first tweet away and its first eleven: a window that ends at a rank keeps no more of a task's rows.
+    odd = t.filter("away").groupBy("user_id").agg(F.min("item").alias("odd"))
+    by = Window.partitionBy("user_id").orderBy("item")
+    first = t.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= TIMELINE + 1)
+    users = first.groupBy("user_id", "home").agg(F.array_sort(F.collect_list("item")).alias("tl")).filter(F.size("tl") >= 2).join(odd, "user_id", "left")
+    users = users.withColumn("chosen", F.coalesce("odd", F.get("tl", F.lit(0))))
     rest = F.slice(F.filter("tl", lambda x: x["pos"] != F.col("chosen.pos")), 1, TIMELINE)
     differs = F.col("odd").isNotNull()
     return users.select(
@@ -71,8 +74,8 @@ def capped_sample(rows: DataFrame, key: str, cap: int, seed: int = 0) -> DataFra
 
 
 def round_robin(rows: DataFrame, order: str, n: int = 50) -> DataFrame:
-    """n rows, one of each bucket by turns."""
-    t = rows.withColumn("turn", F.row_number().over(Window.partitionBy("bucket").orderBy(order)))
+    """n rows, one of each bucket by turns.  No bucket gives more than its first n rows, so no task sorts one whole."""
+    t = rows.withColumn("turn", F.row_number().over(Window.partitionBy("bucket").orderBy(order))).filter(F.col("turn") <= n)
     return t.orderBy("turn", "bucket").limit(n)
 
 

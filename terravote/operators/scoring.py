@@ -163,10 +163,14 @@ def describe(style: str) -> Column:
     return F.concat(F.lit("passage: "), F.concat_ws(". ", "name", listed("also known as ", F.col("aliases")), listed("landmarks include ", F.col("landmarks")), listed("local foods include ", F.col("foods")), F.nullif(F.trim("notes"), F.lit(""))))
 
 
-def prompts(texts: DataFrame, places: DataFrame, k: int = 5) -> DataFrame:
-    """Adds prompt: the catalogue in its order, what to return, and the text."""
+#: What a prompt may end with, for models that talk around their answer.
+ONLY_JSON = "\nAnswer with the JSON object alone, without a word around it."
+
+
+def prompts(texts: DataFrame, places: DataFrame, k: int = 5, closing: str = "") -> DataFrame:
+    """Adds prompt: the catalogue in its order, what to return, the text, and ``closing`` (empty, or ONLY_JSON)."""
     names = places.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), ", ").alias("names"))
-    ask = F.format_string("Choose up to %d places from this list: %s. Answer as JSON {\"top_k\": [[place, confidence], ...]}.\nText: %s", F.lit(k), F.col("names"), F.col("text"))
+    ask = F.format_string("Choose up to %d places from this list: %s. Answer as JSON {\"top_k\": [[place, confidence], ...]}.\nText: %s%s", F.lit(k), F.col("names"), F.col("text"), F.lit(closing))
     return texts.join(F.broadcast(names), F.lit(True)).withColumn("prompt", ask).drop("names")
 
 
@@ -184,6 +188,33 @@ def embed(texts: DataFrame, encode: Callable[[list[str]], list[list[float]]], co
     return texts.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in texts.dtypes), "vector array<double>"])).select(*kept, "vector")
 
 
+def stored_vectors(texts: DataFrame, encode: Callable[[list[str]], list[list[float]]], path: str, model: str, template: str = "") -> DataFrame:
+    """texts (text, ...) with vector, from a store of vectors at ``path`` that keeps what has been embedded.
+
+    The store is a table keyed by model, template and the text's digest.  What it lacks is embedded, each different text once,
+    and appended; so a second run embeds nothing.  A run that fails has appended nothing or whole files, and is made good
+    by the next.  Null texts have null vectors.
+    """
+    spark = texts.sparkSession
+    kind = "model string, template string, digest string, vector array<double>"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+    own = lambda t: t.filter((F.col("model") == model) & (F.col("template") == template)).select("digest", "vector")
+    keyed = texts.withColumn("__digest", F.sha2("text", 256))
+    wanted = keyed.filter(F.col("text").isNotNull()).groupBy(F.col("__digest").alias("digest")).agg(F.min("text").alias("text"))
+    if found:
+        wanted = wanted.join(own(spark.read.schema(kind).parquet(path)), "digest", "left_anti")
+    wanted = written(wanted)
+    if wanted.limit(1).count():
+        embed(wanted, encode).select(F.lit(model).alias("model"), F.lit(template).alias("template"), "digest", "vector").write.mode("append").parquet(path)
+        found = True
+    if not found:
+        return keyed.drop("__digest").withColumn("vector", F.lit(None).cast("array<double>"))
+    # Two runs at once may both have appended a text: one of its vectors is taken.
+    store = own(spark.read.schema(kind).parquet(path)).groupBy(F.col("digest").alias("__d")).agg(F.min("vector").alias("vector"))
+    return keyed.join(store, F.col("__digest") == F.col("__d"), "left").drop("__digest", "__d")
+
+
 def check_predictions(predictions: DataFrame) -> DataFrame:
     """Rows of an engine that break the contract, with the fault: the four states exclude each other."""
     fault = (

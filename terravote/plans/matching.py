@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from terravote.functions import sql as functions_sql
 from terravote.functions import text as T
 from terravote.operators import scoring, toponyms
 from terravote.plans import corpus as C
 from terravote.plans.corpus import sql
 from terravote.sources.catalogue import builtin_places, prices
+from terravote.sources.shared import shared_dir
 
 
 def _lists(df, *keys):
@@ -96,6 +100,44 @@ SELECT row_id, length(p)::INT, sha256(p) FROM (SELECT i.row_id, 'Choose up to 3
 FROM (SELECT 'row-'||conv_id AS row_id, arg_min(text, turn) AS text FROM turns WHERE conv_id%11=0 AND conv_id%7<>0 GROUP BY conv_id) i, (SELECT string_agg(name, ', ' ORDER BY ord) AS names FROM places) n)"""
 
 
+def closed_prompts(spark, sf_dir):
+    """The same prompts for a model that is told to answer with JSON alone."""
+    t = C.inputs(spark, sf_dir).withColumn("text", scoring.level_text(F.lit("post"))).filter(F.col("text").isNotNull())
+    return scoring.prompts(t, builtin_places(spark), 3, scoring.ONLY_JSON).select("row_id", F.char_length("prompt").alias("n_chars"), F.sha2("prompt", 256).alias("digest"))
+
+
+CLOSED_SQL = PROMPT_SQL.replace("i.text AS p", "i.text || chr(10) || '" + scoring.ONLY_JSON.strip() + "' AS p")
+
+
+def _stand_in(batch):
+    """What stands for an encoder here: counts of a text's letters."""
+    return [[float(t.count(c)) for c in "etaoin"] for t in batch]
+
+
+def embed_texts(spark, sf_dir):
+    """Every document's vector from a store that begins empty: each different text is embedded once."""
+    docs = C.read(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    t = scoring.stored_vectors(docs, _stand_in, path, "letters")
+    return t.select("doc_id", F.size("vector").alias("width"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total"), F.get("vector", F.lit(0)).alias("first"))
+
+
+EMBED_SQL = """SELECT doc_id, 6 AS width, (6*length(text)-length(replace(text,'e',''))-length(replace(text,'t',''))-length(replace(text,'a',''))-length(replace(text,'o',''))-length(replace(text,'i',''))-length(replace(text,'n','')))::DOUBLE AS total, (length(text)-length(replace(text,'e','')))::DOUBLE AS first FROM documents"""
+
+
+def sql_helpers(spark, sf_dir):
+    """The helpers called from SQL text, over customers."""
+    functions_sql.register(spark)
+    C.read(spark, sf_dir, "customer").createOrReplaceTempView("terravote_customer")
+    return spark.sql("""SELECT c_custkey, round(haversine_km(c_custkey % 90, c_custkey % 180, c_nationkey, -c_nationkey), 3) AS km, within_km(0D, 0D, c_custkey % 3, 0D) AS near,
+      round(wilson_interval(c_custkey % 5, 4).lo, 6) AS lo, round(wilson_interval(c_custkey % 5, 4).hi, 6) AS hi, recall_ratio(c_custkey % 3, c_custkey % 2) AS ratio, place_id(name_key(c_name)) AS place_id, latency_text(c_custkey * 10) AS latency FROM terravote_customer""")
+
+
+_LO, _HI = C.wilson_sql("(c_custkey%5)", "4")
+HELPERS_SQL = f"""SELECT c_custkey, round({C.km_sql('(c_custkey%90)', '(c_custkey%180)', 'c_nationkey', '(-c_nationkey)')}, 3) AS km, (c_custkey%3)*111.195<=161 AS near, round({_LO}, 6)::DOUBLE AS lo, round({_HI}, 6)::DOUBLE AS hi,
+  CASE WHEN c_custkey%2=0 THEN 0.0 ELSE c_custkey%3 END::DOUBLE AS ratio, 'pl_'||substr(sha256(lower(c_name)), 1, 12) AS place_id, CASE WHEN c_custkey>=100 THEN printf('%.2f s', c_custkey/100.0) ELSE printf('%d ms', c_custkey*10) END AS latency FROM customer"""
+
+
 def place_descriptions(spark, sf_dir):
     """The three templates over customers that stand for profiles."""
     c = C.read(spark, sf_dir, "customer")
@@ -150,6 +192,9 @@ QUERIES = {
       CASE WHEN i.conv_id%4<2 THEN 2 ELSE 0 END AS n, i.conv_id%4>=2 AS failed, CASE WHEN i.conv_id%4=2 THEN 'no_catalogue_place' ELSE '' END AS outcome
       FROM inputs i, (VALUES ('model_post', 0), ('model_user', 17)) m(engine, shift) JOIN places p ON p.ord=(i.conv_id*11+m.shift)%50""")),
     "prompt_rows": (prompt_rows, sql(PROMPT_SQL)),
+    "prompt_rows_closed": (closed_prompts, sql(CLOSED_SQL)),
+    "embed_texts": (embed_texts, EMBED_SQL),
+    "sql_helpers": (sql_helpers, HELPERS_SQL),
     "place_descriptions": (place_descriptions, "SELECT c_custkey, c_name AS plain, 'a social media user from '||c_name AS account, 'passage: '||c_name||CASE WHEN c_custkey%2=0 THEN '. also known as '||c_mktsegment ELSE '' END||'. landmarks include pier, gate' AS passage FROM customer"),
     "call_cost": (call_cost, sql("""SELECT i.row_id, m.engine, round((100+i.conv_id%50)*p.usd_in+(20+i.conv_id%7)*p.usd_out, 9) AS cost_usd, true AS cost_is_estimated,
       CASE WHEN 500+i.conv_id%13*100>=1000 THEN printf('%.2f s', (500+i.conv_id%13*100)/1000.0) ELSE printf('%.0f ms', (500+i.conv_id%13*100)::DOUBLE) END AS latency
