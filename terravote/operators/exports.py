@@ -87,29 +87,9 @@ def result_rows(rows: DataFrame, fused: DataFrame, flags: DataFrame, predictions
     return out.select(*RESULT_COLUMNS, *(f"{n}_{k}" for n in engines for k in ENGINE_COLUMNS))
 
 
-def geojson_features(fused: DataFrame, predictions: DataFrame, places: DataFrame, truths: DataFrame) -> DataFrame:
-    """(feature_id, row_id, level, series, feature): one GeoJSON feature per row, level and engine, and for the fused lists.
-
-    Answers that can't be put on the map have a null geometry and a reason; nulls are written out.
-    """
-    f = fused.select("row_id", "level", F.lit("fused").alias("series"), F.col("consensus_city").alias("city"), F.col("consensus_confidence").alias("confidence"), F.lit("real").alias("mode"), F.lit(None).cast("string").alias("why"))
-    why = F.when(F.col("city").isNull() | ~usable(), cell_text())
-    e = predictions.select("row_id", "level", F.col("engine").alias("series"), F.when(usable(), F.col("city")).alias("city"), "confidence", mode().alias("mode"), why.alias("why"))
-    t = f.unionByName(e).join(truths.select("row_id", "truth_post", "truth_user"), "row_id")
-    t = t.withColumn("truth", F.when(F.col("level") == "user", F.coalesce("truth_user", "truth_post")).otherwise(F.col("truth_post")))
-    for side, c in (("p", "city"), ("t", "truth")):
-        t = t.join(checked(places.select(F.col("name").alias(f"{side}_n"), F.col("lat").alias(f"{side}_lat"), F.col("lon").alias(f"{side}_lon"))), F.col(c) == F.col(f"{side}_n"), "left")
-    km = haversine_km("p_lat", "p_lon", "t_lat", "t_lon")
-    t = t.withColumn("km", km).withColumn("why", F.coalesce("why", F.when(F.col("p_lat").isNull(), "place has no coordinates")))
-    point = F.when(F.col("p_lat").isNotNull(), F.struct(F.lit("Point").alias("type"), F.array("p_lon", "p_lat").alias("coordinates")))
-    key = F.concat_ws(":", "row_id", "level", "series")
-    props = F.struct("row_id", "level", "series", "city", F.round("confidence", 6).alias("confidence"), "mode", "truth", F.round("km", 1).alias("error_km"), (F.col("km") <= METRO_KM).alias("within"), F.col("why").alias("no_geometry"))
-    body = F.to_json(F.struct(F.lit("Feature").alias("type"), key.alias("id"), point.alias("geometry"), props.alias("properties")), {"ignoreNullFields": "false"})
-    return t.select(key.alias("feature_id"), "row_id", "level", "series", body.alias("feature"))
-
-
 def catalogue_hash(places: DataFrame) -> DataFrame:
-    """One row: twelve hex digits that depend on the set of names alone."""
+    """One row: twelve hex digits that depend on the set of names alone.  The digest is of all names, so they meet in one
+    row: a catalogue of names, some tens of bytes each."""
     names = F.array_join(F.array_sort(F.collect_list(F.lower(F.trim("name")))), "\n")
     return places.agg(F.substring(F.sha2(names, 256), 1, 12).alias("catalogue_hash"), F.count("*").alias("n"))
 
@@ -150,7 +130,3 @@ def write_id_manifest(rows: DataFrame, path: str) -> None:
 
 def write_json(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").option("ignoreNullFields", False).json(path)
-
-
-def write_features(features: DataFrame, path: str) -> None:
-    features.select("feature").write.mode("overwrite").text(path)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terravote.functions.stats import adjusted_precision
-from terravote.operators import evaluate, exports, fusion
+from terravote.operators import evaluate, exports, fusion, mapping
 from terravote.plans import corpus as C
-from terravote.plans.corpus import sql, wilson_sql
+from terravote.plans.corpus import km_sql, sql, wilson_sql
 from terravote.plans.fusing import flags
 from terravote.sources.catalogue import builtin_places, prices
+from terravote.sources.shared import written
 
 R = lambda c, a=None: F.round(c, 6).alias(a or c)
 GAZETTEERS = ["gazetteer_post", "gazetteer_user"]
@@ -169,8 +170,43 @@ WIDE_SQL = "SELECT p.row_id, " + ", ".join(
   FROM preds p JOIN inputs i USING (row_id) WHERE p.engine<>'similarity_post' OR p.skipped OR p.city IS NOT NULL) p GROUP BY p.row_id"""
 
 
+def _features(spark, sf_dir):
+    """Features of the rows that are in scope; the others have one that says why there is none."""
+    p, rows = C.predictions(spark, sf_dir), C.status(spark, sf_dir)
+    p = written(p.join(rows.filter("status = 'ok'").select("row_id"), "row_id", "left_semi"))
+    return mapping.map_features(rows, fusion.fuse(p), p, fusion.verification_flag(p, builtin_places(spark)), builtin_places(spark), C.engines(spark))
+
+
 def geojson(spark, sf_dir):
-    return exports.geojson_features(C.fused(spark, sf_dir), C.predictions(spark, sf_dir), builtin_places(spark), C.inputs(spark, sf_dir)).select("feature_id", "feature")
+    return _features(spark, sf_dir).select("feature_id", "feature")
+
+
+def geojson_properties(spark, sf_dir):
+    """The features' properties as they are read back from the text, with the coordinates of the geometry."""
+    t = _features(spark, sf_dir)
+    kinds = dict(t.dtypes)
+    props = ", ".join(f"{k}: {kinds[k]}" for k in mapping.PROPERTY_KEYS)
+    j = F.from_json("feature", f"id string, geometry struct<coordinates: array<double>>, properties struct<{props}>").alias("j")
+    shown = {"confidence": 6, "error_km": 1, "disagreement_km": 1}
+    return t.select(j).select("j.id", *(F.round(f"j.properties.{k}", shown[k]).alias(k) if k in shown else f"j.properties.{k}" for k in mapping.PROPERTY_KEYS), F.get("j.geometry.coordinates", F.lit(0)).alias("x"), F.get("j.geometry.coordinates", F.lit(1)).alias("y"))
+
+
+_ID = "'pl_'||substr(sha256(lower({0})), 1, 12)"
+PROPERTIES_SQL = f""", okp AS (SELECT p.* FROM preds p JOIN status s USING (row_id) WHERE s.status='ok'),
+e AS (SELECT p.row_id, p.level, p.engine, p.engine AS engine_label, false AS is_fused, CASE WHEN p.skipped THEN 'skipped' WHEN p.failed THEN 'failed' ELSE 'real' END AS engine_mode, CASE WHEN NOT p.skipped AND NOT p.failed THEN p.city END AS city,
+    CASE WHEN NOT p.skipped AND NOT p.failed AND p.city IS NOT NULL THEN p.confidence END AS confidence,
+    CASE WHEN p.skipped THEN '{mapping.NOT_RUN}'||CASE WHEN p.level='user' THEN 'no timeline' ELSE 'no post' END WHEN p.failed THEN '{mapping.CALL_FAILED}{mapping.UNKNOWN_ERROR}' WHEN p.city IS NULL THEN '{mapping.NO_PLACE}' END AS why FROM okp p
+  UNION ALL SELECT w.row_id, w.level, 'fused', w.level||'-level fused prediction', true, 'fused', w.place, w.share, NULL FROM weighted w JOIN status s USING (row_id) WHERE w.rank=1 AND s.status='ok'
+  UNION ALL SELECT row_id, NULL, NULL, NULL, false, NULL, NULL, NULL, CASE WHEN status='ooc' THEN '{mapping.OUT_OF_SCOPE.replace("'", "''")}' ELSE error END FROM status WHERE status<>'ok'),
+sha AS (SELECT substr(sha256(string_agg(lower(trim(name)), chr(10) ORDER BY lower(trim(name)))), 1, 12) AS catalogue_sha FROM places),
+f AS (SELECT e.row_id||':'||coalesce(e.level, 'row')||':'||coalesce(e.engine, 'none') AS id, e.*, s.status, s.bucket, sha.catalogue_sha, g.named AS names_a_catalogue_place, CASE WHEN e.level='user' THEN coalesce(s.truth_user, s.truth_post) WHEN e.level='post' THEN s.truth_post END AS ground_truth_city,
+    CASE WHEN s.status='ok' THEN fl.post_city END AS post_consensus_city, CASE WHEN s.status='ok' THEN fl.user_city END AS user_consensus_city, CASE WHEN s.status='ok' THEN coalesce(fl.km>161, false) END AS disagreement_flag, CASE WHEN s.status='ok' THEN round(fl.km, 1) END AS disagreement_km
+  FROM e JOIN status s USING (row_id) CROSS JOIN sha LEFT JOIN flags fl ON fl.row_id=e.row_id LEFT JOIN (SELECT row_id, level, CASE WHEN NOT skipped THEN NOT abstain END AS named FROM okp WHERE engine LIKE 'gazetteer%') g ON g.row_id=e.row_id AND g.level=e.level)
+SELECT f.id, f.row_id, f.level, f.engine, f.engine_label, f.is_fused, f.engine_mode, f.status, f.bucket, f.catalogue_sha, f.city, CASE WHEN p.name IS NOT NULL THEN {_ID.format('p.name')} END AS place_id, round(p.lat, 4) AS lat, round(p.lon, 4) AS lon, round(f.confidence, 6) AS confidence, f.names_a_catalogue_place,
+  f.ground_truth_city, CASE WHEN t.name IS NOT NULL THEN {_ID.format('t.name')} END AS ground_truth_place_id, round({km_sql('p.lat', 'p.lon', 't.lat', 't.lon')}, 1) AS error_km, {km_sql('p.lat', 'p.lon', 't.lat', 't.lon')}<=161 AS within_161km,
+  f.post_consensus_city, CASE WHEN a.name IS NOT NULL THEN {_ID.format('a.name')} END AS post_consensus_place_id, f.user_consensus_city, CASE WHEN b.name IS NOT NULL THEN {_ID.format('b.name')} END AS user_consensus_place_id, f.disagreement_flag, f.disagreement_km,
+  CASE WHEN p.lat IS NULL THEN coalesce(f.why, f.city||'{mapping.NO_COORDINATE}') END AS no_coordinate_reason, round(p.lon, 4) AS x, round(p.lat, 4) AS y
+FROM f LEFT JOIN places p ON p.name=f.city LEFT JOIN places t ON t.name=f.ground_truth_city LEFT JOIN places a ON a.name=f.post_consensus_city LEFT JOIN places b ON b.name=f.user_consensus_city"""
 
 
 def manifest(spark, sf_dir):
@@ -206,5 +242,6 @@ QUERIES = {
       FROM located l LEFT JOIN preds g ON g.row_id=l.row_id AND g.level=l.level AND g.engine LIKE 'gazetteer%' GROUP BY l.engine) r USING (engine) WHERE p.city IS NOT NULL""")),
     "wide_export": (wide_export, sql(WIDE_SQL)),
     "geojson_features": (geojson, None),
+    "geojson_properties": (geojson_properties, sql(PROPERTIES_SQL)),
     "run_manifest": (manifest, None),
 }

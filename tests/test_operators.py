@@ -216,12 +216,8 @@ def test_exports(spark, tmp_path):
     truths = spark.createDataFrame([("r", "tokyo", None)], "row_id string, truth_post string, truth_user string")
     w = exports.wide_export(p, truths, ["a", "u"]).first()
     assert (w.a_place, w.a_scored, w.u_mode, w.u_scored) == ("Tokyo", 1, "skipped", None)
-    f = {r.feature_id: json.loads(r.feature) for r in exports.geojson_features(fusion.fuse(p), p, builtin_places(spark), truths).collect()}
-    assert f["r:post:a"]["geometry"]["coordinates"] == [139.6503, 35.6762] and f["r:user:u"]["geometry"] is None and f["r:user:u"]["properties"]["no_geometry"]
     a, b = (exports.input_fingerprint(truths.unionByName(truths.withColumn("row_id", F.lit("s"))).orderBy(c), ["row_id"]).first()[0] for c in ("row_id", F.desc("row_id")))
     assert a == b
-    exports.write_features(exports.geojson_features(fusion.fuse(p), p, builtin_places(spark), truths), str(tmp_path / "g"))
-    assert spark.read.text(str(tmp_path / "g")).count() == 3
 
 
 def test_ledgers_and_catalogues():
