@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from terravote.functions.exact import MONEY, exact_avg, money
 from terravote.functions.geo import METRO_KM, haversine_km
 from terravote.functions.stats import mcnemar_p, mcnemar_statistic, ratio, wilson
+from terravote.operators.order import exact_median
 from terravote.operators.scoring import mode, usable
-from terravote.sources.shared import checked
+from terravote.sources.shared import checked, written
 
 ABSENT = 1_000_000
 MODES = ["real", "stub", "failed", "skipped"]
@@ -66,7 +67,6 @@ def _metrics() -> list[Column]:
         F.avg("rank").alias("mean_rank"),
         F.coalesce(F.avg(F.when(F.col("found"), F.col("rank"))), F.lit(0.0)).alias("mean_rank_found"),
         F.count_if("found").alias("n_rank_found"),
-        F.coalesce(F.median(F.when(geo, F.col("km"))), F.lit(0.0)).alias("median_km"),
         F.coalesce(exact_avg(F.when(geo, F.col("km"))), F.lit(0.0)).alias("mean_km"),
         ratio(F.count_if(geo & within), F.count_if(geo)).alias("acc_161"),
         F.count_if(geo).alias("n_geo"),
@@ -75,8 +75,24 @@ def _metrics() -> list[Column]:
 
 
 def engine_metrics(points: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Accuracy, rank, distance, latency and cost of ``scored`` points, per engine or other keys."""
-    return points.groupBy(*(by or ["engine"])).agg(*_metrics(), F.median("latency_ms").alias("median_latency_ms"), F.sum(money("cost_usd")).cast("double").alias("total_cost_usd"))
+    """Accuracy, rank, distance, latency and cost of ``scored`` points, per engine or other keys.
+
+    Sums don't depend on the order of the rows, and medians are exact without a group in one task (``order``).
+    """
+    by, points = by or ["engine"], written(points)
+    t = points.groupBy(*by).agg(*_metrics(), F.sum(money("cost_usd")).cast("double").alias("total_cost_usd"))
+    return _with_median(_with_median(t, points, by, _placed_km(), "median_km", 0.0), points, by, F.col("latency_ms"), "median_latency_ms")
+
+
+def _placed_km() -> Column:
+    return F.when(F.col("geo"), F.col("km"))
+
+
+def _with_median(metrics: DataFrame, points: DataFrame, by: list[str], value: Column, name: str, none: float | None = None) -> DataFrame:
+    found = exact_median(points, by, value, name).withColumnsRenamed({c: f"__k{i}" for i, c in enumerate(by)})
+    on = [metrics[c].eqNullSafe(found[f"__k{i}"]) for i, c in enumerate(by)]
+    t = metrics.join(found, on, "left").drop(*(f"__k{i}" for i in range(len(by))))
+    return t if none is None else t.withColumn(name, F.coalesce(name, F.lit(none)))
 
 
 def fusion_points(fused: DataFrame, rows: DataFrame, coordinates: DataFrame) -> DataFrame:
@@ -86,7 +102,9 @@ def fusion_points(fused: DataFrame, rows: DataFrame, coordinates: DataFrame) ->
 
 def fusion_metrics(points: DataFrame) -> DataFrame:
     """The same per level of fused results, with the share that differs from the best single engine."""
-    return points.groupBy("level").agg(*_metrics(), F.avg(F.col("differs").cast("double")).alias("differs_rate"))
+    points = written(points)
+    t = points.groupBy("level").agg(*_metrics(), F.avg(F.col("differs").cast("double")).alias("differs_rate"))
+    return _with_median(t, points, ["level"], _placed_km(), "median_km", 0.0)
 
 
 def bucket_accuracy(points: DataFrame) -> DataFrame:
