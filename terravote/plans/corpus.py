@@ -67,20 +67,22 @@ def texts(rows: DataFrame) -> DataFrame:
     return post.unionByName(line).filter(F.col("text").isNotNull())
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def vectors(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Queries (row_id, vector), one per account, and places (place_ord, place, vector)."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     n = e.agg((F.coalesce(F.max("vec_id"), F.lit(0)) + 1).alias("n"))
-    q = inputs(spark, sf_dir).select("row_id", "conv_id").join(F.broadcast(n), F.lit(True)).select("row_id", F.pmod(F.col("conv_id") * 7 + 50, F.col("n")).alias("vec_id")).join(e, "vec_id").select("row_id", "vector")
+    rows = inputs(spark, sf_dir) if rows is None else rows
+    q = rows.select("row_id", "conv_id").join(F.broadcast(n), F.lit(True)).select("row_id", F.pmod(F.col("conv_id") * 7 + 50, F.col("n")).alias("vec_id")).join(e, "vec_id").select("row_id", "vector")
     p = builtin_places(spark).join(e, F.col("ord") == F.col("vec_id")).select(F.col("ord").alias("place_ord"), F.col("name").alias("place"), "vector")
     return q, p
 
 
-def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def replies(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """(row_id, engine, model, reply, in_tokens, out_tokens, latency_ms): plain, fenced, off the catalogue or broken, by conv_id mod 4."""
     out, c = None, F.col("conv_id")
+    rows = inputs(spark, sf_dir) if rows is None else rows
     for engine, (model, shift) in MODEL.items():
-        t = inputs(spark, sf_dir).select("row_id", "conv_id")
+        t = rows.select("row_id", "conv_id")
         for alias, number in (("x", F.pmod(c * 11 + shift, F.lit(50))), ("y", F.pmod(c * 13 + 5 + shift, F.lit(50)))):
             side, on = numbered(builtin_places(spark), number, alias)
             t = t.join(side, on)
@@ -93,13 +95,13 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All engines' predictions, skips included, in the one long schema; written once for all that a query makes of them."""
-    rows, places = inputs(spark, sf_dir), builtin_places(spark)
+    rows, places = written(inputs(spark, sf_dir)), builtin_places(spark)
     d = scoring.dispatch(rows.select("row_id", "post", "user_posts"), engines(spark)).select("row_id", "engine", "ord", "level", "skip_reason")
     run = d.filter(F.col("skip_reason").isNull())
     g = toponyms.gazetteer(texts(rows), places).join(run.filter(F.col("engine").startswith("gazetteer")), ["row_id", "level"])
-    q, p = vectors(spark, sf_dir)
+    q, p = vectors(spark, sf_dir, rows)
     s = scoring.encoder_topk(q, p).join(run.filter("engine = 'similarity_post'"), "row_id")
-    m = scoring.call_costs(scoring.reply_predictions(replies(spark, sf_dir), places), prices(spark)).join(run, ["row_id", "engine"])
+    m = scoring.call_costs(scoring.reply_predictions(replies(spark, sf_dir, rows), places), prices(spark)).join(run, ["row_id", "engine"])
     cost = F.when(~F.col("failed"), F.coalesce("cost_usd", F.lit(0.0))).otherwise(0.0)
     parts = [scoring.state(g), scoring.state(s), scoring.state(m.withColumn("cost_usd", cost)), scoring.skipped(d)]
     out = parts[0]

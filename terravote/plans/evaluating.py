@@ -213,6 +213,19 @@ def manifest(spark, sf_dir):
     return exports.run_manifest(builtin_places(spark), C.status(spark, sf_dir), C.predictions(spark, sf_dir), prices(spark), {"method": "weighted", "k": "5"}).select("catalogue_hash", "total", "evaluated", "ooc", "error", "manifest")
 
 
+def manifest_counts(spark, sf_dir):
+    """The manifest's columns that don't hold text: its catalogue, and the counts of rows and calls read back from the JSON."""
+    m = exports.run_manifest(builtin_places(spark), C.status(spark, sf_dir), C.predictions(spark, sf_dir), prices(spark), {"method": "weighted", "k": "5"})
+    calls = F.from_json("manifest", "calls array<struct<engine: string, `real`: bigint, failed: bigint, skipped: bigint>>")["calls"]
+    t = m.select("catalogue_hash", "n", "total", "evaluated", "ooc", "error", F.explode(calls).alias("c"))
+    return t.select("catalogue_hash", "n", "total", "evaluated", "ooc", "error", "c.engine", F.col("c.real").alias("calls"), "c.failed", "c.skipped")
+
+
+MANIFEST_SQL = """SELECT (SELECT substr(sha256(string_agg(lower(trim(name)), chr(10) ORDER BY lower(trim(name)))), 1, 12) FROM places) AS catalogue_hash, (SELECT count(*) FROM places) AS n, s.*, c.* FROM
+  (SELECT count(*) AS total, count(*) FILTER (status='ok') AS evaluated, count(*) FILTER (status='ooc') AS ooc, count(*) FILTER (status='error') AS error FROM status) s,
+  (SELECT engine, count(*) FILTER (NOT skipped AND NOT failed) AS calls, count(*) FILTER (failed) AS failed, count(*) FILTER (skipped) AS skipped FROM preds GROUP BY engine) c"""
+
+
 QUERIES = {
     "engine_metrics": (engine_metrics, sql(f"SELECT engine, {METRICS} FROM located GROUP BY engine")),
     "engine_costs": (engine_costs, sql("""SELECT l.engine, median(CASE WHEN l.engine LIKE 'model%' THEN 500.0+l.conv_id%13*100 ELSE 0 END)::DOUBLE AS median_latency_ms,
@@ -244,4 +257,5 @@ QUERIES = {
     "geojson_features": (geojson, None),
     "geojson_properties": (geojson_properties, sql(PROPERTIES_SQL)),
     "run_manifest": (manifest, None),
+    "manifest_counts": (manifest_counts, sql(MANIFEST_SQL)),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terravote.functions import sql as functions_sql
 from terravote.functions import text as T
-from terravote.operators import scoring, toponyms
+from terravote.operators import runner, scoring, toponyms
 from terravote.plans import corpus as C
 from terravote.plans.corpus import sql
 from terravote.sources.catalogue import builtin_places, prices
@@ -158,19 +158,25 @@ def text_counts(spark, sf_dir):
 
 
 def custom_engine(spark, sf_dir):
-    """A caller's engine over vectors that a caller's encoder makes, brought through the contract's check."""
+    """A caller's engine, registered after the others, over vectors that a caller's encoder makes, through a batch run."""
     def encode(batch):
         return [[float(len(t)), float(t.count(" ")), 1.0] for t in batch]
 
-    t = C.texts(C.inputs(spark, sf_dir)).filter("level = 'post'")
-    q = scoring.embed(t.select("row_id", "text"), encode).select("row_id", "vector")
     p = scoring.embed(builtin_places(spark).select("ord", "name"), encode, "name").select(F.col("ord").alias("place_ord"), F.col("name").alias("place"), "vector")
-    out = scoring.encoder_topk(q, p).withColumns({"engine": F.lit("lengths"), "ord": F.lit(9), "level": F.lit("post")})
-    out = scoring.state(out)
-    faults = scoring.check_predictions(out).groupBy().agg(F.count("*").alias("faults"))
-    return out.join(F.broadcast(faults), F.lit(True)).select("row_id", "city", F.round("confidence", 6).alias("confidence"), "faults")
+    lengths = lambda rows: scoring.encoder_topk(scoring.embed(rows.select("row_id", "text"), encode).select("row_id", "vector"), p)
+    roster = scoring.register(C.engines(spark), "lengths", "post")
+    out = runner.run_batch(C.inputs(spark, sf_dir), builtin_places(spark), roster, {"lengths": lengths}).predictions
+    return out.select("row_id", "engine", F.coalesce("city", F.lit("")).alias("city"), F.round("confidence", 6).alias("confidence"), "skipped", F.coalesce("reason", F.lit("")).alias("reason"))
 
 
+CUSTOM_SQL = """, roster AS (SELECT engine, level FROM engines UNION ALL SELECT 'lengths', 'post'), ok AS (SELECT * FROM status WHERE status='ok'),
+q AS (SELECT row_id, [length(post)::DOUBLE, (length(post)-length(replace(post, ' ', '')))::DOUBLE, 1.0::DOUBLE] AS v FROM ok WHERE post IS NOT NULL),
+n AS (SELECT ord, name, [length(name)::DOUBLE, (length(name)-length(replace(name, ' ', '')))::DOUBLE, 1.0::DOUBLE] AS v FROM places),
+x AS (SELECT row_id, ord, name, 10*list_cosine_similarity(q.v, n.v) AS l FROM q, n),
+y AS (SELECT row_id, name, e/sum(e) OVER (PARTITION BY row_id) AS p, row_number() OVER (PARTITION BY row_id ORDER BY round(l, 12) DESC, ord) AS rank FROM (SELECT *, exp(l-max(l) OVER (PARTITION BY row_id)) AS e FROM x))
+SELECT s.row_id, r.engine, coalesce(y.name, '') AS city, round(coalesce(y.p, 0), 6) AS confidence, y.name IS NULL AS skipped, CASE WHEN r.engine<>'lengths' THEN 'not selected' WHEN y.name IS NULL THEN 'no post' ELSE '' END AS reason
+FROM ok s CROSS JOIN roster r LEFT JOIN y ON y.row_id=s.row_id AND y.rank=1 AND r.engine='lengths'"""
+
 GAZ = "SELECT row_id, rank::INT AS rank, name AS place, round(share, 6) AS score FROM ranks WHERE level='{}'"
 QUERIES = {
     "gazetteer_post_topk": (_gazetteer("post"), sql(GAZ.format("post"))),
@@ -200,5 +206,5 @@ QUERIES = {
       CASE WHEN 500+i.conv_id%13*100>=1000 THEN printf('%.2f s', (500+i.conv_id%13*100)/1000.0) ELSE printf('%.0f ms', (500+i.conv_id%13*100)::DOUBLE) END AS latency
       FROM inputs i, (VALUES ('model_post', 'gpt-4o-mini'), ('model_user', 'claude-haiku-4-5-20251001')) m(engine, model) JOIN prices p ON p.model=m.model""")),
     "text_counts": (text_counts, r"""SELECT doc_id, term, (CASE WHEN contains(term, ' ') THEN (length(low)-length(replace(low, term, '')))//length(term) ELSE len(list_filter(regexp_extract_all(low, '[\pL\pM\pN\p{Pc}]+'), lambda w: w=term)) END)::INT AS hits FROM (SELECT doc_id, lower(text) AS low FROM documents), (VALUES ('the'), ('on the'), ('ing')) t(term)"""),
-    "custom_engine": (custom_engine, None),
+    "custom_engine": (custom_engine, sql(CUSTOM_SQL)),
 }
