@@ -87,12 +87,17 @@ class Catalogue:
     def __init__(self, ttl_s: float, cap: int, builtin=frozenset(), added=None):
         self.ttl, self.cap, self.builtin, self.added = ttl_s, cap, builtin, dict(added or {})
 
-    def expire(self, now: float) -> list[tuple[str, float, int]]:
-        """Names whose time is over, in the order of these times, with the time and how many names it left."""
-        gone = sorted(((t + self.ttl, n) for n, t in self.added.items() if self.ttl > 0 and t <= now - self.ttl), key=lambda x: x[0])
-        for _, n in gone:
+    def expire(self, now: float) -> list[tuple[str, float]]:
+        """Names whose time is over, with that time, in its order."""
+        gone = sorted(((n, t + self.ttl) for n, t in self.added.items() if self.ttl > 0 and t <= now - self.ttl), key=lambda x: x[1])
+        for n, _ in gone:
             del self.added[n]
-        return [(n, t, len(self.added) + len(gone) - k) for k, (t, n) in enumerate(gone, 1)]
+        return gone
+
+    def expiries(self, catalogue_id, now: float) -> list[tuple]:
+        """The same as rows of changes: each with how many names it left."""
+        gone = self.expire(now)
+        return [(catalogue_id, None, n, "expired", len(self.added) + len(gone) - k, [], t) for k, (n, t) in enumerate(gone, 1)]
 
     def apply(self, op: str, name: str, now: float) -> tuple[str, list[str]]:
         """status and evicted names of a register or reset, after what has expired is gone."""
@@ -180,15 +185,12 @@ def catalogue_changes(log: DataFrame, ttl_s: float = 3600.0, cap: int = 20, buil
     """
     last = None if until is None else (until if until.tzinfo else until.replace(tzinfo=timezone.utc)).timestamp()
 
-    def expired(key, book, now):
-        return [(key[0], None, n, "expired", size, [], t) for n, t, size in book.expire(now)]
-
     def step(book, key, at, seq, op, name):
-        gone = expired(key, book, at)
+        gone = book.expiries(key[0], at)
         status, evicted = book.apply(op, name, at)
         return [*gone, (key[0], seq, name, status, len(book.added), evicted, at)]
 
-    end = (lambda key, book: ()) if last is None else (lambda key, book: expired(key, book, last))
+    end = (lambda key, book: ()) if last is None else (lambda key, book: book.expiries(key[0], last))
     return _replayed(log, ["catalogue_id"], ["seq", "op", "name"], lambda: Catalogue(ttl_s, cap, builtin), step, f"catalogue_id {dict(log.dtypes)['catalogue_id']}, {CHANGES}", end)
 
 

@@ -151,13 +151,13 @@ class _Lifecycle(_Replay):
         return out.astype({"seq": object, "size": "int32", "at": "float64"})
 
     def pass_time(self, key, book, now):
-        gone = [(key[0], None, n, "expired", size, [], t) for n, t, size in book.expire(now)]
+        gone = book.expiries(key[0], now)
         return self._rows(gone) if gone else None
 
     def step(self, book, pdf):
         out = []
         for cid, seq, op, name, a in zip(pdf["catalogue_id"], pdf["seq"], pdf["op"], pdf["name"], pdf["at"]):
-            out += [(cid, None, n, "expired", size, [], t) for n, t, size in book.expire(a)]
+            out += book.expiries(cid, a)
             status, evicted = book.apply(op, name, a)
             out.append((cid, seq, name, status, len(book.added), evicted, a))
         return self._rows(out)
