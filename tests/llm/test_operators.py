@@ -581,7 +581,7 @@ def test_no_character_of_a_secret_stays_around_base_spans(spark):
         f"token={body}/10.0.0.1 now": "token=[secret] now",
         f"secret={body}@host.org now": "secret=[email] now",  # the base span covers the secret
         f"password: {body}{body}.x@host.org": "password: [email]",
-        "write jo(at)host.org+4912345678 now": "write [mail] now",
+        "write jo(at)host.org, +4912345678 now": "write [mail] [phone] now",
         f"no name {card} here": "no name [card] here",
     }
     t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
