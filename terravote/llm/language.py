@@ -151,7 +151,8 @@ def identify(rows: DataFrame, carried: bool = False) -> DataFrame:
     Null or letterless text: language null, posterior 0, not kept.  Null declared, host, domain or suffix: that evidence is
     left out, or smoothed as a group of its own.  No declared language in the whole table: nothing can be learnt, and
     every row is kept with language null.  Ties go to the first language by name.  Repeated rows: a row each.  Very long
-    texts are read whole.  Empty table: no rows.
+    texts are read whole.  Empty table: no rows.  Other columns stay, but must not be named like those that are added on
+    the way: scores, fits, guess, p3, declared_e, total, top.  ``keep_identified`` takes columns of any names.
     """
     dropped = ("markup",) if carried else ("text", "markup")
     keys = [c for c in rows.columns if c not in dropped]

@@ -221,7 +221,8 @@ def quality(docs: DataFrame) -> DataFrame:
     language and source of n such rows weigh n against 50 of its language's, and these alike against all rows'.
 
     Null or empty text: all counts 0, base_failed.  Null lang or source: groups of their own.  Null doc_id and repeated
-    rows: a row each.  Very long texts are counted whole.  Groups of one row, and of rows that all agree, have estimates
+    rows: a row each, judged alike.  Ties: rows of equal distance lie in the same cell of it, of which the core takes a share,
+    and a row at the quantile itself is kept.  Very long texts are counted whole.  Groups of one row, and of rows that all agree, have estimates
     like any other.  Empty table: no rows.  Other columns are ignored, whatever their names.
     """
     t = statistics(docs)

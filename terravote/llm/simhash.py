@@ -265,7 +265,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null, empty or wordless text: fingerprint zero, linked like any other.  Fewer than three words: one shingle.  Null
     doc_id: the row stays and takes the smallest doc_id that is reachable, null if there is none.  Repeated rows: a row
-    each.  Empty table: no rows.  Other columns are ignored.
+    each.  Very long texts are read whole, one at a time in a task.  Ties: a bit set in just half of the shingles is 0, and a
+    component takes its smallest doc_id, so nothing depends on the order of rows.  Empty table: no rows.  Other columns are
+    ignored, whatever their names.
     """
     prints = saved(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
     named = saved(_components(saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))).select("fp", "component_id"))
