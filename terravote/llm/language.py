@@ -8,13 +8,14 @@ suffix counts once, and the less the more is known of the host.  All tables behi
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from .common import join_small, saved, table
 
@@ -27,6 +28,11 @@ DEPENDENT = 3.0
 SUBTAG = r"^\s*([A-Za-z]{2,3})(?:[-_].*|\s*)$"
 #: Languages whose counts a task holds before it writes them out.
 HELD_AT_ONCE = 256
+#: Counts (a language's of a cell) of the model that are broadcast at once, in ten bytes each.
+MODEL = 1 << 24
+#: A language whose text score is so far below the best is no candidate.  Declaration and address together can't tell two
+#: languages apart by more than 130 (were there 10**12 rows), so all left out have less than exp(-40) of the posterior each.
+MARGIN = 170.0
 #: Rows that the coarser prior weighs in each step of smoothing, and the weight of a declaration or suffix never seen.
 SMOOTH, UNSEEN = 20.0, 1.0
 #: Share of every language's model that is uniform over the cells.  The fit is measured without any other smoothing, so a
@@ -83,110 +89,173 @@ def counts(rows: DataFrame) -> DataFrame:
     return part.groupBy("declared", "cell").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame) -> tuple[list[str], object]:
-    """Languages and their log-probabilities of cells (2 x languages x 65,536): smoothed as evidence, and to measure fit.
-
-    What comes to the driver and is broadcast is bounded by the number of subtags and cells.
-    """
+def fit(rows: DataFrame) -> tuple[DataFrame, list, list[range]]:
+    """The counts (a saved table); each language with its number of trigrams and of cells, by name; and the languages in
+    blocks of at most MODEL counts, or of one language.  The driver gets a row a language, so as many as there are subtags at
+    most."""
+    t = saved(counts(rows))
+    languages = t.groupBy("declared").agg(F.sum("n").alias("n"), F.count("*").alias("cells")).orderBy("declared").collect()
+    blocks, begin, held = [], 0, 0
+    for k, x in enumerate(languages):
+        if k > begin and held + x["cells"] > MODEL:
+            blocks.append(range(begin, k))
+            begin, held = k, 0
+        held += x["cells"]
+    return t, languages, [*blocks, range(begin, len(languages))]
+
+
+def _model(t: DataFrame, languages: list) -> tuple:
+    """A block's log-probabilities, smoothed as evidence and to measure fit, of the cells that its languages have, by cell:
+    where each cell begins, the language, and by how much either log is above the language's own log of a cell it lacks."""
     import numpy as np
 
-    t = counts(rows).toArrow()
-    languages = sorted(set(t["declared"].to_pylist()))
-    place = {x: k for k, x in enumerate(languages)}
-    model = np.zeros((len(languages), CELLS))
-    model[np.array([place[x] for x in t["declared"].to_pylist()], np.int64), t["cell"].to_numpy()] += t["n"].to_numpy()
-    n = model.sum(axis=1, keepdims=True)
-    return languages, np.stack([np.log((1 - UNIFORM) * shares + UNIFORM / CELLS).astype(np.float32) for shares in ((model + 0.5) / (n + 0.5 * CELLS), model / np.maximum(n, 1))])
-
-
-def _score(rows: DataFrame, languages: list[str], model, dropped: tuple[str, ...]) -> DataFrame:
-    """rows with scores array<double>, tempered log-likelihoods, and fits, each language's fit per trigram (null: no text);
-    all in one narrow pass, and without the columns ``dropped``."""
+    names = [x["declared"] for x in languages]
+    own = t.filter(F.col("declared").between(names[0], names[-1])).toArrow()
+    word = own["declared"].combine_chunks().dictionary_encode()
+    place = {x: k for k, x in enumerate(names)}
+    lang = np.array([place[x] for x in word.dictionary.to_pylist()], np.int16)[word.indices.to_numpy()]
+    cell, n = own["cell"].to_numpy(), own["n"].to_numpy()
+    by = np.lexsort((lang, cell))
+    lang, cell, n = lang[by], cell[by], n[by]
+    size = np.array([x["n"] for x in languages], np.float64)
+    log = lambda share: np.log((1 - UNIFORM) * share + UNIFORM / CELLS)
+    lacking = np.stack([log(0.5 / (size + 0.5 * CELLS)), np.full(len(names), log(0.0))])
+    above = np.stack([log((n + 0.5) / (size[lang] + 0.5 * CELLS)), log(n / size[lang])]) - lacking[:, lang]
+    return np.searchsorted(cell, np.arange(CELLS + 1)), lang, above.astype(np.float32), lacking
+
+
+def _score(rows: DataFrame, model: tuple, first: int, dropped: tuple[str, ...]) -> DataFrame:
+    """rows with cands array<struct<l, s, f>>: the languages, their tempered log-likelihoods and fits per trigram, less those
+    that are MARGIN below the best (null: no text), and guess, the best; without the columns ``dropped``.
+
+    The model is that of languages from number ``first`` on.  Candidates that rows have already stay in the running.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in rows.schema if f.name not in dropped]
-    names = [f.name for f in kept]
+    kept = [f for f in rows.schema if f.name not in (*dropped, "cands", "guess")]
+    names, more = [f.name for f in kept], "cands" in rows.columns
+    one = StructType([StructField("l", IntegerType()), StructField("s", DoubleType()), StructField("f", DoubleType())])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        logs = sent.value
+        start, lang, above, lacking = sent.value
+        here = np.arange(first, first + lacking.shape[1], dtype=np.int32)
         for b in batches:
-            scores, fits = [], []
-            for text, markup in zip(b.column("text"), b.column("markup").to_pylist()):
-                used, at = np.unique(cells_of(_text(text, markup)), return_counts=True)
-                n = int(at.sum())
-                mean = logs[:, :, used] @ at / n if n else np.zeros((2, len(languages)))
-                scores.append((mean[0] * (n / DEPENDENT)).tolist())
-                fits.append(mean[1].tolist() if n else None)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(scores, pa.list_(pa.float64())), pa.array(fits, pa.list_(pa.float64()))], [*names, "scores", "fits"])
-
-    return rows.mapInArrow(run, StructType([*kept, StructField("scores", ArrayType(DoubleType())), StructField("fits", ArrayType(DoubleType()))]))
-
-
-def _smoothed(scored: DataFrame, keys: list[str], coarser: DataFrame | list[float], name: str, languages: list[str]) -> DataFrame:
-    """keys -> name array<double>: shares of the languages that texts alone suggest, smoothed by the coarser prior.
-
-    The coarser prior is a table by some of the keys, or one array for all.
-    """
-    n = [F.count_if(F.col("guess") == k).cast("double").alias(f"n{k}") for k in range(len(languages))]
-    t = scored.groupBy(*keys).agg(F.count("guess").cast("double").alias("rows"), *n)
-    if isinstance(coarser, list):
-        prior = [F.lit(p) for p in coarser]
-    else:
-        up = [c for c in coarser.columns if c in keys]
-        t = join_small(t, coarser, up)
-        array = next(c for c in coarser.columns if c not in keys)
-        prior = [F.get(array, F.lit(k)) for k in range(len(languages))]
-    return t.select(*keys, F.array(*((F.col(f"n{k}") + SMOOTH * p) / (F.col("rows") + SMOOTH) for k, p in enumerate(prior))).alias(name))
+            found, guess = [], []
+            if more:
+                old, at = b.column("cands").values, b.column("cands").offsets.to_numpy()
+                old = [old.field(c).to_numpy(zero_copy_only=False) for c in "lsf"]
+            for r, (text, markup) in enumerate(zip(b.column("text"), b.column("markup").to_pylist())):
+                used, times = np.unique(cells_of(_text(text, markup)), return_counts=True)
+                n = int(times.sum())
+                if not n:
+                    found.append(None)
+                    guess.append(None)
+                    continue
+                begin, long = start[used], start[used + 1] - start[used]
+                where = np.repeat(begin - np.cumsum(long) + long, long) + np.arange(long.sum())
+                weight, of = np.repeat(times, long), lang[where]
+                s, f = (np.bincount(of, weight * x[where], minlength=len(here)) / n + base for x, base in zip(above, lacking))
+                cands = [here, s * (n / DEPENDENT), f]
+                if more:
+                    cands = [np.concatenate([x[at[r] : at[r + 1]], y]) for x, y in zip(old, cands)]
+                best = int(cands[1].argmax())
+                near = cands[1] >= cands[1][best] - MARGIN
+                found.append([x[near] for x in cands])
+                guess.append(int(cands[0][best]))
+            flat = [np.concatenate([x[k] for x in found if x] or [np.zeros(0)]) for k in range(3)]
+            fields = [pa.array(x, type=t) for x, t in zip(flat, (pa.int32(), pa.float64(), pa.float64()))] if len(flat[0]) else [pa.array([], t) for t in (pa.int32(), pa.float64(), pa.float64())]
+            ends = np.cumsum([0, *(len(x[0]) if x else 0 for x in found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, ["l", "s", "f"]), mask=pa.array([x is None for x in found], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), lists, pa.array(guess, pa.int32())], [*names, "cands", "guess"])
+
+    return rows.mapInArrow(run, StructType([*kept, StructField("cands", ArrayType(one)), StructField("guess", IntegerType())]))
+
+
+def _guesses(t: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys -> name struct<n map<int,long>, rows long>: how many rows' texts suggest which language, of grouped counts
+    (guess, n).  A key has the languages that its rows suggest, so as many as there are subtags at most."""
+    each = t.groupBy(*keys, "guess").agg(F.sum("n").alias("n"))
+    return each.groupBy(*keys).agg(F.struct(F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("n"), F.sum("n").alias("rows")).alias(name))
+
+
+def _totals(t: DataFrame, languages: list) -> list[int]:
+    """For each language the rows that suggest it, of grouped counts (guess, n)."""
+    found = {r["guess"]: r["n"] for r in t.groupBy("guess").agg(F.sum("n").alias("n")).collect()}
+    return [found.get(k, 0) for k in range(len(languages))]
+
+
+def _fixed(values: list, kind: str) -> Column:
+    """A constant array of any length as one literal of the plan."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
 
 
 def identify(rows: DataFrame, carried: bool = False) -> DataFrame:
     """rows (text, markup boolean, declared, host, domain, suffix, any others) with language, posterior and kept.
 
-    Without the text, unless it is ``carried``.  Texts are read twice, once to count and once to score; what follows uses a
-    saved table of rows and scores and joins small tables to it, so rows are not shuffled.  Likelihoods of declarations and
-    the priors come from grouped counts of the languages that the texts alone suggest.
+    Without the text, unless it is ``carried``.  Texts are read twice, once to count and once to score (once more for each
+    further block of languages, if the model needs several); what follows uses a saved table of rows and their few
+    candidates and joins small tables to it, so rows are not shuffled.  Likelihoods of declarations and the priors come from
+    grouped counts of the languages that the texts alone suggest.  Rows, tables and plans hold the languages that occur in
+    them, however many are declared in all.
 
     Null or letterless text: language null, posterior 0, not kept.  Null declared, host, domain or suffix: that evidence is
     left out, or smoothed as a group of its own.  No declared language in the whole table: nothing can be learnt, and
     every row is kept with language null.  Ties go to the first language by name.  Repeated rows: a row each.  Very long
     texts are read whole.  Empty table: no rows.  Other columns stay, but must not be named like those that are added on
-    the way: scores, fits, guess, p3, declared_e, total, top.  ``keep_identified`` takes columns of any names.
+    the way: cands, guess, wide, near, said, totals, top, chosen.  ``keep_identified`` takes columns of any names.
     """
     dropped = ("markup",) if carried else ("text", "markup")
     keys = [c for c in rows.columns if c not in dropped]
     rows = rows.withColumn("declared", F.nullif(F.lower(F.regexp_extract("declared", SUBTAG, 1)), F.lit("")))
-    languages, model = fit(rows)
+    t, languages, blocks = fit(rows)
     if not languages:
         return rows.select(*keys, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("kept"))
-    scored = _score(rows, languages, model, dropped).withColumn("guess", F.when(F.col("fits").isNotNull(), F.array_position("scores", F.array_max("scores")) - 1))
-    scored = saved(scored)
-    each = lambda *test: [F.count_if((F.col("guess") == k) & t) for k in range(len(languages)) for t in test]
-    guesses = scored.agg(*each(F.lit(True)), *each(F.col("declared").isNotNull())).first()
-    of_all, of_declared = guesses[: len(languages)], guesses[len(languages) :]
-    overall = [(n + 1) / (sum(of_all) + len(languages)) for n in of_all]
-    by_suffix = saved(_smoothed(scored, ["suffix"], overall, "p1", languages))
-    by_domain = saved(_smoothed(scored, ["suffix", "domain"], by_suffix, "p2", languages))
-    by_host = saved(_smoothed(scored, ["suffix", "domain", "host"], by_domain, "p3", languages))
-    said = saved(_declarations(scored, of_declared, languages))
-    out = join_small(join_small(scored, by_host, ["suffix", "domain", "host"]), said, ["declared"])
-    told = F.coalesce("declared_e", F.array(*[F.lit(0.0)] * len(languages)))
-    total = F.zip_with(F.zip_with("scores", told, lambda a, b: a + b), F.transform("p3", lambda p: F.log(p)), lambda a, b: a + b)
-    out = out.withColumn("total", total).withColumn("top", F.array_max("total"))
-    out = out.withColumn("posterior", 1 / F.aggregate(F.transform("total", lambda t: F.exp(t - F.col("top"))), F.lit(0.0), lambda a, x: a + x))
-    names = F.array(*map(F.lit, languages))
-    found, chosen = F.col("fits").isNotNull(), (F.array_position("total", F.col("top")) - 1).cast("int")
-    return out.select(*keys, F.when(found, F.get(names, chosen)).alias("language"), F.when(found, F.col("posterior")).otherwise(0.0).alias("posterior"), (found & (F.col("posterior") >= SURE) & (F.get("fits", chosen) >= FIT)).alias("kept"))
-
-
-def _declarations(scored: DataFrame, totals, languages: list[str]) -> DataFrame:
-    """declared -> declared_e array<double>: log P(declared | language) less log P(declared), smoothed; ``totals`` counts the
-    declaring rows by the language that the text suggests."""
-    values = scored.filter(F.col("declared").isNotNull() & F.col("guess").isNotNull())
-    t = values.groupBy("declared").agg(F.count("*").cast("double").alias("rows"), *(F.count_if(F.col("guess") == k).cast("double").alias(f"n{k}") for k in range(len(languages))))
-    share = lambda c, total: F.log((F.col(c) + UNSEEN) / (total + 10 * UNSEEN))
-    return t.select("declared", F.array(*(share(f"n{k}", n) - share("rows", sum(totals)) for k, n in enumerate(totals))).alias("declared_e"))
+    scored = rows
+    for k, block in enumerate(blocks):
+        scored = saved(_score(scored, _model(t, [languages[i] for i in block]), block[0], dropped if k == len(blocks) - 1 else ()))
+    told = scored.filter(F.col("guess").isNotNull())
+    by = saved(told.groupBy("suffix", "domain", "host", "guess").agg(F.count("*").alias("n")))
+    wide = saved(_guesses(by, ["suffix"], "wide"))
+    domains = saved(_guesses(by, ["suffix", "domain"], "domains"))
+    near = join_small(_guesses(by, ["suffix", "domain", "host"], "hosts"), domains, ["suffix", "domain"])
+    near = saved(near.select("suffix", "domain", "host", F.struct("hosts", "domains").alias("near")))
+    declared = saved(told.filter(F.col("declared").isNotNull()).groupBy("declared", "guess").agg(F.count("*").alias("n")))
+    said = saved(_guesses(declared, ["declared"], "said"))
+    out = join_small(join_small(join_small(scored, near, ["suffix", "domain", "host"]), wide, ["suffix"]), said, ["declared"])
+    total = _evidence(_totals(by, languages), _totals(declared, languages))
+    out = out.withColumn("totals", F.transform("cands", lambda c: F.struct((c["s"] + total(c["l"])).alias("t"), c["l"].alias("l"), c["f"].alias("f"))))
+    out = out.withColumn("top", F.array_max(F.transform("totals", lambda x: x["t"])))
+    out = out.withColumn("chosen", F.get(F.filter("totals", lambda x: x["t"] == F.col("top")), F.lit(0)))
+    posterior = 1 / F.aggregate("totals", F.lit(0.0), lambda a, x: a + F.exp(x["t"] - F.col("top")))
+    out = out.withColumn("posterior", F.when(F.col("cands").isNotNull(), posterior).otherwise(0.0))
+    names = _fixed([x["declared"] for x in languages], "string")
+    sure = (F.col("posterior") >= SURE) & (F.col("chosen.f") >= FIT)
+    return out.select(*keys, F.get(names, F.col("chosen.l")).alias("language"), "posterior", F.coalesce(sure, F.lit(False)).alias("kept"))
+
+
+def _evidence(of_all: list[int], of_declared: list[int]):
+    """What declaration and address add to a language's log-likelihood, by its number.
+
+    The declaration adds log P(declared | language) less log P(declared), smoothed; nothing if it is null or no text's.  The
+    address adds the log of its prior: all rows' shares, then the suffix's, the domain's and the host's, each smoothed
+    toward the one before.  The two lists count the rows, and the declaring rows, by the language that their text suggests.
+    """
+    overall = _fixed([(n + 1) / (sum(of_all) + len(of_all)) for n in of_all], "double")
+    declaring = _fixed(of_declared, "bigint")
+
+    def share(path: str, l: Column, coarser: Column) -> Column:
+        n, rows = F.element_at(F.col(f"{path}.n"), l), F.col(f"{path}.rows")
+        return (F.coalesce(n, F.lit(0)) + SMOOTH * coarser) / (F.coalesce(rows, F.lit(0)) + SMOOTH)
+
+    def total(l: Column) -> Column:
+        seen = lambda n, all_of: F.log((F.coalesce(n, F.lit(0)) + UNSEEN) / (all_of + 10 * UNSEEN))
+        said = seen(F.element_at(F.col("said.n"), l), F.get(declaring, l)) - seen(F.col("said.rows"), F.lit(sum(of_declared)))
+        prior = share("near.hosts", l, share("near.domains", l, share("wide", l, F.get(overall, l))))
+        return F.when(F.col("said").isNotNull(), said).otherwise(0.0) + F.log(prior)
+
+    return total
 
 
 def documents_evidence(docs: DataFrame) -> DataFrame:

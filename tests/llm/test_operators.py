@@ -312,6 +312,29 @@ def test_language_posteriors_match_brute_force(spark):
         assert got[i].language == lang and got[i].kept == kept and abs(got[i].posterior - p) < 1e-3, rows[i]
 
 
+def test_languages_in_blocks_score_like_all_at_once(spark, monkeypatch):
+    rows = [(i, " ".join(speech(i)[1].split()[: 1 + i % 12]), [speech(i)[0], None, f"{speech(i)[0]}-x", "x" + chr(97 + i % 26)][i % 4], f"h{i % 5}") for i in range(200)]
+    rows += [(500, None, "en", "h"), (501, "12", "de", None), (502, "der hund " * 3000, None, None)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    once = {x.doc_id: x for x in language.identify(language.documents_evidence(t)).collect()}
+    monkeypatch.setattr(language, "MODEL", 1500)
+    assert len(language.fit(language.documents_evidence(t).filter("declared is not null"))[2]) > 2
+    blocks = {x.doc_id: x for x in language.identify(language.documents_evidence(t)).collect()}
+    assert once.keys() == blocks.keys()
+    for i, x in once.items():
+        assert (x.language, x.kept) == (blocks[i].language, blocks[i].kept) and abs(x.posterior - blocks[i].posterior) < 1e-9
+
+
+def test_two_thousand_declared_tags_leave_plan_and_rows_small(spark):
+    tag = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    rows = [(i, f"{speech(i)[1]} {tag(i)}", tag(i), "h") for i in range(2000)] + [(5000 + i, speech(i)[1] * 30, speech(i)[0], "h") for i in range(60)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = language.identify(language.documents_evidence(t))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("guess") < 500
+    got = {x.doc_id: x for x in got.collect()}
+    assert len(got) == 2060 and all(got[5000 + i].language == speech(i)[0] for i in range(60))
+
+
 def test_identified_rows_keep_clashing_columns(spark):
     rows = [(i, speech(i)[1], speech(i)[0], "h", i, 2, "k", "x") for i in range(60)] + [(7, None, "en", "h", 0, 0, "k", "x")]
     t = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "__id", "a.b", "host", "kept"])
