@@ -292,20 +292,24 @@ def id_manifest(spark, sf_dir):
 
 
 def csv_row_rules(spark, sf_dir):
-    """Documents as cells of an upload: trimmed, split, bounded and checked."""
+    """Documents as cells of an upload: trimmed, split, bounded and checked; a timeline is all sentences of a text."""
     k = F.col("doc_id")
     d = read(spark, sf_dir, "documents")
     cells = d.select(
         F.when(k % 50 != 0, F.concat(F.lit(" d-"), (k % 700).cast("string"))).alias("id"), F.when(k % 10 != 0, F.concat(F.lit("  "), "text")).alias("post"),
-        F.when(k % 4 == 0, F.concat(F.substring("text", 1, 40), F.lit("| |"), F.substring("text", 41, 40))).alias("user_posts"), F.lit("h").alias("user_handle"), F.lit(" Bedok ").alias("ground_truth_city"),
+        F.when(k % 4 == 0, F.replace("text", F.lit(". "), F.lit("| |"))).alias("user_posts"), F.lit("h").alias("user_handle"), F.lit(" Bedok ").alias("ground_truth_city"),
         F.lit(None).cast("string").alias("ground_truth_user_city"), F.lit("").alias("bucket"), F.col("lang").alias("tag"), F.when(k % 3 == 0, "YES").when(k % 3 == 1, "0").alias("should_disagree"))
     t = rules.refuse(rules.clean_inputs(cells))
-    return t.groupBy("bucket", "truth_post", "should_disagree", F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("n"))
+    posts, chars = F.size("user_posts"), F.char_length(F.array_join("user_posts", ""))
+    return t.groupBy("bucket", "truth_post", "should_disagree", F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("n"), F.sum(posts).alias("posts"), F.sum(chars).alias("chars"))
 
 
-CSV_SQL = """SELECT bucket, 'Bedok' AS truth_post, should_disagree, error, count(*) AS n FROM (SELECT lang AS bucket, CASE WHEN doc_id%3=0 THEN true WHEN doc_id%3=1 THEN false END AS should_disagree,
-  coalesce(CASE WHEN id IS NULL THEN 'id is missing' WHEN post_n>2000 THEN 'post is too long' WHEN post IS NULL AND doc_id%4<>0 THEN 'neither post nor timeline' WHEN count(*) OVER (PARTITION BY id)>1 THEN 'id is repeated' END, '') AS error
-  FROM (SELECT *, CASE WHEN doc_id%50<>0 THEN doc_id%700 END AS id, CASE WHEN doc_id%10<>0 THEN text END AS post, CASE WHEN doc_id%10<>0 THEN length(trim(text, ' ')) END AS post_n FROM documents)) GROUP BY ALL"""
+CSV_SQL = """SELECT bucket, 'Bedok' AS truth_post, should_disagree, error, count(*) AS n, sum(posts)::BIGINT AS posts, sum(chars)::BIGINT AS chars FROM (
+  SELECT lang AS bucket, CASE WHEN doc_id%3=0 THEN true WHEN doc_id%3=1 THEN false END AS should_disagree, posts, chars,
+    coalesce(CASE WHEN id IS NULL THEN 'id is missing' WHEN length(post)>2000 THEN 'post is too long' WHEN posts>50 THEN 'too many posts' WHEN chars>20000 THEN 'timeline is too long'
+      WHEN post IS NULL AND posts=0 THEN 'neither post nor timeline' WHEN count(*) OVER (PARTITION BY id)>1 THEN 'id is repeated' END, '') AS error
+  FROM (SELECT *, len(tl) AS posts, length(array_to_string(tl, '')) AS chars FROM (SELECT *, CASE WHEN doc_id%50<>0 THEN doc_id%700 END AS id, CASE WHEN doc_id%10<>0 THEN nullif(trim(text, ' '), '') END AS post,
+    list_filter(list_transform(string_split(CASE WHEN doc_id%4=0 THEN coalesce(replace(text, '. ', '| |'), '') ELSE '' END, '|'), lambda x: trim(x, ' ')), lambda x: x<>'') AS tl FROM documents))) GROUP BY ALL"""
 
 
 def duplicate_ids(spark, sf_dir):
