@@ -317,7 +317,7 @@ def test_languages_in_blocks_score_like_all_at_once(spark, monkeypatch):
     rows += [(500, None, "en", "h"), (501, "12", "de", None), (502, "der hund " * 3000, None, None)]
     t = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
     once = {x.doc_id: x for x in language.identify(language.documents_evidence(t)).collect()}
-    monkeypatch.setattr(language, "MODEL", 1500)
+    monkeypatch.setattr(language, "MODEL", 300)
     assert len(language.fit(language.documents_evidence(t).filter("declared is not null"))[2]) > 2
     blocks = {x.doc_id: x for x in language.identify(language.documents_evidence(t)).collect()}
     assert once.keys() == blocks.keys()
