@@ -43,20 +43,24 @@ def geodesic_circle(lat, lon, km, segments: int = 72) -> Column:
 
 
 def great_circle(lat1, lon1, lat2, lon2, segments: int = 64) -> Column:
-    """segments + 1 points along the shorter arc; two points if the ends coincide."""
+    """segments + 1 points along the shorter arc; two points if the ends coincide.
+
+    Spark evaluates what a lambda holds anew for every element, and a name used twice twice.  So whatever is the same for the
+    whole arc is one struct in an array of one, and points are made in steps, each of which reads the last one's fields.
+    """
     p1, l1, p2, l2 = (F.radians(_c(x)) for x in (lat1, lon1, lat2, lon2))
     d = haversine_km(lat1, lon1, lat2, lon2) / RADIUS_KM
-    xyz = lambda p, l: (F.cos(p) * F.cos(l), F.cos(p) * F.sin(l), F.sin(p))  # noqa: E731, E741
-    a, b = xyz(p1, l1), xyz(p2, l2)
+    xyz = lambda n, p, l: [(F.cos(p) * F.cos(l)).alias(f"x{n}"), (F.cos(p) * F.sin(l)).alias(f"y{n}"), F.sin(p).alias(f"z{n}")]  # noqa: E731, E741
+    ends = F.array(F.struct(_c(lat1).alias("lat"), _c(lon1).alias("lon")), F.struct(_c(lat2).alias("lat"), _c(lon2).alias("lon")))
 
-    def point(i):
-        f = i / segments
-        u, v = F.sin((1 - f) * d) / F.sin(d), F.sin(f * d) / F.sin(d)
-        x, y, z = (u * s + v * t for s, t in zip(a, b))
-        return F.struct(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"))
+    def points(arc):
+        share = lambda f: F.sin(f * arc["d"]) / arc["sin"]
+        at = F.transform(F.sequence(F.lit(0), F.lit(segments)), lambda i: F.struct(share(1 - i / segments).alias("u"), share(i / segments).alias("v")))
+        at = F.transform(at, lambda w: F.struct(*((w["u"] * arc[f"{c}1"] + w["v"] * arc[f"{c}2"]).alias(c) for c in "xyz")))
+        return F.transform(at, lambda r: F.struct(F.degrees(F.atan2(r["z"], F.sqrt(r["x"] * r["x"] + r["y"] * r["y"]))).alias("lat"), F.degrees(F.atan2(r["y"], r["x"])).alias("lon")))
 
-    ends = F.array(F.struct(_c(lat1).alias("lat"), _c(lon1).alias("lon")), F.struct(_c(lat2).alias("lat"), _c(lon2).alias("lon")))
-    return F.when(d < 1e-12, ends).otherwise(F.transform(F.sequence(F.lit(0), F.lit(segments)), point))
+    whole = F.transform(F.array(d), lambda d: F.struct(d.alias("d"), F.sin(d).alias("sin"), *xyz(1, p1, l1), *xyz(2, p2, l2)))
+    return F.get(F.transform(whole, lambda arc: F.when(arc["d"] < 1e-12, ends).otherwise(points(arc))), F.lit(0))
 
 
 def within_box(lat, lon, box: str = "") -> Column:

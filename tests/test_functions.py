@@ -27,6 +27,20 @@ def test_arcs_rings_and_wrapping(spark):
     assert r.w == [190, 170, -10, 349, 350, -9]
 
 
+def test_an_arc_measures_its_length_once(spark):
+    """The distance is no part of what is made for each point, and points are those of the formula."""
+    ends = (10.0, 20.0, -35.0, 170.0)
+    t = spark.createDataFrame([ends], "a double, b double, c double, d double").select(geo.great_circle("a", "b", "c", "d").alias("arc"))
+    plan = t._jdf.queryExecution().analyzed().toString()
+    assert plan.count("ASIN(") == 1 and plan.count("ATAN2(") == 2
+    p, l, q, m = map(math.radians, ends)  # noqa: E741
+    d = math.acos(math.sin(p) * math.sin(q) + math.cos(p) * math.cos(q) * math.cos(m - l))
+    for i, at in enumerate(t.first().arc):
+        u, v = math.sin((1 - i / 64) * d), math.sin(i / 64 * d)
+        x, y, z = u * math.cos(p) * math.cos(l) + v * math.cos(q) * math.cos(m), u * math.cos(p) * math.sin(l) + v * math.cos(q) * math.sin(m), u * math.sin(p) + v * math.sin(q)
+        assert (at.lat, at.lon) == pytest.approx((math.degrees(math.atan2(z, math.hypot(x, y))), math.degrees(math.atan2(y, x))))
+
+
 def test_coordinates(spark):
     f = lambda a, b: geo.coordinate_faults(F.lit(a).cast("double"), F.lit(b).cast("double"))
     r = one(spark, a=f(90.0, -180.0), b=f(91.0, 181.0), c=f(float("nan"), float("inf")), d=f(None, None))
