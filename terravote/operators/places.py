@@ -60,6 +60,20 @@ def pairs_within(places: DataFrame, km: float) -> DataFrame:
     return t.filter(F.col("km") <= km).select("a_ord", "a", "b_ord", "b", "km")
 
 
+def linked_points(places: DataFrame, km: float) -> DataFrame:
+    """(a_ord, a, b_ord, b, km, same_point): pairs_within where many places may share a point.
+
+    Places of one point are a class, known by its first place.  Pairs are those of classes; every further place has one row
+    more, with the first of its point.  All pairs of places follow from these by a join, but copies aren't multiplied.
+    """
+    p = places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    first = written(p.groupBy("lat", "lon").agg(F.min("ord").alias("ord"), F.min_by("name", "ord").alias("name")))
+    own = first.select("lat", "lon", F.col("ord").alias("a_ord"), F.col("name").alias("a"))
+    more = p.join(checked(own), ["lat", "lon"]).filter(F.col("ord") > F.col("a_ord"))
+    more = more.select("a_ord", "a", F.col("ord").alias("b_ord"), F.col("name").alias("b"), F.lit(0.0).alias("km"), F.lit(True).alias("same_point"))
+    return pairs_within(first, km).withColumn("same_point", F.lit(False)).unionByName(more)
+
+
 #: Places of a catalogue whose tree goes to every task; blocks of a larger one, of which the tree is made then.
 TREE, BLOCKS = 200_000, 50_000
 NEAR = "array<struct<p_ord:int,p_name:string,p_lat:double,p_lon:double>>"

@@ -171,6 +171,22 @@ def test_pairs_by_cells_match_all_pairs(spark):
     assert {(r.a_ord, r.b_ord) for r in places.pairs_within(t, 161.0).collect()} == want and len(want) > 20
 
 
+def test_copies_of_a_point_are_not_paired_with_each_other(spark):
+    rng = random.Random(5)
+    spots = [(rng.uniform(-3, 3), rng.uniform(-3, 3)) for _ in range(30)] + [(0.0, 180.0), (0.0, -180.0), (None, 1.0)]
+    t = spark.createDataFrame([(i, f"p{i}", *spots[i * 7 % 33]) for i in range(330)], "ord int, name string, lat double, lon double").repartition(3)
+    got = [(r.a_ord, r.a, r.b_ord, r.b, r.km, r.same_point) for r in places.linked_points(t, 161.0).collect()]
+    assert sum(r[5] for r in got) == 320 - 32 and len(got) == len(set(got)) < 320 * 3 and all(r[1] == f"p{r[0]}" and r[3] == f"p{r[2]}" for r in got)
+    # All pairs of places follow: members of two classes that are linked, and two members of one class.
+    members = {a: {a} for a in range(33) if spots[a * 7 % 33][0] is not None}
+    for a, _, b, _, _, same in got:
+        if same:
+            members[a].add(b)
+    whole = {(min(x, y), max(x, y)) for a, _, b, _, _, same in got if not same for x in members[a] for y in members[b]}
+    whole |= {(x, y) for m in members.values() for x in m for y in m if x < y}
+    assert whole == {(r.a_ord, r.b_ord) for r in places.pairs_within(t, 161.0).collect()}
+
+
 def test_regions_and_names(spark):
     c = spark.createDataFrame([("x", 1.3, 103.8, "West Kalimantan, Indonesia"), ("y", 51.5, 0.0, "uk"), ("z", 0.0, 0.0, "nowhere")], "name string, lat double, lon double, region string")
     assert {(r.name, r.country, r.inside) for r in places.region_faults(c, country_names(spark), country_boxes(spark)).collect()} == {("x", "Indonesia", True), ("y", "United Kingdom", True)}
