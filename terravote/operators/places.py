@@ -135,7 +135,7 @@ def nearest_place(points: DataFrame, places: DataFrame, key: str = "row_id", exc
 
 
 def _blocks(p: DataFrame, most: int) -> DataFrame:
-    """p with block, a cell of at most about ``most`` places: dense cells are cut further, down to cells of 6 km."""
+    """p with block, at most about ``most`` places of a cell: dense cells are cut further, down to 6 km, then dealt out."""
     x, y, z = F.cos(F.radians("p_lat")) * F.cos(F.radians("p_lon")), F.cos(F.radians("p_lat")) * F.sin(F.radians("p_lon")), F.sin(F.radians("p_lat"))
     p = p.withColumns({"__x": x, "__y": y, "__z": z})
     cell = lambda c, level: F.floor((F.col(c) + 1) / 2 * 2**level).cast("string")
@@ -145,7 +145,11 @@ def _blocks(p: DataFrame, most: int) -> DataFrame:
     # The cells that are too full are a tree from the top; a place's block is the cell below the last of these it is in.
     full = p.select("p_ord", "p_name", F.explode("__cells").alias("__cell")).join(checked(counted), F.col("__cell") == F.col("__full")).groupBy("p_ord", "p_name").agg(F.max(level).alias("__level"))
     t = p.join(full, ["p_ord", "p_name"], "left")
-    return t.withColumn("block", F.element_at("__cells", F.least(F.coalesce("__level", F.lit(-1)) + 2, F.lit(DEPTH + 1)))).drop("__cells", "__level")
+    t = t.withColumn("block", F.element_at("__cells", F.least(F.coalesce("__level", F.lit(-1)) + 2, F.lit(DEPTH + 1)))).drop("__cells", "__level")
+    # The lowest cells may still hold more: their places are dealt to several blocks of the same cell.
+    over = t.groupBy("block").count().filter(F.col("count") > most).select("block", F.ceil(F.col("count") / most).alias("__parts"))
+    part = F.pmod(F.xxhash64("p_ord", "p_name"), F.col("__parts")).cast("string")
+    return t.join(checked(over), "block", "left").withColumn("block", F.concat_ws("/", "block", part)).drop("__parts")
 
 
 def nearest_in_cells(points: DataFrame, places: DataFrame, key: str = "row_id", exclude: str | None = None, blocks: int = BLOCKS, size: int = 256) -> DataFrame:
@@ -153,9 +157,13 @@ def nearest_in_cells(points: DataFrame, places: DataFrame, key: str = "row_id",
 
     Places are dealt to cells of about ``size`` of them (more, where they would be more than ``blocks`` cells); a cell is known by its box and by two of its places, of different names.  The tree
     of these goes to every task and finds for each point the one block or few whose boxes are not farther off than the
-    nearest place named; only these are joined, by an equality on the block.
+    nearest place named; only these are joined, by an equality on the block.  A block is one row with a list of its places,
+    and the best of a list is found within the row: a point isn't multiplied by places, and only one that meets several
+    blocks is grouped.
     """
     p = _located(places)
+    # Of places at one spot (and of one name, where names can be left out) only the first can be an answer.
+    p = p.groupBy("p_lat", "p_lon", *(["p_name"] if exclude else [])).agg(F.min(F.struct("p_ord", "p_name")).alias("__first")).select("__first.p_ord", "__first.p_name", "p_lat", "p_lon")
     n = p.count()
     p = written(_blocks(p, max(size, -(-4 * n // blocks))))
     axes = ("__x", "__y", "__z")
@@ -174,14 +182,37 @@ def nearest_in_cells(points: DataFrame, places: DataFrame, key: str = "row_id",
         tree = CellTree(at, lo, hi, [numbers[r[1]] for r in rows])
         return _Boxes(tree), numbers, lambda i: rows[i][0]
 
-    asked = points.withColumn("__i", F.monotonically_increasing_id())
-    met = written(_candidates(asked, tree_of, "__blocks", "array<string>", exclude))
-    pairs = met.select("__i", "lat", "lon", *([F.col(exclude).alias("__without")] if exclude else []), F.explode(F.array_distinct("__blocks")).alias("block"))
-    t = pairs.join(p.select("block", "p_ord", "p_name", "p_lat", "p_lon"), "block")
+    met = written(_candidates(points.withColumn("__i", F.monotonically_increasing_id()), tree_of, "__blocks", "array<string>", exclude).withColumn("__blocks", F.array_distinct("__blocks")))
+    lists = p.groupBy("block").agg(F.collect_list(F.struct(*axes, "p_ord", "p_name", "p_lat", "p_lon")).alias("__list"))
+    lists = F.broadcast(lists) if n <= TREE else lists
+    one, many = F.size("__blocks") <= 1, met.filter(F.size("__blocks") > 1)
+    single = _best_of_list(met.filter(one).withColumn("block", F.get("__blocks", F.lit(0))).join(lists, "block", "left"), exclude)
+    each = many.select("__i", "lat", "lon", *([exclude] if exclude and exclude not in ("lat", "lon") else []), F.explode("__blocks").alias("block")).join(lists, "block")
+    # Dealt by the key first: else each task would sort all that it has read before it sends anything.
+    best = _best_of_list(each, exclude).select("__i", "__best").repartition("__i").groupBy("__i").agg(F.min("__best").alias("__best"))
+    columns = [*points.columns, "__best.place", "__best.km"]
+    return single.select(columns).unionByName(many.join(best, "__i", "left").select(columns))
+
+
+#: By how much the cosines of two angles may differ by rounding, many times over: about 3 m at a short distance.
+COSINE_SLACK = 1e-13
+
+
+def _best_of_list(t: DataFrame, exclude: str | None) -> DataFrame:
+    """t (lat, lon, __list) with __best, (km, p_ord, place) of the nearest of the list.
+
+    Cosines of the angles, a few products each, leave those few that are nearest up to rounding; the great-circle formula
+    decides among these.  What is the same for a whole list is passed in an array of one, or it would be made for each place.
+    """
     if exclude:
-        t = t.filter(~F.coalesce(F.col("p_name") == F.col("__without"), F.lit(False)))
-    best = t.groupBy("__i").agg(F.min(F.struct(haversine_km("lat", "lon", "p_lat", "p_lon").alias("km"), "p_ord", F.col("p_name").alias("place"))).alias("__best"))
-    return met.join(best, "__i", "left").select(*points.columns, "__best.place", "__best.km")
+        t = t.withColumn("__list", F.filter("__list", lambda p: ~F.coalesce(p["p_name"] == F.col(exclude), F.lit(False))))
+    p, l = F.radians(F.col("lat").cast("double")), F.radians(F.col("lon").cast("double"))  # noqa: E741
+    at = F.array(F.struct((F.cos(p) * F.cos(l)).alias("__x"), (F.cos(p) * F.sin(l)).alias("__y"), F.sin(p).alias("__z")))
+    t = t.withColumn("__cosines", F.get(F.transform(at, lambda q: F.transform("__list", lambda x: x["__x"] * q["__x"] + x["__y"] * q["__y"] + x["__z"] * q["__z"])), F.lit(0)))
+    near = lambda top: F.filter("__list", lambda x, i: F.get("__cosines", i) >= top - COSINE_SLACK)
+    far = lambda x: F.struct(haversine_km(F.col("lat"), F.col("lon"), x["p_lat"], x["p_lon"]).alias("km"), x["p_ord"].alias("p_ord"), x["p_name"].alias("place"))
+    best = F.get(F.transform(F.array(F.array_max("__cosines")), lambda top: F.array_min(F.transform(near(top), far))), F.lit(0))
+    return t.withColumn("__best", best)
 
 
 class _Boxes:

@@ -151,6 +151,19 @@ def test_nearest_matches_all_pairs(spark):
     assert places.nearest_place(q, p.limit(0)).filter("place is not null").count() == 0 == places.nearest_in_cells(q, p.limit(0)).filter("place is not null").count()
 
 
+def test_a_crowded_spot_is_several_blocks(spark):
+    """Places of one lowest cell are dealt to lists of bounded length, copies of a place count once, and points aren't multiplied."""
+    rng = random.Random(3)
+    spot = lambda: (48.1 + rng.uniform(0, 0.004), 11.5 + rng.uniform(0, 0.004))
+    table = [(i, f"p{i}", *spot()) for i in range(600)] + [(1000 + i, f"same{i}", 48.1, 11.5) for i in range(300)] + [(2000, "far", -20.0, 100.0)]
+    p = spark.createDataFrame(table, "ord int, name string, lat double, lon double").repartition(3)
+    q = spark.createDataFrame([(f"r{i}", *spot()) for i in range(60)] + [("at", 48.1, 11.5), ("off", -21.0, 99.0), ("none", None, 1.0)], "row_id string, lat double, lon double")
+    want = {r.row_id: (r.place, r.km) for r in places.nearest_place(q, p).collect()}
+    assert {r.row_id: (r.place, r.km) for r in places.nearest_in_cells(q, p, size=16).collect()} == want and want["at"] == ("same0", 0.0) and want["off"][0] == "far"
+    sizes = [r["count"] for r in places._blocks(places._located(p.filter("ord < 1000")), 16).groupBy("block").count().collect()]
+    assert sum(sizes) == 600 and max(sizes) <= 40 and len(sizes) >= 30
+
+
 def test_the_tree_tries_few_places(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(0, 1, (20_000, 3))
