@@ -1,7 +1,8 @@
 """Text and name functions.
 
 Native expressions, but for Unicode normal forms, case folding, HTML references, scripts by character name and balanced
-braces, which Spark SQL lacks: these are Arrow-batched pandas UDFs.
+braces, which Spark SQL lacks: these are UDFs on Arrow arrays.  Workers need no pandas for them, and a key is one UDF, as every
+further one in a row of steps has a worker process of its own for each task.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ import json
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
 
 # Letters of other scripts and the Latin letters that they look like.
@@ -45,9 +46,14 @@ def match_count(text, term) -> Column:
     return F.when(F.char_length(term) == 0, 0).when(is_word_term(term), words).otherwise(anywhere.cast("int")).cast("int")
 
 
-@pandas_udf(StringType())
-def unescape_html(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+def _each(values: pa.Array, function) -> pa.Array:
+    """The function's strings for an array's strings; null for null."""
+    return pa.array((function(v.as_py()) if v.is_valid else None for v in values), pa.string())
+
+
+@arrow_udf(StringType())
+def unescape_html(text: pa.Array) -> pa.Array:
+    return _each(text, html.unescape)
 
 
 def clean_text(text) -> Column:
@@ -65,19 +71,32 @@ def _tidy(t: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[\t\n\r]", " "), r"\p{Cc}", ""), r"\s+", " "))
 
 
-@pandas_udf(StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+@arrow_udf(StringType())
+def _nfc(text: pa.Array) -> pa.Array:
+    return _each(text, lambda s: unicodedata.normalize("NFC", s))
+
+
+@arrow_udf(StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return _each(text, lambda s: unicodedata.normalize("NFKC", s))
+
+
+_BREAK, _CONTROL, _BLANKS = re.compile(r"[\t\n\r]"), re.compile(r"[\x00-\x1f\x7f-\x9f]"), re.compile(" +")
+
+
+def folded(name: str, form: str = "NFC") -> str:
+    """A name in a normal form, tidied as by ``_tidy``, with its case folded."""
+    return _BLANKS.sub(" ", _CONTROL.sub("", _BREAK.sub(" ", unicodedata.normalize(form, name)))).strip(" ").casefold()
 
 
-@pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+@arrow_udf(StringType())
+def _name_key(name: pa.Array) -> pa.Array:
+    return _each(name, folded)
 
 
-@pandas_udf(StringType())
-def _fold(text: pd.Series) -> pd.Series:
-    return text.map(str.casefold, na_action="ignore")
+@arrow_udf(StringType())
+def _compatible_key(name: pa.Array) -> pa.Array:
+    return _each(name, lambda s: folded(s, "NFKC"))
 
 
 def normalise_text(text) -> Column:
@@ -91,12 +110,12 @@ def normalise_place_name(name) -> Column:
 
 def name_key(name) -> Column:
     """What two spellings of a name share."""
-    return _fold(normalise_text(name))
+    return _name_key(_c(name))
 
 
 def place_name_key(name) -> Column:
     """What two look-alike spellings share."""
-    return F.translate(_fold(normalise_place_name(name)), *LOOKALIKES)
+    return F.translate(_compatible_key(_c(name)), *LOOKALIKES)
 
 
 def place_id(key) -> Column:
@@ -125,10 +144,11 @@ def _scripts(word: str) -> set[str]:
     return {TOGETHER.get(f, f) for f in firsts if f and f not in NO_SCRIPT}
 
 
-@pandas_udf(ArrayType(StringType()))
-def mixed_script_words(name: pd.Series) -> pd.Series:
+@arrow_udf(ArrayType(StringType()))
+def mixed_script_words(name: pa.Array) -> pa.Array:
     """The words whose letters come from more than one script, each once."""
-    return name.map(lambda s: None if s is None else list(dict.fromkeys(w for w in s.split() if len(_scripts(w)) > 1)))
+    words = (None if s is None else list(dict.fromkeys(w for w in s.split() if len(_scripts(w)) > 1)) for s in name.to_pylist())
+    return pa.array(words, pa.list_(pa.string()))
 
 
 def salted_hash(salt: str, value) -> Column:
@@ -167,9 +187,9 @@ def json_object(reply: str | None) -> str | None:
     return None
 
 
-@pandas_udf(StringType())
-def extract_json(reply: pd.Series) -> pd.Series:
-    return reply.map(json_object)
+@arrow_udf(StringType())
+def extract_json(reply: pa.Array) -> pa.Array:
+    return pa.array((json_object(r.as_py()) for r in reply), pa.string())
 
 
 def confidence(value) -> Column:

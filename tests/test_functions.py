@@ -27,6 +27,20 @@ def test_arcs_rings_and_wrapping(spark):
     assert r.w == [190, 170, -10, 349, 350, -9]
 
 
+def test_a_key_is_one_function_and_the_catalogue_none(spark):
+    """Each Python function of a row of steps has a worker process of its own in every task."""
+    from terravote.sources.catalogue import builtin_places
+
+    plan = lambda t: t._jdf.queryExecution().executedPlan().toString()
+    names = spark.createDataFrame([(" \tSão\x07  PAULO\n",), ("Straße",), ("ﬁn",), (None,)], "n string")
+    for key, want in ((text.name_key, ["são paulo", "strasse", "fin", None]), (text.place_name_key, ["são paulo", "strasse", "fin", None])):
+        t = names.select(key("n").alias("k"))
+        assert plan(t).count("ArrowEvalPython") == 1 and [r.k for r in t.collect()] == want
+    built = builtin_places(spark)
+    assert "Python" not in plan(built)
+    assert built.filter((F.col("name_key") != text.name_key("name")) | (F.col("place_id") != text.place_id(text.name_key("name")))).count() == 0
+
+
 def test_an_arc_measures_its_length_once(spark):
     """The distance is no part of what is made for each point, and points are those of the formula."""
     ends = (10.0, 20.0, -35.0, 170.0)
