@@ -22,9 +22,14 @@ def with_text(gold: DataFrame, texts: DataFrame) -> DataFrame:
 
 def post_rows(records: DataFrame, places: DataFrame) -> DataFrame:
     """(tweet_id, post, truth, bucket, km): intl within 50 km of a place that the text names one of, hard-sem if it names
-    none, else ooc with the city of the record's slug, unless that is blank or a catalogue place."""
-    near = nearest_place(records.select(F.col("tweet_id").alias("row_id"), "text", "tweet_city", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), places)
-    texts = near.select("row_id", F.lit("post").alias("level"), "text")
+    none, else ooc with the city of the record's slug, unless that is blank or a catalogue place.
+
+    Records are written first, so that what cleans, what places and what matches them are Python stages of their own: in
+    one stage each would hold a worker process for every running task.
+    """
+    own = written(records.select(F.col("tweet_id").alias("row_id"), "text", "tweet_city", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))
+    near = nearest_place(own, places)
+    texts = own.select("row_id", F.lit("post").alias("level"), "text")
     named = matches(texts, terms(places)).select("row_id").distinct().withColumn("named", F.lit(True))
     t = near.join(named, "row_id", "left")
     inside = F.col("km") <= INSIDE_KM

@@ -224,6 +224,15 @@ def test_benchmark_rows(spark):
     assert users == {"u": ("disagree", "Tokyo", "away", ["first"]), "v": ("userhome", "Singapore", "home", ["again"])}
 
 
+def test_posts_take_one_python_stage_at_a_time(spark):
+    """Cleaning, the nearest place and the matching of terms each read a table, and none runs twice."""
+    gold = spark.createDataFrame([("1", "x-1-y", 1.3521, 103.8198)], "tweet_id string, tweet_city string, latitude double, longitude double")
+    t = benchmark.post_rows(benchmark.with_text(gold, spark.createDataFrame([("1", "Hi &amp; bye from Singapore", 0)], "tweet_id string, text string, line long")), builtin_places(spark))
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "unescape_html" not in plan
+    assert [(r.post, r.truth, r.bucket) for r in t.collect()] == [("Hi & bye from Singapore", "Singapore", "intl")]
+
+
 def test_csv_and_json_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿id,post ,user_posts,ground_truth_city\r\n x1 ,\"two\nlines \"\"q\"\"\",a| |b, Bedok \r\n,p,,\r\n".encode())
     r = rules.clean_inputs(readers.evaluation_csv(spark, str(tmp_path / "a.csv"))).collect()
