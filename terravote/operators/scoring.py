@@ -174,18 +174,43 @@ def prompts(texts: DataFrame, places: DataFrame, k: int = 5, closing: str = "")
     return texts.join(F.broadcast(names), F.lit(True)).withColumn("prompt", ask).drop("names")
 
 
-def embed(texts: DataFrame, encode: Callable[[list[str]], list[list[float]]], column: str = "text") -> DataFrame:
-    """Adds vector by a caller's encoder, a batch of texts at a time; a null text has a null vector."""
-    kept = texts.columns
+#: Most texts, and bytes of texts, that an encoder is given at once; one longer text is given alone.
+EMBED_TEXTS, EMBED_BYTES = 1024, 2**21
+
+
+def _pieces(batch, column: str):
+    """An Arrow batch in slices of at most EMBED_TEXTS rows and EMBED_BYTES of text; a slice has a row at least."""
+    import pyarrow.compute as pc
+
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0)):
+        n = n.as_py()
+        if i > start and (i - start == EMBED_TEXTS or size + n > EMBED_BYTES):
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
+def embed(texts: DataFrame, encode: Callable[[list[str]], list[list[float]]], column: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Adds vector by a caller's encoder, a bounded batch of texts at a time; a null text has a null vector.
+
+    ``keep``: the columns to give back, all unless named; what isn't needed any more doesn't come back from the workers.
+    """
+    kept, kinds = texts.columns if keep is None else keep, dict(texts.dtypes)
 
     def run(batches):
-        for pdf in batches:
-            some = pdf[column].notna()
-            vectors = iter(encode(pdf.loc[some, column].tolist()))
-            pdf["vector"] = [next(vectors) if s else None for s in some]
-            yield pdf
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in _pieces(batch, column):
+                some = part.column(column)
+                vectors = iter(encode(some.drop_null().to_pylist()))
+                found = pa.array((next(vectors) if v else None for v in some.is_valid().to_pylist()), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), found], [*kept, "vector"])
 
-    return texts.mapInPandas(run, ", ".join([*(f"`{c}` {t}" for c, t in texts.dtypes), "vector array<double>"])).select(*kept, "vector")
+    return texts.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "vector array<double>"]))
 
 
 def stored_vectors(texts: DataFrame, encode: Callable[[list[str]], list[list[float]]], path: str, model: str, template: str = "") -> DataFrame:
@@ -206,7 +231,7 @@ def stored_vectors(texts: DataFrame, encode: Callable[[list[str]], list[list[flo
         wanted = wanted.join(own(spark.read.schema(kind).parquet(path)), "digest", "left_anti")
     wanted = written(wanted)
     if wanted.limit(1).count():
-        embed(wanted, encode).select(F.lit(model).alias("model"), F.lit(template).alias("template"), "digest", "vector").write.mode("append").parquet(path)
+        embed(wanted, encode, keep=["digest"]).select(F.lit(model).alias("model"), F.lit(template).alias("template"), "digest", "vector").write.mode("append").parquet(path)
         found = True
     if not found:
         return keyed.drop("__digest").withColumn("vector", F.lit(None).cast("array<double>"))

@@ -233,6 +233,18 @@ def test_posts_take_one_python_stage_at_a_time(spark):
     assert [(r.post, r.truth, r.bucket) for r in t.collect()] == [("Hi & bye from Singapore", "Singapore", "intl")]
 
 
+def test_encoders_get_bounded_batches(spark):
+    sizes = [5] * 2500 + [3_000_000, 7] + [100_000] * 60
+    t = spark.createDataFrame([(i, None if i % 50 == 9 else "é" + "x" * (n - 2)) for i, n in enumerate(sizes)], "k int, text string").coalesce(1)
+    told = lambda batch: [[len(batch), sum(len(x.encode()) for x in batch), len(x)] for x in batch]
+    got = {r.k: r.vector for r in scoring.embed(t, told).select("k", "vector").collect()}
+    assert len(got) == len(sizes) and all((v is None) == (k % 50 == 9) for k, v in got.items())
+    some = [v for v in got.values() if v]
+    assert max(v[0] for v in some) <= 1024 and all(v[1] <= 2**21 or v[0] == 1 for v in some) and len({tuple(v[:2]) for v in some}) > 5
+    assert all(v is None or v[2] == sizes[k] - 1 for k, v in got.items())
+    assert scoring.embed(t.limit(9), told, keep=["k"]).columns == ["k", "vector"] and scoring.embed(t.limit(0), told).columns == ["k", "text", "vector"]
+
+
 def test_csv_and_json_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿id,post ,user_posts,ground_truth_city\r\n x1 ,\"two\nlines \"\"q\"\"\",a| |b, Bedok \r\n,p,,\r\n".encode())
     r = rules.clean_inputs(readers.evaluation_csv(spark, str(tmp_path / "a.csv"))).collect()
