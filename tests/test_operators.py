@@ -245,6 +245,19 @@ def test_encoders_get_bounded_batches(spark):
     assert scoring.embed(t.limit(9), told, keep=["k"]).columns == ["k", "vector"] and scoring.embed(t.limit(0), told).columns == ["k", "text", "vector"]
 
 
+def test_the_pool_takes_one_python_stage_at_a_time(spark, tmp_path):
+    from terravote.plans import reporting
+
+    spark.range(20).select(F.col("id").alias("c_custkey"), F.concat(F.lit("c"), "id").alias("c_name")).write.parquet(str(tmp_path / "customer.parquet"))
+    turns = [(c, i, "user", f"turn {i}") for c in range(6) for i in range(3)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    t = reporting.benchmark_pool(spark, str(tmp_path))
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    # Of the posts the nearest place and the terms, each over a written table; of the accounts their homes and tweets are written.
+    assert plan.count("MapInArrow") <= 3 and "unescape_html" not in plan and "_name_key" not in plan and "_nfc" not in plan
+    assert sum(r.n for r in t.collect()) == 26
+
+
 def test_csv_and_json_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿id,post ,user_posts,ground_truth_city\r\n x1 ,\"two\nlines \"\"q\"\"\",a| |b, Bedok \r\n,p,,\r\n".encode())
     r = rules.clean_inputs(readers.evaluation_csv(spark, str(tmp_path / "a.csv"))).collect()
