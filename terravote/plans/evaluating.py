@@ -10,7 +10,7 @@ from terravote.plans import corpus as C
 from terravote.plans.corpus import km_sql, sql, wilson_sql
 from terravote.plans.fusing import flags
 from terravote.sources.catalogue import builtin_places, prices
-from terravote.sources.shared import written
+from terravote.sources.shared import fixed_rows, written
 
 R = lambda c, a=None: F.round(c, 6).alias(a or c)
 GAZETTEERS = ["gazetteer_post", "gazetteer_user"]
@@ -64,7 +64,7 @@ def bucket_accuracy(spark, sf_dir):
 
 
 def stratified(spark, sf_dir):
-    m = evaluate.engine_metrics(evaluate.in_scope(points(spark, sf_dir), spark.createDataFrame(SCOPE, "level string, bucket string")))
+    m = evaluate.engine_metrics(evaluate.in_scope(points(spark, sf_dir), fixed_rows(spark, SCOPE, "level string, bucket string")))
     return m.select("engine", "n", R("acc_at_1"))
 
 

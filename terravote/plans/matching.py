@@ -12,7 +12,7 @@ from terravote.operators import runner, scoring, toponyms
 from terravote.plans import corpus as C
 from terravote.plans.corpus import sql
 from terravote.sources.catalogue import builtin_places, prices
-from terravote.sources.shared import shared_dir
+from terravote.sources.shared import fixed_rows, shared_dir
 
 
 def _lists(df, *keys):
@@ -37,7 +37,7 @@ def _hits(kind):
 
 def _profiles(spark):
     rows = [("Singapore", ["Lion City", "Singapore", " "], ["Merlion", "the of"]), ("Tokyo", ["Edo"], ["and the"]), ("London", [], ["with"])]
-    return spark.createDataFrame(rows, "name string, aliases array<string>, landmarks array<string>")
+    return fixed_rows(spark, rows, "name string, aliases array<string>, landmarks array<string>")
 
 
 def landmarks(spark, sf_dir):

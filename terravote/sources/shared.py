@@ -1,4 +1,4 @@
-"""The folder that driver and executors share, and the check before a broadcast."""
+"""The folder that driver and executors share, the check before a broadcast, and small tables of fixed rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +39,15 @@ BROADCAST_ROWS = 200_000
 def checked(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """small, to be broadcast if it has been counted to have no more than ``limit`` rows; else as it is."""
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+
+
+def fixed_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a table that is part of the plan.
+
+    Made from a list, it would be a job of Python workers wherever it is read, who keep their memory beside those of the
+    query's own functions; from Arrow, the driver's JVM has the rows.
+    """
+    import pyarrow as pa
+
+    kind = StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(kind.names, r)) for r in rows], to_arrow_schema(kind)), kind)

@@ -258,6 +258,19 @@ def test_the_pool_takes_one_python_stage_at_a_time(spark, tmp_path):
     assert sum(r.n for r in t.collect()) == 26
 
 
+def test_fixed_rows_are_part_of_the_plan(spark):
+    """Neither the catalogue nor the tables beside it are made by Python workers: those would stay beside a query's own."""
+    from terravote.sources.catalogue import PLACES, prices
+
+    p = builtin_places(spark)
+    for t in (p, country_boxes(spark), country_names(spark), prices(spark), roster(spark, [("a", "post", False, 1.0)]), roster(spark, [])):
+        plan = t._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.startswith("LocalRelation") and all(f.nullable for f in t.schema)
+    assert [(r.ord, r.name, r.lat, r.lon, r.feature_type) for r in p.orderBy("ord").collect()] == [(i, *x) for i, x in enumerate(PLACES)]
+    assert [tuple(r) for r in roster(spark, [("a", "post", False, 1.0), ("b", "user", True, 0.5)]).orderBy("ord").collect()] == [(0, "a", "post", False, 1.0), (1, "b", "user", True, 0.5)]
+    assert roster(spark, []).count() == 0 and dict(p.dtypes)["ord"] == "int"
+
+
 def test_csv_and_json_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿id,post ,user_posts,ground_truth_city\r\n x1 ,\"two\nlines \"\"q\"\"\",a| |b, Bedok \r\n,p,,\r\n".encode())
     r = rules.clean_inputs(readers.evaluation_csv(spark, str(tmp_path / "a.csv"))).collect()
