@@ -41,23 +41,56 @@ def _cell(lat: Column, lon: Column, size: float) -> list[Column]:
     return [F.floor(lat / size).cast("int").alias("cy"), F.floor(lon / size).cast("int").alias("cx")]
 
 
-def pairs_within(places: DataFrame, km: float) -> DataFrame:
-    """(a_ord, a, b_ord, b, km) of all pairs of places at most km apart, a before b.
+#: About as many places of one point make a block; two blocks' pairs are made within one row.
+MEMBERS = 256
+
+
+def pairs_within(places: DataFrame, km: float, digits: int | None = None) -> DataFrame:
+    """(a_ord, a, b_ord, b, km) of all pairs of places at most km apart, a before b; km is rounded if digits are given.
+
+    Places without names have pairs without a and b.  Places of one point are dealt to blocks.  Cells find the pairs of blocks,
+    so a distance is worked out once for all places of two blocks; then each pair of blocks gives its pairs of places, copies
+    of a point included, spread over all tasks however many share a point.
+    """
+    fields = [c for c in ("ord", "name") if c in places.columns]
+    p = places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(*fields, "lat", "lon")
+    parts = p.groupBy("lat", "lon").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
+    dealt = p.join(checked(written(parts)), ["lat", "lon"]).withColumn("part", F.pmod(F.xxhash64(*fields), "parts"))
+    blocks = dealt.groupBy("lat", "lon", "part").agg(F.collect_list(F.struct(*fields)).alias("members"))
+    blocks = written(blocks.withColumn("block", F.monotonically_increasing_id()))
+    near = _near_blocks(blocks.select("block", "lat", "lon", (F.size("members") > 1).alias("several")), km)
+    if digits is not None:
+        near = near.withColumn("km", F.round("km", digits))
+    t = near.join(blocks.select(F.col("block").alias("u"), F.col("members").alias("xs")), "u")
+    # The work is in the rows to be made, not in those shuffled: the number of tasks is set, so that they aren't put together.
+    spark = places.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    t = t.repartition(tasks, "v").join(blocks.select(F.col("block").alias("v"), F.col("members").alias("ys")), "v")
+    t = t.select("u", "v", "km", F.explode("xs").alias("x"), "ys").select("u", "v", "km", "x", F.explode("ys").alias("y"))
+    x, y = F.col("x.ord"), F.col("y.ord")
+    t = t.filter((x < y) | ((x > y) & (F.col("u") != F.col("v"))))
+    t = t.withColumns({"a_ord": F.least(x, y), "b_ord": F.greatest(x, y)})
+    if "name" in fields:
+        t = t.withColumns({"a": F.when(x < y, F.col("x.name")).otherwise(F.col("y.name")), "b": F.when(x < y, F.col("y.name")).otherwise(F.col("x.name"))})
+    return t.select(*(c for c in ("a_ord", "a", "b_ord", "b", "km") if c in t.columns))
+
+
+def _near_blocks(blocks: DataFrame, km: float) -> DataFrame:
+    """(u, v, km) of all pairs of blocks at most km apart, u before v, and of each block of several with itself.
 
     Cells are as high as the radius, so only neighbouring rows of cells can hold a pair; in longitude a place looks over as
     many cells as the radius spans at its latitude, around the date line too.  No cross product.
     """
     size = max(km / KM_PER_DEGREE, 1e-6)
     around = max(1, math.ceil(360 / size))
-    p = places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    own = p.select(F.col("ord").alias("b_ord"), F.col("name").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), F.floor(F.col("lat") / size).cast("int").alias("cy"), F.pmod(F.floor((F.col("lon") + 180) / size).cast("int"), F.lit(around)).alias("cx"))
+    own = blocks.select(F.col("block").alias("v"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), "several", F.floor(F.col("lat") / size).cast("int").alias("cy"), F.pmod(F.floor((F.col("lon") + 180) / size).cast("int"), F.lit(around)).alias("cx"))
     top = F.least(F.abs(F.col("lat")) + 2 * size, F.lit(89.9))
     reach = F.least(F.ceil(1 / F.cos(F.radians(top))).cast("int") + 1, F.lit((around + 1) // 2))
-    seek = p.select(F.col("ord").alias("a_ord"), F.col("name").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.floor(F.col("lat") / size).cast("int").alias("y"), F.floor((F.col("lon") + 180) / size).cast("int").alias("x"), reach.alias("reach"))
+    seek = blocks.select(F.col("block").alias("u"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.floor(F.col("lat") / size).cast("int").alias("y"), F.floor((F.col("lon") + 180) / size).cast("int").alias("x"), reach.alias("reach"))
     seek = seek.withColumn("cy", F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)))
     seek = seek.withColumn("cx", F.explode(F.array_distinct(F.transform(F.sequence(-F.col("reach"), F.col("reach")), lambda d: F.pmod(F.col("x") + d, F.lit(around))))))
-    t = seek.join(own, ["cy", "cx"]).filter(F.col("a_ord") < F.col("b_ord")).withColumn("km", haversine_km("a_lat", "a_lon", "b_lat", "b_lon"))
-    return t.filter(F.col("km") <= km).select("a_ord", "a", "b_ord", "b", "km")
+    t = seek.join(own, ["cy", "cx"]).filter((F.col("u") < F.col("v")) | ((F.col("u") == F.col("v")) & F.col("several")))
+    return t.withColumn("km", haversine_km("a_lat", "a_lon", "b_lat", "b_lon")).filter(F.col("km") <= km).select("u", "v", "km")
 
 
 def linked_points(places: DataFrame, km: float) -> DataFrame:

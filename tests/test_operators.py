@@ -200,6 +200,35 @@ def test_copies_of_a_point_are_not_paired_with_each_other(spark):
     assert whole == {(r.a_ord, r.b_ord) for r in places.pairs_within(t, 161.0).collect()}
 
 
+def test_all_members_of_blocks_are_paired(spark, monkeypatch):
+    monkeypatch.setattr(places, "MEMBERS", 4)
+    rng = random.Random(6)
+    spots = [(rng.uniform(-2, 2), rng.uniform(-2, 2)) for _ in range(8)] + [(0.0, 180.0), (0.0, -180.0), (-0.0, 180.0), (89.9, 10.0), (89.9, -170.0), (None, 1.0), (float("nan"), 1.0)]
+    rows = [(i, f"p{i}", *(spots[0] if i % 3 == 0 else spots[i % 15])) for i in range(150)] + [(7, "again", *spots[0])]
+    t = spark.createDataFrame(rows, "ord int, name string, lat double, lon double").repartition(3)
+    km = haversine_km("a.lat", "a.lon", "b.lat", "b.lon")
+    every = t.alias("a").join(t.alias("b"), F.col("a.ord") < F.col("b.ord")).withColumn("km", km).filter("km <= 161")
+    want = sorted(tuple(r) for r in every.select("a.ord", "a.name", "b.ord", "b.name", F.round("km", 3)).collect())
+    got = places.pairs_within(t, 161.0, digits=3)
+    assert got.columns == ["a_ord", "a", "b_ord", "b", "km"] and sorted(tuple(r) for r in got.collect()) == want and len(want) > 2000
+    bare = places.pairs_within(t.drop("name"), 161.0, digits=3)
+    assert bare.columns == ["a_ord", "b_ord", "km"] and sorted(tuple(r) for r in bare.collect()) == sorted((r[0], r[2], r[4]) for r in want)
+
+
+def test_customers_of_a_point_are_paired_with_each_other_and_all_near(spark, tmp_path):
+    """The query's rows are those of its SQL's rule: every two customers, those that share a point (36,000 keys on) as well."""
+    import __spark_entry__ as entry
+
+    keys = [k + 36_000 * i for k in range(300) for i in range(3)]
+    spark.createDataFrame([(k, f"c{k}") for k in keys], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    p = spark.createDataFrame([(k, k * 37 % 18000 / 100 - 90, k * 101 % 36000 / 100 - 180) for k in keys], "k long, lat double, lon double")
+    every = p.alias("a").join(p.alias("b"), F.col("a.k") < F.col("b.k")).withColumn("km", haversine_km("a.lat", "a.lon", "b.lat", "b.lon")).filter("km <= 161")
+    want = sorted(tuple(r) for r in every.select("a.k", "b.k", F.round("km", 3)).collect())
+    got = entry.queries()["pairs_within_radius"](spark, str(tmp_path))
+    assert got.columns == ["a_ord", "b_ord", "km"] and sorted(tuple(r) for r in got.collect()) == want
+    assert sum(r[2] == 0 for r in want) == 900 < len(want)
+
+
 def test_regions_and_names(spark):
     c = spark.createDataFrame([("x", 1.3, 103.8, "West Kalimantan, Indonesia"), ("y", 51.5, 0.0, "uk"), ("z", 0.0, 0.0, "nowhere")], "name string, lat double, lon double, region string")
     assert {(r.name, r.country, r.inside) for r in places.region_faults(c, country_names(spark), country_boxes(spark)).collect()} == {("x", "Indonesia", True), ("y", "United Kingdom", True)}
